@@ -1,11 +1,587 @@
-"""The registered queries over the given tables, and their SQL."""
+"""The registered queries over the given tables, and their SQL.
+
+Names are those of the operator inventory. Results in floating point are rounded to nine places, as sums
+are added in another order elsewhere.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scenemill.operators import evaluation, frames, graph, logs, models, pairs, splats
+from scenemill.plans.views import view, with_views
+from scenemill.sources import model_files
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(fn):
+        _QUERIES[name] = lambda spark, sf_dir: fn(lambda v: view(spark, sf_dir, v))
+        if sql is not None:
+            _SQL[name] = with_views(sql)
+        return fn
+
+    return keep
+
+
+def r9(*names: str) -> dict:
+    return {n: F.round(F.col(n), 9) for n in names}
+
+
+# --- experiments -----------------------------------------------------------------------------------------
+
+METRICS = ["psnr", "ssim", "lpips"]
+CONTRACT = {"psnr_veto": 8.0, "ssim_veto": 0.4, "veto_multiple": 4.0, "lpips_gain": 0.001, "lpips_multiple": 0.05, "psnr_loss": 0.5, "ssim_loss": 0.01}
+
+_LONG = """long AS (
+  SELECT scene, arm, replicate, started_at, view_id, 'psnr' AS metric, psnr AS value FROM {run_views}
+  UNION ALL SELECT scene, arm, replicate, started_at, view_id, 'ssim', ssim FROM {run_views}
+  UNION ALL SELECT scene, arm, replicate, started_at, view_id, 'lpips', lpips FROM {run_views})"""
+_ARMS = """avg(value) FILTER (arm = 'baseline') AS baseline, avg(value) FILTER (arm = 'candidate') AS candidate,
+  var_samp(value) FILTER (arm = 'baseline') AS va, var_samp(value) FILTER (arm = 'candidate') AS vb,
+  count(value) FILTER (arm = 'baseline') AS na, count(value) FILTER (arm = 'candidate') AS nb"""
+_POOL = "CASE WHEN na + nb > 2 THEN sqrt((CASE WHEN na > 1 THEN (na - 1) * va ELSE 0 END + CASE WHEN nb > 1 THEN (nb - 1) * vb ELSE 0 END) / (na + nb - 2)) END"
+_SCENES = f"""runs_ AS (SELECT scene, metric, arm, replicate, avg(value) AS value FROM long GROUP BY ALL),
+  arms AS (SELECT scene, metric, {_ARMS} FROM runs_ GROUP BY ALL),
+  scenes AS (SELECT scene, metric, baseline, candidate, na AS n_baseline, nb AS n_candidate, candidate - baseline AS delta, {_POOL} AS pooled_sd FROM arms WHERE na > 0 AND nb > 0)"""
+_VIEWS = f"""stamps AS (SELECT DISTINCT scene, arm, replicate, started_at FROM long),
+  steps AS (SELECT *, coalesce(lag(arm) OVER (PARTITION BY scene ORDER BY started_at, arm) = arm, false) AS same FROM stamps),
+  pairing AS (SELECT scene, NOT bool_or(same) AND count(*) FILTER (arm = 'baseline') = count(*) FILTER (arm = 'candidate') AND count(*) FILTER (started_at IS NULL) = 0 AS paired FROM steps GROUP BY scene),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY scene, arm ORDER BY started_at, replicate) AS k FROM stamps),
+  varms AS (SELECT scene, view_id, metric, {_ARMS} FROM long GROUP BY ALL),
+  pool AS (SELECT scene, metric, sqrt(sum(coalesce(va, 0) * (na - 1) + coalesce(vb, 0) * (nb - 1)) / nullif(sum(na + nb - 2), 0)) AS pool FROM varms WHERE na > 0 AND nb > 0 GROUP BY ALL),
+  placed AS (SELECT scene, view_id, metric, k, max(value) FILTER (arm = 'baseline') AS a, max(value) FILTER (arm = 'candidate') AS b FROM long JOIN ranked USING (scene, arm, replicate, started_at) GROUP BY ALL),
+  med AS (SELECT scene, view_id, metric, median(b - a) AS m FROM placed GROUP BY ALL),
+  views AS (SELECT scene, view_id, metric, paired, candidate - baseline AS mean_delta, CASE WHEN paired THEN m END AS paired_median_delta,
+    greatest(coalesce({_POOL}, 0), coalesce(pool, 0)) AS veto_sd
+    FROM varms JOIN pool USING (scene, metric) JOIN med USING (scene, view_id, metric) JOIN pairing USING (scene) WHERE na > 0 AND nb > 0)"""
+
+
+@query("G1_holdout", "SELECT capture_id, i, (row_number() OVER (PARTITION BY capture_id ORDER BY i) - 1) % 8 = 0 AS held_out FROM {images}")
+def _(v):
+    return frames_split(v).select("capture_id", "i", "held_out")
+
+
+def frames_split(v) -> DataFrame:
+    return evaluation.holdout(v("images"), 8, "capture_id", "i")
+
+
+@query("G2_sparse_views", """
+  WITH t AS (SELECT capture_id, i, row_number() OVER (PARTITION BY capture_id ORDER BY i) - 1 AS p FROM {images}),
+  u AS (SELECT capture_id, i, row_number() OVER (PARTITION BY capture_id ORDER BY i) - 1 AS place, count(*) OVER (PARTITION BY capture_id) AS n FROM t WHERE p % 8 <> 0),
+  s AS (SELECT unnest(range(0, 24)) AS slot)
+  SELECT capture_id, CAST(slot AS INT) AS slot, i FROM u JOIN s ON CAST(round_even(slot * (n - 1) / 23.0::DOUBLE, 0) AS BIGINT) = place WHERE n >= 24""")
+def _(v):
+    return evaluation.sparse_views(v("images"), 24, 8, "capture_id", "i")
+
+
+@query("G5_scene_stats", f"WITH {_LONG}, {_SCENES} SELECT scene, metric, round(baseline, 9) AS baseline, round(candidate, 9) AS candidate, n_baseline, n_candidate, round(delta, 9) AS delta, round(pooled_sd, 9) AS pooled_sd, round(pooled_sd * sqrt(1 / n_baseline + 1 / n_candidate), 9) AS delta_se, CASE WHEN pooled_sd > 0 THEN round(abs(delta) / pooled_sd, 9) END AS sd_multiple FROM scenes")
+def _(v):
+    return evaluation.scene_stats(evaluation.melt(v("run_views"), METRICS)).withColumns(r9("baseline", "candidate", "delta", "pooled_sd", "delta_se", "sd_multiple"))
+
+
+@query("G6_view_stats", f"WITH {_LONG}, {_VIEWS} SELECT scene, view_id, metric, paired, round(mean_delta, 9) AS mean_delta, round(paired_median_delta, 9) AS paired_median_delta, round(veto_sd, 9) AS veto_sd FROM views")
+def _(v):
+    return evaluation.view_stats(evaluation.melt(v("run_views"), METRICS)).withColumns(r9("mean_delta", "paired_median_delta", "veto_sd"))
+
+
+@query("G7_ab_verdict", f"""WITH {_LONG}, {_SCENES}, {_VIEWS},
+  w AS (SELECT median(delta) FILTER (metric = 'psnr') AS psnr, median(delta) FILTER (metric = 'ssim') AS ssim, median(delta) FILTER (metric = 'lpips') AS lpips,
+    median(CASE WHEN pooled_sd > 0 THEN abs(delta) / pooled_sd END) FILTER (metric = 'lpips') AS lpips_multiple FROM scenes),
+  x AS (SELECT *, paired_median_delta < CASE metric WHEN 'psnr' THEN -8.0 WHEN 'ssim' THEN -0.4 END AS past FROM views),
+  y AS (SELECT count(*) FILTER (past AND veto_sd > 0 AND abs(paired_median_delta) > 4 * veto_sd) AS vetoes, count(*) FILTER (past AND veto_sd <= 0) AS veto_candidates FROM x),
+  z AS (SELECT *, CASE WHEN lpips IS NOT NULL THEN -lpips >= 0.001 AND coalesce(lpips_multiple >= 0.05, false) END AS advance FROM w, y)
+  SELECT round(psnr, 9) AS psnr, round(ssim, 9) AS ssim, round(lpips, 9) AS lpips, round(lpips_multiple, 9) AS lpips_multiple, vetoes, veto_candidates, advance,
+    CASE WHEN vetoes > 0 THEN 'veto' WHEN psnr IS NULL OR ssim IS NULL OR advance IS NULL THEN 'not_evaluable' WHEN NOT advance THEN 'does_not_advance'
+    WHEN -psnr <= 0.5 AND -ssim <= 0.01 THEN 'accept' ELSE 'reject' END AS verdict FROM z""")
+def _(v):
+    long = evaluation.melt(v("run_views"), METRICS)
+    return evaluation.ab_verdict(evaluation.scene_stats(long), evaluation.view_stats(long), CONTRACT).withColumns(r9("psnr", "ssim", "lpips", "lpips_multiple"))
+
+
+@query("G8_ab_refusals", """
+  WITH a AS (SELECT scene, '1 duplicate_replicate' AS reason FROM {run_views} GROUP BY scene, arm, replicate, view_id HAVING count(*) > 1),
+  b AS (SELECT scene, '2 scene_sets_differ' AS reason FROM {run_views} GROUP BY scene HAVING count(DISTINCT arm) < 2),
+  s AS (SELECT scene, list_sort(list(DISTINCT view_id)) AS views FROM {run_views} GROUP BY scene, arm, replicate),
+  c AS (SELECT scene, '3 view_sets_differ' AS reason FROM s GROUP BY scene HAVING count(DISTINCT views) > 1),
+  d AS (SELECT scene, '4 under_replicated' AS reason FROM {run_views} GROUP BY scene, arm HAVING count(DISTINCT replicate) < 2)
+  SELECT * FROM a UNION SELECT * FROM b UNION SELECT * FROM c UNION SELECT * FROM d""")
+def _(v):
+    return evaluation.ab_refusals(v("run_views"))
+
+
+@query("G9_ab_tail", f"""WITH {_LONG}, {_VIEWS}, l AS (SELECT metric, list_sort(list(round(mean_delta, 9))) AS d, min(struct_pack(m := round(mean_delta, 9), s := scene, v := view_id)) AS w,
+    count(*) AS views, count(*) FILTER (round(mean_delta, 9) < -0.5) AS below_half, count(*) FILTER (round(mean_delta, 9) < -1) AS below_one FROM views GROUP BY metric)
+  SELECT metric, views, below_half, below_one, d[1 + least(views - 1, CAST(floor(views * 0.01::DOUBLE) AS BIGINT))] AS p01, d[1 + least(views - 1, CAST(floor(views * 0.05::DOUBLE) AS BIGINT))] AS p05,
+    d[1 + least(views - 1, CAST(floor(views * 0.1::DOUBLE) AS BIGINT))] AS p10, w.s || '/' || w.v AS worst FROM l""")
+def _(v):
+    return evaluation.ab_tail(evaluation.view_stats(evaluation.melt(v("run_views"), METRICS)).withColumns(r9("mean_delta")))
+
+
+@query("G9_worst_views", f"WITH {_LONG}, {_VIEWS}, r AS (SELECT metric, scene, view_id, round(mean_delta, 9) AS mean_delta FROM views) SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY mean_delta, scene, view_id) AS place, scene, view_id, mean_delta FROM r QUALIFY place <= 10")
+def _(v):
+    return evaluation.worst_views(evaluation.view_stats(evaluation.melt(v("run_views"), METRICS)).withColumns(r9("mean_delta")))
+
+
+@query("G10_gates", """
+  WITH m AS (SELECT scene_id, 'residual' AS metric, CASE WHEN scene_id % 17 <> 0 THEN residual END AS value FROM {suite} UNION ALL SELECT scene_id, 'speedup', speedup FROM {suite}),
+  t AS (SELECT 'residual' AS metric, 0.0 AS low, 1.5 AS high UNION ALL SELECT 'speedup', 2.0, 7.0),
+  b AS (SELECT scene_id, CASE WHEN value IS NULL THEN 'missing ' ELSE 'out of range ' END || metric AS reason, value IS NULL AS miss FROM m JOIN t USING (metric) WHERE value IS NULL OR value < low OR value > high),
+  f AS (SELECT scene_id, array_to_string(list_sort(list(DISTINCT reason)), '; ') AS reasons, bool_and(miss) AS only_missing FROM b GROUP BY scene_id)
+  SELECT s.scene_id, CASE WHEN reasons IS NULL THEN 'passed' WHEN only_missing THEN 'blocked' ELSE 'failed' END AS status, coalesce(reasons, '') AS reasons
+  FROM (SELECT DISTINCT scene_id FROM m) s LEFT JOIN f ON s.scene_id = f.scene_id""")
+def _(v):
+    s = v("suite")
+    shown = F.when(F.col("scene_id") % 17 != 0, F.col("residual"))
+    long = evaluation.melt_all(s.select("scene_id", shown.alias("residual"), "speedup"), ["residual", "speedup"])
+    limits = s.sparkSession.createDataFrame([("residual", 0.0, 1.5), ("speedup", 2.0, 7.0)], "metric string, low double, high double")
+    return evaluation.gates(long, limits)
+
+
+@query("G12_suite_performance", "SELECT coalesce(category, 'all') AS category, round(exp(avg(ln(speedup))), 9) AS geo_mean, median(speedup) AS median, count(*) FILTER (trait = 'ordered') AS ordered, count(*) AS scenes FROM {suite} GROUP BY ROLLUP (category)")
+def _(v):
+    return evaluation.suite_performance(v("suite")).withColumns(r9("geo_mean"))
+
+
+@query("G13_suite_quality", "WITH g AS (SELECT category, median(residual) AS median, count(residual) AS n FROM {suite} GROUP BY GROUPING SETS ((), (category))) SELECT coalesce(category, 'all') AS category, median, n, CASE WHEN n = 0 THEN 'blocked' WHEN median <= 1.2 THEN 'passed' ELSE 'failed' END AS status FROM g")
+def _(v):
+    return evaluation.suite_quality(v("suite"), 1.2)
+
+
+@query("G14_suite_summary", "SELECT count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'blocked') AS blocked, round(exp(avg(ln(wall))), 9) AS geo_mean_wall FROM {suite}")
+def _(v):
+    return evaluation.suite_summary(v("suite")).withColumns(r9("geo_mean_wall"))
+
+
+@query("G15_isolation_gate", """SELECT count(*) AS captures, count(*) FILTER (wrong) AS wrong, round(avg(iou), 9) AS mean_iou, round(quantile_cont(iou, 0.1), 9) AS p10_iou, round(avg(f1), 9) AS mean_f1,
+  round(quantile_cont(seconds, 0.5) FILTER (gaussians <= 500000), 9) AS p50_seconds, round(quantile_cont(seconds, 0.95) FILTER (gaussians <= 500000), 9) AS p95_seconds,
+  count(*) >= 15 AND count(*) FILTER (wrong) = 0 AND avg(iou) >= 0.8 AND quantile_cont(iou, 0.1) >= 0.65 AND avg(f1) >= 0.75 AND quantile_cont(seconds, 0.5) FILTER (gaussians <= 500000) <= 15 AND quantile_cont(seconds, 0.95) FILTER (gaussians <= 500000) <= 30 AS passed FROM {captures}""")
+def _(v):
+    return evaluation.isolation_gate(v("captures")).withColumns(r9("mean_iou", "p10_iou", "mean_f1", "p50_seconds", "p95_seconds"))
+
+
+@query("G18_edge_jaccard", """WITH e AS (SELECT DISTINCT CAST(capture_id AS VARCHAR) AS variant, i % 20 AS a, 20 + j % 20 AS b FROM {schedule}), z AS (SELECT a, b FROM e WHERE variant = '0'),
+  c AS (SELECT variant, count(*) AS edges, count(z.a) AS common FROM e LEFT JOIN z USING (a, b) GROUP BY variant) SELECT variant, edges, common, round(common / (edges + (SELECT count(*) FROM z) - common), 9) AS jaccard FROM c""")
+def _(v):
+    e = v("schedule").select(F.col("capture_id").cast("string").alias("variant"), (F.col("i") % 20).alias("a"), (20 + F.col("j") % 20).alias("b"))
+    return evaluation.edge_jaccard(e, "0").withColumns(r9("jaccard"))
+
+
+@query("G19_leaderboard", f"WITH {_LONG} SELECT arm AS method, metric, round(avg(value), 9) AS mean_all, round(avg(value) FILTER (scene IN ('s0', 's1')), 9) AS mean_subset, count(*) AS scenes FROM long GROUP BY ALL")
+def _(v):
+    long = evaluation.melt(v("run_views"), METRICS).withColumnRenamed("arm", "method")
+    return evaluation.leaderboard(long, ["s0", "s1"]).withColumns(r9("mean_all", "mean_subset"))
+
+
+PHASES = {"pose": "^pose refinement", "local": "^local bundle", "global": "^global bundle"}
+REPORT = r"^solver time ([0-9]+) ms"
+
+
+@query("G16_mapping_profile", """WITH m AS (SELECT *, CASE WHEN line LIKE 'pose%' THEN 'pose' WHEN line LIKE 'local%' THEN 'local' WHEN line LIKE 'global%' THEN 'global' END AS mk FROM {log_lines}),
+  p AS (SELECT *, last_value(mk IGNORE NULLS) OVER (PARTITION BY log_id ORDER BY line_no) AS phase FROM m),
+  s AS (SELECT log_id, phase, count(*) AS reports, sum(CAST(regexp_extract(line, 'solver time ([0-9]+) ms', 1) AS DOUBLE)) AS total FROM p WHERE line LIKE 'solver%' AND phase IS NOT NULL GROUP BY ALL),
+  t AS (SELECT *, total / nullif(sum(total) OVER (PARTITION BY log_id), 0) AS sh FROM s)
+  SELECT log_id, phase, reports, total, round(sh, 9) AS share, round(1 / (1 - sh / 2), 9) AS speedup_2, CASE WHEN sh < 1 THEN round(1 / (1 - sh), 9) END AS "limit" FROM t""")
+def _(v):
+    return logs.mapping_profile(v("log_lines"), PHASES, REPORT).withColumns(r9("share", "speedup_2", "limit"))
+
+
+@query("ST2_log_progress", """WITH p AS (SELECT log_id, line_no, least(0.99, CAST(regexp_extract(line, 'solver time ([0-9]+) ms', 1) AS DOUBLE) / 50) AS progress FROM {log_lines} WHERE line LIKE 'solver%'),
+  b AS (SELECT *, max(progress) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM p) SELECT log_id, line_no, progress FROM b WHERE b IS NULL OR progress > b""")
+def _(v):
+    return logs.log_progress(v("log_lines"), REPORT, 50.0)
+
+
+# --- frames and photos -----------------------------------------------------------------------------------
+
+_QUALITY = """sharpness * (greatest(0.05, 1 - least(0.85, clipped * 1.5) - CASE WHEN brightness < 0.18 THEN least(0.45, (0.18 - brightness) * 1.8)
+  WHEN brightness > 0.88 THEN least(0.55, (brightness - 0.88) * 2.5) ELSE 0 END) * (1 + motion * 0.03))"""
+
+
+@query("A3_exposure_ev", """WITH e AS (SELECT clip_id, frame_index, CASE WHEN brightness >= 0.02 AND brightness < 0.18 AND max_component > 0 AND max_component < 0.98 THEN least(1.0, log2(0.24 / brightness), log2(0.98 / max_component)) ELSE 0 END AS ev FROM {frames})
+  SELECT clip_id, frame_index, CASE WHEN ev >= 0.15 THEN round(ev, 9) ELSE 0 END AS ev FROM e""")
+def _(v):
+    return v("frames").select("clip_id", "frame_index", F.round(frames.exposure_ev(F.col("brightness"), F.col("max_component")), 9).alias("ev"))
+
+
+def scored(v) -> DataFrame:
+    return v("frames").withColumn("q", frames.quality(*[F.col(c) for c in ("sharpness", "brightness", "clipped", "motion")]))
+
+
+@query("A4_quality", f"SELECT clip_id, frame_index, round({_QUALITY}, 9) AS q FROM {{frames}}")
+def _(v):
+    return scored(v).select("clip_id", "frame_index", F.round("q", 9).alias("q"))
+
+
+@query("A6_repair_timestamps", None)
+def _(v):
+    broken = v("frames").select("clip_id", "frame_index", F.when(F.col("frame_index") % 7 == 3, F.lit(-1.0)).otherwise(F.col("t")).alias("t"))
+    return frames.repair_timestamps(broken, 30.0)
+
+
+@query("A7_schedule", None)
+def _(v):
+    return frames.schedule(v("frames").select("clip_id", "frame_index", "t"), 0.02, 1.0)
+
+
+@query("A8_select_timeline", None)
+def _(v):
+    return frames.select_timeline(scored(v).select("clip_id", "frame_index", "t", "q", "dhash"), 12, 5.0)
+
+
+@query("A9_near_duplicates", "WITH p AS (SELECT clip_id, frame_index, dhash, lag(dhash) OVER (PARTITION BY clip_id ORDER BY frame_index) AS before FROM {frames}) SELECT clip_id, frame_index, bit_count(xor(dhash, before)) <= 8 AS near FROM p WHERE before IS NOT NULL")
+def _(v):
+    from pyspark.sql import Window as W
+
+    before = F.lag("dhash").over(W.partitionBy("clip_id").orderBy("frame_index"))
+    own = v("frames").withColumn("before", before).where("before is not null")
+    return own.select("clip_id", "frame_index", frames.near_duplicate(F.col("dhash"), F.col("before")).alias("near"))
+
+
+@query("A10_frame_target", "SELECT capture_id, CAST(CASE WHEN NOT bool_or(duration < 0) THEN least(900, greatest(30, 2 * count(*), ceil(sum(duration) * 0.01))) END AS BIGINT) AS target FROM {clips} GROUP BY capture_id")
+def _(v):
+    return frames.frame_target(v("clips"), 900, 0.01, True)
+
+
+@query("A11_allocate_budget", None)
+def _(v):
+    return frames.allocate(v("clips"), 400)
+
+
+@query("A13_project_budget", """WITH p AS (SELECT clip_id, frame_index, row_number() OVER (PARTITION BY clip_id ORDER BY frame_index) - 1 AS i, count(*) OVER (PARTITION BY clip_id) AS n FROM {frames}), s AS (SELECT unnest(range(0, 10)) AS s)
+  SELECT DISTINCT clip_id, frame_index FROM p, s WHERE n <= 10 OR i = CAST(round(s * (n - 1) / 9.0::DOUBLE) AS BIGINT)""")
+def _(v):
+    return frames.project_budget(v("frames").select("clip_id", "frame_index"), 10, "clip_id", "frame_index")
+
+
+@query("A14_dedupe_exact", "SELECT capture_id, sha256, min(admission) AS admission, count(*) - 1 AS copies FROM {photos} GROUP BY ALL")
+def _(v):
+    return frames.dedupe_exact(v("photos"))
+
+
+@query("A15_dedupe_companions", """WITH g AS (SELECT capture_id, stem FROM {photos} GROUP BY ALL HAVING count(*) = 2 AND count(*) FILTER (is_raw) = 1 AND count(DISTINCT width) = 1)
+  SELECT capture_id, admission FROM {photos} p WHERE is_raw OR NOT EXISTS (SELECT 1 FROM g WHERE g.capture_id = p.capture_id AND g.stem = p.stem)""")
+def _(v):
+    return frames.dedupe_companions(v("photos")).select("capture_id", "admission")
+
+
+@query("A18_rank_diverse", None)
+def _(v):
+    e = v("embeddings").where("embedding is not null")
+    shorts = F.transform(F.slice("embedding", 1, 64), lambda x: F.floor(F.least(F.greatest(x * 128 + 128, F.lit(0.0)), F.lit(255.0))).cast("short"))
+    own = e.select(F.col("label").cast("string").alias("capture_id"), F.md5(F.col("vec_id").cast("string")).alias("sha256"), shorts.alias("descriptor"), (F.col("vec_id") % 8).cast("int").alias("quality"))
+    return frames.rank_diverse(own, 20)
+
+
+# --- pairs -----------------------------------------------------------------------------------------------
+
+
+@query("B2_temporal_pairs", "SELECT a.capture_id, a.i, b.i AS j, 'local' AS role FROM {images} a JOIN (SELECT unnest([1, 2, 4, 8]) AS o) o ON true JOIN {images} b ON a.capture_id = b.capture_id AND a.clip_id = b.clip_id AND b.pos = a.pos + o.o")
+def _(v):
+    return pairs.temporal_pairs(v("images"), [1, 2, 4, 8])
+
+
+@query("B3_exhaustive_pairs", "WITH n AS (SELECT clip_id FROM {images} GROUP BY 1 HAVING count(*) <= 60) SELECT a.clip_id AS capture_id, a.i, b.i AS j, 'local' AS role FROM {images} a JOIN {images} b ON a.clip_id = b.clip_id AND a.i < b.i WHERE a.clip_id IN (SELECT clip_id FROM n)")
+def _(v):
+    return pairs.exhaustive_pairs(v("images").select(F.col("clip_id").alias("capture_id"), "i"), 60)
+
+
+RETRIEVED = "SELECT a.capture_id, a.i AS i, b.i AS j, 'retrieval' AS role FROM {images} a JOIN {images} b ON a.capture_id = b.capture_id AND b.i = (a.i * 7 + 13) % 97 WHERE a.pos % 3 = 0 AND a.i <> b.i"
+
+
+def retrieved(v) -> DataFrame:
+    a = v("images").where("pos % 3 = 0").withColumn("j", (F.col("i") * 7 + 13) % 97)
+    b = v("images").select("capture_id", F.col("i").alias("j"))
+    return a.join(b, ["capture_id", "j"]).where("i <> j").select("capture_id", "i", "j", F.lit("retrieval").alias("role"))
+
+
+@query("B4_merge_pairs", f"""WITH base AS (SELECT a.capture_id, a.i, b.i AS j, 'local' AS role FROM {{images}} a JOIN {{images}} b ON a.capture_id = b.capture_id AND a.clip_id = b.clip_id AND b.pos = a.pos + 1),
+  r AS ({RETRIEVED}), u AS (SELECT capture_id, least(i, j) AS i, greatest(i, j) AS j, role, 0 AS p FROM base UNION ALL SELECT capture_id, least(i, j), greatest(i, j), role, 1 FROM r),
+  f AS (SELECT capture_id, i, j, min(p) AS p, arg_min(role, p) AS role FROM u WHERE i <> j GROUP BY ALL), k AS (SELECT capture_id, i, clip_id, count(*) OVER (PARTITION BY capture_id) AS n FROM {{images}})
+  SELECT f.capture_id, f.i, f.j, f.role FROM f JOIN k a ON a.capture_id = f.capture_id AND a.i = f.i JOIN k b ON b.capture_id = f.capture_id AND b.i = f.j
+  WHERE NOT (p = 1 AND f.j - f.i < greatest(12, floor(a.n / 10)) AND a.clip_id = b.clip_id)""")
+def _(v):
+    return pairs.merge_pairs(pairs.temporal_pairs(v("images"), [1]), retrieved(v), v("images"))
+
+
+@query("B5_query_images", "SELECT capture_id, clip_id, i FROM {images} WHERE pos % 5 = 0")
+def _(v):
+    return pairs.query_images(v("images"), 5).select("capture_id", "clip_id", "i")
+
+
+@query("B6_admit_neighbours", f"""WITH r AS ({RETRIEVED}), base AS (SELECT a.capture_id, a.i, b.i AS j FROM {{images}} a JOIN {{images}} b ON a.capture_id = b.capture_id AND a.clip_id = b.clip_id AND b.pos = a.pos + 1),
+  o AS (SELECT capture_id, i AS q, j AS n, least(i, j) AS i, greatest(i, j) AS j FROM r), f AS (SELECT * FROM o WHERE j - i >= 6 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.capture_id = o.capture_id AND b.i = o.i AND b.j = o.j)),
+  k AS (SELECT *, row_number() OVER (PARTITION BY capture_id, q ORDER BY n) AS k FROM f) SELECT DISTINCT capture_id, i, j FROM k WHERE k <= 4""")
+def _(v):
+    ranked = retrieved(v).select("capture_id", F.col("i").alias("q"), F.col("j").alias("n"), F.lit(0).alias("place"))
+    return pairs.admit_neighbours(ranked, pairs.temporal_pairs(v("images"), [1]), 4, 6)
+
+
+@query("B8_retrieval_graph", """WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT a.id AS q, b.id AS n, round(list_cosine_similarity(a.v, b.v), 12) AS s FROM e a JOIN e b ON a.id <> b.id),
+  r AS (SELECT * FROM s WHERE s >= 0.25 QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, n) <= 8) SELECT DISTINCT CAST(0 AS BIGINT) AS group_id, least(q, n) AS a, greatest(q, n) AS b FROM r""")
+def _(v):
+    own = v("embeddings").select(F.lit(0).cast("long").alias("group_id"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return pairs.retrieval_graph(own, least=0.25)
+
+
+@query("B12_windows", """WITH c AS (SELECT capture_id, count(*) AS n FROM {images} GROUP BY 1), w AS (SELECT capture_id, n, unnest(CASE WHEN n <= 64 THEN [0] ELSE range(0, n - 16, 48) END) AS f FROM c)
+  SELECT capture_id, CAST(row_number() OVER (PARTITION BY capture_id ORDER BY f) - 1 AS INT) AS "window", CAST(f AS INT) AS "first", CAST(least(f + 64, n) - 1 AS INT) AS "last" FROM w""")
+def _(v):
+    return pairs.windows(v("images").groupBy("capture_id").agg(F.count("*").alias("n")), 64, 16)
+
+
+@query("IO11_match_list", """WITH l AS (SELECT capture_id, i, j FROM {schedule}) SELECT capture_id, count(*) AS pairs, sha256(string_agg(i || ' ' || j || chr(10), '' ORDER BY i, j)) AS digest FROM l GROUP BY 1""")
+def _(v):
+    return model_files.match_list(v("schedule")).drop("text")
+
+
+# --- pair graphs -----------------------------------------------------------------------------------------
+
+
+@query("C1_validate_pairs", """WITH x AS (SELECT capture_id, pair_id + 3 AS pair_id FROM {verified} WHERE pair_id % 4 = 0 UNION SELECT capture_id, pair_id FROM {matches}),
+  d AS (SELECT *, pair_id // 2147483647 AS i, pair_id % 2147483647 AS j FROM x), e AS (SELECT capture_id, pair_id, unnest([i, j]) AS image_id FROM d WHERE i >= 0 AND i < j), vv AS (SELECT capture_id, pair_id + 3 AS pair_id, verified FROM {verified} WHERE pair_id % 4 = 0)
+  SELECT capture_id, pair_id, 'bad_id' AS reason FROM d WHERE NOT (i >= 0 AND i < j) UNION SELECT capture_id, pair_id, 'unknown_image' FROM e WHERE NOT EXISTS (SELECT 1 FROM {graph_images} g WHERE g.capture_id = e.capture_id AND g.image_id = e.image_id)
+  UNION SELECT capture_id, pair_id, 'not_scheduled' FROM d WHERE i >= 0 AND i < j AND NOT EXISTS (SELECT 1 FROM {schedule} s WHERE s.capture_id = d.capture_id AND s.pair_id = d.pair_id)
+  UNION SELECT v.capture_id, v.pair_id, 'verified_over_matched' FROM vv v LEFT JOIN {matches} m ON m.capture_id = v.capture_id AND m.pair_id = v.pair_id WHERE m.matched IS NULL OR v.verified > m.matched""")
+def _(v):
+    moved = v("verified").where("pair_id % 4 = 0").withColumn("pair_id", F.col("pair_id") + 3)
+    return graph.validate_pairs(v("schedule"), v("matches"), moved, v("graph_images"))
+
+
+@query("C2_pair_counts", """SELECT s.capture_id, role, count(*) AS scheduled, count(coalesce(m.matched, v.verified)) AS attempted, count(*) FILTER (m.matched > 0) AS matched, count(*) FILTER (v.verified >= 15) AS verified
+  FROM {schedule} s LEFT JOIN {matches} m ON s.capture_id = m.capture_id AND s.pair_id = m.pair_id LEFT JOIN {verified} v ON s.capture_id = v.capture_id AND s.pair_id = v.pair_id GROUP BY ALL""")
+def _(v):
+    return graph.pair_counts(v("schedule"), v("matches"), v("verified"))
+
+
+_EDGES = "edges AS (SELECT capture_id, pair_id // 2147483647 AS a, pair_id % 2147483647 AS b FROM {verified} WHERE verified >= 15 AND pair_id % 5 = 0)"
+
+
+def edges(v) -> DataFrame:
+    good = graph.decode_pairs(v("verified").where("verified >= 15 and pair_id % 5 = 0"))
+    return good.select("capture_id", F.col("i").alias("a"), F.col("j").alias("b"))
+
+
+_COMPONENTS = _EDGES + """, both_ AS (SELECT capture_id, a, b FROM edges UNION SELECT capture_id, b, a FROM edges),
+  walk AS (SELECT capture_id, image_id AS node, image_id AS root FROM {graph_images} UNION SELECT w.capture_id, e.b, w.root FROM walk w JOIN both_ e ON e.capture_id = w.capture_id AND e.a = w.node),
+  comp AS (SELECT capture_id, node, min(root) AS root FROM walk GROUP BY ALL)"""
+
+
+def members(v) -> DataFrame:
+    return graph.components(v("graph_images").withColumnRenamed("image_id", "node"), edges(v), "capture_id")
+
+
+def _recursive(sql: str) -> str:
+    return with_views(sql).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("C3_components")
+def _(v):
+    return members(v)
+
+
+_SQL["C3_components"] = _recursive(f"WITH {_COMPONENTS} SELECT capture_id, node, root FROM comp")
+
+
+@query("C4_degrees", f"""WITH {_EDGES}, e AS (SELECT capture_id, a AS image_id FROM edges UNION ALL SELECT capture_id, b FROM edges), d AS (SELECT g.capture_id, g.image_id, count(e.image_id) AS degree FROM {{graph_images}} g LEFT JOIN e ON e.capture_id = g.capture_id AND e.image_id = g.image_id GROUP BY ALL)
+  SELECT capture_id, quantile_disc(degree, 0.1) AS p10, quantile_disc(degree, 0.5) AS p50, quantile_disc(degree, 0.9) AS p90, count(*) FILTER (degree = 0) AS isolated FROM d GROUP BY 1""")
+def _(v):
+    return graph.degrees(v("graph_images"), edges(v)).withColumns({c: F.col(c).cast("long") for c in ("p10", "p50", "p90")})
+
+
+@query("C5_biconnectivity")
+def _(v):
+    return graph.biconnectivity(edges(v).withColumn("capture_id", F.col("capture_id").cast("long")))
+
+
+@query("C6_graph_verdict")
+def _(v):
+    return graph.graph_verdict(graph.component_summary(members(v)))
+
+
+_SQL["C6_graph_verdict"] = _recursive(f"""WITH {_COMPONENTS}, s AS (SELECT capture_id, root, count(*) AS n FROM comp GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY n DESC, root) AS r FROM s),
+  t AS (SELECT capture_id, CAST(sum(n) AS BIGINT) AS images, count(*) AS components, max(root) FILTER (r = 1) AS dominant, max(n) FILTER (r = 1) AS dominant_size, coalesce(max(n) FILTER (r = 2), 0) AS second_size FROM r GROUP BY 1)
+  SELECT *, CASE WHEN dominant_size / images >= CASE WHEN second_size > 1 THEN 0.95 ELSE 0.9 END THEN 'accepted' WHEN dominant_size >= 8 AND dominant_size > second_size THEN 'relaxed' ELSE 'rejected' END AS verdict FROM t""")
+
+
+@query("C8_table_digest")
+def _(v):
+    return graph.table_digest(v("matches"), "capture_id", ["pair_id"])
+
+
+# --- sparse models ---------------------------------------------------------------------------------------
+
+
+
+def posed(v) -> DataFrame:
+    """Cameras turned by 0 or 180 degrees about an axis, so that poses are exact numbers."""
+    one = lambda k: (F.col("turn") == k).cast("double")
+    own = v("cameras").select("model_id", "image_id", "tx", "ty", "tz", "focal", one(0).alias("qw"), one(1).alias("qx"), one(2).alias("qy"), one(3).alias("qz"))
+    return own.withColumns({"model": F.lit("SIMPLE_PINHOLE"), "params": F.array(F.col("focal"), F.lit(32.0), F.lit(24.0))})
+
+
+_POSED = """posed AS (SELECT *, CASE WHEN turn IN (0, 1) THEN 1 ELSE -1 END AS sx, CASE WHEN turn IN (0, 2) THEN 1 ELSE -1 END AS sy, CASE WHEN turn IN (0, 3) THEN 1 ELSE -1 END AS sz FROM {cameras})"""
+
+
+@query("D2_pose_axes", f"WITH {_POSED} SELECT model_id, image_id, -sx * tx AS cx, -sy * ty AS cy, -sz * tz AS cz, 0.0 AS fx, 0.0 AS fy, CAST(sz AS DOUBLE) AS fz FROM posed")
+def _(v):
+    axes = pairs.camera_axes(posed(v))
+    return axes.select("model_id", "image_id", *[(F.col(c) + 0.0).alias(c) for c in ("cx", "cy", "cz", "fx", "fy", "fz")])
+
+
+_RESIDUALS = _POSED + """, z AS (SELECT o.model_id, o.image_id, o.point2d_idx, o.row_id, o.x, o.y, c.focal, sx * px + tx AS zx, sy * py + ty AS zy, sz * pz + tz AS zz FROM {observations} o JOIN {points} p USING (point_id) JOIN posed c ON c.model_id = o.model_id AND c.image_id = o.image_id),
+  res AS (SELECT model_id, image_id, point2d_idx, row_id, focal, sqrt((x - (focal * (zx / zz) + 32)) ** 2 + (y - (focal * (zy / zz) + 24)) ** 2) AS residual FROM z WHERE zz > 1e-12)"""
+
+
+def measured(v) -> DataFrame:
+    models_ = v("observations").select("model_id", "point_id").distinct().join(v("points"), "point_id")
+    return models.residuals(v("observations"), posed(v), models_)
+
+
+@query("D3_residuals", f"WITH {_RESIDUALS} SELECT model_id, image_id, point2d_idx, row_id, round(residual, 7) AS residual, round(atan(residual / focal), 9) AS angle FROM res")
+def _(v):
+    return measured(v).select("model_id", "image_id", "point2d_idx", "row_id", F.round("residual", 7).alias("residual"), F.round("angle", 9).alias("angle"))
+
+
+@query("D5_residual_summary", f"WITH {_RESIDUALS}, q AS (SELECT model_id, image_id, round(residual, 7) AS residual FROM res) SELECT model_id, count(*) AS observations, round(avg(residual), 6) AS mean, round(median(residual), 6) AS median, quantile_disc(residual, 0.9) AS p90, count(DISTINCT image_id) AS images FROM q GROUP BY 1")
+def _(v):
+    out = models.residual_summary(measured(v).withColumn("residual", F.round("residual", 7)))
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "median")})
+
+
+@query("D4_integrity", """WITH t AS (SELECT * FROM {observations} WHERE point_id % 29 <> 0), k AS (SELECT model_id, 'duplicate_observation' AS reason FROM {observations} GROUP BY model_id, image_id, point2d_idx HAVING count(*) > 1
+  UNION ALL SELECT model_id, 'missing_point' FROM {observations} o WHERE NOT EXISTS (SELECT 1 FROM {points} p WHERE p.point_id = o.point_id)
+  UNION ALL SELECT model_id, 'observation_without_track' FROM {observations} o WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.model_id = o.model_id AND t.image_id = o.image_id AND t.point2d_idx = o.point2d_idx AND t.point_id = o.point_id))
+  SELECT model_id, reason, count(*) AS n FROM k GROUP BY ALL""")
+def _(v):
+    own = v("observations")
+    known = own.select("model_id", "point_id").distinct().join(v("points"), "point_id", "left_semi")
+    return models.integrity(own, own.where("point_id % 29 <> 0"), known)
+
+
+@query("D6_support_stats", """WITH t AS (SELECT model_id, point_id, count(DISTINCT image_id) AS l FROM {observations} GROUP BY ALL), m AS (SELECT model_id, round(avg(l), 9) AS mean_track FROM t GROUP BY 1), s AS (SELECT c.model_id, c.image_id, count(o.image_id) AS n FROM {cameras} c LEFT JOIN {observations} o ON o.model_id = c.model_id AND o.image_id = c.image_id GROUP BY ALL),
+  a AS (SELECT model_id, min(n) AS least, quantile_disc(n, 0.1) AS p10, quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.9) AS p90, count(*) FILTER (n >= 20) AS strong FROM s GROUP BY 1) SELECT a.*, mean_track FROM a LEFT JOIN m USING (model_id)""")
+def _(v):
+    out = models.support_stats(v("observations"), v("cameras").select("model_id", "image_id"))
+    return out.withColumns({**{c: F.col(c).cast("long") for c in ("p10", "p50", "p90")}, **r9("mean_track")})
+
+
+@query("D11_topology_digest")
+def _(v):
+    return models.topology_digest(v("observations").select("model_id", "point_id", F.concat(F.lit("image"), "image_id").alias("name"), F.col("point2d_idx").alias("idx")))
+
+
+@query("D12_score_models", """WITH p AS (SELECT n_nationkey AS model_id, count(p.point_id) AS points, avg(error) AS error FROM {nation} JOIN {points} p ON p.point_id % 25 = n_nationkey GROUP BY 1), i AS (SELECT model_id, count(*) AS images, count(*) FILTER (image_id % 13 <> 0) AS registered FROM {cameras} GROUP BY 1)
+  SELECT i.model_id, images, registered, points, round(error, 9) AS error, CASE WHEN registered / images >= 0.9 AND error <= 2.5 AND points > 0 THEN 'accepted' WHEN registered >= 8 AND points > 0 THEN 'partial' ELSE 'rejected' END AS status FROM i LEFT JOIN p USING (model_id)""")
+def _(v):
+    own = v("points").select((F.col("point_id") % 25).cast("int").alias("model_id"), "error")
+    return models.score_models(own, v("cameras").select("model_id", (F.col("image_id") % 13 != 0).alias("registered"))).withColumns(r9("error"))
+
+
+@query("D13_remap_ids", "SELECT model_id, image_id, n.n_nationkey AS new_id, 'NATION_' || CAST(image_id % 40 AS VARCHAR) AS name FROM {cameras} LEFT JOIN {nation} n ON n.n_name = 'NATION_' || CAST(image_id % 40 AS VARCHAR)")
+def _(v):
+    own = v("cameras").select("model_id", "image_id", F.concat(F.lit("NATION_"), F.col("image_id") % 40).alias("name"))
+    return models.remap_ids(own, v("nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("db_id")))
+
+
+@query("D16_opening_camera", """WITH s AS (SELECT c.model_id, c.image_id, count(o.image_id) AS n FROM {cameras} c LEFT JOIN {observations} o ON o.model_id = c.model_id AND o.image_id = c.image_id GROUP BY ALL), m AS (SELECT model_id, median(n) AS m FROM s GROUP BY 1)
+  SELECT model_id, min(image_id) AS image_id FROM s JOIN m USING (model_id) WHERE n >= m GROUP BY 1""")
+def _(v):
+    return models.opening_camera(v("cameras"), v("observations"))
+
+
+@query("E1_estimate_sim3")
+def _(v):
+    own = pairs.camera_axes(posed(v)).select(F.col("model_id").cast("long").alias("model_id"), F.col("cx").alias("sx"), F.col("cy").alias("sy"), F.col("cz").alias("sz"))
+    moved = own.select("*", (2.5 * -F.col("sy") + 4).alias("dx"), (2.5 * F.col("sx") - 2).alias("dy"), (2.5 * F.col("sz") + 3).alias("dz"))
+    out = models.estimate_sim3(moved)
+    rounded = lambda c: F.transform(c, lambda x: F.round(x, 6) + 0.0)
+    return out.withColumns({"scale": F.round("scale", 6), "rmse": F.round("rmse", 5), "rotation": rounded("rotation"), "translation": rounded("translation")})
+
+
+@query("E7_fuse_voxels", """WITH p AS (SELECT label AS capture_id, CAST(floor(x / 0.125) AS BIGINT) AS kx, CAST(floor(y / 0.125) AS BIGINT) AS ky, CAST(floor(z / 0.125) AS BIGINT) AS kz, x, y, z, 1 + vec_id % 4 AS w FROM (SELECT label, vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM {embeddings})),
+  f AS (SELECT capture_id, kx, ky, kz, count(*) AS n, CAST(sum(w) AS BIGINT) AS weight, round(sum(x * w) / sum(w), 9) AS x, round(sum(y * w) / sum(w), 9) AS y, round(sum(z * w) / sum(w), 9) AS z FROM p GROUP BY 1, 2, 3, 4)
+  SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY weight DESC, kx, ky, kz) <= 40""")
+def _(v):
+    own = v("splats").select(F.col("scene").alias("capture_id"), "x", "y", "z", (1 + F.col("row_index") % 4).alias("w"))
+    return models.fuse_voxels(own, 0.125, 40).withColumns(r9("x", "y", "z"))
+
+
+@query("E8_append_points", """WITH c AS (SELECT p_partkey % 5 AS model_id, p_partkey AS point_id, CAST(p_size AS DOUBLE) AS x, error FROM {part} JOIN {points} ON point_id = p_partkey), l AS (SELECT s_suppkey % 5 AS model_id, CAST(s_suppkey AS DOUBLE) AS x FROM {supplier})
+  SELECT * FROM c UNION ALL SELECT l.model_id, t.top + row_number() OVER (PARTITION BY l.model_id ORDER BY x), x, -1.0 FROM l JOIN (SELECT model_id, max(point_id) AS top FROM c GROUP BY 1) t USING (model_id)""")
+def _(v):
+    known = v("part").join(v("points"), F.col("p_partkey") == F.col("point_id")).select((F.col("p_partkey") % 5).alias("model_id"), "point_id", F.col("p_size").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), "error")
+    learned = v("supplier").select((F.col("s_suppkey") % 5).alias("model_id"), F.col("s_suppkey").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    return models.append_points(known, learned).drop("y", "z")
+
+
+# --- splats ----------------------------------------------------------------------------------------------
+
+
+@query("F1_validate_splats", "SELECT scene, row_index, CASE WHEN x IS NULL OR isnan(x) OR isinf(x) THEN 'non_finite_x' WHEN row_index % 31 = 0 THEN 'non_finite_y' END AS reason FROM {splats}")
+def _(v):
+    own = v("splats").withColumn("y", F.when(F.col("row_index") % 31 == 0, F.lit(float("nan"))).otherwise(F.col("y")))
+    return splats.validate_splats(own, ["x", "y", "z", "opacity", "scale"]).select("scene", "row_index", "reason")
+
+
+@query("F3_scene_bounds", """WITH r AS (SELECT *, 1 / (1 + exp(-opacity)) >= 0.01 AS seen FROM {splats}), c AS (SELECT scene, count(*) AS "rows", count(*) FILTER (seen) AS visible FROM r GROUP BY 1), u AS (SELECT r.*, c."rows", c.visible FROM r JOIN c USING (scene) WHERE seen OR NOT visible >= greatest(8, ceil(c."rows" / 1000))),
+  m AS (SELECT scene, "rows", visible, median(x) AS cx, median(y) AS cy, median(z) AS cz FROM u GROUP BY ALL) SELECT m.scene, m."rows", m.visible, round(cx, 9) AS cx, round(cy, 9) AS cy, round(cz, 9) AS cz, round(quantile_disc(sqrt((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2) + 3 * exp(scale), 0.995), 9) AS radius FROM u JOIN m USING (scene) GROUP BY ALL""")
+def _(v):
+    return splats.scene_bounds(v("splats")).withColumns(r9("cx", "cy", "cz", "radius"))
+
+
+@query("F4_systematic_sample", """WITH p AS (SELECT scene, row_index, row_number() OVER (PARTITION BY scene ORDER BY row_index) - 1 AS i, count(*) OVER (PARTITION BY scene) AS n FROM {splats}), s AS (SELECT unnest(range(0, 20)) AS s) SELECT DISTINCT scene, row_index FROM p, s WHERE n <= 20 OR i = round(s * ((n - 1) / 19.0::DOUBLE))""")
+def _(v):
+    return splats.systematic_sample(v("splats"), 20, "scene", "row_index").select("scene", "row_index")
+
+
+@query("F5_depth_rank", """WITH d AS (SELECT scene, vw AS view_id, row_index, CAST((x - vw * 0.5) * (x - vw * 0.5) + y * y + z * z AS FLOAT) AS d FROM {splats}, (SELECT unnest([0, 1]) AS vw)) SELECT scene, view_id, row_index, row_number() OVER (PARTITION BY scene, view_id ORDER BY d, row_index) AS place FROM d""")
+def _(v):
+    scenes = v("splats").select("scene").distinct().withColumn("view_id", F.explode(F.array(F.lit(0), F.lit(1))))
+    cams = scenes.select("scene", "view_id", (F.col("view_id") * 0.5).alias("cx"), *[F.lit(0.0).alias(c) for c in ("cy", "cz", "fx", "fy", "fz")])
+    return splats.depth_rank(v("splats"), cams)
+
+
+_LIFT = "lift AS (SELECT view_id, held_out, gaussian, label, sum(alpha * transmittance) AS weight, sum(alpha * transmittance * centrality) AS central FROM {contributions} WHERE alpha * transmittance >= CAST(CAST(0.04 AS FLOAT) AS DOUBLE) GROUP BY ALL)"
+_REDUCE = _LIFT + """, red AS (SELECT view_id, held_out, gaussian, sum(weight) AS visible, sum(CASE WHEN label <> 0 THEN weight ELSE 0 END) AS foreground, arg_max(label, weight * 65536 - label) AS label, max(weight) >= 0.55 * sum(weight) AS assigned, least(greatest(sum(central) / sum(weight), 0), 1) AS centrality FROM lift GROUP BY ALL)"""
+
+
+@query("F6_lift", f"WITH {_LIFT} SELECT * FROM lift")
+def _(v):
+    return splats.lift(v("contributions"))
+
+
+@query("F7_reduce_view", f"WITH {_REDUCE} SELECT view_id, held_out, gaussian, visible, foreground, label, assigned, round(centrality, 9) AS centrality FROM red")
+def _(v):
+    return splats.reduce_view(splats.lift(v("contributions"))).withColumns(r9("centrality"))
+
+
+@query("F8_classify", f"""WITH {_REDUCE}, s AS (SELECT gaussian, count(*) AS views, sum(foreground) / sum(visible) AS fg, avg(CASE WHEN label = 0 THEN 1.0 ELSE 0 END) AS bv FROM red WHERE NOT held_out GROUP BY 1), c AS (SELECT p_partkey AS gaussian, coalesce(views, 0) AS views, coalesce(fg, 0) AS fg, coalesce(bv, 0) AS bv FROM {{part}} LEFT JOIN s ON gaussian = p_partkey)
+  SELECT gaussian, views, round(fg, 9) AS fg, round(bv, 9) AS background_views, CASE WHEN fg >= 0.65 THEN 'foreground' WHEN fg <= 0.35 THEN 'background' ELSE 'uncertain' END AS kind FROM c""")
+def _(v):
+    reduced = splats.reduce_view(splats.lift(v("contributions")))
+    return splats.classify(v("part").select(F.col("p_partkey").alias("gaussian")), reduced).withColumns(r9("fg", "background_views"))
+
+
+@query("F9_knn16", """WITH d AS (SELECT a.scene, a.row_index, b.row_index AS neighbour, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2) AS distance FROM {splats} a JOIN {splats} b ON a.scene = b.scene AND a.row_index <> b.row_index), r AS (SELECT *, row_number() OVER (PARTITION BY scene, row_index ORDER BY distance, neighbour) AS place FROM d) SELECT scene, row_index, place, neighbour, round(distance, 9) AS distance FROM r WHERE place <= 16""")
+def _(v):
+    return splats.knn(v("splats").withColumn("scene", F.col("scene").cast("long"))).withColumns(r9("distance"))
+
+
+@query("F14_soft_iou", """WITH p AS (SELECT view_id, label, alpha FROM {contributions} WHERE held_out), t AS (SELECT view_id, sum(alpha) AS a FROM p GROUP BY 1) SELECT view_id, label, round(sum(alpha) / (count(*) + a - sum(alpha)), 9) AS iou FROM p JOIN t USING (view_id) WHERE label <> 0 GROUP BY view_id, label, a""")
+def _(v):
+    return splats.soft_iou(v("contributions").where("held_out")).withColumns(r9("iou"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
