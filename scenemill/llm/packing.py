@@ -11,6 +11,7 @@ last sequence of all can hold padding.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,53 +24,47 @@ from pyspark.sql import Window as W
 from .common import prefix_sums, table
 
 WINDOW = 1024
-_CACHE_LIMIT = 600_000
+#: How byte-level vocabularies split a text, and characters that are left to the slow way.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_UNSURE = "[^\\t\\n\\r -~\u00a1-\u024f\u2010-\u2027]"
 _PIECES = "doc_id long, start long, length int, doc_tokens long, sequence_id long, offset int, ids binary"
 _tokenizers: dict = {}
 
 
 class Tokenizer:
-    """Ids of a byte-level BPE file as little-endian 16-bit bytes, with a memory of the words it has met.
+    """Ids of a byte-level BPE file, as little-endian 16-bit bytes.
 
-    The file's pre-tokenizer never joins what stands on both sides of a single blank, so a text may be cut
-    before such blanks; texts with special tokens or other runs of white space are encoded whole.
+    A rank encoder with the file's vocabulary does the work, as its ids are in the order of its merges. Texts
+    with special tokens, or with characters on whose class two regular-expression engines may not agree, go
+    to the file's own tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer as Bpe
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.bpe, self.memory = Bpe.from_file(path), {}
-        self.special = [t.content for t in self.bpe.get_added_tokens_decoder().values()]
+        import tiktoken
+        from tokenizers import Tokenizer as Bpe
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.bpe.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        self.bpe = Bpe.from_file(path)
+        special = {t.content: i for i, t in self.bpe.get_added_tokens_decoder().items()}
+        self.slow = re.compile("|".join([_UNSURE, *map(re.escape, special)]))
+        letters = _byte_letters()
+        ranks = {bytes(letters[c] for c in token): i for token, i in self.bpe.get_vocab().items() if token not in special}
+        self.fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self.whole(text)
-        parts = text.split(" ")
-        memory, out = self.memory, []
-        if len(memory) > _CACHE_LIMIT:
-            memory.clear()
-        first, held = True, ""
-        for i, part in enumerate(parts):
-            piece = part if first else " " + part
-            if held:
-                piece, held = held + piece, ""
-            if not part or part[-1].isspace() or (i + 1 < len(parts) and (not parts[i + 1] or parts[i + 1][0].isspace())):
-                held, first = piece, False
-                continue
-            first = False
-            ids = memory.get(piece)
-            if ids is None:
-                ids = self.whole(piece)
-                if len(piece) < 64:
-                    memory[piece] = ids
-            out.append(ids)
-        if held:
-            out.append(self.whole(held))
-        return b"".join(out)
+        if self.slow.search(text):
+            ids = self.bpe.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return np.array(ids, "<u2").tobytes()
+
+
+def _byte_letters() -> dict[str, int]:
+    """The bytes that a byte-level vocabulary's letters stand for: printable ones for themselves, the others
+    for those from 256 on, in order."""
+    shown = {b for b in range(256) if chr(b).isprintable() and b not in (32, 173)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
 def tokenizer(path: str) -> Tokenizer:
