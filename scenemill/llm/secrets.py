@@ -1,6 +1,6 @@
 """Secret scans, with DataFrame functions only: fixed patterns, and Markov models of characters.
 
-The models: transition counts of characters in random strings and in ordinary identifiers, smoothed. Both
+The models: in how many random strings and ordinary identifiers a pair of characters occurs, smoothed. Both
 are trained on a bounded sample of ``TRAIN_ROWS`` rows. Random strings are labelled by construction (base64,
 hexadecimal and upper-case digests of those rows) and by the patterns (the values they capture); ordinary
 identifiers are the words of those rows that no pattern touches. A token whose log-likelihood ratio per
@@ -18,16 +18,16 @@ from pyspark.sql import functions as F
 PATTERNS = {
     "assign": (r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""", 2, 6),
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
-    "hex": (r"[0-9a-f]+", 0, 24),
+    "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
 #: What a text must hold for a pattern to find anything; cheaper than the pattern.
 PRESENT = {"assign": PATTERNS["assign"][0], "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
-TOKEN = r"[A-Za-z0-9+/_=-]+"
+TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 #: A token of 20 characters or more with a letter and a digit.
 TOKEN_PRESENT = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 TRAIN_ROWS = 4000
-THRESHOLD = 0.35
+THRESHOLD = 1.0
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
@@ -73,14 +73,16 @@ def train(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS)
     labelled = sample.select(F.explode(F.array(
         F.struct(F.lit(True).alias("random"), F.concat(made, caught).alias("all")), F.struct(F.lit(False).alias("random"), words.alias("all"))
     )).alias("x")).select("x.random", F.explode("x.all").alias("s"))
-    pairs = labelled.where("length(s) > 1").select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, F.lit(2)))).alias("pair"))
+    pairs = labelled.where("length(s) > 1").select("random", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, F.lit(2))))).alias("pair"))
     counts = pairs.groupBy("random", "pair").agg(F.count("*").alias("n"))
     table = {(r["random"], r["pair"]): r["n"] for r in counts.collect() if len(r["pair"]) == 2 and set(r["pair"]) <= set(ALPHABET)}
-    out = {}
+    out, weight = {}, 5.0  # a pair counts with its second character's own share, as if met 5 times more
+    ends = {k: {b: sum(table.get((k, a + b), 0) for a in ALPHABET) for b in ALPHABET} for k in (False, True)}
+    share = {k: {b: (ends[k][b] + 0.5) / (sum(ends[k].values()) + 0.5 * len(ALPHABET)) for b in ALPHABET} for k in (False, True)}
     for a in ALPHABET:
-        totals = [sum(table.get((kind, a + b), 0) for b in ALPHABET) for kind in (False, True)]
+        totals = {k: sum(table.get((k, a + b), 0) for b in ALPHABET) for k in (False, True)}
         for b in ALPHABET:
-            logs = [math.log((table.get((kind, a + b), 0) + 0.5) / (totals[kind] + 0.5 * len(ALPHABET))) for kind in (False, True)]
+            logs = {k: math.log((table.get((k, a + b), 0) + weight * share[k][b]) / (totals[k] + weight)) for k in (False, True)}
             out[a + b] = logs[True] - logs[False]
     return out
 
@@ -92,9 +94,8 @@ def random_spans(text: Column, ratios: dict[str, float], threshold: float = THRE
 
     def ratio(token: Column) -> Column:
         codes = F.transform(F.split(token, ""), lambda c: F.instr(letters, c) - 1)
-        steps = F.sequence(F.lit(1), F.size(codes) - 1)
-        one = lambda acc, i: acc + F.get(table, F.get(codes, i - 1) * size + F.get(codes, i))
-        return F.aggregate(steps, F.lit(0.0), one) / F.size(steps)
+        steps = F.zip_with(F.slice(codes, 1, F.length(token) - 1), F.slice(codes, 2, F.length(token) - 1), lambda a, b: a * size + b)
+        return F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.get(table, i)) / (F.length(token) - 1)
 
     spans = _found(text, "random", TOKEN, 0, least)
     cut_out = lambda s: F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
