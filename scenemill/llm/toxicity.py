@@ -56,6 +56,8 @@ def _count_trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class Restorer:
     def __init__(self, counts: np.ndarray):
         n = counts.reshape(_SIZE, _SIZE, _SIZE) + 0.1
+        same = np.arange(1, _SIZE - 1)
+        n[same, same, same] = 0.1  # a letter three times over is what is to be undone, not how words are spelt
         self.log = np.log(n / n.sum(axis=2, keepdims=True))
 
     def options(self, token: str, i: int) -> list[tuple[str, float]]:
@@ -123,7 +125,8 @@ def _count_features(restore: Restorer, wanted: set[str] | None):
             for text in batch["text"]:
                 own = {f for t in read.tokens(text or "") for w in read.words(t) for f in features(w)}
                 counts.update(own if wanted is None else own & wanted)
-        yield pd.DataFrame({"feature": list(counts), "n": list(counts.values())})
+        if counts:
+            yield pd.DataFrame({"feature": list(counts), "n": list(counts.values())})
 
     return fn
 
@@ -159,6 +162,8 @@ def _apply(scorer: Scorer, evidence: bool):
                 found = [scorer.evidence(t) for t in batch["text"]]
                 yield pd.DataFrame({"toxic": batch["toxic"].array, "m": [x[0] for x in found], "n": [x[1] for x in found]})
             else:
+                if not len(batch):
+                    continue
                 yield batch.drop(columns="text").assign(score=[scorer.score(t) for t in batch["text"]])
 
     return fn
