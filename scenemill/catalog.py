@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenemill.operators import evaluation, frames, graph, logs, models, pairs, splats
+from scenemill.operators import conditioning, evaluation, frames, graph, logs, models, pairs, splats, subject
 from scenemill.plans.views import view, with_views
 from scenemill.sources import model_files
 
@@ -579,6 +579,173 @@ def _(v):
     return splats.soft_iou(v("contributions").where("held_out")).withColumns(r9("iou"))
 
 
+_SCENE = _REDUCE.replace("{contributions}", "{scene_contributions}").replace("SELECT view_id", "SELECT scene, view_id")
+_KNN = """kd AS (SELECT a.scene, a.row_index, b.row_index AS neighbour, round(sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2), 9) AS distance FROM {splats} a JOIN {splats} b ON a.scene = b.scene AND a.row_index <> b.row_index),
+  knn AS (SELECT *, row_number() OVER (PARTITION BY scene, row_index ORDER BY distance, neighbour) AS place FROM kd QUALIFY place <= 16),
+  loc AS (SELECT scene, row_index AS g, (coalesce(max(distance) FILTER (place = 8), max(distance)) + coalesce(max(distance) FILTER (place = 9), max(distance))) / 2 AS l FROM knn GROUP BY ALL)"""
+_SUBJECT = _SCENE + ", " + _KNN + """, obs AS (SELECT scene, view_id, gaussian, CASE WHEN assigned THEN label ELSE 0 END AS label FROM red WHERE NOT held_out),
+  cs AS (SELECT scene, gaussian, count(*) AS views, sum(foreground) / sum(visible) AS fg FROM red WHERE NOT held_out GROUP BY ALL),
+  cl AS (SELECT s.scene, s.row_index AS gaussian, coalesce(fg, 0) AS fg, coalesce(fg, 0) >= 0.4 AS f FROM {splats} s LEFT JOIN cs ON cs.scene = s.scene AND cs.gaussian = s.row_index),
+  pr AS (SELECT scene, least(row_index, neighbour) AS a, greatest(row_index, neighbour) AS b, min(distance) AS distance FROM knn GROUP BY ALL),
+  pf AS (SELECT p.*, greatest(la.l, lb.l) AS reach, ca.fg AS fa, cb.fg AS fb FROM pr p JOIN cl ca ON ca.scene = p.scene AND ca.gaussian = a AND ca.f JOIN cl cb ON cb.scene = p.scene AND cb.gaussian = b AND cb.f JOIN loc la ON la.scene = p.scene AND la.g = a JOIN loc lb ON lb.scene = p.scene AND lb.g = b),
+  ct AS (SELECT p.scene, a, b, count(*) AS common, count(*) FILTER (oa.label <> 0 AND oa.label = ob.label) AS agree, count(*) FILTER (oa.label <> 0 AND ob.label <> 0 AND oa.label <> ob.label) AS against FROM pf p JOIN obs oa ON oa.scene = p.scene AND oa.gaussian = a JOIN obs ob ON ob.scene = p.scene AND ob.gaussian = b AND ob.view_id = oa.view_id GROUP BY ALL),
+  ed AS (SELECT p.scene, p.a, p.b, distance, coalesce(common, 0) AS common, coalesce(agree, 0) AS agree, coalesce(against, 0) AS against FROM pf p LEFT JOIN ct USING (scene, a, b)
+    WHERE distance <= 2.5 * reach AND ((coalesce(common, 0) >= 2 AND agree >= 0.6 * common) OR (fa >= 0.8 AND fb >= 0.8 AND coalesce(against, 0) = 0 AND distance <= 1.5 * reach)))"""
+
+
+def subject_inputs(v) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classified, neighbours, reduced); foreground from 0.4 on, as labels are spread evenly here."""
+    reduced = splats.reduce_view(splats.lift(v("scene_contributions"), ("scene",)), ("scene",))
+    own = splats.classify(v("splats").select("scene", F.col("row_index").alias("gaussian")), reduced, ("scene",))
+    own = own.withColumn("kind", F.when(F.col("fg") >= 0.4, "foreground").otherwise("background"))
+    near = splats.knn(v("splats").withColumn("scene", F.col("scene").cast("long"))).withColumn("distance", F.round("distance", 9))
+    return own, near, reduced
+
+
+@query("F10_subject_edges", f"WITH {_SUBJECT} SELECT * FROM ed")
+def _(v):
+    own, near, reduced = subject_inputs(v)
+    return subject.subject_edges(near, reduced, own)
+
+
+_RANKED = _SUBJECT + """, e2 AS (SELECT scene, a, b FROM ed UNION SELECT scene, b, a FROM ed),
+  walk AS (SELECT scene, gaussian AS node, gaussian AS root FROM cl WHERE f UNION SELECT w.scene, e.b, w.root FROM walk w JOIN e2 e ON e.scene = w.scene AND e.a = w.node),
+  comp AS (SELECT scene, node, min(root) AS root FROM walk GROUP BY ALL), sz AS (SELECT scene, root, count(*) AS size FROM comp GROUP BY ALL), sc AS (SELECT scene, count(*) AS n FROM cl GROUP BY 1),
+  tt AS (SELECT scene, sum(foreground) AS fgw, count(DISTINCT view_id) AS views FROM red WHERE NOT held_out GROUP BY 1),
+  pv AS (SELECT r.scene, root, view_id, sum(foreground) AS fw, sum(visible) AS vw, sum(centrality * visible) AS cw FROM red r JOIN comp ON comp.scene = r.scene AND comp.node = r.gaussian WHERE NOT held_out GROUP BY ALL),
+  po AS (SELECT scene, root, count(*) FILTER (fw >= CAST(CAST(0.04 AS FLOAT) AS DOUBLE)) AS seen, sum(fw) AS fw, sum(vw) AS vw, sum(cw) AS cw FROM pv GROUP BY ALL),
+  rk AS (SELECT sz.scene, sz.root AS component, size, size / n AS retained, coalesce(seen / views, 0) AS coverage, coalesce(cw / vw, 0) AS centrality, coalesce(fw / fgw, 0) AS support
+    FROM sz JOIN sc ON sc.scene = sz.scene LEFT JOIN po ON po.scene = sz.scene AND po.root = sz.root LEFT JOIN tt ON tt.scene = sz.scene WHERE size >= 4 AND size >= ceil(n * 0.001)),
+  rs AS (SELECT *, 0.5 * coverage + 0.3 * centrality + 0.2 * support AS score FROM rk), rp AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY round(score, 12) DESC, coverage DESC, component) AS place FROM rs)"""
+_RANK_COLS = ("retained", "coverage", "centrality", "support", "score")
+
+
+def ranked(v) -> DataFrame:
+    own, near, reduced = subject_inputs(v)
+    return subject.rank_components(own, subject.subject_edges(near, reduced, own), reduced, least=4)
+
+
+@query("F11_rank_components")
+def _(v):
+    return ranked(v).withColumns(r9(*_RANK_COLS))
+
+
+_SQL["F11_rank_components"] = _recursive(f"WITH {_RANKED} SELECT scene, component, size, place, {', '.join(f'round({c}, 9) AS {c}' for c in _RANK_COLS)} FROM rp")
+
+
+@query("F12_choose_subject")
+def _(v):
+    return subject.choose_subject(v("splats"), ranked(v)).withColumns(r9("lead"))
+
+
+_SQL["F12_choose_subject"] = _recursive(f"""WITH {_RANKED}, bt AS (SELECT scene, max(component) FILTER (place = 1) AS c, max(coverage) FILTER (place = 1) AS cov, max(retained) FILTER (place = 1) AS ret, max(score) FILTER (place = 1) - max(score) FILTER (place = 2) AS l, max(coverage) AS best FROM rp GROUP BY 1),
+  fin AS (SELECT sc.scene, c, coalesce(round(l, 12), 1) AS lead_, coalesce(best, 0) AS best, cov, ret FROM sc LEFT JOIN bt ON bt.scene = sc.scene), ok AS (SELECT *, best >= 0.3 AND cov >= 0.6 AND lead_ >= 0.15 AND ret BETWEEN 0.001 AND 0.9 AS auto FROM fin)
+  SELECT scene, CASE WHEN auto THEN c END AS component, round(lead_, 9) AS "lead", CASE WHEN best < 0.3 THEN 'noSubject' WHEN auto THEN 'selected' ELSE 'ambiguous' END AS outcome FROM ok""")
+
+
+def _shade(k: int) -> str:
+    terms = [str(t) for t in splats.sh_basis(*(_Term(c) for c in ("ux", "uy", "uz")))]
+    return f"round(greatest(0, {splats.SH0} * embedding[{4 + k}]::DOUBLE + {' + '.join(f'embedding[{7 + 15 * k + i}]::DOUBLE * {t}' for i, t in enumerate(terms))} + 0.5), 6)"
+
+
+class _Term:
+    """A number as SQL text, so that the basis is written once."""
+
+    def __init__(self, text):
+        self.text = f"({text})"
+
+    def __str__(self):
+        return self.text
+
+    def _with(op, turned=False):  # noqa: N805
+        return lambda self, other: _Term(f"{other}::DOUBLE {op} {self}" if turned else f"{self} {op} {other}")
+
+    __add__, __sub__, __mul__, __rmul__ = _with("+"), _with("-"), _with("*"), _with("*", True)
+
+
+@query("F15_sh_color", f"""WITH d AS (SELECT label AS scene, vw AS view_id, vec_id AS row_index, embedding, embedding[1]::DOUBLE - vw * 0.5::DOUBLE AS dx, embedding[2]::DOUBLE AS dy, embedding[3]::DOUBLE AS dz FROM {{embeddings}}, (SELECT unnest([0, 1]) AS vw) WHERE embedding IS NOT NULL),
+  n AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS size FROM d), u AS (SELECT *, CASE WHEN size > 0 THEN dx / size ELSE 0 END AS ux, CASE WHEN size > 0 THEN dy / size ELSE 0 END AS uy, CASE WHEN size > 0 THEN dz / size ELSE 1 END AS uz FROM n)
+  SELECT scene, view_id, row_index, {_shade(0)} AS red, {_shade(1)} AS green, {_shade(2)} AS blue FROM u""")
+def _(v):
+    e = v("embeddings").where("embedding is not null")
+    at = lambda i: F.col("embedding")[i].cast("double")
+    own = e.select(F.col("label").alias("scene"), F.col("vec_id").alias("row_index"), *[at(i).alias(c) for i, c in enumerate("xyz")], *[at(3 + k).alias(f"f_dc_{k}") for k in range(3)], F.slice("embedding", 7, 45).cast("array<double>").alias("sh_rest"))
+    scenes = e.select(F.col("label").alias("scene")).distinct().withColumn("view_id", F.explode(F.array(F.lit(0), F.lit(1))))
+    cams = scenes.select("scene", "view_id", (F.col("view_id") * 0.5).alias("cx"), F.lit(0.0).alias("cy"), F.lit(0.0).alias("cz"))
+    return splats.sh_color(own, cams).withColumns({c: F.round(c, 6) for c in ("red", "green", "blue")})
+
+
+@query("B11_refinement_plan")
+def _(v):
+    s = v("schedule")
+    return pairs.refinement_plan(v("graph_images"), s.where("role = 'local' and i % 4 <> 0"), s.where("role = 'retrieval' and (i + j) % 6 = 0"), 2000)
+
+
+_SQL["B11_refinement_plan"] = _recursive("""WITH le AS (SELECT capture_id, i, j, min(CASE role WHEN 'local' THEN 0 ELSE 1 END) AS p FROM {schedule} WHERE (role = 'local' AND i % 4 <> 0) OR (role = 'retrieval' AND (i + j) % 6 = 0) GROUP BY ALL),
+  b2 AS (SELECT capture_id, i AS a, j AS b FROM le UNION SELECT capture_id, j, i FROM le), walk AS (SELECT capture_id, image_id AS node, image_id AS root FROM {graph_images} UNION SELECT w.capture_id, e.b, w.root FROM walk w JOIN b2 e ON e.capture_id = w.capture_id AND e.a = w.node),
+  c AS (SELECT capture_id, node, min(root) AS root FROM walk GROUP BY ALL), k AS (SELECT capture_id, count(DISTINCT root) = 1 AS connected FROM c GROUP BY 1), n AS (SELECT capture_id, count(*) FILTER (p = 0) AS l, count(*) FILTER (p = 1) AS o FROM le GROUP BY 1)
+  SELECT k.capture_id, coalesce(l, 0) AS "local", coalesce(o, 0) AS loops, connected, coalesce(l + o, 0) <= 2000 AS "within" FROM k LEFT JOIN n ON n.capture_id = k.capture_id""")
+
+
+# --- conditioning, trials and lanes ----------------------------------------------------------------------
+
+
+def centres(v) -> DataFrame:
+    return pairs.camera_axes(posed(v)).select("model_id", "image_id", "cx", "cy", "cz")
+
+
+_ANGLES = _RESIDUALS.replace("row_id, focal,", "row_id, point_id, zx, zy, zz, focal,").replace("o.row_id, o.x", "o.row_id, o.point_id, o.x") + """,
+  an AS (SELECT model_id, image_id, point2d_idx, row_id, point_id, round(atan(residual / focal), 9) AS angle, round(sqrt(zx * zx + zy * zy + zz * zz), 9) AS rng FROM res)"""
+
+
+@query("D7_parallax", f"""WITH {_ANGLES}, rr AS (SELECT an.*, px + sx * tx AS rx, py + sy * ty AS ry, pz + sz * tz AS rz, row_number() OVER () AS rid FROM an JOIN {{points}} USING (point_id) JOIN posed c ON c.model_id = an.model_id AND c.image_id = an.image_id),
+  rn AS (SELECT *, sqrt(rx * rx + ry * ry + rz * rz) AS rl FROM rr), pp AS (SELECT a.model_id, a.point_id, a.rid, degrees(acos(least(1, abs(a.rx / a.rl * (b.rx / b.rl) + a.ry / a.rl * (b.ry / b.rl) + a.rz / a.rl * (b.rz / b.rl))))) AS apart, greatest(0.05, 3 * degrees(greatest(a.angle, b.angle))) AS need FROM rn a JOIN rn b ON a.model_id = b.model_id AND a.point_id = b.point_id AND a.rid <> b.rid),
+  ob AS (SELECT model_id, point_id, rid, max(apart) AS wide, bool_or(apart >= need) AS good FROM pp GROUP BY ALL), tr AS (SELECT model_id, point_id, count(*) AS rays, greatest(0.05, 3 * degrees(quantile_disc(angle, 0.9))) AS threshold FROM rn GROUP BY ALL),
+  ag AS (SELECT model_id, point_id, count(*) FILTER (wide >= 1.5) AS a1, count(*) FILTER (wide >= 2) AS a2, count(*) FILTER (wide >= 3) AS a3, count(*) FILTER (good) AS ad, max(wide) AS widest FROM ob GROUP BY ALL)
+  SELECT tr.model_id, tr.point_id, rays, coalesce(a1, 0) AS at_1_5, coalesce(a2, 0) AS at_2, coalesce(a3, 0) AS at_3, coalesce(ad, 0) AS adaptive, coalesce(widest, 0) >= threshold AS conditioned, round(threshold, 6) AS threshold FROM tr LEFT JOIN ag USING (model_id, point_id)""")
+def _(v):
+    return parallaxes(v).withColumn("threshold", F.round("threshold", 6))
+
+
+def parallaxes(v) -> DataFrame:
+    models_ = v("observations").select("model_id", "point_id").distinct().join(v("points"), "point_id")
+    seen = measured(v).select("model_id", "image_id", "point_id", F.round("angle", 9).alias("angle"))
+    return conditioning.parallax(seen, centres(v), models_.select("model_id", "point_id", "px", "py", "pz"))
+
+
+@query("D8_baseline", f"""WITH {_ANGLES}, md AS (SELECT model_id, median(rng) AS median_range FROM an GROUP BY 1), ce AS (SELECT model_id, -sx * tx AS x, -sy * ty AS y, -sz * tz AS z, count(*) AS n FROM posed GROUP BY ALL),
+  gp AS (SELECT a.model_id, a.x, a.y, a.z, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) AS gap FROM ce a JOIN ce b ON a.model_id = b.model_id AND (a.x, a.y, a.z) <> (b.x, b.y, b.z) GROUP BY ALL),
+  gq AS (SELECT model_id, quantile_disc(gap, 0.1) AS gap FROM gp GROUP BY 1) SELECT ce.model_id, count(*) AS centres, CAST(max(n) AS BIGINT) AS largest, round(median_range, 6) AS median_range, round(coalesce(gap / median_range, 0), 7) AS baseline FROM ce JOIN md USING (model_id) LEFT JOIN gq USING (model_id) GROUP BY ce.model_id, median_range, gap""")
+def _(v):
+    flat = centres(v).withColumns({c: F.col(c) + 0.0 for c in ("cx", "cy", "cz")})
+    out = conditioning.baseline(flat, measured(v).select("model_id", F.round("range", 9).alias("range")))
+    return out.withColumns({"median_range": F.round("median_range", 6), "baseline": F.round("baseline", 7)})
+
+
+LIMITS = {"view_loss": 2, "view_loss_share": 0.2, "point_loss": 0.05, "observation_loss": 0.1, "median_delta": 0.5, "p90_delta": 0.75, "median_residual": 2.0, "p90_residual": 3.0}
+
+
+@query("G17_compare_trials", """WITH b AS (SELECT r.scene, r.trial, r.registered_views AS rv, c.median_residual AS cm, c.p90_residual AS cp, r.conditioned AND c.conditioned AS ok, CAST(greatest(0, r.registered_views - c.registered_views) AS DOUBLE) AS view_loss, greatest(0, r.point_count - c.point_count) / r.point_count AS point_loss,
+    greatest(0, r.observation_count - c.observation_count) / r.observation_count AS observation_loss, greatest(0, c.median_residual - r.median_residual) AS median_delta, greatest(0, c.p90_residual - r.p90_residual) AS p90_delta FROM {trials} r JOIN {trials} c ON r.scene = c.scene AND r.trial = c.trial AND r.arm = 'reference' AND c.arm = 'candidate'),
+  f AS (SELECT *, concat_ws(',', CASE WHEN NOT ok THEN 'conditioning' END, CASE WHEN view_loss > least(2, rv * 0.2) + 1e-12 THEN 'view_loss' END, CASE WHEN point_loss > 0.05 + 1e-12 THEN 'point_loss' END, CASE WHEN observation_loss > 0.1 + 1e-12 THEN 'observation_loss' END, CASE WHEN median_delta > 0.5 THEN 'median_delta' END,
+    CASE WHEN p90_delta > 0.75 THEN 'p90_delta' END, CASE WHEN cm > 2 THEN 'median_residual' END, CASE WHEN cp > 3 THEN 'p90_residual' END) AS reasons FROM b)
+  SELECT scene, trial, view_loss, round(point_loss, 9) AS point_loss, round(observation_loss, 9) AS observation_loss, median_delta, p90_delta, reasons, reasons = '' AS accepted FROM f""")
+def _(v):
+    return evaluation.compare_trials(v("trials"), LIMITS).withColumns(r9("point_loss", "observation_loss"))
+
+
+@query("G17_trial_medians", "SELECT scene, arm, count(*) AS trials, CASE WHEN count(*) = 4 THEN median(seconds) END AS median FROM {trials} GROUP BY ALL")
+def _(v):
+    return evaluation.trial_medians(v("trials"), "seconds")
+
+
+@query("G20_merge_lanes", """WITH s AS (SELECT scene_id, count(DISTINCT digest) AS d FROM {lane_records} GROUP BY 1), h AS (SELECT digest FROM {lane_records} GROUP BY 1 HAVING count(DISTINCT scene_id) > 1), t AS (SELECT DISTINCT scene_id FROM {lane_records} WHERE digest IN (SELECT digest FROM h)),
+  g AS (SELECT scene_id, scale, count(*) AS n, count(DISTINCT lane) AS l, bool_or(kind = 'execution_failed') AS f, bool_or(kind IN ('rejected', 'infrastructure')) AS b FROM {lane_records} GROUP BY ALL)
+  SELECT g.scene_id, scale, CASE WHEN n <> 3 OR l <> 3 OR d <> 1 OR t.scene_id IS NOT NULL THEN 'invalid' WHEN f THEN 'failed' WHEN b THEN 'blocked' ELSE 'gated' END AS status FROM g JOIN s ON s.scene_id = g.scene_id LEFT JOIN t ON t.scene_id = g.scene_id""")
+def _(v):
+    return evaluation.merge_lanes(v("lane_records"), ["fast", "balanced", "large"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -210,3 +210,54 @@ def edge_jaccard(edges: DataFrame, canonical: str) -> DataFrame:
     counts = own.join(base, ["a", "b"], "left").groupBy("variant").agg(F.count("*").alias("edges"), F.count("_hit").alias("common"))
     both = counts.withColumn("_k", F.lit(1)).join(size.withColumn("_k", F.lit(1)), "_k")  # one row
     return both.select("variant", "edges", "common", (F.col("common") / (F.col("edges") + F.col("_base") - F.col("common"))).alias("jaccard"))
+
+
+def compare_trials(trials: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """(scene, trial, losses and deltas, reasons, accepted): candidate against reference trials of one scene.
+
+    trials: one row for each (scene, trial, arm) with registered_views, point_count, observation_count,
+    median_residual, p90_residual and conditioned. limits: view_loss, view_loss_share, point_loss,
+    observation_loss, median_delta, p90_delta, median_residual and p90_residual.
+    """
+    facts = ["registered_views", "point_count", "observation_count", "median_residual", "p90_residual", "conditioned"]
+    arm = lambda name, tag: trials.where(F.col("arm") == name).select("scene", "trial", *[F.col(c).alias(f"{tag}_{c}") for c in facts])
+    both = arm("reference", "r").join(arm("candidate", "c"), ["scene", "trial"])
+    short = lambda c: F.greatest(F.lit(0.0), (F.col(f"r_{c}") - F.col(f"c_{c}")).cast("double"))
+    over = lambda c: F.greatest(F.lit(0.0), F.col(f"c_{c}") - F.col(f"r_{c}"))
+    both = both.withColumns({
+        "view_loss": short("registered_views"), "point_loss": short("point_count") / F.col("r_point_count"), "observation_loss": short("observation_count") / F.col("r_observation_count"),
+        "median_delta": over("median_residual"), "p90_delta": over("p90_residual"),
+    })
+    views = F.least(F.lit(float(limits["view_loss"])), F.col("r_registered_views") * limits["view_loss_share"])
+    tests = [("conditioning", ~(F.col("r_conditioned") & F.col("c_conditioned"))), ("view_loss", F.col("view_loss") > views + 1e-12)]
+    tests += [(c, F.col(c) > limits[c] + 1e-12) for c in ("point_loss", "observation_loss", "median_delta", "p90_delta")]
+    tests += [(c, F.col(f"c_{c}") > limits[c]) for c in ("median_residual", "p90_residual")]
+    reasons = F.concat_ws(",", *[F.when(test, F.lit(name)) for name, test in tests])
+    out = both.withColumn("reasons", reasons).withColumn("accepted", F.col("reasons") == "")
+    return out.select("scene", "trial", "view_loss", "point_loss", "observation_loss", "median_delta", "p90_delta", "reasons", "accepted")
+
+
+def trial_medians(trials: DataFrame, value: str, count: int = 4) -> DataFrame:
+    """(scene, arm, trials, median): median of ``value``; null unless an arm has exactly ``count`` trials."""
+    out = trials.groupBy("scene", "arm").agg(F.count("*").alias("trials"), F.median(value).alias("median"))
+    return out.withColumn("median", F.when(F.col("trials") == count, F.col("median")))
+
+
+def merge_lanes(records: DataFrame, lanes: list[str]) -> DataFrame:
+    """(scene_id, scale, status): invalid, failed, blocked, or gated, when the gates decide.
+
+    records: (scene_id, scale, lane, kind, digest). Each lane must be there exactly once, a scene has one input
+    digest and no two scenes share one. An execution failure outweighs rejected and infrastructure records.
+    """
+    spread = records.groupBy("scene_id").agg(F.count_distinct("digest").alias("_digests"))
+    shared = records.groupBy("digest").agg(F.count_distinct("scene_id").alias("n")).where("n > 1")
+    taken = records.join(shared, "digest", "left_semi").select("scene_id").distinct().withColumn("_shared", F.lit(True))
+    known = F.col("lane").isin(lanes)
+    own = records.groupBy("scene_id", "scale").agg(
+        F.count("*").alias("_n"), F.count_distinct(F.when(known, F.col("lane"))).alias("_lanes"),
+        F.bool_or(F.col("kind") == "execution_failed").alias("_failed"), F.bool_or(F.col("kind").isin("rejected", "infrastructure")).alias("_blocked"),
+    )
+    out = own.join(spread, "scene_id").join(taken, "scene_id", "left")
+    bad = (F.col("_n") != len(lanes)) | (F.col("_lanes") != len(lanes)) | (F.col("_digests") != 1) | F.col("_shared").isNotNull()
+    status = F.when(bad, "invalid").when(F.col("_failed"), "failed").when(F.col("_blocked"), "blocked").otherwise("gated")
+    return out.select("scene_id", "scale", status.alias("status"))

@@ -138,3 +138,17 @@ def camera_axes(cameras: DataFrame) -> DataFrame:
     rows = geometry.rotation(*[F.col(c) for c in ("qw", "qx", "qy", "qz")])
     centre = geometry.centre(rows, tuple(F.col(c) for c in ("tx", "ty", "tz")))
     return cameras.withColumns(dict(zip(("cx", "cy", "cz", "fx", "fy", "fz"), (*centre, *rows[2]), strict=True)))
+
+
+def refinement_plan(images: DataFrame, local: DataFrame, loops: DataFrame, most: int) -> DataFrame:
+    """(capture_id, local, loops, connected, within): local pairs and loop pairs not among them, whether all
+    images are reachable over them, and whether there are at most ``most``. images: (capture_id, image_id)."""
+    from scenemill.operators import graph
+
+    clean = lambda df, p: df.where("i <> j").select("capture_id", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.lit(p).alias("p"))
+    edges = clean(local, 0).unionByName(clean(loops, 1)).groupBy("capture_id", "a", "b").agg(F.min("p").alias("p"))
+    roots = graph.components(images.select("capture_id", F.col("image_id").alias("node")), edges, "capture_id")
+    whole = roots.groupBy("capture_id").agg((F.count_distinct("root") == 1).alias("connected"))
+    sizes = edges.groupBy("capture_id").agg(F.count_if(F.col("p") == 0).alias("local"), F.count_if(F.col("p") == 1).alias("loops"))
+    out = whole.join(sizes, "capture_id", "left").fillna(0, ["local", "loops"])
+    return out.select("capture_id", "local", "loops", "connected", (F.col("local") + F.col("loops") <= most).alias("within"))

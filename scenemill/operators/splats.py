@@ -14,6 +14,38 @@ LEAST_WEIGHT = float(np.float32(0.04))
 SH0 = 0.2820948
 
 
+#: The constants of spherical harmonics of degree 1, 2 and 3.
+SH1 = 0.4886025119029199
+SH2 = (1.0925484305920792, -1.0925484305920792, 0.31539156525252005, -1.0925484305920792, 0.5462742152960396)
+SH3 = (-0.5900435899266435, 2.890611442640554, -0.4570457994644658, 0.3731763325901154, -0.4570457994644658, 1.445305721320277, -0.5900435899266435)
+
+
+def sh_basis(x, y, z) -> list:
+    """The 15 terms of degree 1 to 3 for a unit direction, as columns or as any numbers."""
+    flat, out = x * x + y * y, [-SH1 * y, SH1 * z, -SH1 * x]
+    out += [SH2[0] * x * y, SH2[1] * y * z, SH2[2] * (2 * z * z - flat), SH2[3] * x * z, SH2[4] * (x * x - y * y)]
+    rim = 4 * z * z - flat
+    out += [SH3[0] * y * (3 * x * x - y * y), SH3[1] * x * y * z, SH3[2] * y * rim, SH3[3] * z * (2 * z * z - 3 * flat)]
+    return out + [SH3[4] * x * rim, SH3[5] * z * (x * x - y * y), SH3[6] * x * (x * x - 3 * y * y)]
+
+
+def sh_color(splats: DataFrame, cameras: DataFrame) -> DataFrame:
+    """(scene, view_id, row_index, red, green, blue): colour of each splat from each of its scene's cameras.
+
+    f_dc_0 to 2 hold the constant term, sh_rest 15 terms of red, then green, then blue. A splat at the camera
+    is seen along (0, 0, 1). cameras: a few for each scene (scene, view_id, cx, cy, cz).
+    """
+    gap = {f"_{c}": F.col(c) - F.col("c" + c) for c in "xyz"}
+    seen = splats.join(cameras, "scene").withColumns(gap)
+    size = F.sqrt(sum((F.col(f"_{c}") * F.col(f"_{c}") for c in "xyz"), F.lit(0.0)))
+    seen = seen.withColumn("_size", size)
+    unit = {f"_{c}": F.when(F.col("_size") > 0, F.col(f"_{c}") / F.col("_size")).otherwise(F.lit(float(c == "z"))) for c in "xyz"}
+    seen = seen.withColumns(unit).withColumn("_b", F.array(*sh_basis(F.col("_x"), F.col("_y"), F.col("_z"))))
+    terms = lambda k: F.zip_with(F.slice("sh_rest", 15 * k + 1, 15), "_b", lambda a, b: a * b)
+    shade = lambda k: F.greatest(F.lit(0.0), SH0 * F.col(f"f_dc_{k}") + F.aggregate(terms(k), F.lit(0.0), lambda s, t: s + t) + 0.5)
+    return seen.select("scene", "view_id", "row_index", *[shade(k).alias(c) for k, c in enumerate(("red", "green", "blue"))])
+
+
 def validate_splats(splats: DataFrame, columns: list[str]) -> DataFrame:
     """Adds ``reason``, the first ground on which a row is bad, or null."""
     odd = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))
@@ -80,11 +112,11 @@ def reduce_view(lifted: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def classify(gaussians: DataFrame, reduced: DataFrame) -> DataFrame:
+def classify(gaussians: DataFrame, reduced: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds views, fg (foreground share), background_views and kind to every gaussian; unobserved is background."""
     kept = reduced.where(~F.col("held_out") & (F.col("visible") >= LEAST_WEIGHT))
-    seen = kept.groupBy("gaussian").agg(F.count("*").alias("views"), (F.sum("foreground") / F.sum("visible")).alias("fg"), F.avg((F.col("label") == 0).cast("double")).alias("background_views"))
-    out = gaussians.join(seen, "gaussian", "left").fillna({"views": 0, "fg": 0.0, "background_views": 0.0})
+    seen = kept.groupBy(*keys, "gaussian").agg(F.count("*").alias("views"), (F.sum("foreground") / F.sum("visible")).alias("fg"), F.avg((F.col("label") == 0).cast("double")).alias("background_views"))
+    out = gaussians.join(seen, [*keys, "gaussian"], "left").fillna({"views": 0, "fg": 0.0, "background_views": 0.0})
     return out.withColumn("kind", F.when(F.col("fg") >= 0.65, "foreground").when(F.col("fg") <= 0.35, "background").otherwise("uncertain"))
 
 

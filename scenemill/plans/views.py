@@ -66,6 +66,16 @@ VIEWS = {
     "captures": """
       SELECT o_orderkey AS capture_id, CAST(o_orderkey % 101 AS DOUBLE) / 100 AS iou, CAST(o_orderkey % 97 AS DOUBLE) / 96 AS f1,
         CAST(o_orderkey % 41 AS DOUBLE) AS seconds, o_orderkey * 37 % 900000 AS gaussians, o_orderkey % 29 = 0 AS wrong FROM {orders}""",
+    "scene_contributions": "SELECT s.scene, c.* FROM {contributions} c JOIN {splats} s ON c.gaussian = s.row_index",
+    "trials": """
+      SELECT c_nationkey AS scene, c_custkey % 4 AS trial, CASE WHEN c_custkey % 8 < 4 THEN 'reference' ELSE 'candidate' END AS arm, count(*) AS registered_views,
+        CAST(sum(c_custkey) AS BIGINT) AS point_count, CAST(sum(c_custkey % 101) AS BIGINT) AS observation_count, CAST(max(c_custkey % 37) AS DOUBLE) / 16 AS median_residual,
+        CAST(max(c_custkey % 53) AS DOUBLE) / 16 AS p90_residual, max(c_custkey % 11) <> 10 AS conditioned, CAST(sum(c_custkey % 97) AS DOUBLE) AS seconds
+      FROM {customer} GROUP BY 1, 2, 3""",
+    "lane_records": """
+      SELECT o_custkey AS scene_id, o_orderkey % 2 AS scale, CASE o_orderkey % 3 WHEN 0 THEN 'fast' WHEN 1 THEN 'balanced' ELSE 'large' END AS lane,
+        CASE o_orderkey % 13 WHEN 0 THEN 'execution_failed' WHEN 1 THEN 'rejected' WHEN 2 THEN 'infrastructure' ELSE 'attestation' END AS kind,
+        CASE WHEN o_orderkey % 19 = 0 THEN o_custkey % 7 ELSE o_custkey END AS digest FROM {orders} WHERE o_orderkey % 5 < 3""",
     "log_lines": """
       SELECT user_id AS log_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS line_no,
         CASE event_type WHEN 'click' THEN 'pose refinement' WHEN 'view' THEN 'local bundle adjustment' WHEN 'purchase' THEN 'global bundle adjustment'
