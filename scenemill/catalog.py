@@ -746,6 +746,44 @@ def _(v):
     return evaluation.merge_lanes(v("lane_records"), ["fast", "balanced", "large"])
 
 
+@query("D9_spread")
+def _(v):
+    return spreads(v).withColumns(r9("low", "middle", "high"))
+
+
+def spreads(v) -> DataFrame:
+    own = v("observations").select("model_id", "point_id").distinct().join(v("points"), "point_id")
+    return conditioning.spread(own, True, ("px", "py", "pz"))
+
+
+@query("D10_conditioning")
+def _(v):
+    flat = centres(v).withColumns({c: F.col(c) + 0.0 for c in ("cx", "cy", "cz")})
+    registered = v("cameras").groupBy("model_id").agg(F.count("*").alias("registered"))
+    out = registered.join(models.support_stats(v("observations"), v("cameras").select("model_id", "image_id")).select("model_id", "strong"), "model_id")
+    out = out.join(conditioning.baseline(flat, measured(v).select("model_id", "range")).select("model_id", "centres", "baseline"), "model_id")
+    rays = conditioning.parallax_summary(parallaxes(v)).select("model_id", "points", "conditioned_points")
+    out = out.join(rays, "model_id").join(spreads(v).select("model_id", F.col("middle").alias("middle_eigenvalue")), "model_id")
+    return conditioning.verdict(out).withColumns(r9("baseline", "middle_eigenvalue"))
+
+
+@query("IO10_route_dataset", """WITH p AS (SELECT DISTINCT model_id, point_id FROM {observations} JOIN {points} USING (point_id)), c AS (SELECT model_id, count(*) AS n FROM p GROUP BY 1), o AS (SELECT model_id, count(*) AS n FROM {observations} GROUP BY 1),
+  u AS (SELECT model_id, count(*) AS n FROM {cameras} WHERE image_id % 7 = 0 GROUP BY 1), m AS (SELECT DISTINCT model_id FROM {cameras})
+  SELECT m.model_id, coalesce(c.n, 0) AS points, coalesce(o.n, 0) AS observations, coalesce(u.n, 0) AS unposed, CASE WHEN c.n >= 100 AND o.n > 0 THEN 'adopt_direct' ELSE 'seed_triangulate' END AS route FROM m LEFT JOIN c USING (model_id) LEFT JOIN o USING (model_id) LEFT JOIN u USING (model_id)""")
+def _(v):
+    own = v("observations").select("model_id", "point_id").distinct().join(v("points"), "point_id")
+    files = v("cameras").select("model_id", F.concat(F.lit("image"), "image_id").alias("name"), "image_id")
+    return models.route_dataset(files, own, v("observations"), files.where("image_id % 7 <> 0"), files)
+
+
+@query("G4_image_metrics")
+def _(v):
+    grid = F.transform(F.slice("embedding", 1, 48), lambda x: F.least(F.greatest((x + 1) / 2, F.lit(0.0)), F.lit(1.0)).cast("double"))
+    own = v("embeddings").where("embedding is not null").select("vec_id", "label", grid.alias("render"))
+    truth = own.groupBy("label").agg(F.min_by("render", "vec_id").alias("truth"))
+    return evaluation.image_metrics(own.join(truth, "label"), 4, 4).withColumns({c: F.round(c, 9) for c in ("psnr", "ssim")})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -101,3 +101,34 @@ def verdict(measured: DataFrame) -> DataFrame:
         .when(F.col("conditioned_points") * 2 < F.col("points"), "insufficient_parallax")
         .when(F.coalesce(F.col("middle_eigenvalue"), F.lit(0.0)) < 1e-8, "degenerate_points"),
     )
+
+
+def spread(points: DataFrame, winsorised: bool, names: tuple[str, str, str] = ("x", "y", "z"), key: str = "model_id") -> DataFrame:
+    """(key, n, low, middle, high): eigenvalues of the covariance of positions, over their sum.
+
+    ``winsorised`` draws offsets past the nearest-rank 99% radius in to it before they are centred again. Only
+    moments leave the tasks; the three numbers are found for a row of them.
+    """
+    x = [F.col(c) for c in names]
+    middle = points.groupBy(key).agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(x)])
+    off = points.select(key, *x).join(middle, key).select(key, *[(c - F.col(f"_m{i}")).alias(f"o{i}") for i, c in enumerate(x)])
+    if winsorised:
+        size = F.sqrt(sum((F.col(f"o{i}") * F.col(f"o{i}") for i in range(3)), F.lit(0.0)))
+        off = off.withColumn("_r", size)
+        off = off.join(off.groupBy(key).agg(stats.nearest_rank("_r", 0.99).alias("_limit")), key)
+        pull = F.when((F.col("_limit") > 0) & (F.col("_r") > F.col("_limit")), F.col("_limit") / F.col("_r")).otherwise(F.lit(1.0))
+        off = off.select(key, *[(F.col(f"o{i}") * pull).alias(f"o{i}") for i in range(3)])
+    products = [F.avg(F.col(f"o{i}") * F.col(f"o{j}")).alias(f"p{i}{j}") for i in range(3) for j in range(i, 3)]
+    sums = off.groupBy(key).agg(F.count("*").alias("n"), *[F.avg(f"o{i}").alias(f"a{i}") for i in range(3)], *products)
+
+    def fn(batches):
+        for b in batches:
+            out = []
+            for r in b.to_dict("records"):
+                cov = np.array([[r[f"p{min(i, j)}{max(i, j)}"] - r[f"a{i}"] * r[f"a{j}"] for j in range(3)] for i in range(3)])
+                values = np.maximum(0.0, np.linalg.eigvalsh(cov))
+                out.append((r[key], r["n"], *(values / values.sum() if values.sum() > 0 else values)))
+            yield pd.DataFrame(out, columns=[key, "n", "low", "middle", "high"])
+
+    kind = points.schema[key].dataType.simpleString()
+    return sums.mapInPandas(fn, f"{key} {kind}, n long, low double, middle double, high double")

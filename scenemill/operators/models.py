@@ -155,3 +155,13 @@ def append_points(canonical: DataFrame, learned: DataFrame, key: str = "model_id
     place = F.row_number().over(W.partitionBy(key).orderBy("x", "y", "z"))
     new = learned.withColumn("_r", place).join(top, key, "left").withColumn("point_id", F.coalesce("_top", F.lit(0)) + F.col("_r")).withColumn("error", F.lit(-1.0))
     return canonical.unionByName(new.select(*canonical.columns))
+
+
+def route_dataset(models: DataFrame, points: DataFrame, observations: DataFrame, images: DataFrame, files: DataFrame) -> DataFrame:
+    """(model_id, points, observations, unposed, route): adopt_direct with 100 points or more and any
+    observation, else seed_triangulate from poses. unposed: files (model_id, name) without an image."""
+    count = lambda df, name: df.groupBy("model_id").agg(F.count("*").alias(name))
+    out = models.select("model_id").distinct().join(count(points, "points"), "model_id", "left").join(count(observations, "observations"), "model_id", "left")
+    out = out.join(count(files.join(images, ["model_id", "name"], "left_anti"), "unposed"), "model_id", "left").fillna(0, ["points", "observations", "unposed"])
+    ready = (F.col("points") >= 100) & (F.col("observations") > 0)
+    return out.withColumn("route", F.when(ready, "adopt_direct").otherwise("seed_triangulate"))

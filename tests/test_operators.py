@@ -6,8 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from scenemill.operators import frames, graph, models
-from scenemill.sources import model_files, splat_files
+from scenemill.operators import conditioning, evaluation, frames, graph, models, subject
+from scenemill.sources import binary_models, model_files, splat_files
 from scenemill.streaming.frames import stream_frames
 
 
@@ -140,3 +140,66 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     got = [r.frame_index for r in spark.table("frames_out").where("analysed").orderBy("frame_index").collect()]
     want = [r.frame_index for r in frames.schedule(spark.createDataFrame(rows).selectExpr("clip_id", "cast(frame_index as int) as frame_index", "t"), 2.0, 10.0).where("analysed").orderBy("frame_index").collect()]
     assert got == [i for i in want if i != 39] or got == want
+
+
+def test_binary_model(spark, tmp_path):
+    (tmp_path / "cameras.bin").write_bytes(struct.pack("<Q", 1) + struct.pack("<iiQQ4d", 7, 1, 640, 480, 100.0, 110.0, 320.0, 240.0))
+    seen = struct.pack("<Q", 2) + struct.pack("<ddQ", 320.0, 240.0, 5) + struct.pack("<ddQ", 1.5, 2.5, 2**64 - 1)
+    (tmp_path / "images.bin").write_bytes(struct.pack("<Q", 1) + struct.pack("<i7di", 3, 1, 0, 0, 0, 0.5, 0, 0, 7) + "a ü.jpg".encode() + b"\0" + seen)
+    (tmp_path / "points3D.bin").write_bytes(struct.pack("<Q", 1) + struct.pack("<Q3d3BdQ4i", 5, 0, 0, 10, 1, 2, 255, 0.25, 2, 3, 0, 4, 9))
+    cam = binary_models.read_cameras(spark, str(tmp_path / "cameras.bin")).first()
+    assert (cam.camera_id, cam.model, cam.width, cam.params) == (7, "PINHOLE", 640, [100.0, 110.0, 320.0, 240.0])
+    images, observations = binary_models.read_images(spark, str(tmp_path / "images.bin"))
+    assert (images.first().name, images.first().tx, images.first().camera_id) == ("a ü.jpg", 0.5, 7)
+    assert [r.point_id for r in observations.orderBy("point2d_idx").collect()] == [5, -1]
+    point = binary_models.read_points(spark, str(tmp_path / "points3D.bin")).first()
+    assert (point.point_id, point.z, point.b, point.error, point.track) == (5, 10.0, 255, 0.25, [[3, 0], [4, 9]])
+
+
+def test_spread_and_verdict(spark):
+    rng = np.random.default_rng(5)
+    p = rng.normal(size=(300, 3)) * [3, 2, 1]
+    p[0] = [500, 0, 0]
+    rows = [(1, *map(float, r)) for r in p] + [(2, float(i), 0.0, 0.0) for i in range(9)] + [(3, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "model_id long, x double, y double, z double")
+    off = p - p.mean(axis=0)
+    size = np.linalg.norm(off, axis=1)
+    limit = np.sort(size)[int(np.ceil(0.99 * 300)) - 1]
+    want = np.linalg.eigvalsh(np.cov((off * np.minimum(1, limit / size)[:, None]).T, bias=True))
+    got = {r.model_id: r for r in conditioning.spread(df, True).collect()}
+    assert np.allclose([got[1].low, got[1].middle, got[1].high], want / want.sum())
+    assert np.allclose([got[2].low, got[2].middle, got[2].high], [0, 0, 1]) and got[3].high == 0.0
+    good = (100, 95, 50, 0.1, 10, 6, 0.1)
+    cases = [good, (100, 89, *good[2:]), (*good[:2], 2, *good[3:]), (*good[:3], 1e-5, *good[4:]), (*good[:5], 4, 0.1), (*good[:6], 1e-9)]
+    schema = "k long, registered long, strong long, centres long, baseline double, points long, conditioned_points long, middle_eigenvalue double"
+    out = conditioning.verdict(spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], schema)).orderBy("k").collect()
+    assert [r.reason for r in out] == [None, "insufficient_view_support", "collapsed_trajectory", "collapsed_trajectory", "insufficient_parallax", "degenerate_points"]
+
+
+def test_image_metrics(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.random((12, 13, 3)), rng.random((12, 13, 3))
+    g = np.exp(-(np.arange(-5, 6) ** 2) / 4.5)
+    g = np.outer(g, g) / g.sum() ** 2
+
+    def blur(a):
+        p = np.pad(a, ((5, 5), (5, 5), (0, 0)))
+        return np.array([[[(p[i : i + 11, j : j + 11, c] * g).sum() for c in range(3)] for j in range(13)] for i in range(12)])
+
+    mx, my = blur(x), blur(y)
+    s = (2 * mx * my + 1e-4) * (2 * (blur(x * y) - mx * my) + 9e-4) / ((mx**2 + my**2 + 1e-4) * (blur(x * x) - mx**2 + blur(y * y) - my**2 + 9e-4))
+    rows = [(1, x.reshape(-1).tolist(), y.reshape(-1).tolist()), (2, x.reshape(-1).tolist(), x.reshape(-1).tolist())]
+    got = evaluation.image_metrics(spark.createDataFrame(rows, "k long, render array<double>, truth array<double>"), 13, 12).orderBy("k").collect()
+    assert abs(got[0].psnr + 10 * np.log10(((x - y) ** 2).mean())) < 1e-9 and abs(got[0].ssim - s.mean()) < 1e-9
+    assert got[1].psnr == float("inf") and abs(got[1].ssim - 1) < 1e-12
+
+
+def test_subject_choice(spark):
+    ranked = [(1, 5, 0.1, 0.9, 0.8, 1), (1, 9, 0.1, 0.5, 0.3, 2), (2, 5, 0.1, 0.9, 0.8, 1), (2, 9, 0.1, 0.5, 0.7, 2), (3, 1, 0.1, 0.2, 0.9, 1), (4, 1, 0.95, 0.9, 0.9, 1)]
+    df = spark.createDataFrame(ranked, "scene long, component long, retained double, coverage double, score double, place int")
+    scenes = spark.range(1, 6).withColumnRenamed("id", "scene")
+    got = {r.scene: (r.component, r.outcome) for r in subject.choose_subject(scenes, df).collect()}
+    assert got == {1: (5, "selected"), 2: (None, "ambiguous"), 3: (None, "noSubject"), 4: (None, "ambiguous"), 5: (None, "noSubject")}
+    anchor = spark.createDataFrame([(2, 9, 1.5), (2, 5, 0.5), (3, 1, 2.0)], "scene long, component long, weight double")
+    got = {r.scene: (r.component, r.outcome) for r in subject.choose_subject(scenes, df, anchor).collect()}
+    assert got[2] == (9, "selected") and got[3] == (None, "noSubject") and got[1] == (5, "selected")
