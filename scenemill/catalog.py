@@ -784,6 +784,17 @@ def _(v):
     return evaluation.image_metrics(own.join(truth, "label"), 4, 4).withColumns({c: F.round(c, 9) for c in ("psnr", "ssim")})
 
 
+@query("E6_depth_points", """WITH a AS (SELECT *, count(*) OVER v AS n, quantile_cont(depth, 0.01) OVER v AS lo, quantile_cont(depth, 0.99) OVER v AS hi FROM {depths} WHERE depth > 0 WINDOW v AS (PARTITION BY view_id)), b AS (SELECT * FROM a WHERE n < 32 OR depth BETWEEN lo AND hi),
+  c AS (SELECT *, quantile_cont(conf, 0.4) OVER (PARTITION BY view_id) AS f FROM b), d AS (SELECT view_id, row_index, col_index, depth, conf, row_number() OVER (PARTITION BY view_id ORDER BY row_index, col_index) - 1 AS i, count(*) OVER (PARTITION BY view_id) AS n FROM c WHERE conf >= f),
+  s AS (SELECT unnest(range(0, 100)) AS s), k AS (SELECT DISTINCT d.* FROM d, s WHERE n <= 100 OR i = CASE WHEN s = 99 THEN n - 1 ELSE floor(s * ((n - 1) / 99.0::DOUBLE)) END)
+  SELECT k.view_id, row_index, col_index, round(CASE WHEN turn IN (0, 1) THEN 1 ELSE -1 END * ((col_index - 4) * depth / fx - tx), 6) + 0.0 AS x, round(CASE WHEN turn IN (0, 2) THEN 1 ELSE -1 END * ((row_index - 8) * depth / fy - ty), 6) + 0.0 AS y,
+    round(CASE WHEN turn IN (0, 3) THEN 1 ELSE -1 END * (depth - tz), 6) + 0.0 AS z, conf AS w FROM k JOIN {depth_cameras} c ON c.view_id = k.view_id""")
+def _(v):
+    part = {c: (F.col("turn") == k).cast("double") for k, c in enumerate(("qw", "qx", "qy", "qz"))}
+    cams = v("depth_cameras").withColumns({**part, "px": F.lit(4.0), "py": F.lit(8.0)}).drop("turn")
+    return models.depth_points(v("depths"), cams, 100).withColumns({c: F.round(c, 6) + 0.0 for c in "xyz"})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -165,3 +165,31 @@ def route_dataset(models: DataFrame, points: DataFrame, observations: DataFrame,
     out = out.join(count(files.join(images, ["model_id", "name"], "left_anti"), "unposed"), "model_id", "left").fillna(0, ["points", "observations", "unposed"])
     ready = (F.col("points") >= 100) & (F.col("observations") > 0)
     return out.withColumn("route", F.when(ready, "adopt_direct").otherwise("seed_triangulate"))
+
+
+def depth_points(samples: DataFrame, cameras: DataFrame, most: int, share: float = 0.4, key: str = "view_id") -> DataFrame:
+    """(view_id, row_index, col_index, x, y, z, w): world points of a view's usable depth samples.
+
+    samples: (view_id, row_index, col_index, depth, conf). Depths must be finite and over 0; from 32 samples on
+    those outside 1% to 99% go; then those below the ``share`` quantile of confidence. At most ``most`` stay, at
+    even positions by row and column. cameras: (view_id, fx, fy, px, py, q*, t*). A view has an image's pixels.
+    """
+    fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    rows = samples.where(fine("depth") & (F.col("depth") > 0) & fine("conf"))
+    ends = rows.groupBy(key).agg(F.count("*").alias("_n"), F.percentile("depth", F.array(F.lit(0.01), F.lit(0.99))).alias("_e"))
+    rows = rows.join(ends, key).where((F.col("_n") < 32) | F.col("depth").between(F.col("_e")[0], F.col("_e")[1]))
+    rows = rows.join(rows.groupBy(key).agg(F.percentile("conf", share).alias("_c")), key).where("conf >= _c")
+    w = W.partitionBy(key)
+    rows = rows.withColumn("_i", F.row_number().over(w.orderBy("row_index", "col_index")) - 1).withColumn("_n", F.count("*").over(w))
+    step = (F.col("_n") - 1) / F.lit(float(max(1, most - 1)))
+    slot = F.ceil(F.col("_i") / step)  # or a neighbour, as quotients are rounded
+    hit = (F.col("_i") == 0) | ((F.col("_i") == F.col("_n") - 1) if most > 1 else F.lit(False))
+    for k in (-1, 0, 1):
+        hit = hit | ((slot + k).between(0, most - 2) & (F.floor((slot + k) * step) == F.col("_i")))
+    rows = rows.where((F.col("_n") <= most) | hit).join(cameras, key)
+    z = F.col("depth")
+    seen = ((F.col("col_index") - F.col("px")) * z / F.col("fx"), (F.col("row_index") - F.col("py")) * z / F.col("fy"), z)
+    off = tuple(p - F.col(f"t{c}") for p, c in zip(seen, "xyz", strict=True))
+    r = geometry.rotation(*[F.col(c) for c in ("qw", "qx", "qy", "qz")])
+    world = [geometry.dot((r[0][i], r[1][i], r[2][i]), off).alias(c) for i, c in enumerate("xyz")]
+    return rows.select(key, "row_index", "col_index", *world, F.col("conf").alias("w"))

@@ -67,6 +67,12 @@ VIEWS = {
       SELECT o_orderkey AS capture_id, CAST(o_orderkey % 101 AS DOUBLE) / 100 AS iou, CAST(o_orderkey % 97 AS DOUBLE) / 96 AS f1,
         CAST(o_orderkey % 41 AS DOUBLE) AS seconds, o_orderkey * 37 % 900000 AS gaussians, o_orderkey % 29 = 0 AS wrong FROM {orders}""",
     "scene_contributions": "SELECT s.scene, c.* FROM {contributions} c JOIN {splats} s ON c.gaussian = s.row_index",
+    "depths": """
+      SELECT l_suppkey AS view_id, CAST(l_orderkey AS BIGINT) AS row_index, CAST(l_linenumber AS BIGINT) AS col_index, CAST(min(l_quantity) AS DOUBLE) - 2 AS depth,
+        CAST(min(l_partkey % 64) AS DOUBLE) / 64 AS conf FROM {lineitem} GROUP BY 1, 2, 3""",
+    "depth_cameras": """
+      SELECT s_suppkey AS view_id, CAST(100 + s_suppkey % 10 AS DOUBLE) AS fx, CAST(120 + s_suppkey % 9 AS DOUBLE) AS fy, CAST(s_suppkey % 4 AS BIGINT) AS turn,
+        CAST(s_suppkey % 7 AS DOUBLE) / 4 AS tx, CAST(s_suppkey % 11 AS DOUBLE) / 8 AS ty, CAST(s_suppkey % 13 AS DOUBLE) / 16 AS tz FROM {supplier}""",
     "trials": """
       SELECT c_nationkey AS scene, c_custkey % 4 AS trial, CASE WHEN c_custkey % 8 < 4 THEN 'reference' ELSE 'candidate' END AS arm, count(*) AS registered_views,
         CAST(sum(c_custkey) AS BIGINT) AS point_count, CAST(sum(c_custkey % 101) AS BIGINT) AS observation_count, CAST(max(c_custkey % 37) AS DOUBLE) / 16 AS median_residual,

@@ -115,3 +115,24 @@ def import_transforms(spark: SparkSession, paths: str) -> DataFrame:
 
     numbered = first.withColumn("camera_id", F.row_number().over(W.partitionBy("path").orderBy("_first"))).drop("_first")
     return own.join(numbered, ["path", "model", "w", "h", "params"]).select("path", "image", "camera_id", "model", "w", "h", "params", "matrix")
+
+
+def import_keyframes(spark: SparkSession, paths: str, blurry: float = 25.0) -> DataFrame:
+    """(folder, image, camera_id, model, w, h, params, matrix, blurry) of keyframe JSON files, one for each image.
+
+    Blurry keyframes (a score of ``blurry`` or less) are marked and kept. Distinct intrinsics are a folder's
+    cameras, numbered by first image. ``matrix`` has three rows of four.
+    """
+    from pyspark.sql import Window as W
+
+    spots = [f"t_{i}{j}" for i in range(3) for j in range(4)]
+    schema = ", ".join(f"{c} double" for c in ("fx", "fy", "cx", "cy", "width", "height", "blur_score", *spots))
+    raw = spark.read.schema(schema).json(paths, multiLine=True).select("*", F.col("_metadata.file_path").alias("_path"))
+    own = raw.select(
+        F.regexp_extract("_path", "^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("_path", r"([^/]+)\.json$", 1).alias("image"), F.lit("PINHOLE").alias("model"),
+        F.col("width").cast("int").alias("w"), F.col("height").cast("int").alias("h"), F.array("fx", "fy", "cx", "cy").alias("params"), F.array(*spots).alias("matrix"),
+        F.coalesce(F.col("blur_score") <= blurry, F.lit(False)).alias("blurry"),
+    )
+    first = own.groupBy("folder", "w", "h", "params").agg(F.min("image").alias("_first"))
+    numbered = first.withColumn("camera_id", F.row_number().over(W.partitionBy("folder").orderBy("_first"))).drop("_first")
+    return own.join(numbered, ["folder", "w", "h", "params"]).select("folder", "image", "camera_id", "model", "w", "h", "params", "matrix", "blurry")

@@ -1,11 +1,13 @@
 """Small hand-made inputs, invariances and brute force for what SQL doesn't express."""
 
+import json
 import struct
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from scenemill.functions import geometry
 from scenemill.operators import conditioning, evaluation, frames, graph, models, subject
 from scenemill.sources import binary_models, model_files, splat_files
 from scenemill.streaming.frames import stream_frames
@@ -203,3 +205,33 @@ def test_subject_choice(spark):
     anchor = spark.createDataFrame([(2, 9, 1.5), (2, 5, 0.5), (3, 1, 2.0)], "scene long, component long, weight double")
     got = {r.scene: (r.component, r.outcome) for r in subject.choose_subject(scenes, df, anchor).collect()}
     assert got[2] == (9, "selected") and got[3] == (None, "noSubject") and got[1] == (5, "selected")
+
+
+def test_world_to_camera(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], []
+    turns = [np.diag(d).astype(float) for d in ([1, 1, 1], [1, -1, -1], [-1, 1, -1], [-1, -1, 1])]
+    for k in range(24):
+        r = turns[k] if k < 4 else np.linalg.qr(rng.normal(size=(3, 3)))[0]
+        r = r * np.sign(np.linalg.det(r))
+        c = rng.normal(size=3)
+        rows.append((k, np.column_stack([r, c]).reshape(-1).tolist()))
+        own = (r * [1, -1, -1]).T
+        want.append((own, -own @ c))
+    rows += [(98, (-np.eye(3, 4)).reshape(-1).tolist()), (99, (2 * np.eye(3, 4)).reshape(-1).tolist()), (97, None)]
+    df = spark.createDataFrame(rows, "k long, m array<double>").withColumns(geometry.world_to_camera(F.col("m")))
+    turned = geometry.rotation(*[F.col(f"q{c}") for c in "wxyz"])
+    got = {r.k: r for r in df.withColumn("r", F.array(*[x for row in turned for x in row])).collect()}
+    for k, (r, t) in enumerate(want):
+        assert got[k].valid and np.allclose(np.reshape(got[k].r, (3, 3)), r) and np.allclose([got[k].tx, got[k].ty, got[k].tz], t)
+        assert next(q for q in (got[k].qw, got[k].qx, got[k].qy, got[k].qz) if q) > 0
+    assert not any(got[k].valid for k in (97, 98, 99))
+
+
+def test_keyframes(spark, tmp_path):
+    base = {"fx": 10.0, "fy": 11.0, "cx": 5.0, "cy": 4.0, "width": 640, "height": 480} | {f"t_{i}{j}": float(4 * i + j) for i in range(3) for j in range(4)}
+    for name, more in {"b": {"blur_score": 25.0}, "a": {"blur_score": 90.5}, "c": {"fx": 12.0}}.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(base | more, indent=1))
+    got = model_files.import_keyframes(spark, str(tmp_path)).orderBy("image").collect()
+    assert [(r.image, r.camera_id, r.blurry) for r in got] == [("a", 1, False), ("b", 1, True), ("c", 2, False)]
+    assert got[0].params == [10.0, 11.0, 5.0, 4.0] and got[0].matrix == [float(i) for i in range(12)]
