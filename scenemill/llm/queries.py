@@ -39,9 +39,7 @@ def page_captures(pages: DataFrame) -> DataFrame:
 
 def page_list(pages: DataFrame) -> DataFrame:
     """Dated entries on the addresses that occur, chosen by checksums of rule and list."""
-    host = url_filter.host_of(F.col("url"))
     rules = pages.select(F.explode(F.slice(url_filter.rule_keys(F.col("url")), 1, 3)).alias("rule")).distinct()
-    del host
     dated = rules.select("rule", F.explode(F.array(F.lit("ads"), F.lit("malware"))).alias("list"))
     sums = [F.crc32(F.concat_ws("|", "list", "rule", F.lit(i)).cast("binary")) for i in range(3)]
     dated = dated.where(sums[0] % 5 == 0).select("list", "rule", (sums[1] % 300).cast("int").alias("day"), (sums[2] % 4).alias("kind"))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import cut
+
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
@@ -49,9 +51,10 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_
     one the verdict is "pass". Null, odd and empty addresses and null days pass. Captures with one id and
     day are one capture of several addresses: the worst verdict stands. An empty table gives an empty result.
     """
-    # The join is by rule with the day as a further condition, so a hot host can be split between tasks.
+    # The join is by rule with the day as a further condition. The intervals are cut, so that both sides come
+    # straight from a shuffle and a hot host's captures can be split between tasks.
     asked = captures.select(F.col(id_col).alias("page_id"), F.col(day_col).alias("day"), F.posexplode_outer(rule_keys(F.col(url_col))).alias("pos", "rule"))
-    valid = intervals(entries)
+    valid = cut(intervals(entries))
     in_force = (asked["rule"] == valid["rule"]) & (asked["day"] >= valid["valid_from"]) & (valid["valid_to"].isNull() | (asked["day"] < valid["valid_to"]))
     hits = asked.join(valid, in_force, "left").select("page_id", "day", "pos", asked["rule"], "list", "action")
     order = F.struct("pos", F.col("action"), "list", "rule")
