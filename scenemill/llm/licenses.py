@@ -1,8 +1,9 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-Texts are cut into sentences, sentences are normalised (lower case, letters and digits, single blanks) and
-known ones mapped to identifiers. A license is a rule: a sequence of identifiers that must occur in this
-order in the sequence of a document's known sentences, with nothing of another license between them.
+Texts are cut into sentences and normalised (lower case, letters and digits, single blanks; line ends and
+the signs of comments are blanks too, so wrapped lines are joined). Known wordings are mapped to identifiers:
+notes and titles wherever they stand, all others where a sentence or a line begins; a sentence may go on after
+them. A license is a rule: a sequence of identifiers that must occur in this order among a document's.
 """
 
 from __future__ import annotations
@@ -10,18 +11,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Normalised license sentences and their identifiers.
+#: Normalised wordings and their identifiers.
 SENTENCES = {
     "released under the mit license": "mit-note",
+    "licensed under the mit license": "mit-note",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit-grant",
     "the above copyright notice and this permission notice shall be included in all copies": "mit-notice",
     "the software is provided as is without warranty of any kind": "mit-as-is",
     "licensed under the apache license version 2 0": "apache2-note",
+    "apache license version 2 0 january 2004": "apache2-title",
     "you may not use this file except in compliance with the license": "apache2-comply",
     "you may obtain a copy of the license at": "apache2-copy",
     "this work is licensed under the gnu general public license version 3": "gpl3-note",
     "this program is free software": "gpl-free",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-later",
     "either version 3 of the license or at your option any later version": "gpl3-later",
+    "gnu general public license version 3 29 june 2007": "gpl3-title",
     "licensed under cc by nc 4 0": "cc-by-nc-note",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd-grant",
     "redistributions of source code must retain the above copyright notice": "bsd-source",
@@ -29,22 +34,34 @@ SENTENCES = {
 }
 #: Licenses, by the sequences of identifiers that show them.
 RULES = {
-    "Apache-2.0": [["apache2-note"], ["apache2-comply", "apache2-copy"]],
+    "Apache-2.0": [["apache2-note"], ["apache2-title"], ["apache2-comply", "apache2-copy"]],
     "BSD": [["bsd-grant", "bsd-source"], ["bsd-source", "bsd-binary"]],
     "CC-BY-NC-4.0": [["cc-by-nc-note"]],
-    "GPL-3.0": [["gpl3-note"], ["gpl-free", "gpl3-later"]],
+    "GPL-3.0": [["gpl3-note"], ["gpl3-title"], ["gpl-free", "gpl3-later"]],
     "MIT": [["mit-note"], ["mit-grant", "mit-notice"], ["mit-grant", "mit-as-is"]],
 }
-#: Sentences end at a line end, or at a mark before a blank or the end.
-ENDS = r"\r?\n|[.!?;:]+(?:[\x20\x09]+|$)"
+#: Sentences of a lower-case text end at a mark before a blank or the end, or at a line without a-z and 0-9; the
+#: GPL's note goes on after "Foundation;".
+ENDS = r"(?:[.!?:]|(?<!foundation);)[.!?;:]*(?:\s+|$)|\r?\n[^a-z0-9\n]*(?=\r?\n)"
+#: What a text must hold for any wording to be in it.
+PRESENT = "licen|permi|redistribut|software"
+#: A note that is denied is none.
+DENIED = r"(?<!\b(?:not|never|isn[ \n]t|no[ \n]longer)[ \n](?:be[ \n]|been[ \n])?)"
+#: Where a sentence or a line begins, behind its number if it has one.
+BEGIN = r"(?:(?<=[\x01\n])|(?<=[\x01\n][0-9a-z]{1,3}[ ]))"
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences, in order."""
+    """Identifiers of the known wordings, in order."""
     known = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
-    clean = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    worth = F.filter(F.split(text, ENDS), lambda s: s.rlike("(?i)licen|permi|copyright|warrant|redistribut|free software"))
-    return F.filter(F.transform(worth, lambda s: F.try_element_at(known, clean(s))), lambda x: x.isNotNull())
+    low = F.lower(text)
+    clean = F.concat(F.lit("\x01"), F.regexp_replace(low, ENDS, "\x01"))  # no wording reaches over this sign
+    for signs, one in ((r"[^a-z0-9\n\x01]*\n[^a-z0-9\x01]*", "\n"), (r"[^a-z0-9\n\x01]+", " "), (r"[ \n]*\x01[ \n\x01]*", "\x01")):
+        clean = F.regexp_replace(clean, signs, one)
+    either = lambda inside: "|".join(s.replace(" ", r"[ \n]") for s, i in SENTENCES.items() if i.endswith(("-note", "-title")) == inside)
+    any_of = rf"\b(?:{DENIED}(?:{either(True)})|{BEGIN}(?:{either(False)}))\b"
+    found = F.regexp_extract_all(clean, F.lit(any_of), F.lit(0))
+    return F.when(low.rlike(PRESENT), F.transform(found, lambda s: F.element_at(known, F.translate(s, "\n", " "))))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

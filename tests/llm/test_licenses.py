@@ -34,3 +34,62 @@ def test_rules_need_their_order(spark):
     assert got == {i: brute(t) for i, t in enumerate(texts)}
     assert [got[i][1] for i in range(7)] == ["", "", "Apache-2.0", "", "Apache-2.0", "MIT", "CC-BY-NC-4.0,MIT"]
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+VERBATIM = {
+    MIT: ("mit-grant,mit-notice,mit-as-is", "MIT"),
+    BSD: ("bsd-grant,bsd-source,bsd-binary", "BSD"),
+    APACHE: ("apache2-note,apache2-comply,apache2-copy", "Apache-2.0"),
+    GPL: ("gpl-free,gpl3-later", "GPL-3.0"),
+    GPL.replace("Foundation,", "Foundation;"): ("gpl-free,gpl3-later", "GPL-3.0"),
+    GPL.replace("Foundation,", "Foundation;").replace("General", "Affero General"): ("gpl-free", ""),
+    GPL.replace("General", "Affero General"): ("gpl-free", ""),
+    "                                 Apache License\n                           Version 2.0, January 2004\n": ("apache2-title", "Apache-2.0"),
+    "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n": ("gpl3-title", "GPL-3.0"),
+    "This project is released under the MIT License.": ("mit-note", "MIT"),
+    "It was never released under the MIT License.": ("", ""),
+    "It is provided with permission of the software\n\nReleased under\n\nthe MIT License": ("", ""),
+}
+
+
+def test_verbatim_texts_wrapped_and_unwrapped(spark):
+    ways = [
+        lambda t: t, lambda t: "Copyright (c) 2020 Someone.\r\n\r\n" + t.replace("\n", "\r\n"),
+        lambda t: re.sub(r"(?<!\n)\n(?!\n) *", " ", t), lambda t: "\n".join(" * " + line for line in t.split("\n")),
+        lambda t: re.sub(r"(?<=\w) (?=\w)", "\n", t) if "\n\n" not in t else t,
+    ]
+    rows = [(i * len(ways) + k, way(t)) for i, t in enumerate(VERBATIM) for k, way in enumerate(ways)]
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = list(VERBATIM.values())
+    assert got == {i: want[i // len(ways)] for i, _ in rows}
