@@ -69,6 +69,29 @@ def test_blocks(spark):
     assert (got.articulations, got.blocks, got.largest, got.second) == (2, 3, 3, 3)
 
 
+def test_blocks_of_every_accepted_pair(spark, sf_dir):
+    from scenemill import catalog
+    from scenemill.plans.views import view
+
+    graphs, cuts = {}, {}
+    for r in view(spark, sf_dir, "verified").where("verified >= 15").collect():
+        graphs.setdefault(r.capture_id, set()).add((r.pair_id // 2147483647, r.pair_id % 2147483647))
+
+    def parts(nodes, pairs):
+        root = {n: n for n in nodes}
+        for _ in nodes:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return len(set(root.values()))
+
+    for capture, pairs in graphs.items():
+        nodes = {n for p in pairs for n in p}
+        less = lambda x: parts(nodes - {x}, [p for p in pairs if x not in p])
+        cuts[capture] = sum(less(x) > parts(nodes, pairs) for x in nodes)
+    got = {r.capture_id: r.articulations for r in catalog.queries()["C5_biconnectivity"](spark, sf_dir).collect()}
+    assert got == cuts and len(cuts) > 1
+
+
 def test_components_of_a_long_path(spark):
     nodes = spark.range(64).select(F.lit(1).alias("k"), F.col("id").alias("node"))
     path = spark.range(63).select(F.lit(1).alias("k"), F.col("id").alias("a"), (F.col("id") + 1).alias("b")).where("a <> 40")
