@@ -3,12 +3,14 @@
 Restoring: a token that may hide a word (digits or signs among its letters, letters repeated, or single
 characters with gaps between them) is a lattice: each character was itself, a letter it stands for, a
 repetition or a separator, each at a channel cost. Viterbi decoding finds the likeliest letters under a
-trigram model of characters counted over all documents. A plain word's lattice has one path: itself.
+trigram model of characters counted over all documents. A plain word's lattice has one path: itself. Runs
+of single characters are read in overlapping parts; their lattice has word borders too, and every word and
+stem that begins anywhere in a part is scored.
 
 Scoring: words and their stems have weights, the smoothed log odds of being in a toxic document. A document
 has the largest weight of its words and the number of its weighty words; a logistic curve over both, fitted
 on other documents than the weights, gives the score. Weights come from at most ``TRAIN_ROWS`` documents
-of each label and at most ``FEATURES`` words and stems.
+of each label; every word and stem in three of the toxic ones is weighed.
 """
 
 from __future__ import annotations
@@ -25,15 +27,17 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TRAIN_ROWS, FEATURES, STEMS = 10_000, 20_000, (4, 5, 6, 7)
+TRAIN_ROWS, STEMS = 10_000, (4, 5, 6, 7)
 #: Letters that a character may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 SEPARATORS = "-_.*~'"
 COST_SIGN, COST_REPEAT, COST_SEPARATOR = 1.0, 0.5, 0.7
 _SIZE = 28  # word border, a-z, any other letter
-_SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*]){2,30}\S(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*]){2,}\S(?!\S)")
 _HIDING = re.compile(r"[0134578@$!|+*_.~9-]|(.)\1\1")
 _EDGE = " \t\r\n.,;:!?\"'()[]{}<>%&#*$~-_/\\|"
+_PUNCTUATION = " \t\r\n.,;:?\"'()[]{}<>%&#/\\"  # signs at an edge that stand for no letter
+PART, OVERLAP, SHORTEST, LONGEST = 40, 20, 4, 20  # of a run: letters in a part and in two parts, of a word in it
 _CACHE_LIMIT = 400_000
 
 
@@ -58,7 +62,7 @@ class Restorer:
         n = counts.reshape(_SIZE, _SIZE, _SIZE) + 0.1
         same = np.arange(1, _SIZE - 1)
         n[same, same, same] = 0.1  # a letter three times over is what is to be undone, not how words are spelt
-        self.log = np.log(n / n.sum(axis=2, keepdims=True))
+        self.log = np.log(n / n.sum(axis=2, keepdims=True)).tolist()
 
     def options(self, token: str, i: int) -> list[tuple[str, float]]:
         c = token[i]
@@ -69,24 +73,27 @@ class Restorer:
             out.append(("", COST_SEPARATOR))
         return out or [("", 3.0)]
 
-    def __call__(self, token: str) -> str:
-        """The likeliest letters of one token, under 40 characters of it at a time."""
+    def __call__(self, token: str, borders: bool = False) -> str:
+        """The likeliest letters of one token, 40 characters of it at a time; with blanks between words, if asked."""
         if len(token) > 40:
-            return "".join(self(token[i : i + 40]) for i in range(0, len(token), 40))
+            return "".join(self(token[i : i + 40], borders) for i in range(0, len(token), 40))
         best = {(0, 0): (0.0, "")}
         for i in range(len(token)):
             new: dict = {}
             for (a, b), (score, said) in best.items():
                 for letter, cost in self.options(token, i):
                     if letter:
-                        c = int(_codes(letter)[0]) or 27
-                        state, value = (b, c), score + self.log[a, b, c] - cost
+                        c = ord(letter[0]) - 96 if "a" <= letter[0] <= "z" else 27
+                        steps = [((b, c), score + self.log[a][b][c] - cost, said + letter)]
+                        if borders and b:
+                            steps.append(((0, c), score + self.log[a][b][0] + self.log[b][0][c] - cost, f"{said} {letter}"))
                     else:
-                        state, value = (a, b), score - cost - 2.0
-                    if state not in new or (value, said + letter) > new[state]:
-                        new[state] = (value, said + letter)
+                        steps = [((a, b), score - cost - 2.0, said)]
+                    for state, value, longer in steps:
+                        if state not in new or (value, longer) > new[state]:
+                            new[state] = (value, longer)
             best = new
-        return max((score + self.log[a, b, 0], said) for (a, b), (score, said) in best.items())[1]
+        return max((score + self.log[a][b][0], said) for (a, b), (score, said) in best.items())[1]
 
 
 def features(word: str) -> list[str]:
@@ -94,7 +101,10 @@ def features(word: str) -> list[str]:
 
 
 class Reader:
-    """The readings of each distinct token of a text: as it stands and, where it may hide a word, restored."""
+    """The readings of each distinct token of a text: as it stands and, where it may hide a word, restored.
+
+    A run of single characters is a token of its own, its parts joined and marked by a blank before them.
+    """
 
     def __init__(self, restore: Restorer):
         self.restore, self.memory = restore, {}
@@ -104,27 +114,43 @@ class Reader:
         if found is None:
             plain = token.strip(_EDGE)
             found = (plain,) if plain else ()
-            if _HIDING.search(plain) and any(c.isalpha() for c in token):
-                found = tuple(dict.fromkeys([*found, self.restore(plain), self.restore(token.rstrip(".,;:?\"')"))]))
+            core = token.strip(_PUNCTUATION)
+            if _HIDING.search(core) and any(c.isalpha() for c in token):
+                found = tuple(dict.fromkeys([*found, self.restore(plain), self.restore(core)]))
+            if token[0] == " " and any(c.isalpha() for c in token):
+                found = tuple(dict.fromkeys([*found, *self.restore(token[1:], borders=True).split()]))
             if len(self.memory) > _CACHE_LIMIT:
                 self.memory.clear()
             self.memory[token] = found
         return found
 
+    def features(self, token: str) -> set[str]:
+        """Those of the token's words; in a part of a run, of all words of some length that may begin anywhere."""
+        words = self.words(token)
+        out = {f for w in words for f in features(w)}
+        if token[0] == " ":
+            for w in [*words[:3], "".join(self.restore(token[1:], borders=True).split())]:
+                for i in range(len(w) - SHORTEST + 1):
+                    out.update("^" + w[i : i + k] for k in STEMS)
+                    out.update("=" + w[i : i + k] for k in range(SHORTEST, LONGEST + 1))
+        return out
+
     def tokens(self, text: str) -> set[str]:
         text = text.lower()
         out = set(text.split())
-        out.update(re.sub(r"[ .\-_*]", "", m) for m in _SPACED.findall(text))
+        for m in _SPACED.findall(text):
+            run = re.sub(r"[ .\-_*]", "", m)
+            out.update(" " + run[i : i + PART] for i in range(0, max(1, len(run) - OVERLAP), PART - OVERLAP))
+        out.discard(" ")
         return out
 
 
-def _count_features(restore: Restorer, wanted: set[str] | None):
+def _count_features(restore: Restorer):
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read, counts = Reader(restore), Counter()
         for batch in batches:
             for text in batch["text"]:
-                own = {f for t in read.tokens(text or "") for w in read.words(t) for f in features(w)}
-                counts.update(own if wanted is None else own & wanted)
+                counts.update({f for t in read.tokens(text or "") for w in read.words(t) for f in features(w)})
         if counts:
             yield pd.DataFrame({"feature": list(counts), "n": list(counts.values())})
 
@@ -139,7 +165,7 @@ class Scorer:
         value = self.memory.get(token)
         if value is None:
             get = self.weights.get
-            value = max((get(f, 0.0) for w in self.read.words(token) for f in features(w)), default=0.0)
+            value = max((get(f, 0.0) for f in self.read.features(token)), default=0.0)
             if len(self.memory) > _CACHE_LIMIT:
                 self.memory.clear()
             self.memory[token] = value
@@ -186,7 +212,7 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, max_features: int = FEATURES) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Scorer:
     """Character counts over all of ``docs``; weights and curve from labelled rows with a remainder over 0."""
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     counts = np.zeros(_SIZE**3, np.int64)
@@ -203,17 +229,14 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, max_
     size = {(r["toxic"], r["fit"]): r["n"] for r in sample.groupBy("toxic", (F.col("fold") < 4).alias("fit")).agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = size.get((1, True), 0), size.get((0, True), 0)
 
-    def counted(toxic: int, wanted: set[str] | None) -> DataFrame:
+    def counted(toxic: int) -> DataFrame:
         rows = sample.where((F.col("fold") < 4) & (F.col("toxic") == toxic)).select("text")
-        return rows.mapInPandas(_count_features(restore, wanted), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-
-    seen = {r["feature"]: r["n"] for r in counted(1, None).where("n >= 3").orderBy(F.desc("n"), "feature").limit(max_features).collect()}
-    clean = {r["feature"]: r["n"] for r in counted(0, set(seen)).collect()}
-    weights = {}
-    for f, n in seen.items():
-        odds = math.log((n + 0.5) / (n_toxic + 1)) - math.log((clean.get(f, 0) + 0.5) / (n_clean + 1))
-        if odds > 1.5:
-            weights[f] = odds * n / (n + 3)
+        return rows.mapInPandas(_count_features(restore), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+
+    both = counted(1).where("n >= 3").join(counted(0).withColumnRenamed("n", "clean"), "feature", "left")
+    odds = F.log((F.col("n") + 0.5) / (n_toxic + 1)) - F.log((F.coalesce("clean", F.lit(0)) + 0.5) / (n_clean + 1))
+    weighty = both.withColumn("odds", odds).where("odds > 1.5").select("feature", (F.col("odds") * F.col("n") / (F.col("n") + 3)).alias("weight"))
+    weights = {r["feature"]: r["weight"] for r in weighty.collect()}  # of at most train_rows texts
     scorer = Scorer(restore, weights, (-5.0, 2.0, 0.5))
     fit = sample.where("fold = 4").mapInPandas(_apply(scorer, True), "toxic int, m double, n double").toPandas()
     scorer.curve = fit_curve(fit["m"].to_numpy(), fit["n"].to_numpy(), fit["toxic"].to_numpy(float))

@@ -48,3 +48,26 @@ def test_no_labels_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.score(df, none).collect()} == {0}
     assert toxicity.score(df.limit(0), none).count() == 0
+
+
+def test_words_hidden_at_their_edges_and_in_runs(spark):
+    rows, labels = corpus(spark)
+    spaced = lambda *words: " ".join("".join(words))
+    hidden = [
+        "garden $cumling window", "garden !diotly window", "harbor |diotly", "letter moron!c$ silver", spaced("you", "moronic"),
+        "window " + spaced("thought", "sunlight", "garden", "idiotly", "letter", "morning", "silver") + " garden",
+        spaced(*["window"] * 30, "scumling", *["garden"] * 30), spaced("garden", "1d10tly", "window"),
+    ]
+    plain = ["garden! -window- |letter| $silver", spaced("thought", "sunlight", "garden", "letter", "morning", "silver") + " window", spaced(*["window"] * 60), "1 2 3 4 5 6 7 8", ". . . . - - * * *"]
+    df = spark.createDataFrame(rows + [(1000 + i, t) for i, t in enumerate(hidden + plain)], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.score(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert [got[1000 + i] for i in range(len(hidden + plain))] == [1] * len(hidden) + [0] * len(plain)
+
+
+def test_rare_toxic_words_among_many_common_ones(spark):
+    rng = np.random.default_rng(3)
+    common = ["".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (6000, 8))]
+    rows = [(i, " ".join(common + ["moronic"] * (i % 4 == 0))) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(60)], "doc_id long, toxic int")
+    weights = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels).weights
+    assert weights["=moronic"] > 0 and not set(weights) & {"=" + w for w in common}
