@@ -1,10 +1,12 @@
 """Secret scans, with DataFrame functions only: fixed patterns, and Markov models of characters.
 
 The models: in how many random strings and ordinary identifiers a pair of characters occurs, smoothed. Both
-are trained on a bounded sample of ``TRAIN_ROWS`` rows. Random strings are labelled by construction (base64,
-hexadecimal and upper-case digests of those rows) and by the patterns (the values they capture); ordinary
-identifiers are the words of those rows that no pattern touches. A token whose log-likelihood ratio per
-character is over ``threshold`` is a span of kind ``random``.
+are trained on the first ``TRAIN_ROWS`` distinct texts in the order of their hash. Random strings are labelled by construction (base64,
+hexadecimal and upper-case digests of those texts) and by the patterns (the values they capture); ordinary
+identifiers are their tokens too short to be scored. Every token of ``LEAST`` characters or
+more is scored. It is a span of kind ``random`` if its log-likelihood ratio per character is over ``threshold``
+times 1 + 20 / length, and the sum over its distinct pairs, so that no line of one sign is random, over
+``EVIDENCE`` times ``threshold``.
 """
 
 from __future__ import annotations
@@ -22,9 +24,8 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to find anything; cheaper than the pattern.
 PRESENT = {"assign": PATTERNS["assign"][0], "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-#: A token of 20 characters or more with a letter and a digit.
-TOKEN_PRESENT = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20}"
+LEAST, EVIDENCE = 16, 24.0
+TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 TRAIN_ROWS = 4000
 THRESHOLD = 1.0
@@ -59,17 +60,17 @@ def pattern_spans(text: Column, kind: str) -> Column:
 
 def train(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -> dict[str, float]:
     """Log-likelihood ratio of each pair of characters of ALPHABET (at most 67 * 67 of them)."""
-    rows = docs.count()
-    every = max(1, math.ceil(rows / train_rows))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    sample = docs.select(text.alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0)
+    hashed = docs.select(text.alias("t")).withColumn("h", F.xxhash64("t"))
+    last = hashed.select("h").distinct().orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
+    sample = hashed.where(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.min("t").alias("t"))
     digest = F.unhex(F.sha2("t", 512))
     made = F.array(F.base64(digest), F.lower(F.hex(digest)), F.translate(F.base64(digest), "abcdefghijklmnopqrstuvwxyz+/=", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     caught = F.concat(*[
         F.when(F.col("t").rlike(PRESENT[k]), F.filter(F.regexp_extract_all("t", F.lit(p), F.lit(g)), lambda x, n=n: F.length(x) >= n)).otherwise(F.array().cast("array<string>"))
         for k, (p, g, n) in PATTERNS.items()
     ])
-    words = F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z_-]{4,}(?![A-Za-z0-9+/_=-])"), F.lit(0))
+    words = F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{4,%d}(?![A-Za-z0-9+/_=-])" % (LEAST - 1)), F.lit(0))
     labelled = sample.select(F.explode(F.array(
         F.struct(F.lit(True).alias("random"), F.concat(made, caught).alias("all")), F.struct(F.lit(False).alias("random"), words.alias("all"))
     )).alias("x")).select("x.random", F.explode("x.all").alias("s"))
@@ -87,21 +88,20 @@ def train(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS)
     return out
 
 
-def random_spans(text: Column, ratios: dict[str, float], threshold: float = THRESHOLD, least: int = 20) -> Column:
+def random_spans(text: Column, ratios: dict[str, float], threshold: float = THRESHOLD, least: int = LEAST) -> Column:
     size = len(ALPHABET)
     values = ", ".join(f"{ratios.get(a + b, 0.0):.6f}D" for a in ALPHABET for b in ALPHABET)
     table, letters = F.expr(f"array({values})"), F.lit(ALPHABET)
 
-    def ratio(token: Column) -> Column:
-        codes = F.transform(F.split(token, ""), lambda c: F.instr(letters, c) - 1)
-        steps = F.zip_with(F.slice(codes, 1, F.length(token) - 1), F.slice(codes, 2, F.length(token) - 1), lambda a, b: a * size + b)
-        return F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.get(table, i)) / (F.length(token) - 1)
+    def random(token: Column) -> Column:
+        codes, n = F.transform(F.split(token, ""), lambda c: F.instr(letters, c) - 1), F.length(token)
+        steps = F.zip_with(F.slice(codes, 1, n - 1), F.slice(codes, 2, n - 1), lambda a, b: a * size + b)
+        total = lambda at: F.aggregate(at, F.lit(0.0), lambda acc, i: acc + F.get(table, i))
+        return (total(steps) / (n - 1) > threshold * (1 + 20 / n)) & (total(F.array_distinct(steps)) > EVIDENCE * threshold)
 
     spans = _found(text, "random", TOKEN, 0, least)
     cut_out = lambda s: F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
-    mixed = lambda t: t.rlike("[0-9]") & t.rlike("[A-Za-z]")
-    kept = F.filter(spans, lambda s: F.when(mixed(cut_out(s)), ratio(cut_out(s)) > threshold).otherwise(False))
-    return F.when(text.rlike(TOKEN_PRESENT), kept).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(TOKEN), F.filter(spans, lambda s: random(cut_out(s)))).otherwise(F.array().cast(_SPAN))
 
 
 def scan(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:

@@ -56,3 +56,19 @@ def test_ratio_tells_random_from_words(spark, sf_dir):
     mean = lambda t: sum(ratios[t[i : i + 2]] for i in range(len(t) - 1)) / (len(t) - 1)
     assert all(mean(hashlib.sha256(str(i).encode()).hexdigest()) > secrets.THRESHOLD for i in range(200))
     assert mean("the_and_ertion_of_thering") < 0
+
+
+def test_random_tokens_of_letters_only_and_short_ones(spark, sf_dir):
+    kept = ["qZkfKsmXivBonTwwRtjLzpDe", "WfXqHvKzRmTgBnYpJdLc", "qZ8fK2mX9vB4nT7w", "K7/dQx2+Vb9LmZp4Tw", "XQZJVKWPBFGYXHQDNZRK"]
+    plain = ["=" * 30, "-" * 40, "_" * 16, "0" * 20, "4111111111111111", "internationalization", "the_and_ertion_of_thering", "getElementsByClassName"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(-1 - i, f"so {t} it is") for i, t in enumerate(kept + plain)], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "random"] for r in secrets.scan(docs.unionByName(more)).where("doc_id < 0").collect()}
+    assert got == {-1 - i: [(3, 3 + len(t))] if t in kept else [] for i, t in enumerate(kept + plain)}
+
+
+def test_copies_do_not_weigh_in_training(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
+    hot = spark.range(300).select(F.lit("zzqx jjxq vvzz 99-zz zz=jj").alias("text"))
+    for rows in (50, 4000):
+        assert secrets.train(docs.unionByName(hot), train_rows=rows) == secrets.train(docs.unionByName(hot).distinct(), train_rows=rows)
