@@ -11,6 +11,11 @@ from pyspark.sql import Window as W
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def is_local(master: str) -> bool:
+    """Driver and executors are one process; not so for local-cluster[...]."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; in local mode, where it is unset, a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -18,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext.getCheckpointDir()
         if current is not None:
             return current
-        if not spark.sparkContext.master.startswith("local"):
+        if not is_local(spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"/tmp/checkpoints/{uuid.uuid4().hex}"
     if spark.sparkContext.getCheckpointDir() is None:
@@ -59,19 +64,21 @@ def prefix_sums(df: DataFrame, group: str, bucket: str, order: list[str], value:
     return rows.join(totals, [group, bucket]).withColumn(out, F.col("_base") + F.col("_inner")).drop("_base", "_inner")
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, root) of every node of the undirected ``edges`` (a, b); root is the smallest node reachable.
 
     Alternates large-star and small-star steps, so the number of rounds grows with the logarithm of the
-    nodes; each round is cut. Only two numbers a round come to the driver.
+    nodes; each round is cut. The least neighbours are a table of their own, so that Spark can split what the
+    root of a large component, one key of both joins, brings to the other side. Only two numbers a round come
+    to the driver. A graph that is still changing after ``max_rounds`` is an error.
     """
     pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = cut(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = table(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a")
         pairs = cut(
             small.select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -80,9 +87,11 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             .distinct()
         )
         state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == seen:
+        if state == seen or not state[0]:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components: the graph was still changing after {max_rounds} rounds")
     roots = pairs.select("b").distinct()
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         roots.select(F.col("b").alias("node"), F.col("b").alias("root"))

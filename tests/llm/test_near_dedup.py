@@ -1,6 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from scenemill.llm import common
 from scenemill.llm import near_dedup as nd
 from scenemill.llm.queries import queries
 
@@ -72,3 +74,65 @@ def test_sketch_fills_every_bin_and_estimates(spark):
     top = np.iinfo(np.uint64).max
     assert (bins[:3] != top).all() and (bins[3] == top).all()
     assert abs((bins[0] == bins[1]).mean() - 800 / 1200) < 0.12
+
+
+def test_pairs_between_80_and_85_percent():
+    assert nd.banding(85) == (8, 32) and nd.banding(80) == (7, 36)
+
+
+def near_pair(rng, same, own):
+    """Two texts whose sets have ``same`` shingles in common and ``own`` each of their own."""
+    words = [f"w{x}" for x in rng.integers(0, 10**9, same + 4)]
+    tail = lambda: [f"t{x}" for x in rng.integers(0, 10**9, own)]
+    return " ".join(words + tail()), " ".join(words + tail())
+
+
+def test_drop_copies_at_80_percent(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i, (same, own) in enumerate([(160, 20), (161, 19), (159, 21), (164, 16), (171, 15)] * 6):  # 0.80 exactly, above, below
+        a, b = near_pair(rng, same, own)
+        rows += [(2 * i, a), (2 * i + 1, b)]
+    want = brute(rows, 80)
+    got = {r.doc_id for r in nd.drop_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d for d, (_, _, kept) in want.items() if kept} and len(got) < len(rows)
+
+
+def test_drop_copies_of_odd_rows(spark):
+    text, other = "one two three four five six seven", "eight nine ten eleven twelve"
+    rows = [(5, text, "a"), (5, text, "a"), (None, text, "b"), (None, other, "c"), (None, other, "d"), (7, other + " x", None), (8, None, "e"), (8, None, "e"), (9, "", "f"), (None, None, "g"), (None, "z " * 30000, "h"), (6, text, "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumns({"_id": F.lit(1), "_text": F.lit("x"), "kept": F.lit(False)})
+    got = nd.drop_copies(df)
+    assert got.columns == df.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    assert kept == sorted([(5, text), (None, other), (7, other + " x"), (8, None), (9, ""), (None, None), (None, "z " * 30000)], key=repr)
+    assert nd.drop_copies(df.limit(0)).count() == 0
+    one = spark.createDataFrame([(1, text)] * 50 + [(None, text)] * 50, "doc_id long, text string")
+    assert [r.doc_id for r in nd.drop_copies(one).collect()] == [1]
+
+
+def test_many_families_in_common_buckets(spark):
+    """Template pages: alike within a family at over 0.9, across families at about 0.8: no link between families."""
+    rng = np.random.default_rng(11)
+    template, rows = [f"t{x}" for x in rng.integers(0, 10**9, 400)], []
+    for family in range(30):
+        own = list(template)
+        for at in rng.integers(0, 400, 9):
+            own[at] = f"f{family}_{at}"
+        for member in range(10):
+            page = list(own)
+            page[rng.integers(0, 400)] = f"m{family}_{member}"
+            rows.append((family * 10 + member, " ".join(page)))
+    assert result(nd.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_unfinished_components_are_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    assert {r.root for r in common.components(path).collect()} == {0}
+    with pytest.raises(RuntimeError, match="still changing"):
+        common.components(path, max_rounds=2)
+    assert common.components(path.limit(0)).count() == 0
+
+
+def test_local_masters():
+    assert common.is_local("local") and common.is_local("local[8]") and not common.is_local("local-cluster[3,2,1024]")

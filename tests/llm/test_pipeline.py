@@ -17,7 +17,7 @@ def test_stages(spark, sf_dir, tmp_path):
     scores = {r.doc_id: r.predicted for r in __import__("scenemill.llm.queries", fromlist=["queries"]).queries()["op6_toxicity"](spark, sf_dir).collect()}
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
     assert ids(kept["toxicity"]) == sorted(d for d, p in scores.items() if not p)
-    want = brute([(r.doc_id, r.text) for r in kept["toxicity"].collect()])
+    want = brute([(r.doc_id, r.text) for r in kept["toxicity"].collect()], 80)
     assert ids(kept["near_dedup"]) == sorted(d for d, (_, _, k) in want.items() if k)
     before = {r.doc_id: r.text for r in kept["near_dedup"].collect()}
     after = {r.doc_id: r for r in kept["secrets"].collect()}

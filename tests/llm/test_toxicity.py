@@ -71,3 +71,56 @@ def test_rare_toxic_words_among_many_common_ones(spark):
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(60)], "doc_id long, toxic int")
     weights = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels).weights
     assert weights["=moronic"] > 0 and not set(weights) & {"=" + w for w in common}
+
+
+def test_long_tokens_and_wide_gaps(spark):
+    rows, labels = corpus(spark)
+    filler = "thering" * 12
+    hidden = [
+        "window " + filler[:80] + "-m0r0nic garden", "-".join(["window"] * 40) + "-1d1otly", "harbor i  d  i   o\tt  l  y letter",
+        " ".join("sunlightgardenmorningharborwindowsilverletter" + "scumling" + "onderfulthought"), "letter 5(um1ing silver", "m*o*r*o*n*i*c window",
+    ]
+    assert len(hidden[3].replace(" ", "")) > 60
+    plain = [filler * 3 + " garden", "a  b  c  d  e  f", "2006 26 6 (c) 2026", "x" * 50_000 + " window", "9a" * 20_000]
+    df = spark.createDataFrame(rows + [(1000 + i, t) for i, t in enumerate(hidden + plain)], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.score(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert [got[1000 + i] for i in range(len(hidden + plain))] == [1] * len(hidden) + [0] * len(plain)
+
+
+def brute_restore(restore, token):
+    """Every path through the lattice, by plain recursion over characters read."""
+    best = None
+
+    def go(i, a, b, value, said):
+        nonlocal best
+        if i == len(token):
+            best = max(best or (-1e9, ""), (value + restore.log[a][b][0], said))
+            return
+        for n, letter, cost in restore.options(token, i):
+            if letter:
+                c = ord(letter) - 96 if "a" <= letter <= "z" else 27
+                go(i + n, b, c, value + restore.log[a][b][c] - cost, said + letter)
+            else:
+                go(i + n, a, b, value - cost - 2.0, said)
+
+    go(0, 0, 0, 0.0, "")
+    return best[1]
+
+
+def test_viterbi_is_the_best_path():
+    counts = np.random.default_rng(0).integers(0, 50, 28**3)
+    restore = toxicity.Restorer(counts)
+    for token in ["m0r0n", "1d10t", "phvv00d", "sccc-um", "60od", "(u7e", "a", "$$", "p-h-1-l", "é1x"]:
+        assert restore(token) == brute_restore(restore, token)
+    assert len(restore("a1" * 30_000)) > 20_000
+
+
+def test_repeated_ids_train_once_and_rows_stay(spark):
+    rows, labels = corpus(spark)
+    hot = [(1, "garden window")] * 3000 + [(2, None), (2, ""), (None, "moronic"), (None, None)]
+    df = spark.createDataFrame(rows + hot, "doc_id long, text string").withColumns({"toxic": F.lit(1), "score": F.lit("x"), "fold": F.lit(2)})
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.score(df, known)
+    assert got.count() == len(rows) + len(hot) and got.where("doc_id is null and predicted = 1").count() == 1
+    kept = toxicity.drop_toxic(df, known)
+    assert kept.columns == df.columns and kept.where("doc_id = 1").count() == 3001
