@@ -17,10 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; rows with a null id stay."""
-    found = near_dedup.near_dedup(docs)
-    copies = found.where("not kept").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies (similarity 0.8 or more) the document with the smallest id stays."""
+    return near_dedup.drop_copies(docs, percent=80)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of all documents that pass the stages, in the order of ``STAGES``.
+
+    Each stage reads what its predecessor wrote under spark.checkpoint.dir; those tables stay there for reruns
+    and inspection, and go when that folder is cleared. An empty table of documents gives no pieces.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline/{uuid.uuid4().hex}"
     for name, stage in STAGES:
