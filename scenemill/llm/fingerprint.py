@@ -17,12 +17,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import table
+
 LANES, SKETCH = 16, 256
 _words: dict[str, int] = {}
-_CACHE_LIMIT = 400_000
+_CACHE_LIMIT = 100_000
 
 
 def _pairs(paragraph: str) -> np.ndarray:
@@ -125,33 +127,70 @@ def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         raise ValueError("a bucket ended without its guest")
 
 
+#: Keys sampled for each range, and copies of one row that a task writes at most.
+PER_RANGE, COPIES = 40, 10_000
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def order_key(doc_id: Column, text: Column) -> Column:
+    """Sorts as ids do downwards, null ids last, then by the text's MD5."""
+    down = F.lpad(F.hex(F.bitwise_not(doc_id.bitwiseXOR(F.lit(-(2**63))))), 16, "0")
+    return F.concat(F.coalesce(F.concat(F.lit("0"), down), F.lit("1")), F.md5(text.cast("binary")))
+
+
+def _own_next(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows whose next document has the same text."""
+    for whole in batches:
+        ids = whole["doc_id"].astype("object").where(whole["doc_id"].notna(), None)
+        for at in range(0, len(whole), 100):
+            part = [next(_run(iter([pd.DataFrame({"_bucket": 0, "doc_id": [d, d], "text": t, "_guest": [False, True]})]))) for d, t in zip(ids[at : at + 100], whole["text"][at : at + 100], strict=True)]
+            yield pd.concat(part, ignore_index=True).assign(_n=whole["_n"].to_numpy()[at : at + 100])
+
+
 def fingerprint_edits(docs: DataFrame, ranges: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edit with the next document's text, and their likenesses.
 
-    The next document has the next smaller id (rows with one id: in the order of their texts; null ids come
-    last); after the last comes the first. A null text is an empty one. A single row is its own next. The
-    ids are dealt into ``ranges`` ranges at quantiles of the ids; only the document at each border is copied
-    into the range that precedes it. An empty table gives an empty result.
+    The next document has the next smaller id (rows with one id: in the order of their texts' MD5; null ids
+    come last); after the last comes the first. A null text is an empty one. A single row is its own next.
+    Other columns are ignored, whatever their names. An empty table gives an empty result.
+
+    Rows are dealt into ``ranges`` ranges of (id, MD5) between keys of a sample, so one id, or no id, for all
+    rows is spread like any other; only the document at each border is copied into the range before it. Of
+    rows equal in id and text one takes part in the order; the others precede it, each the next of the one
+    before, and are written from its text.
     """
     spark = docs.sparkSession
-    low = -(2**63)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("_at", F.coalesce("doc_id", F.lit(low)))
-    ranges = ranges or 4 * max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # borders: at most `ranges` ids; quantiles are ids that occur
-    shares = [(i + 1) / ranges for i in range(ranges)]
-    borders = rows.agg(F.percentile_approx("_at", shares, 10_000).alias("q"), F.max("_at").alias("top")).first()
-    tops = sorted({*(borders["q"] or []), *([borders["top"]] if borders["top"] is not None else [])})
-    known = F.array(*[F.lit(int(x)) for x in tops]) if tops else F.array().cast("array<bigint>")
-    # range i holds the ids over tops[i - 1] and up to tops[i]
-    below = F.size(F.filter(known, lambda x: x < F.col("_at")))
-    rows = rows.withColumn("_range", below)
-    is_top = F.array_contains(known, F.col("_at"))
-    to = F.array(F.struct(F.col("_range").alias("bucket"), F.lit(False).alias("guest")))
-    guest = F.array(F.struct(((F.col("_range") + 1) % max(1, len(tops))).alias("bucket"), F.lit(True).alias("guest")))
-    dealt = rows.withColumn("_to", F.explode(F.when(is_top, F.concat(to, guest)).otherwise(to)))
-    dealt = dealt.select("doc_id", "text", "_at", F.col("_to.bucket").alias("_bucket"), F.col("_to.guest").alias("_guest"))
-    ordered = dealt.repartition(max(1, len(tops)), "_bucket").sortWithinPartitions("_bucket", "_guest", F.desc("_at"), "text")
-    return ordered.select("doc_id", "text", "_bucket", "_guest").mapInPandas(
-        _run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    )
+    rows = rows.withColumn("_key", order_key(F.col("doc_id"), F.col("text")))
+    keys = table(rows.groupBy("_key").agg(F.count("*").alias("_n")))
+    ranges = ranges or 2 * max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # at most PER_RANGE short keys a range
+    sample = sorted(r["_key"] for r in keys.orderBy(F.xxhash64("_key"), "_key").limit(PER_RANGE * ranges).select("_key").collect())
+    if not sample:
+        return spark.createDataFrame([], _OUT)
+    least = keys.agg(F.min("_key")).first()[0]
+    step = max(1, len(sample) // ranges)
+    starts = np.array(sorted({least, *sample[step::step]}), dtype="S49")
+
+    @F.pandas_udf("long")
+    def deal(key: pd.Series) -> pd.Series:
+        own = key.to_numpy().astype("S49")
+        at = np.searchsorted(starts, own, side="right") - 1
+        return pd.Series(2 * at + (starts[at] == own))
+
+    repeated = table(keys.where("_n > 1"))
+    several = table(rows.join(repeated, "_key").groupBy("_key", "doc_id", "_n").agg(F.min("text").alias("text")))
+    chain = rows.join(repeated, "_key", "left_anti").select("doc_id", "text", "_key").unionByName(several.select("doc_id", "text", "_key"))
+    chain = chain.withColumn("_dealt", deal("_key")).withColumn("_at", F.expr("cast(_dealt div 2 as int)"))
+    to = F.array(F.struct(F.col("_at").alias("bucket"), F.lit(False).alias("guest")))
+    guest = F.array(F.struct(F.pmod(F.col("_at") - 1, F.lit(len(starts))).alias("bucket"), F.lit(True).alias("guest")))
+    dealt = chain.withColumn("_to", F.explode(F.when(F.col("_dealt") % 2 == 1, F.concat(to, guest)).otherwise(to)))
+    dealt = dealt.select("doc_id", "text", "_key", F.col("_to.bucket").alias("_bucket"), F.col("_to.guest").alias("_guest"))
+    ordered = dealt.repartitionById(len(starts), "_bucket").sortWithinPartitions("_bucket", "_guest", "_key")
+    made = ordered.select("doc_id", "text", "_bucket", "_guest").mapInPandas(_run, _OUT)
+
+    parts = several.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 2) div {COPIES}"))))
+    parts = parts.select("doc_id", "text", F.least(F.lit(COPIES), F.col("_n") - 1 - F.col("_part") * COPIES).alias("_n"), "_part").repartition("doc_id", "_part")
+    copies = parts.select("doc_id", "text", "_n").mapInPandas(_own_next, _OUT + ", _n long")
+    copies = copies.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("_n")
+    return made.unionByName(copies)
