@@ -1,8 +1,8 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Each document gets a hash-random key. Within its source, the documents are ordered by that key: ranges of
-the key are buckets, sorted in separate tasks, and the word counts before a document are its bucket's base
-(a prefix sum over bucket totals) plus those before it in the bucket. A source's budget is its whole epochs
+Each document gets a hash-random key. Rows are range-sorted by source and key, equal rows by a number of their
+own, so that neither a hot source nor a hot id stays in one range. The word counts before a document in its
+source are its range's base (a prefix sum over the ranges' totals) plus those before it in the range. A source's budget is its whole epochs
 and a remainder; the remainder is cut exactly at that many words, inside a document where need be.
 """
 
@@ -16,9 +16,6 @@ from pyspark.sql import Window as W
 
 from .common import cut, n_words, prefix_sums, table
 
-#: Hex digits of the key that choose a bucket; 3 make 4096 ranges of a source.
-BUCKET_DIGITS = 3
-
 
 def source_targets(sources: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Adds ``target`` to (source_key, source_size), one row for each source.
@@ -67,7 +64,6 @@ def budget(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
-    digits: int = BUCKET_DIGITS,
     whole_rows: bool = False,
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, epochs, partial, taken) for each row of ``docs``.
@@ -75,19 +71,22 @@ def budget(
     size: words of the text (null, empty: 0). epochs: times the whole text is taken; partial: words of it
     taken once more; taken = epochs * size + partial. A null id has the key of an empty id. Rows with one
     id are ordered by size and text hash; equal rows are interchangeable. The words taken of a source are
-    floor(target), all 0 for a source without words. An empty table gives an empty result. ``whole_rows``
-    adds the row of ``docs`` as the struct ``row``.
+    floor(target), all 0 for a source without words. The table of sources (names, not documents) is levelled in
+    one task. An empty table gives an empty result. ``whole_rows`` adds the row of ``docs`` as the struct ``row``.
     """
     text = F.col(text_col).cast("string")
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    order = ["_key", "size", "_tie", "_own"]
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _source_key(F.col(source_col)).alias("source_key"),
-        n_words(text).alias("size"), key.alias("_key"), F.substring(key, 1, digits).alias("_bucket"),
-        F.xxhash64(text).alias("_tie"), *([F.struct(*docs.columns).alias("row")] if whole_rows else []),
+        n_words(text).alias("size"), key.alias("_key"), F.xxhash64(text).alias("_tie"), F.monotonically_increasing_id().alias("_own"),
+        *([F.struct(*docs.columns).alias("row")] if whole_rows else []),
     )
-    rows = table(rows) if whole_rows else cut(rows)
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(ranges, "source_key", *order).withColumn("_bucket", F.spark_partition_id())
+    rows = table(rows) if whole_rows else cut(rows)  # the ranges are fixed from here on
     sources = source_targets(rows.groupBy("source_key").agg(F.sum("size").alias("source_size")), weights, share, most)
-    placed = prefix_sums(rows, "source_key", "_bucket", ["_key", "size", "_tie"], "size", "_before")
+    placed = prefix_sums(rows, "source_key", "_bucket", order, "size", "_before")
     placed = placed.join(sources, "source_key")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     placed = placed.withColumn("epochs", epochs.cast("long"))

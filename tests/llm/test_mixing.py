@@ -53,3 +53,16 @@ def test_reruns_agree(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     one, two = (sorted(map(tuple, mixing.budget(d).collect())) for d in (docs, docs.repartition(7, "text")))
     assert one == two
+
+
+def test_one_id_and_one_source_for_all_rows(spark):
+    """Equal rows are dealt to many ranges, and the budget is cut exactly among them."""
+    rows = [(None, "a b c", "x")] * 3000 + [(4, "d e", "x")] * 3000 + [(5, "f", "y")] * 10
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    got = mixing.budget(df).collect()
+    assert len(got) == len(rows)
+    want = targets({"x": 15_000, "y": 10})
+    for name in want:
+        assert sum(r.taken for r in got if r.source == name) == int(want[name])
+    assert max(r.taken / r["size"] for r in got) <= 2 and sum(r.partial not in (0, r["size"]) for r in got) <= 2  # a cut text a source
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.budget(df.repartition(3)).collect()), key=repr)
