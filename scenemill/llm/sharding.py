@@ -25,33 +25,46 @@ def shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str =
     """(doc_id, bytes, shard, shard_bytes, fits) of each row.
 
     shard: the bits of its bucket ("" if all fits in one). Null texts have 0 bytes, a null id the key of an
-    empty one. Rows with one id can't be told apart by their hash: where they, or a single text, are over
-    the limit, the bucket ends after 48 bits with fits = false. An empty table gives an empty result.
+    empty one. Rows of one id, which its 48 bits can't tell apart, go on with 48 bits of their own (of the text
+    and a number of the row) where each of them fits. Where one row is over the limit by itself, its bucket ends
+    after the id's 48 bits with fits = false. Other columns are ignored, whatever their names. An empty table
+    gives an empty result.
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("bytes"), bits_of(key).alias("bits")))
-    open_, found = rows.groupBy("bits").agg(F.sum("bytes").alias("b")), None
-    for low in range(0, MOST_BITS, STEP):
-        high = low + STEP if low + STEP < MOST_BITS else MOST_BITS
+    own = F.concat_ws(" ", F.md5(F.col(text_col).cast("binary")), F.monotonically_increasing_id())
+    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), size.alias("bytes"), F.concat(bits_of(key), bits_of(own)).alias("bits")))
+    end = 2 * MOST_BITS
+    first = F.substring("bits", 1, MOST_BITS).alias("bits")
+    open_, found = rows.groupBy(first).agg(F.sum("bytes").alias("b"), F.max("bytes").alias("top")), None
+    for low in range(0, end, STEP):
+        high = low + STEP
         # a row for each prefix of up to `high` bits, then one for each of its own prefixes
-        folded = open_.groupBy(F.expr(f"substring(bits, 1, {high})").alias("p")).agg(F.sum("b").alias("b"))
-        depths = list(range(low, high)) + ([MOST_BITS] if high == MOST_BITS else [])
-        levels = folded.select(F.explode(F.array(*[F.substring("p", 1, d) for d in depths])).alias("shard"), "b")
-        sums = levels.groupBy("shard").agg(F.sum("b").alias("shard_bytes"))
+        folded = open_.groupBy(F.expr(f"substring(bits, 1, {high})").alias("p")).agg(F.sum("b").alias("b"), F.max("top").alias("top"))
+        closing = high in (MOST_BITS, end)  # the last bits of the id, and of the row
+        depths = range(low, high + closing)
+        levels = folded.select(F.explode(F.array(*[F.substring("p", 1, d) for d in depths])).alias("shard"), "b", "top")
+        sums = levels.groupBy("shard").agg(F.sum("b").alias("shard_bytes"), F.max("top").alias("top"))
         parent = sums.select(F.col("shard").alias("_up"), F.col("shard_bytes").alias("_up_bytes"))
-        small = sums.where((F.col("shard_bytes") <= limit) | (F.length("shard") == MOST_BITS)).withColumn("_len", F.length("shard"))
+        ends = (F.length("shard") == end) | ((F.length("shard") == MOST_BITS) & (F.col("top") > limit))
+        small = sums.where((F.col("shard_bytes") <= limit) | ends).withColumn("_len", F.length("shard"))
         small = small.withColumn("_up", F.expr("substring(shard, 1, greatest(_len - 1, 0))"))
-        # a bucket of the directory: it fits, and the bucket that it was split from does not
-        fits = small.join(parent, "_up", "left").where((F.col("_len") == low) | (F.col("_up_bytes") > limit))
+        # a bucket of the directory: it fits, and the bucket that it was split from does not; the bucket of
+        # `low` bits is here a second time, and over the limit, if its own step closed
+        again = (F.col("_len") == low) if low != MOST_BITS else F.lit(False)
+        fits = small.join(parent, "_up", "left").where(again | (F.col("_up_bytes") > limit))
         fits = cut(fits.select("shard", "shard_bytes", "_len"))
         found = fits if found is None else found.unionByName(fits)
-        if high == MOST_BITS:
+        if high == end:
             break
-        over = cut(sums.where((F.col("shard_bytes") > limit) & (F.length("shard") == high - 1)).select("shard"))
+        last = high if closing else high - 1
+        over = cut(sums.where((F.col("shard_bytes") > limit) & (F.length("shard") == last) & ((F.lit(last) != MOST_BITS) | (F.col("top") <= limit))).select("shard"))
         if over.isEmpty():
             break
-        open_ = open_.join(over, F.expr(f"substring(bits, 1, {high - 1})") == F.col("shard"), "left_semi")
-    lengths = sorted(r["_len"] for r in found.select("_len").distinct().collect())  # at most 49
+        if closing:
+            open_ = rows.groupBy("bits").agg(F.sum("bytes").alias("b"), F.max("bytes").alias("top"))
+        open_ = open_.join(over, F.expr(f"substring(bits, 1, {last})") == F.col("shard"), "left_semi")
+    lengths = sorted(r["_len"] for r in found.select("_len").distinct().collect())  # at most 97
     prefixes = F.array(*[F.substring("bits", 1, int(n)) for n in lengths or [0]])
     placed = rows.withColumn("shard", F.explode(prefixes)).join(found, "shard")  # one match for each row
     return placed.select("doc_id", "bytes", "shard", "shard_bytes", (F.col("shard_bytes") <= limit).alias("fits"))

@@ -31,3 +31,22 @@ def test_directory(spark):
     assert {k: v for k, v in want.items() if k in sums} == dict(sums)
     assert {r.doc_id for r in got if not r.fits} == {5000, 7}
     assert sharding.shards(df.limit(0), 700).count() == 0
+
+
+def test_one_id_for_all_rows(spark):
+    """Rows without ids, and copies of one row, are split like any others."""
+    for doc_id in (None, 3):
+        rows = [(doc_id, f"text {i}") for i in range(500)] + [(doc_id, "the same")] * 500 + [(8, "z" * 50), (8, "z" * 950)]
+        got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), 400).collect()
+        assert len(got) == len(rows) and {r.doc_id for r in got if not r.fits} == {8}
+        sums = defaultdict(int)
+        for r in got:
+            sums[r.shard] += r.bytes
+        assert all(sums[r.shard] == r.shard_bytes for r in got) and len(sums) > 20
+        assert all(r.shard_bytes <= 400 for r in got if r.fits)
+
+
+def test_long_texts_of_one_line_and_repeats(spark):
+    rows = [(1, "word " * 40_000), (2, "word " * 40_000), (2, "word " * 40_000), (4, None)]
+    got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), 250_000).collect()
+    assert all(r.fits for r in got) and len({r.shard for r in got if r.doc_id in (1, 2)}) == 3
