@@ -2,7 +2,7 @@
 
 Documents are tokenized once. What fills whole windows is cut off; the remainders' lengths make a histogram
 of at most ``window - 1`` numbers, whatever the input's size. Combinations of at most three lengths that sum
-to the window (or lengths that are a power of two, which need no padding) are the columns of a non-negative
+to the window (or single lengths that are a power of two and half a window at least, which need no padding) are the columns of a non-negative
 least-squares problem against that histogram. Its solution, rounded within what there is, deals remainders
 of each length to combinations; the rest is packed greedily end to end, cut at window borders, so only the
 last sequence of all can hold padding.
@@ -28,6 +28,7 @@ WINDOW = 1024
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _UNSURE = "[^\\t\\n\\r -~\u00a1-\u024f\u2010-\u2027]"
 _PIECES = "doc_id long, start long, length int, doc_tokens long, sequence_id long, offset int, ids binary"
+_CUT = _PIECES + ", _pos long"
 _tokenizers: dict = {}
 
 
@@ -75,7 +76,7 @@ def tokenizer(path: str) -> Tokenizer:
 
 def _cut_windows(path: str, end: int, window: int):
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, task, filled = tokenizer(path), TaskContext.get().partitionId(), 0
+        encode, task, filled, made = tokenizer(path), TaskContext.get().partitionId(), 0, 0
         closing = np.array([end], "<u2").tobytes()
         for whole in batches:
             for begin in range(0, len(whole), 500):
@@ -86,18 +87,18 @@ def _cut_windows(path: str, end: int, window: int):
                     for start in range(0, n, window):
                         length = min(window, n - start)
                         full = length == window
-                        rows.append((doc, start, length, n, (task << 40) + filled if full else None, 0 if full else None, ids[2 * start : 2 * (start + length)]))
-                        filled += full
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+                        rows.append((doc, start, length, n, (task << 40) + filled if full else None, 0 if full else None, ids[2 * start : 2 * (start + length)], (task << 40) + made))
+                        filled, made = filled + full, made + 1
+                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "_pos"])
 
     return fn
 
 
 def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
-    """Rows of three of these lengths (0: none) that fill the window, and single powers of two."""
+    """Rows of three of these lengths (0: none) that fill the window, and single powers of two, half of it at least."""
     there = np.zeros(window + 1, bool)
     there[lengths] = True
-    ones = [n for n in lengths if n & (n - 1) == 0]
+    ones = [n for n in lengths if n & (n - 1) == 0 and 2 * n >= window]
     found = [np.array([[n, 0, 0] for n in ones], np.int64).reshape(-1, 3)]
     two = np.array([n for n in lengths if 2 * n <= window and there[window - n]], np.int64)
     found.append(np.stack([window - two, two, np.zeros_like(two)], 1))
@@ -108,17 +109,12 @@ def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def solve_counts(histogram: np.ndarray, window: int, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """(combinations, repeat counts): rounded solution of min |A x - histogram|, x >= 0, within what there is.
+def relaxed_counts(combos: np.ndarray, have: np.ndarray, steps: int = 300) -> np.ndarray:
+    """x of min |A x - have|, x >= 0, by accelerated projected gradients.
 
-    A column of A counts the lengths of its combination; it has at most three entries, so the accelerated
-    projected gradient needs only gathers and counts.
+    A column of A counts the lengths of its combination; it has at most three entries, so a step needs only
+    gathers and counts.
     """
-    have = histogram.astype(np.float64).copy()
-    have[0] = 0
-    combos = combinations(np.flatnonzero(have), window)
-    if not len(combos):
-        return combos, np.zeros(0, np.int64)
     used = combos > 0
     pull = lambda r: (r[combos] * used).sum(1)
     push = lambda x: np.bincount(combos[used], np.repeat(x, used.sum(1)), len(have))
@@ -133,6 +129,17 @@ def solve_counts(histogram: np.ndarray, window: int, steps: int = 300) -> tuple[
         new = np.maximum(0, y - pull(push(y) - have) / step)
         t = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         x, y, momentum = new, new + (momentum - 1) / t * (new - x), t
+    return x
+
+
+def solve_counts(histogram: np.ndarray, window: int, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """(combinations, repeat counts): rounded least squares solution, within what there is."""
+    have = histogram.astype(np.float64).copy()
+    have[0] = 0
+    combos = combinations(np.flatnonzero(have), window)
+    if not len(combos):
+        return combos, np.zeros(0, np.int64)
+    used, x = combos > 0, relaxed_counts(combos, have, steps)
     counts, left = np.zeros(len(combos), np.int64), histogram.astype(np.int64).copy()
     for i in np.lexsort((np.arange(len(x)), used.sum(1), -np.floor(x))):  # whole counts first, then one more where it fits
         n = int(np.floor(x[i]))
@@ -201,12 +208,14 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int =
 
     ``ids``: little-endian unsigned 16-bit token ids. A row's tokens are its text's (null: none) and ``end``.
     Each row of ``docs`` is a document of its own, also where ids are null or repeat. Sequence ids are
-    unique, not dense. An empty table gives an empty result. The vocabulary must have at most 65536 ids.
+    unique, not dense. Texts are encoded whole, however long; other columns are ignored, whatever their names.
+    An empty table gives an empty result. The vocabulary must have at most 65536 ids. Pieces are ranked by the
+    place where they were cut, so equal rows are spread like any others.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = table(texts.mapInPandas(_cut_windows(tokenizer_path, end, window), _PIECES))
+    pieces = table(texts.mapInPandas(_cut_windows(tokenizer_path, end, window), _CUT))
     rest = pieces.where(F.col("length") < window)
-    bucketed = rest.select("doc_id", "start", "length", "doc_tokens", "ids", F.expr("pmod(xxhash64(doc_id, ids), 1024)").alias("_bucket"))
+    bucketed = rest.select("doc_id", "start", "length", "doc_tokens", "ids", "_pos", F.expr("pmod(xxhash64(_pos), 1024)").alias("_bucket"))
     # at most window - 1 lengths: the histogram has a fixed size
     counted = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}
     histogram = np.zeros(window, np.int64)
@@ -218,13 +227,13 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int =
     tail_base = 1 << 60  # full windows are numbered task << 40 + n, below
     for ranges in plan.values():
         ranges[:, 2] += tail_base
-    ranked = prefix_sums(bucketed.withColumn("_one", F.lit(1).cast("long")), "length", "_bucket", ["doc_id", "ids"], "_one", "_rank")
-    placed = ranked.select("doc_id", "start", "length", "doc_tokens", "ids", "_bucket", "_rank").mapInPandas(
-        _place(plan, total, window), "doc_id long, start long, length int, doc_tokens long, ids binary, _bucket long, sequence_id long, offset int"
+    ranked = prefix_sums(bucketed.withColumn("_one", F.lit(1).cast("long")), "length", "_bucket", ["_pos"], "_one", "_rank")
+    placed = ranked.select("doc_id", "start", "length", "doc_tokens", "ids", "_pos", "_bucket", "_rank").mapInPandas(
+        _place(plan, total, window), "doc_id long, start long, length int, doc_tokens long, ids binary, _pos long, _bucket long, sequence_id long, offset int"
     )
     placed = table(placed)
     left = placed.where("sequence_id < 0").withColumn("_all", F.lit(0)).withColumn("length_", F.col("length").cast("long"))
-    run = prefix_sums(left, "_all", "_bucket", ["length", "doc_id", "ids"], "length_", "_before")
+    run = prefix_sums(left, "_all", "_bucket", ["_pos"], "length_", "_before")
     cut_up = run.select("doc_id", "start", "length", "doc_tokens", "ids", "_before").mapInPandas(_cut_rest(tail_base + total, window), _PIECES)
     columns = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
     return (

@@ -70,3 +70,44 @@ def test_counts_stay_within_the_histogram():
         for length in combo[combo > 0]:
             used[length] += n
     assert (used <= histogram).all() and used.sum() > 0.9 * histogram.sum()
+
+
+def exact(a, b):
+    """The non-negative least squares solution, by an active set."""
+    free, x = np.zeros(a.shape[1], bool), np.zeros(a.shape[1])
+    while True:
+        pull = a.T @ (b - a @ x)
+        pull[free] = -1
+        if free.all() or pull.max() < 1e-9:
+            return x
+        free[np.argmax(pull)] = True
+        while True:
+            s = np.zeros(len(x))
+            s[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            if s[free].min() > 1e-12:
+                x = s
+                break
+            low = free & (s <= 1e-12)
+            x = x + (x[low] / (x[low] - s[low])).min() * (s - x)
+            free &= x > 1e-12
+            x[~free] = 0
+
+
+def test_least_squares_are_those_of_an_active_set():
+    rng = np.random.default_rng(1)
+    for window in (8, 12, 16):
+        have = np.bincount(rng.integers(1, window, 400), minlength=window).astype(float)
+        have[0] = 0
+        combos = packing.combinations(np.flatnonzero(have), window)
+        a = np.zeros((window, len(combos)))
+        for j, combo in enumerate(combos):
+            for n in combo[combo > 0]:
+                a[n, j] += 1
+        best = np.linalg.norm(a @ exact(a, have) - have)
+        assert abs(np.linalg.norm(a @ packing.relaxed_counts(combos, have, 5000) - have) - best) < 1e-3 * max(1, best)
+
+
+def test_small_powers_fill_no_sequence_of_their_own(spark):
+    df = spark.createDataFrame([(i, None) for i in range(3000)], "doc_id long, text string")  # one token each
+    pieces = packing.pack(df, PATH).collect()
+    assert check(pieces, [(i, None) for i in range(3000)]) < 1024 and len({p.sequence_id for p in pieces}) == 3
