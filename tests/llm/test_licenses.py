@@ -73,11 +73,29 @@ VERBATIM = {
     APACHE: ("apache2-note,apache2-comply,apache2-copy", "Apache-2.0"),
     GPL: ("gpl-free,gpl3-later", "GPL-3.0"),
     GPL.replace("Foundation,", "Foundation;"): ("gpl-free,gpl3-later", "GPL-3.0"),
-    GPL.replace("Foundation,", "Foundation;").replace("General", "Affero General"): ("gpl-free", ""),
-    GPL.replace("General", "Affero General"): ("gpl-free", ""),
+    GPL.replace("Foundation,", "Foundation;").replace("General", "Affero General"): ("gpl-free,agpl3-later", "AGPL-3.0"),
+    GPL.replace("General", "Affero General"): ("gpl-free,agpl3-later", "AGPL-3.0"),
     "                                 Apache License\n                           Version 2.0, January 2004\n": ("apache2-title", "Apache-2.0"),
     "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n": ("gpl3-title", "GPL-3.0"),
     "This project is released under the MIT License.": ("mit-note", "MIT"),
+    BSD + "\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"\nAND ANY EXPRESS OR IMPLIED WARRANTIES": ("bsd-grant,bsd-source,bsd-binary,bsd-endorse,bsd-as-is", "BSD,BSD-3-Clause"),
+    """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.""": ("mpl2-subject,mpl2-obtain", "MPL-2.0"),
+    """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY""": ("isc-grant,isc-as-is", "ISC"),
+    """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""": ("lgpl-free,lgpl21-later", "LGPL-2.1"),
+    GPL.replace("version 3", "version 2"): ("gpl-free,gpl2-later", "GPL-2.0"),
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": ("cc-by-sa-note", "CC-BY-SA-4.0"),
+    "The data are licensed under CC BY 4.0.": ("cc-by-note", "CC-BY-4.0"),
+    "This is free and unencumbered software released into the public domain.": ("unlicense-grant", "Unlicense"),
     "It was never released under the MIT License.": ("", ""),
     "It is provided with permission of the software\n\nReleased under\n\nthe MIT License": ("", ""),
 }
@@ -93,3 +111,15 @@ def test_verbatim_texts_wrapped_and_unwrapped(spark):
     got = {r.doc_id: (r.sentence_ids, r.licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = list(VERBATIM.values())
     assert got == {i: want[i // len(ways)] for i, _ in rows}
+
+
+def test_table_is_whole():
+    ids = set(licenses.SENTENCES.values())
+    assert all(set(rule) <= ids for rules in licenses.RULES.values() for rule in rules)
+    assert all(re.search(licenses.PRESENT, s) and re.fullmatch("[a-z0-9]+( [a-z0-9]+)*", s) for s in licenses.SENTENCES)
+
+
+def test_repeats_and_rows_without_id(spark):
+    df = spark.createDataFrame([(1, MIT), (1, MIT), (None, MIT), (None, None), (2, MIT + "\n\n" + APACHE)], "doc_id long, text string")
+    got = sorted((r.licenses for r in licenses.scan(df).collect()))
+    assert got == ["", "Apache-2.0,MIT", "MIT", "MIT", "MIT"]
