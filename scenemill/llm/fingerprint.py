@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 LANES, SKETCH = 16, 256
 _words: dict[str, int] = {}
@@ -187,10 +187,10 @@ def fingerprint_edits(docs: DataFrame, ranges: int | None = None, id_col: str =
     dealt = chain.withColumn("_to", F.explode(F.when(F.col("_dealt") % 2 == 1, F.concat(to, guest)).otherwise(to)))
     dealt = dealt.select("doc_id", "text", "_key", F.col("_to.bucket").alias("_bucket"), F.col("_to.guest").alias("_guest"))
     ordered = dealt.repartitionById(len(starts), "_bucket").sortWithinPartitions("_bucket", "_guest", "_key")
-    made = ordered.select("doc_id", "text", "_bucket", "_guest").mapInPandas(_run, _OUT)
+    made = ordered.select("doc_id", "text", "_bucket", "_guest").mapInPandas(tidy(_run), _OUT)
 
     parts = several.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 2) div {COPIES}"))))
     parts = parts.select("doc_id", "text", F.least(F.lit(COPIES), F.col("_n") - 1 - F.col("_part") * COPIES).alias("_n"), "_part").repartition("doc_id", "_part")
-    copies = parts.select("doc_id", "text", "_n").mapInPandas(_own_next, _OUT + ", _n long")
+    copies = parts.select("doc_id", "text", "_n").mapInPandas(tidy(_own_next), _OUT + ", _n long")
     copies = copies.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("_n")
     return made.unionByName(copies)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import components, cut, release, table, tidy
 
 COORDS, MISS = 256, 3e-4
 SHINGLE = 5
@@ -126,6 +126,7 @@ def _in_parts(batches: Iterator[pd.DataFrame], most: int = 500) -> Iterator[tupl
 
 
 def _describe(percent: int):
+    @tidy
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, sets in _in_parts(batches):
             yield pd.DataFrame({
@@ -139,6 +140,7 @@ def _describe(percent: int):
     return fn
 
 
+@tidy
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows, sets in _in_parts(batches):
         low = (sketches(sets) & _U(255)).astype(np.uint8)
@@ -182,6 +184,9 @@ def _links(percent: int):
             hit = (100 * common >= percent * (sizes + sizes[i] - common)) & (common > 0) & (comps != comps[i])
             a += [ids[i]] * int(hit.sum())
             b += list(ids[hit])
+        if len(every) > AT_ONCE:
+            del every, owner, sets
+            release()
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return fn

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import table
+from .common import table, tidy
 
 PIVOTS, PROBES, KEEP, CHUNK, QUERIES, SAMPLE = 128, 80, 0.08, 2048, 16384, 4096
 
@@ -101,6 +101,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, pivots: int = PIVOT
     centre = spread_out(picked / _length(picked)[:, None], pivots)
     probes = min(probes, len(centre))
 
+    @tidy
     def represent(batches):
         for b in batches:
             ranks = _ranks(_matrix(b["v"], dim), centre)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import prefix_sums, table
+from .common import prefix_sums, table, tidy
 
 WINDOW = 1024
 #: How byte-level vocabularies split a text, and characters that are left to the slow way.
@@ -75,6 +75,7 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 def _cut_windows(path: str, end: int, window: int):
+    @tidy
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, task, filled, made = tokenizer(path), TaskContext.get().partitionId(), 0, 0
         closing = np.array([end], "<u2").tobytes()
@@ -171,6 +172,7 @@ def deal(combos: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
 
 
 def _place(plan: dict[int, np.ndarray], sequences: int, window: int):
+    @tidy
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             length, rank = rows["length"].to_numpy(), rows["_rank"].to_numpy()
@@ -188,6 +190,7 @@ def _place(plan: dict[int, np.ndarray], sequences: int, window: int):
 
 
 def _cut_rest(first: int, window: int):
+    @tidy
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []

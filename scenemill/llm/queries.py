@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprint, licenses, mixing, near_dedup, neighbours, packing, secrets, sharding, toxicity, url_filter
+from .common import tidy
 
 SHARD_BYTES = 1 << 20
 
@@ -78,6 +79,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def piece_digests(pieces: DataFrame) -> DataFrame:
     """Pieces without their ids, but with the CRC-32 of these as unsigned 32-bit numbers."""
 
+    @tidy
     def fn(batches):
         import zlib
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 TRAIN_ROWS, STEMS = 10_000, (4, 5, 6, 7)
 #: Letters that a character may stand for.
@@ -55,6 +55,7 @@ def _codes(text: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
+@tidy
 def _count_trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total, held, letters = np.zeros(_SIZE**3, np.int64), [], 0
 
@@ -178,6 +179,7 @@ class Reader:
 
 
 def _count_features(restore: Restorer):
+    @tidy
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read, counts, memory = Reader(restore), Counter(), {}
 
@@ -205,7 +207,7 @@ class Scorer:
 
     def token(self, token: str) -> float:
         core = token.strip(_PUNCTUATION)
-        if core.isalpha() and not _HIDING.search(core):  # a plain word: no other reading
+        if core.isalpha() and token[0] != " " and not _HIDING.search(core):  # a plain word: no other reading
             value = self.whole.get(core, 0.0)
             for k in STEMS:
                 if len(core) > k:
@@ -231,6 +233,7 @@ class Scorer:
 
 
 def _apply(scorer: Scorer, evidence: bool):
+    @tidy
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if evidence:
@@ -311,9 +314,13 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that score 0.5 or more; columns and all other rows as they are."""
     scorer = train(docs, labels, **options)
 
-    @F.pandas_udf("boolean")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @tidy
+    def judge(batches):
         for texts in batches:
             yield pd.Series([scorer.score(t) < 0.5 for t in texts], dtype=bool)
 
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from judge(batches)
+
     return docs.where(clean(F.col("text").cast("string")))
