@@ -39,10 +39,10 @@ def page_captures(pages: DataFrame) -> DataFrame:
 
 
 def page_list(pages: DataFrame) -> DataFrame:
-    """Dated entries on the addresses that occur, chosen by checksums of rule and list."""
+    """Dated entries on the addresses that occur, chosen by digests of rule and list."""
     rules = pages.select(F.explode(F.slice(url_filter.rule_keys(F.col("url")), 1, 3)).alias("rule")).distinct()
     dated = rules.select("rule", F.explode(F.array(F.lit("ads"), F.lit("malware"))).alias("list"))
-    sums = [F.crc32(F.concat_ws("|", "list", "rule", F.lit(i)).cast("binary")) for i in range(3)]
+    sums = [F.conv(F.substring(F.md5(F.concat_ws("|", "list", "rule", F.lit(i))), 1, 8), 16, 10).cast("long") for i in range(3)]
     dated = dated.where(sums[0] % 5 == 0).select("list", "rule", (sums[1] % 300).cast("int").alias("day"), (sums[2] % 4).alias("kind"))
     block = dated.select("list", "rule", "day", F.when(F.col("kind") == 0, "allow").otherwise("block").alias("action"))
     end = dated.where("kind > 1").select("list", "rule", (F.col("day") + 60).alias("day"), F.lit("remove").alias("action"))
@@ -157,5 +157,36 @@ FROM s WHERE shard_bytes <= {SHARD_BYTES} GROUP BY doc_id, bytes, bits
 """
 
 
+URL_SQL = r"""
+WITH h AS (
+  SELECT page_id, CAST((page_id * 37 + 11) % 365 AS INT) AS day,
+    lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)', 1), '\.+$', '')) AS host,
+    regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '^(/[^/]+)', 1) AS first
+  FROM pages
+), k AS (
+  SELECT page_id, day, CASE WHEN host IS NULL OR host = '' THEN [] ELSE list_concat(CASE WHEN first <> '' THEN [host || first] ELSE [] END,
+    list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) END AS keys FROM h
+), e AS (
+  SELECT DISTINCT unnest(keys[:3]) AS rule FROM k
+), d AS (
+  SELECT rule, list, CAST('0x' || substr(md5(list || '|' || rule || '|0'), 1, 8) AS BIGINT) AS a, CAST('0x' || substr(md5(list || '|' || rule || '|1'), 1, 8) AS BIGINT) AS b,
+    CAST('0x' || substr(md5(list || '|' || rule || '|2'), 1, 8) AS BIGINT) AS c FROM e, (SELECT unnest(['ads', 'malware']) AS list)
+), n AS (
+  SELECT list, rule, CAST(b % 300 AS INT) AS day, CASE WHEN c % 4 = 0 THEN 'allow' ELSE 'block' END AS action FROM d WHERE a % 5 = 0
+  UNION ALL SELECT list, rule, CAST(b % 300 AS INT) + 60, 'remove' FROM d WHERE a % 5 = 0 AND c % 4 > 1
+), v AS (
+  SELECT list, rule, day, max(action) AS action FROM n GROUP BY ALL
+), i AS (
+  SELECT *, lead(day) OVER (PARTITION BY list, rule ORDER BY day) AS until FROM v
+), p AS (
+  SELECT page_id, day, unnest(keys) AS rule, unnest(range(len(keys))) AS pos FROM k
+), m AS (
+  SELECT p.page_id, p.day, p.rule, i.list, i.action, row_number() OVER (PARTITION BY p.page_id, p.day ORDER BY pos, action, list, p.rule) AS place
+  FROM p JOIN i ON i.rule = p.rule AND p.day >= i.day AND (i.until IS NULL OR p.day < i.until) WHERE i.action <> 'remove'
+)
+SELECT DISTINCT k.page_id, k.day, coalesce(m.action, 'pass') AS verdict, m.rule, m.list FROM k LEFT JOIN m ON m.page_id = k.page_id AND m.day = k.day AND place = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": MIXING_SQL, "op8_extendible_sharding": SHARDING_SQL}
+    return {"op3_url_temporal_filter": URL_SQL, "op4_source_mixing": MIXING_SQL, "op8_extendible_sharding": SHARDING_SQL}

@@ -15,7 +15,9 @@ from .common import cut
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    """The host in lower case, without user, port and dots at its end; an address in brackets as it is."""
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)", 1)
+    return F.lower(F.regexp_replace(host, r"\.+$", ""))
 
 
 def path_of(url: Column) -> Column:
@@ -49,7 +51,9 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_
 
     The most specific rule in force decides, "allow" before "block" at one rule, then the first list; without
     one the verdict is "pass". Null, odd and empty addresses and null days pass. Captures with one id and
-    day are one capture of several addresses: the worst verdict stands. An empty table gives an empty result.
+    day (or none) are one capture, also of several addresses: the decision by the most specific rule among them
+    stands. Addresses are read whole; other columns are ignored, whatever their names. An empty table gives an
+    empty result.
     """
     # The join is by rule with the day as a further condition. The intervals are cut, so that both sides come
     # straight from a shuffle and a hot host's captures can be split between tasks.

@@ -72,3 +72,29 @@ def test_copies_do_not_weigh_in_training(spark, sf_dir):
     hot = spark.range(300).select(F.lit("zzqx jjxq vvzz 99-zz zz=jj").alias("text"))
     for rows in (50, 4000):
         assert secrets.train(docs.unionByName(hot), train_rows=rows) == secrets.train(docs.unionByName(hot).distinct(), train_rows=rows)
+
+
+def brute_random(text, ratios, threshold=secrets.THRESHOLD):
+    """Spans of tokens whose ratios say random, character by character."""
+    out = []
+    for m in re.finditer(secrets.TOKEN, text or ""):
+        t = m[0]
+        pairs = [t[i : i + 2] for i in range(len(t) - 1)]
+        mean = sum(ratios[p] for p in pairs) / len(pairs)
+        if mean > threshold * (1 + 20 / len(t)) and sum(ratios[p] for p in dict.fromkeys(pairs)) > secrets.EVIDENCE * threshold:
+            out.append((m.start(), m.end()))
+    return out
+
+
+def test_random_spans_of_the_whole_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ratios = secrets.train(docs)
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "random"] for r in secrets.scan(docs).collect()}
+    assert got == {d: brute_random(t, ratios) for d, t in texts.items()} and any(got.values())
+
+
+def test_repeated_rows_and_empty_tables_train(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh"), (1, "token=abcdefgh"), (None, ""), (None, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, len(r.spans)) for r in secrets.scan(df).collect())
+    assert got == [(0, 0), (0, 0), (1, 1), (1, 1)]

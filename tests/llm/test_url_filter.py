@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from scenemill.llm import queries as q
 from scenemill.llm import url_filter
+from tests.oracle import connect, differences
 
 
 def brute(captures, entries):
@@ -41,3 +42,15 @@ def test_as_of(spark):
     assert got == {1: "pass", 2: "block", 3: "block", 4: "pass", 5: "allow", 6: "pass", 7: "pass", 8: "pass", 9: "pass"}
     assert url_filter.judge(df.limit(0), entries).count() == 0
     assert {r.verdict for r in url_filter.judge(df, entries.limit(0)).collect()} == {"pass"}
+
+
+def test_same_as_sql(spark, sf_dir):
+    sql = q.oracle_sql()["op3_url_temporal_filter"]
+    assert not differences(q.queries()["op3_url_temporal_filter"](spark, sf_dir).toPandas(), connect(sf_dir).execute(sql).df())
+
+
+def test_odd_hosts_ties_and_repeats(spark):
+    entries = spark.createDataFrame([("b", "ads.com", 1, "block"), ("a", "ads.com", 1, "block"), ("b", "ads.com/x", 1, "allow"), ("a", "ads.com/x", 1, "block"), ("a", "[::1]", 1, "block"), ("a", "ads.com", 1, "block")], "list string, rule string, day int, action string")
+    rows = [(1, "http://ADS.com./y", 5), (2, "http://u:p@ads.com:80/x/z?q", 5), (3, "https://[::1]:8080/a", 5), (4, "http://ads.com/y", 5), (4, "http://ads.com/y", 5), (5, "http://ads.com/" + "z" * 200_000, 5), (None, "http://ads.com", 5), (6, "http://...", 5)]
+    got = {r.page_id: (r.verdict, r.rule, r["list"]) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, day int"), entries).collect()}
+    assert got == {1: ("block", "ads.com", "a"), 2: ("allow", "ads.com/x", "b"), 3: ("block", "[::1]", "a"), 4: ("block", "ads.com", "a"), 5: ("block", "ads.com", "a"), None: ("block", "ads.com", "a"), 6: ("pass", None, None)}
