@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenemill.operators import conditioning, evaluation, frames, graph, logs, models, pairs, splats, subject
+from scenemill.functions.storage import cut
+from scenemill.operators import alignment, conditioning, evaluation, frames, graph, logs, models, orientation, pairs, photos, retrieval, splats, subject
 from scenemill.plans.views import view, with_views
 from scenemill.sources import model_files
 
@@ -100,7 +101,7 @@ def _(v):
     CASE WHEN vetoes > 0 THEN 'veto' WHEN psnr IS NULL OR ssim IS NULL OR advance IS NULL THEN 'not_evaluable' WHEN NOT advance THEN 'does_not_advance'
     WHEN -psnr <= 0.5 AND -ssim <= 0.01 THEN 'accept' ELSE 'reject' END AS verdict FROM z""")
 def _(v):
-    long = evaluation.melt(v("run_views"), METRICS)
+    long = evaluation.melt(cut(v("run_views")), METRICS)  # read by scenes and by views
     return evaluation.ab_verdict(evaluation.scene_stats(long), evaluation.view_stats(long), CONTRACT).withColumns(r9("psnr", "ssim", "lpips", "lpips_multiple"))
 
 
@@ -218,15 +219,33 @@ def _(v):
     return scored(v).select("clip_id", "frame_index", F.round("q", 9).alias("q"))
 
 
-@query("A6_repair_timestamps", None)
+def _recursive(sql: str) -> str:
+    return with_views(sql).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("A6_repair_timestamps")
 def _(v):
-    broken = v("frames").select("clip_id", "frame_index", F.when(F.col("frame_index") % 7 == 3, F.lit(-1.0)).otherwise(F.col("t")).alias("t"))
-    return frames.repair_timestamps(broken, 30.0)
+    i = F.col("frame_index")
+    broken = v("frames").select("clip_id", "frame_index", F.when(i % 7 == 3, F.lit(-1.0)).when(i % 5 == 2, F.col("t") / 2).otherwise(F.col("t")).alias("t"))
+    return frames.repair_timestamps(broken, 30.0).withColumns(r9("t"))
+
+
+_SQL["A6_repair_timestamps"] = _recursive("""WITH b AS MATERIALIZED (SELECT clip_id, frame_index, CASE WHEN frame_index % 7 = 3 THEN -1.0 WHEN frame_index % 5 = 2 THEN t / 2 ELSE t END AS t FROM {frames}),
+  c AS MATERIALIZED (SELECT *, CASE WHEN t >= 0 THEN t ELSE frame_index / 30.0::DOUBLE END AS u FROM b),
+  w AS (SELECT clip_id, frame_index, u AS s, t < 0 AS repaired FROM c WHERE frame_index = 0
+    UNION ALL SELECT c.clip_id, c.frame_index, CASE WHEN c.u > w.s THEN c.u ELSE w.s + 1 / 30.0::DOUBLE END, NOT (c.t >= 0 AND c.t > w.s) FROM w JOIN c ON c.clip_id = w.clip_id AND c.frame_index = w.frame_index + 1)
+  SELECT clip_id, frame_index, round(s, 9) AS t, repaired FROM w""")
 
 
-@query("A7_schedule", None)
+@query("A7_schedule")
 def _(v):
-    return frames.schedule(v("frames").select("clip_id", "frame_index", "t"), 0.02, 1.0)
+    return frames.schedule(v("frames").select("clip_id", "frame_index", (F.col("t") / 64).alias("t")), 1.0, 8.0)
+
+
+_SQL["A7_schedule"] = _recursive("""WITH f AS MATERIALIZED (SELECT clip_id, frame_index, t / 64 AS t, max(frame_index) OVER (PARTITION BY clip_id) AS final FROM {frames}),
+  w AS (SELECT clip_id, frame_index, t, final, true AS hit, t + 1 AS due FROM f WHERE frame_index = 0
+    UNION ALL SELECT f.clip_id, f.frame_index, f.t, f.final, f.t + 0.0625 >= w.due, CASE WHEN f.t + 0.0625 >= w.due THEN w.due + floor(f.t + 0.0625 - w.due) + 1 ELSE w.due END FROM w JOIN f ON f.clip_id = w.clip_id AND f.frame_index = w.frame_index + 1)
+  SELECT clip_id, frame_index, t, hit OR frame_index = final AS analysed FROM w""")
 
 
 @query("A8_select_timeline", None)
@@ -248,11 +267,82 @@ def _(v):
     return frames.frame_target(v("clips"), 900, 0.01, True)
 
 
-@query("A11_allocate_budget", None)
+_SHARED = """u AS (SELECT *, CASE WHEN room > 0 AND weight > 0 THEN weight END AS w, CASE WHEN room > 0 AND weight > 0 THEN room END AS r FROM wanted),
+  l AS (SELECT *, total - coalesce(sum(r) OVER o, 0) AS rest_, sum(w) OVER (PARTITION BY k) - coalesce(sum(w) OVER o, 0) AS weigh FROM u WINDOW o AS (PARTITION BY k ORDER BY r / w, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  f AS (SELECT *, coalesce(r / w <= rest_ / weigh, false) AS full_ FROM l),
+  i AS (SELECT *, total - coalesce(sum(r) FILTER (full_) OVER (PARTITION BY k), 0) AS rest, sum(w) FILTER (NOT full_) OVER (PARTITION BY k) AS open_ FROM f),
+  j AS (SELECT *, CASE WHEN NOT full_ THEN rest * w / open_ END AS ideal FROM i), n AS (SELECT *, rest - coalesce(sum(floor(ideal)) OVER (PARTITION BY k), 0) AS more FROM j),
+  x AS (SELECT *, CASE WHEN full_ THEN r WHEN ideal IS NULL THEN 0 ELSE floor(ideal) + CASE WHEN row_number() OVER (PARTITION BY k ORDER BY ideal - floor(ideal) DESC NULLS LAST, id) <= more THEN 1 ELSE 0 END END AS extra FROM n)"""
+
+
+@query("A11_allocate_budget", f"""WITH c AS (SELECT capture_id AS k, clip_id AS id, available, least(2, available) AS least_, duration AS weight, bool_or(available > 0 AND NOT coalesce(duration > 0, false)) OVER (PARTITION BY capture_id) AS bad FROM {{clips}}),
+  d AS (SELECT *, least(400, sum(available) OVER (PARTITION BY k)) - sum(least_) OVER (PARTITION BY k) AS left_ FROM c), wanted AS (SELECT *, available - least_ AS room, greatest(0, left_) AS total FROM d), {_SHARED}
+  SELECT k AS capture_id, id AS clip_id, CAST(CASE WHEN NOT bad AND left_ >= 0 THEN least_ + extra END AS BIGINT) AS frames FROM x""")
 def _(v):
     return frames.allocate(v("clips"), 400)
 
 
+@query("A12_allocate_mixed", f"""WITH c AS (SELECT capture_id AS k, clip_id AS id, is_video, available, sum(available) OVER (PARTITION BY capture_id) <= 500 AS all_, CASE WHEN is_video THEN least(2, available) ELSE 0 END AS least_ FROM {{clips}}),
+  d AS (SELECT *, 500 - sum(CASE WHEN all_ THEN 0 ELSE least_ END) OVER (PARTITION BY k) AS left_ FROM c),
+  wanted AS (SELECT * REPLACE (CASE WHEN all_ THEN 0 ELSE least_ END AS least_), available - CASE WHEN all_ THEN 0 ELSE least_ END AS room, CAST(available - CASE WHEN all_ THEN 0 ELSE least_ END AS DOUBLE) AS weight, greatest(0, left_) AS total FROM d), {_SHARED}
+  SELECT k AS capture_id, id AS group_id, CAST(CASE WHEN all_ THEN available WHEN left_ >= 0 THEN least_ + extra END AS BIGINT) AS frames FROM x""")
+def _(v):
+    return frames.allocate_mixed(v("clips").withColumnRenamed("clip_id", "group_id"), 500)
+
+
+def evidence(v) -> DataFrame:
+    """Photos with evidence, some of it broken."""
+    own, i = v("photos"), F.col("admission")
+    long = F.concat("sha256", "sha256")
+    return own.select(
+        "capture_id", F.when(i % 37 == 0, F.upper(long)).otherwise(long).alias("sha256"), F.array_repeat(F.lit(0), F.when(i % 31 == 0, 63).otherwise(64)).alias("descriptor"),
+        (i % 41).cast("int").alias("proxy_w"), F.lit(9).alias("proxy_h"), F.when(i % 43 != 0, long).alias("proxy_sha256"), F.when(i % 47 == 0, 2).otherwise(1).alias("recipe_version"), F.repeat(F.lit("0"), F.lit(64)).alias("recipe_sha256"),
+    )
+
+
+@query("A17_validate_evidence", """WITH e AS (SELECT capture_id, CASE WHEN admission % 37 = 0 THEN upper(sha256 || sha256) ELSE sha256 || sha256 END AS sha256, admission % 31 = 0 AS short, admission % 41 = 0 AS flat, admission % 43 = 0 AS bare, CASE WHEN admission % 47 = 0 THEN 2 ELSE 1 END AS recipe FROM {photos}),
+  f AS (SELECT *, count(*) OVER (PARTITION BY capture_id, sha256) > 1 AS twice, first_value(recipe) OVER (PARTITION BY capture_id ORDER BY sha256, recipe) AS known FROM e)
+  SELECT capture_id, sha256, 'invalid_sha256' AS reason FROM f WHERE NOT coalesce(length(sha256) = 64 AND regexp_full_match(sha256, '[0-9a-f]+'), false) UNION SELECT capture_id, sha256, 'duplicate_sha256' FROM f WHERE twice AND sha256 IS NOT NULL UNION SELECT capture_id, sha256, 'descriptor_length' FROM f WHERE short
+  UNION SELECT capture_id, sha256, 'proxy_size' FROM f WHERE flat UNION SELECT capture_id, sha256, 'invalid_proxy_sha256' FROM f WHERE bare OR sha256 IS NULL UNION SELECT capture_id, sha256, 'mixed_recipe_version' FROM f WHERE recipe <> known""")
+def _(v):
+    return photos.validate_evidence(evidence(v))
+
+
+@query("A19_select_photos", """WITH o AS (SELECT capture_id, sha256, min(admission) AS admission FROM {photos} GROUP BY ALL), p AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY capture_id) AS n FROM o WINDOW w AS (PARTITION BY capture_id ORDER BY admission, sha256)), s AS (SELECT unnest(range(0, 25)) AS s),
+  k AS (SELECT DISTINCT p.* FROM p, s WHERE n <= 25 OR i = round(s * ((n - 1) / 24.0::DOUBLE)))
+  SELECT capture_id, 'continuous' AS strategy, admission, sha256, CAST(row_number() OVER w - 1 AS INT) AS place, CAST(row_number() OVER w - 1 AS INT) AS "rank" FROM k WINDOW w AS (PARTITION BY capture_id ORDER BY admission, sha256)""")
+def _(v):
+    return photos.select_photos(frames.dedupe_exact(v("photos")), "continuous", 25)
+
+
+def pictures(v, repeats: int) -> DataFrame:
+    """Vectors as pictures: a byte for each component."""
+    byte = lambda x: F.lpad(F.hex(F.least(F.greatest(F.floor(x * 128 + 128), F.lit(0)), F.lit(255))), 2, "0")
+    rgb = F.unhex(F.repeat(F.array_join(F.transform("embedding", byte), ""), F.lit(repeats)))
+    return v("embeddings").where("embedding is not null").select("vec_id", "label", rgb.alias("rgb"))
+
+
+@query("A16_photo_evidence")
+def _(v):
+    own = pictures(v, 1).withColumn("width", F.lit(7)).withColumn("height", F.lit(3))
+    scores = frames.score_luma(own.withColumn("luma", F.col("rgb")).select("vec_id", "luma"), 8, 8)
+    bucket = photos.quality_bucket(*[F.col(c) for c in ("laplacian", "blur", "brightness", "clipped")])
+    return photos.photo_descriptors(own).select("vec_id", "descriptor").join(scores.select("vec_id", bucket.alias("quality")), "vec_id")
+
+
+@query("B7_retrieval_descriptors")
+def _(v):
+    return retrieval.retrieval_descriptors(pictures(v, 12)).select("vec_id", F.transform("v", lambda x: F.round(x, 9)).alias("v"))
+
+
+@query("B13_graph_batches")
+def _(v):
+    images = v("images").select(F.col("clip_id").alias("group_id"), F.col("pos").cast("long").alias("id"))
+    near = v("images").where("pos > 0").select(F.col("clip_id").alias("group_id"), F.col("pos").cast("long").alias("a"), (F.col("pos") - 1).cast("long").alias("b"))
+    loops = v("images").where("pos > 9").select(F.col("clip_id").alias("group_id"), F.col("pos").cast("long").alias("a"), F.expr("cast(pos * 7 % pos as long)").alias("b"))
+    return retrieval.graph_batches(images, near.unionByName(loops), 16, 3)
+
+
 @query("A13_project_budget", """WITH p AS (SELECT clip_id, frame_index, row_number() OVER (PARTITION BY clip_id ORDER BY frame_index) - 1 AS i, count(*) OVER (PARTITION BY clip_id) AS n FROM {frames}), s AS (SELECT unnest(range(0, 10)) AS s)
   SELECT DISTINCT clip_id, frame_index FROM p, s WHERE n <= 10 OR i = CAST(round(s * (n - 1) / 9.0::DOUBLE) AS BIGINT)""")
 def _(v):
@@ -281,6 +371,33 @@ def _(v):
 # --- pairs -----------------------------------------------------------------------------------------------
 
 
+@query("B1_clips", """SELECT capture_id, clip_id, row_number() OVER (PARTITION BY capture_id ORDER BY min(i), clip_id) - 1 AS place, bool_or(is_video) AS is_video, count(*) AS images FROM {images} GROUP BY capture_id, clip_id""")
+def _(v):
+    return pairs.clips_of(v("images").withColumnRenamed("i", "position"))
+
+
+@query("B1_clip_violations", """WITH m AS (SELECT capture_id, clip_id, pos, is_video, CASE WHEN i % 50 = 0 THEN 0 ELSE i END AS image, CASE WHEN is_video OR i % 60 = 0 THEN CAST(CASE WHEN pos % 40 = 7 THEN pos - 2 ELSE pos END AS DOUBLE) END AS t FROM {images}),
+  l AS (SELECT *, lag(t) OVER (PARTITION BY capture_id, clip_id ORDER BY pos) AS b FROM m)
+  SELECT capture_id, min(clip_id) AS clip_id, 'duplicate_image' AS reason FROM m GROUP BY capture_id, image HAVING count(*) > 1 UNION SELECT capture_id, clip_id, 'time_not_increasing' FROM l WHERE is_video AND (t IS NULL OR t <= b) UNION SELECT capture_id, clip_id, 'photo_with_time' FROM m WHERE NOT is_video AND t IS NOT NULL""")
+def _(v):
+    time = F.when(F.col("pos") % 40 == 7, F.col("pos") - 2).otherwise(F.col("pos")).cast("double")
+    own = v("images").withColumn("image", F.when(F.col("i") % 50 == 0, 0).otherwise(F.col("i"))).withColumn("t", F.when(F.col("is_video") | (F.col("i") % 60 == 0), time))
+    return pairs.clip_violations(own)
+
+
+@query("B14_camera_groups", """WITH g AS (SELECT c_nationkey AS capture_id, c_custkey AS image, CASE WHEN c_custkey % 9 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE 'make-' || c_mktsegment || '-' || CAST(20 + c_custkey % 3 AS VARCHAR) || '.500000-640x480' END AS camera_group FROM {customer}),
+  p AS (SELECT DISTINCT capture_id, camera_group, CASE WHEN capture_id % 2 = 0 THEN camera_group ELSE CAST(image % 4 AS VARCHAR) END AS camera_id FROM g)
+  SELECT capture_id, count(DISTINCT camera_group) AS "groups", count(DISTINCT camera_id) AS cameras, count(DISTINCT camera_group) = count(*) AND count(DISTINCT camera_id) = count(*) AS ok FROM p GROUP BY 1""")
+def _(v):
+    own = v("customer").select(
+        F.col("c_nationkey").alias("capture_id"), F.col("c_custkey").alias("image"), F.when(F.col("c_custkey") % 9 != 0, "make").alias("make"), F.col("c_mktsegment").alias("model"),
+        (F.lit(20.5) + F.col("c_custkey") % 3).alias("focal"), F.lit(640).alias("width"), F.lit(480).alias("height"),
+    )
+    grouped = pairs.camera_groups(own, "automatic")
+    known = grouped.select("capture_id", "image", F.when(F.col("capture_id") % 2 == 0, F.col("camera_group")).otherwise((F.col("image") % 4).cast("string")).alias("camera_id"))
+    return pairs.camera_group_check(grouped, known)
+
+
 @query("B2_temporal_pairs", "SELECT a.capture_id, a.i, b.i AS j, 'local' AS role FROM {images} a JOIN (SELECT unnest([1, 2, 4, 8]) AS o) o ON true JOIN {images} b ON a.capture_id = b.capture_id AND a.clip_id = b.clip_id AND b.pos = a.pos + o.o")
 def _(v):
     return pairs.temporal_pairs(v("images"), [1, 2, 4, 8])
@@ -359,11 +476,11 @@ def _(v):
     return graph.pair_counts(v("schedule"), v("matches"), v("verified"))
 
 
-_EDGES = "edges AS (SELECT capture_id, pair_id // 2147483647 AS a, pair_id % 2147483647 AS b FROM {verified} WHERE verified >= 15 AND pair_id % 5 = 0)"
+_EDGES = "edges AS (SELECT capture_id, pair_id // 2147483647 AS a, pair_id % 2147483647 AS b FROM {verified} WHERE verified >= 15)"
 
 
-def edges(v, some: str = "pair_id % 5 = 0") -> DataFrame:
-    good = graph.decode_pairs(v("verified").where("verified >= 15").where(some))
+def edges(v) -> DataFrame:
+    good = graph.decode_pairs(v("verified").where("verified >= 15"))
     return good.select("capture_id", F.col("i").alias("a"), F.col("j").alias("b"))
 
 
@@ -376,10 +493,6 @@ def members(v) -> DataFrame:
     return graph.components(v("graph_images").withColumnRenamed("image_id", "node"), edges(v), "capture_id")
 
 
-def _recursive(sql: str) -> str:
-    return with_views(sql).replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 @query("C3_components")
 def _(v):
     return members(v)
@@ -396,7 +509,7 @@ def _(v):
 
 @query("C5_biconnectivity")
 def _(v):
-    return graph.biconnectivity(edges(v, "true").withColumn("capture_id", F.col("capture_id").cast("long")))
+    return graph.biconnectivity(edges(v).withColumn("capture_id", F.col("capture_id").cast("long")))
 
 
 @query("C6_graph_verdict")
@@ -410,7 +523,15 @@ _SQL["C6_graph_verdict"] = _recursive(f"""WITH {_COMPONENTS}, s AS (SELECT captu
   SELECT *, CASE WHEN dominant_size / images >= CASE WHEN second_size > 1 THEN 0.95 ELSE 0.9 END THEN 'accepted' WHEN dominant_size >= 8 AND dominant_size > second_size THEN 'relaxed' ELSE 'rejected' END AS verdict FROM t""")
 
 
-@query("C8_table_digest")
+@query("C7_descriptorless", """SELECT g.capture_id, g.image_id, 'image' || CAST(g.image_id AS VARCHAR) AS name FROM {graph_images} g WHERE g.image_id % 7 = 0
+  AND EXISTS (SELECT 1 FROM {schedule} s WHERE s.capture_id = g.capture_id AND (s.i = g.image_id OR s.j = g.image_id))""")
+def _(v):
+    own = v("graph_images").withColumn("name", F.concat(F.lit("image"), "image_id"))
+    return graph.descriptorless(own, own.withColumn("rows", F.when(F.col("image_id") % 7 == 0, 0).otherwise(100)), v("schedule"))
+
+
+@query("C8_table_digest", """WITH r AS (SELECT capture_id, pair_id, substr(md5(CAST(pair_id AS VARCHAR)), 1, 3) AS b, sha256('{{"pair_id":' || pair_id || ',"matched":' || matched || '}}') AS h FROM {matches}),
+  c AS (SELECT capture_id, b, count(*) AS n, sha256(string_agg(h, '' ORDER BY pair_id)) AS h FROM r GROUP BY ALL) SELECT capture_id, CAST(sum(n) AS BIGINT) AS "rows", sha256(string_agg(b || h, '' ORDER BY b)) AS digest FROM c GROUP BY 1""".replace("{{", "\x7b").replace("}}", "\x7d"))
 def _(v):
     return graph.table_digest(v("matches"), "capture_id", ["pair_id"])
 
@@ -505,7 +626,8 @@ def _(v):
     return out.withColumns({"scale": F.round("scale", 6), "rmse": F.round("rmse", 5), "rotation": rounded("rotation"), "translation": rounded("translation")})
 
 
-@query("E7_fuse_voxels", """WITH p AS (SELECT label AS capture_id, CAST(floor(x / 0.125) AS BIGINT) AS kx, CAST(floor(y / 0.125) AS BIGINT) AS ky, CAST(floor(z / 0.125) AS BIGINT) AS kz, x, y, z, 1 + vec_id % 4 AS w FROM (SELECT label, vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM {embeddings})),
+@query("E7_fuse_voxels", """WITH q AS (SELECT label, vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM {embeddings}), o AS (SELECT *, min(x) OVER (PARTITION BY label) AS mx, min(y) OVER (PARTITION BY label) AS my, min(z) OVER (PARTITION BY label) AS mz FROM q),
+  p AS (SELECT label AS capture_id, CAST(floor((x - mx) / 0.125) AS BIGINT) AS kx, CAST(floor((y - my) / 0.125) AS BIGINT) AS ky, CAST(floor((z - mz) / 0.125) AS BIGINT) AS kz, x, y, z, 1 + vec_id % 4 AS w FROM o),
   f AS (SELECT capture_id, kx, ky, kz, count(*) AS n, CAST(sum(w) AS BIGINT) AS weight, round(sum(x * w) / sum(w), 9) AS x, round(sum(y * w) / sum(w), 9) AS y, round(sum(z * w) / sum(w), 9) AS z FROM p GROUP BY 1, 2, 3, 4)
   SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY weight DESC, kx, ky, kz) <= 40""")
 def _(v):
@@ -678,10 +800,10 @@ def _(v):
 @query("B11_refinement_plan")
 def _(v):
     s = v("schedule")
-    return pairs.refinement_plan(v("graph_images"), s.where("role = 'local' and i % 4 <> 0"), s.where("role = 'retrieval' and (i + j) % 6 = 0"), 2000)
+    return pairs.refinement_plan(v("graph_images"), s.where("role = 'local'"), s.where("role = 'retrieval'"), 2000)
 
 
-_SQL["B11_refinement_plan"] = _recursive("""WITH le AS (SELECT capture_id, i, j, min(CASE role WHEN 'local' THEN 0 ELSE 1 END) AS p FROM {schedule} WHERE (role = 'local' AND i % 4 <> 0) OR (role = 'retrieval' AND (i + j) % 6 = 0) GROUP BY ALL),
+_SQL["B11_refinement_plan"] = _recursive("""WITH le AS (SELECT capture_id, i, j, min(CASE role WHEN 'local' THEN 0 ELSE 1 END) AS p FROM {schedule} GROUP BY ALL),
   b2 AS (SELECT capture_id, i AS a, j AS b FROM le UNION SELECT capture_id, j, i FROM le), walk AS (SELECT capture_id, image_id AS node, image_id AS root FROM {graph_images} UNION SELECT w.capture_id, e.b, w.root FROM walk w JOIN b2 e ON e.capture_id = w.capture_id AND e.a = w.node),
   c AS (SELECT capture_id, node, min(root) AS root FROM walk GROUP BY ALL), k AS (SELECT capture_id, count(DISTINCT root) = 1 AS connected FROM c GROUP BY 1), n AS (SELECT capture_id, count(*) FILTER (p = 0) AS l, count(*) FILTER (p = 1) AS o FROM le GROUP BY 1)
   SELECT k.capture_id, coalesce(l, 0) AS "local", coalesce(o, 0) AS loops, connected, coalesce(l + o, 0) <= 2000 AS "within" FROM k LEFT JOIN n ON n.capture_id = k.capture_id""")
@@ -795,6 +917,132 @@ def _(v):
     return models.depth_points(v("depths"), cams, 100).withColumns({c: F.round(c, 6) + 0.0 for c in "xyz"})
 
 
+# --- orientation, alignment, cameras ---------------------------------------------------------------------
+
+
+def tilted(v) -> DataFrame:
+    """Cameras on a ring about a tilted vertical, each turned about it, with a little noise in some."""
+    a, i = F.col("image_id") * 0.7, F.col("image_id")
+    yaw = (F.cos(a / 2), F.lit(0.0), F.sin(a / 2), F.lit(0.0))
+    nod = F.when(i % 5 == 0, F.lit(0.01)).otherwise(F.lit(0.0)) + 0.15
+    pitch = (F.cos(nod), F.sin(nod), F.lit(0.0), F.lit(0.0))
+    tilt = (F.lit(0.9689124217106447), F.lit(0.24740395925452294), F.lit(0.0), F.lit(0.0))
+    q = orientation._product(orientation._product(pitch, yaw), tilt)
+    own = v("cameras").select(F.col("model_id").cast("long").alias("model_id"), "image_id", F.concat(F.lit("image"), "image_id").alias("name"), *[x.alias(c) for x, c in zip(q, ("qw", "qx", "qy", "qz"), strict=True)])
+    return own.withColumns({"tx": F.lit(0.1) * F.col("qw"), "ty": F.lit(0.2), "tz": F.lit(3.0)})
+
+
+@query("D15_canonical_orientation")
+def _(v):
+    out = orientation.canonical_orientation(tilted(v), v("observations"), seed=7)
+    return out.withColumns({f.name: F.round(f.name, 6) for f in out.schema if f.dataType.simpleString() == "double"})
+
+
+@query("D17_orientation_error")
+def _(v):
+    cams = tilted(v)
+    found = orientation.canonical_orientation(cams, v("observations"), seed=7)
+    up = found.select("model_id", F.lit(0.0).alias("ux"), F.lit(0.0).alias("uy"), F.lit(1.0).alias("uz"))
+    out = orientation.orientation_error(cams, cams, found, up)
+    return out.withColumns({**{c: F.round(c, 5) for c in ("median_residual", "p90_residual", "up_error")}, "alignment": F.transform("alignment", lambda x: F.round(x, 6) + 0.0)})
+
+
+@query("D18_orient_points", """WITH p AS (SELECT DISTINCT o.model_id, point_id, px, py, pz FROM {observations} o JOIN {points} USING (point_id))
+  SELECT model_id, point_id, px * CASE WHEN model_id % 5 = 4 OR model_id % 5 IN (0, 1) THEN 1 ELSE -1 END + 0.0 AS x, py * CASE WHEN model_id % 5 = 4 OR model_id % 5 IN (0, 2) THEN 1 ELSE -1 END + 0.0 AS y, pz * CASE WHEN model_id % 5 = 4 OR model_id % 5 IN (0, 3) THEN 1 ELSE -1 END + 0.0 AS z FROM p""")
+def _(v):
+    own = v("observations").select("model_id", "point_id").distinct().join(v("points"), "point_id").select("model_id", "point_id", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"))
+    turn = lambda k: F.when(F.col("model_id") % 5 != 4, (F.col("model_id") % 5 == k).cast("double"))
+    found = v("cameras").select("model_id").distinct().select("model_id", *[turn(k).alias(c) for k, c in enumerate(("qw", "qx", "qy", "qz"))])
+    return orientation.orient_points(own, found).withColumns({c: F.col(c) + 0.0 for c in "xyz"})
+
+
+@query("D14_membership", """WITH r AS (SELECT model_id AS model_order, image_id, CASE WHEN image_id % 17 = 0 THEN 'other' ELSE 'image' END || CAST(image_id AS VARCHAR) AS name FROM {cameras}), r2 AS (SELECT * FROM r UNION ALL SELECT * FROM r WHERE image_id % 29 = 0),
+  c AS (SELECT *, count(*) OVER (PARTITION BY model_order, image_id) > 1 AS twice FROM r2)
+  SELECT model_order, image_id, name, CASE WHEN twice THEN 'duplicate_image_id' WHEN image_id % 23 = 0 THEN 'unknown_image_id' WHEN image_id % 17 = 0 THEN 'other_name' END AS reason FROM c""")
+def _(v):
+    name = lambda kind: F.concat(kind, F.col("image_id").cast("string"))
+    own = v("cameras").select(F.col("model_id").alias("model_order"), "image_id", name(F.when(F.col("image_id") % 17 == 0, "other").otherwise("image")).alias("name"))
+    known = v("cameras").where("image_id % 23 <> 0").select("image_id", name(F.lit("image")).alias("name"))
+    members_, bad = models.membership(own.unionByName(own.where("image_id % 29 = 0")), known)
+    return members_.withColumn("reason", F.lit(None).cast("string")).unionByName(bad)
+
+
+@query("E2_oriented_sim3")
+def _(v):
+    own = tilted(v).withColumn("window_id", F.col("model_id") * 1_000_000 + F.expr("image_id div 250")).drop("model_id", "name")
+    sim = own.select("window_id").distinct().select("window_id", F.lit("ok").alias("status"), F.lit(2.5).alias("scale"), F.array(*[F.lit(float(x)) for x in (0, -1, 0, 1, 0, 0, 0, 0, 1)]).alias("rotation"), F.array(F.lit(4.0), F.lit(-2.0), F.lit(3.0)).alias("translation"))
+    moved = alignment.align_poses(own, sim, "window_id")
+    both = own.select("window_id", "image_id", *[F.col(c).alias("s" + c) for c in alignment.POSE]).join(moved.select("window_id", "image_id", *[F.col(c).alias("d" + c) for c in alignment.POSE]), ["window_id", "image_id"])
+    near = lambda c: F.transform(c, lambda x: F.round(x, 5) + 0.0)
+    return alignment.estimate_oriented_sim3(both).withColumns({"scale": F.round("scale", 5), "rmse": F.round("rmse", 5), "rotation": near("rotation"), "translation": near("translation")})
+
+
+@query("E4_check_rotations", "SELECT CAST(model_id AS BIGINT) * 1000000 + image_id // 250 AS window_id, count(*) AS views, max(CASE WHEN image_id % 40 = 0 THEN 180.0::DOUBLE ELSE 0 END) AS worst, count(*) >= 2 AND max(image_id % 40 = 0) = false AS ok FROM {cameras} GROUP BY 1")
+def _(v):
+    own = posed(v).withColumn("window_id", F.col("model_id").cast("long") * 1_000_000 + F.expr("image_id div 250"))
+    q = ("qw", "qx", "qy", "qz")
+    turned = own.select("window_id", "image_id", *[F.when(F.col("image_id") % 40 == 0, F.col(q[(k + 1) % 4])).otherwise(F.col(c)).alias(c) for k, c in enumerate(q)])
+    return alignment.check_rotations(own, turned)
+
+
+@query("E4_select_anchors", f"""WITH {_POSED}, c AS (SELECT CAST(model_id AS BIGINT) * 1000000 + image_id // 250 AS window_id, image_id, -sx * tx AS x, -sy * ty AS y, -sz * tz AS z FROM posed), m AS (SELECT window_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM c GROUP BY 1),
+  s AS (SELECT window_id, max(sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2)) AS spread FROM c JOIN m USING (window_id) GROUP BY 1),
+  t AS (SELECT p.window_id, p.image_id AS a, q.image_id AS b, r.image_id AS c, q.x - p.x AS ux, q.y - p.y AS uy, q.z - p.z AS uz, r.x - p.x AS vx, r.y - p.y AS vy, r.z - p.z AS vz FROM c p JOIN c q ON p.window_id = q.window_id AND p.image_id < q.image_id JOIN c r ON r.window_id = q.window_id AND q.image_id < r.image_id),
+  u AS (SELECT *, 0.5::DOUBLE * sqrt((uy * vz - uz * vy) * (uy * vz - uz * vy) + (uz * vx - ux * vz) * (uz * vx - ux * vz) + (ux * vy - uy * vx) * (ux * vy - uy * vx)) AS area FROM t),
+  best AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY area DESC, a, b, c) = 1)
+  SELECT s.window_id, CASE WHEN area > greatest(1e-12, spread * spread * 1e-8) THEN a END AS a, CASE WHEN area > greatest(1e-12, spread * spread * 1e-8) THEN b END AS b, CASE WHEN area > greatest(1e-12, spread * spread * 1e-8) THEN c END AS c, CASE WHEN area > greatest(1e-12, spread * spread * 1e-8) THEN round(area, 9) END AS area FROM s LEFT JOIN best USING (window_id)""")
+def _(v):
+    own = centres(v).select((F.col("model_id").cast("long") * 1_000_000 + F.expr("image_id div 250")).alias("window_id"), "image_id", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
+    return alignment.select_anchors(own).withColumns(r9("area"))
+
+
+@query("E5_pose_deviation")
+def _(v):
+    own = tilted(v)
+    sim = own.select("model_id").distinct().select("model_id", F.lit("ok").alias("status"), F.lit(2.5).alias("scale"), F.array(*[F.lit(float(x)) for x in (0, -1, 0, 1, 0, 0, 0, 0, 1)]).alias("rotation"), F.array(F.lit(4.0), F.lit(-2.0), F.lit(3.0)).alias("translation"))
+    out = alignment.pose_deviation(alignment.align_poses(own, sim), own)
+    return out.withColumns({"centre_p95": F.round("centre_p95", 5) + 0.0, "rotation_p95": F.round("rotation_p95", 4) + 0.0})
+
+
+@query("F2_encode_splats")
+def _(v):
+    at = lambda i: F.col("embedding")[i].cast("double")
+    own = v("embeddings").where("embedding is not null").select(
+        F.col("label").alias("scene"), F.col("vec_id").alias("row_index"), *[at(i).alias(c) for i, c in enumerate("xyz")], at(3).alias("opacity"), *[at(4 + i).alias(f"scale_{i}") for i in range(3)],
+        *[at(7 + i).alias(f"rot_{i}") for i in range(4)], *[at(11 + i).alias(f"f_dc_{i}") for i in range(3)],
+    )
+    return splats.encode_splats(own).select("scene", "row_index", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in ("red", "green", "blue", "alpha")], F.transform("covariance", lambda x: x.cast("double")).alias("covariance"), "reason")
+
+
+@query("F14_held_out_verdict", """WITH p AS (SELECT view_id, label, alpha FROM {contributions}), t AS (SELECT view_id, sum(alpha) AS a FROM p GROUP BY 1), i AS (SELECT view_id, label, round(sum(alpha) / (count(*) + a - sum(alpha)), 9) AS iou FROM p JOIN t USING (view_id) WHERE label <> 0 GROUP BY view_id, label, a), b AS (SELECT view_id, max(iou) AS iou FROM i GROUP BY 1)
+  SELECT count(*) AS views, round(median(iou), 9) AS median, list_sort(list(iou))[1 + CAST(floor((count(*) - 1) / 4) AS BIGINT)] AS quartile, median(iou) >= 0.7 AND list_sort(list(iou))[1 + CAST(floor((count(*) - 1) / 4) AS BIGINT)] >= 0.5 AS passed FROM b""")
+def _(v):
+    return splats.held_out_verdict(splats.soft_iou(v("contributions")).withColumns(r9("iou"))).withColumns(r9("median"))
+
+
+@query("G3_render_cameras", f"""WITH {_POSED}, c AS (SELECT *, -sx * tx AS cx, -sy * ty AS cy, -sz * tz AS cz FROM posed), m AS (SELECT model_id, avg(cx) AS mx, avg(cy) AS my, avg(cz) AS mz FROM c GROUP BY 1), r AS (SELECT model_id, max(sqrt((cx - mx) ** 2 + (cy - my) ** 2 + (cz - mz) ** 2)) AS radius FROM c JOIN m USING (model_id) GROUP BY 1),
+  n AS (SELECT c.*, radius * 0.01::DOUBLE AS near, radius * 100.0::DOUBLE AS far FROM c JOIN r USING (model_id))
+  SELECT model_id AS scene, image_id, round(2 * (focal * 2) / 128, 9) AS p0, round(2 * (focal * 2) / 96, 9) AS p5, 0.0::DOUBLE AS p8, round(far / (near - far), 9) AS p10, round(far / (near - far) * near, 9) AS p14, CAST(sx AS DOUBLE) AS v0, CAST(-sy AS DOUBLE) AS v5, CAST(-sz AS DOUBLE) AS v10, tx AS v12, -ty + 0.0 AS v13, -tz + 0.0 AS v14 FROM n""")
+def _(v):
+    size = {"camera_width": F.lit(64), "camera_height": F.lit(48), "width": F.lit(128), "height": F.lit(96)}
+    out = models.render_cameras(posed(v).withColumnRenamed("model_id", "scene").withColumns(size))
+    pick = lambda m, i: F.round(F.col(m)[i], 9) + 0.0
+    return out.select("scene", "image_id", *[pick("projection", i).alias(f"p{i}") for i in (0, 5, 8, 10, 14)], *[pick("view", i).alias(f"v{i}") for i in (0, 5, 10, 12, 13, 14)])
+
+
+@query("G11_invalid_scene", """WITH r AS (SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey % 3 END AS e, o_orderkey % 13 = 0 AS c, CASE o_orderkey % 5 WHEN 0 THEN ' ' WHEN 1 THEN 'bad_input' ELSE 'no_views' END AS f, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderkey % 7 = 0 END AS p, CASE WHEN o_orderkey % 19 = 0 THEN 'unknown' ELSE 'exit' END AS t FROM {orders}),
+  s AS (SELECT run_id, CASE WHEN e IS NULL THEN 'no exit code' WHEN e = 0 THEN 'unexpected success' WHEN c THEN 'cancelled' WHEN trim(f) = '' THEN 'no failure type' WHEN p IS NULL THEN 'no output evidence' WHEN t = 'unknown' THEN 'no termination reason'
+    ELSE concat_ws('; ', CASE WHEN f <> 'no_views' THEN 'wrong failure type' END, CASE WHEN p THEN 'corrupt output' END) END AS reason FROM r)
+  SELECT run_id, reason, CASE WHEN reason = '' THEN 'passed' WHEN reason LIKE 'no %' THEN 'blocked' ELSE 'failed' END AS status FROM s""")
+def _(v):
+    k = F.col("o_orderkey")
+    own = v("orders").select(
+        k.alias("run_id"), F.when(k % 11 != 0, k % 3).alias("exit_code"), (k % 13 == 0).alias("cancelled"), F.when(k % 5 == 0, " ").when(k % 5 == 1, "bad_input").otherwise("no_views").alias("failure_type"),
+        F.when(k % 17 != 0, k % 7 == 0).alias("corrupt_ply"), F.when(k % 19 == 0, "unknown").otherwise("exit").alias("termination_reason"), F.lit("no_views").alias("expected_failure"),
+    )
+    return evaluation.invalid_scene(own).select("run_id", "reason", "status")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -58,6 +58,21 @@ def project(model: Column, params: Column, u: Column, v: Column) -> tuple[Column
     return x, y
 
 
+def quaternion(r: tuple[Vector, Vector, Vector]) -> Column:
+    """w x y z of the matrix with these rows, as an array; its first part that is not 0 is positive."""
+    # Four times the square of each part; the largest one is the safe divisor.
+    squares = [1 + r[0][0] + r[1][1] + r[2][2], 1 + r[0][0] - r[1][1] - r[2][2], 1 - r[0][0] + r[1][1] - r[2][2], 1 - r[0][0] - r[1][1] + r[2][2]]
+    product = {
+        (0, 1): r[2][1] - r[1][2], (0, 2): r[0][2] - r[2][0], (0, 3): r[1][0] - r[0][1],
+        (1, 2): r[0][1] + r[1][0], (1, 3): r[0][2] + r[2][0], (2, 3): r[1][2] + r[2][1],
+    }
+    parts = [F.array(*[squares[k] if k == i else product[min(i, k), max(i, k)] for i in range(4)]) for k in range(4)]
+    largest = F.greatest(*squares)
+    best = F.when(squares[0] == largest, parts[0]).when(squares[1] == largest, parts[1]).when(squares[2] == largest, parts[2]).otherwise(parts[3])
+    sign = F.signum(F.get(F.filter(best, lambda x: x != 0), F.lit(0)))
+    return F.transform(best, lambda x: x * sign / (2 * F.sqrt(largest)))
+
+
 def world_to_camera(matrix: Column) -> dict[str, Column]:
     """qw to qz, tx to tz and ``valid`` of a camera-to-world matrix with x right, y up and z backwards.
 
@@ -74,15 +89,5 @@ def world_to_camera(matrix: Column) -> dict[str, Column]:
             ok = ok & (F.abs(dot(r[i], r[j]) - float(i == j)) <= 1e-3)
     cross = (r[1][1] * r[2][2] - r[1][2] * r[2][1], r[1][2] * r[2][0] - r[1][0] * r[2][2], r[1][0] * r[2][1] - r[1][1] * r[2][0])
     ok = F.coalesce(ok & (dot(r[0], cross) > 0), F.lit(False))
-    # Four times the square of each part; the largest one is the safe divisor.
-    squares = [1 + r[0][0] + r[1][1] + r[2][2], 1 + r[0][0] - r[1][1] - r[2][2], 1 - r[0][0] + r[1][1] - r[2][2], 1 - r[0][0] - r[1][1] + r[2][2]]
-    product = {
-        (0, 1): r[2][1] - r[1][2], (0, 2): r[0][2] - r[2][0], (0, 3): r[1][0] - r[0][1],
-        (1, 2): r[0][1] + r[1][0], (1, 3): r[0][2] + r[2][0], (2, 3): r[1][2] + r[2][1],
-    }
-    parts = [F.array(*[squares[k] if k == i else product[min(i, k), max(i, k)] for i in range(4)]) for k in range(4)]
-    largest = F.greatest(*squares)
-    best = F.when(squares[0] == largest, parts[0]).when(squares[1] == largest, parts[1]).when(squares[2] == largest, parts[2]).otherwise(parts[3])
-    sign = F.signum(F.get(F.filter(best, lambda x: x != 0), F.lit(0)))
-    q = F.transform(best, lambda x: x * sign / (2 * F.sqrt(largest)))
+    q = quaternion(r)
     return {**{f"q{c}": F.get(q, F.lit(i)) for i, c in enumerate("wxyz")}, **{f"t{c}": t[i] for i, c in enumerate("xyz")}, "valid": ok}

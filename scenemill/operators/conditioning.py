@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenemill.functions import stats
+from scenemill.functions import ranks
 from scenemill.operators import graph, splats
 
 #: Degrees at which a pair of rays counts, and the least adaptive threshold.
@@ -53,11 +53,11 @@ def parallax(observations: DataFrame, centres: DataFrame, points: DataFrame, blo
 def parallax_summary(found: DataFrame) -> DataFrame:
     """Per model: points and observations at each angle, conditioned ones, median and 90% adaptive threshold."""
     steps = ("at_1_5", "at_2", "at_3")
-    return found.groupBy("model_id").agg(
+    sums = found.groupBy("model_id").agg(
         F.count("*").alias("points"), F.sum("rays").alias("observations"), *[F.count_if(F.col(c) > 0).alias(f"points_{c}") for c in steps],
         *[F.sum(c).alias(f"observations_{c}") for c in steps], F.count_if("conditioned").alias("conditioned_points"), F.sum("adaptive").alias("conditioned_observations"),
-        stats.middle("threshold").alias("threshold_median"), stats.nearest_rank("threshold", 0.9).alias("threshold_p90"),
     )
+    return sums.join(ranks.percentiles(found, "model_id", "threshold", {"threshold_median": ("middle", 0.5), "threshold_p90": ("rank", 0.9)}), "model_id", "left")
 
 
 def baseline(centres: DataFrame, ranges: DataFrame, ratio: float = 1e-5) -> DataFrame:
@@ -67,7 +67,7 @@ def baseline(centres: DataFrame, ranges: DataFrame, ratio: float = 1e-5) -> Data
     nearest-rank 10% of the clusters' nearest distances over that range. ranges: (model_id, range). Equal
     centres are one row before they meet; the others meet through cells as wide as the tolerance.
     """
-    depth = ranges.groupBy("model_id").agg(F.median("range").alias("median_range"))
+    depth = ranks.percentiles(ranges, "model_id", "range", {"median_range": ("middle", 0.5)})
     same = centres.groupBy("model_id", "cx", "cy", "cz").agg(F.count("*").alias("n"), F.min("image_id").alias("node")).join(depth, "model_id")
     tol = F.col("median_range") * ratio
     cell = {f"k{c}": F.floor(F.col(f"c{c}") / tol) for c in "xyz"}
@@ -83,7 +83,7 @@ def baseline(centres: DataFrame, ranges: DataFrame, ratio: float = 1e-5) -> Data
     mean = lambda c: (F.sum(F.col(f"c{c}") * F.col("n")) / F.sum("n")).alias(c)
     merged = same.join(roots, ["model_id", "node"]).groupBy("model_id", "root").agg(F.sum("n").alias("n"), *[mean(c) for c in "xyz"])
     spaced = splats.knn(merged.select(F.col("model_id").cast("long").alias("scene"), F.col("root").alias("row_index"), "x", "y", "z"), 1)
-    gaps = spaced.groupBy(F.col("scene").alias("model_id")).agg(stats.nearest_rank("distance", 0.1).alias("_gap"))
+    gaps = ranks.percentiles(spaced, "scene", "distance", {"_gap": ("rank", 0.1)}).withColumnRenamed("scene", "model_id")
     out = merged.groupBy("model_id").agg(F.count("*").alias("centres"), F.max("n").alias("largest")).join(depth, "model_id").join(gaps, "model_id", "left")
     return out.withColumn("baseline", F.coalesce(F.col("_gap") / F.col("median_range"), F.lit(0.0))).drop("_gap")
 
@@ -115,7 +115,7 @@ def spread(points: DataFrame, winsorised: bool, names: tuple[str, str, str] = ("
     if winsorised:
         size = F.sqrt(sum((F.col(f"o{i}") * F.col(f"o{i}") for i in range(3)), F.lit(0.0)))
         off = off.withColumn("_r", size)
-        off = off.join(off.groupBy(key).agg(stats.nearest_rank("_r", 0.99).alias("_limit")), key)
+        off = off.join(ranks.percentiles(off, key, "_r", {"_limit": ("rank", 0.99)}), key)
         pull = F.when((F.col("_limit") > 0) & (F.col("_r") > F.col("_limit")), F.col("_limit") / F.col("_r")).otherwise(F.lit(1.0))
         off = off.select(key, *[(F.col(f"o{i}") * pull).alias(f"o{i}") for i in range(3)])
     products = [F.avg(F.col(f"o{i}") * F.col(f"o{j}")).alias(f"p{i}{j}") for i in range(3) for j in range(i, 3)]

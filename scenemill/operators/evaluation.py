@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from scenemill.functions import stats
+from scenemill.functions import ranks, stats
 
 
 def holdout(images: DataFrame, every: int, key: str = "scene", name: str = "name") -> DataFrame:
@@ -168,13 +168,13 @@ def suite_summary(results: DataFrame) -> DataFrame:
 
 
 def gates(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """(scene_id, status, reasons): a missing metric blocks, a bad value fails, and failure wins.
+    """(scene_id, status, reasons): a missing metric blocks, a bad value fails, and failure wins. A value that is
+    no finite number is a bad one.
 
     metrics: (scene_id, metric, value); thresholds: (metric, low, high), few rows, either bound null.
     """
-    wanted = F.broadcast(thresholds)  # one row for each metric that a contract names
-    seen = metrics.join(wanted, "metric")
-    bad = seen.where("value is null or value < low or value > high").select(
+    seen = metrics.join(thresholds, "metric")  # Spark broadcasts the limits where they are few
+    bad = seen.where("value is null or isnan(value) or value < low or value > high").select(
         "scene_id", F.when(F.col("value").isNull(), F.concat(F.lit("missing "), "metric")).otherwise(F.concat(F.lit("out of range "), "metric")).alias("reason"), F.col("value").isNull().alias("missing")
     )
     found = bad.groupBy("scene_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("reasons"), F.bool_and("missing").alias("only_missing"))
@@ -185,11 +185,11 @@ def gates(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def isolation_gate(captures: DataFrame, large: int = 500_000) -> DataFrame:
     """One row: enough captures, none wrong, quality percentiles and times of captures up to ``large`` splats."""
-    small = F.when(F.col("gaussians") <= large, F.col("seconds"))
-    out = captures.agg(
-        F.count("*").alias("captures"), F.count_if("wrong").alias("wrong"), F.avg("iou").alias("mean_iou"), F.percentile("iou", 0.1).alias("p10_iou"),
-        F.avg("f1").alias("mean_f1"), F.percentile(small, 0.5).alias("p50_seconds"), F.percentile(small, 0.95).alias("p95_seconds"),
-    )
+    own = captures.select("wrong", "iou", "f1", F.when(F.col("gaussians") <= large, F.col("seconds")).alias("seconds"), F.lit(0).alias("_all"))
+    sums = own.groupBy("_all").agg(F.count("*").alias("captures"), F.count_if("wrong").alias("wrong"), F.avg("iou").alias("mean_iou"), F.avg("f1").alias("mean_f1"))
+    shares = ranks.percentiles(own, "_all", "iou", {"p10_iou": ("linear", 0.1)})
+    times = ranks.percentiles(own, "_all", "seconds", {"p50_seconds": ("linear", 0.5), "p95_seconds": ("linear", 0.95)})
+    out = sums.join(shares, "_all", "left").join(times, "_all", "left").select("captures", "wrong", "mean_iou", "p10_iou", "mean_f1", "p50_seconds", "p95_seconds")
     # The release limits.
     ok = (F.col("captures") >= 15) & (F.col("wrong") == 0) & (F.col("mean_iou") >= 0.80) & (F.col("p10_iou") >= 0.65) & (F.col("mean_f1") >= 0.75) & (F.col("p50_seconds") <= 15) & (F.col("p95_seconds") <= 30)
     return out.withColumn("passed", F.coalesce(ok, F.lit(False)))
@@ -298,3 +298,23 @@ def image_metrics(pairs: DataFrame, width: int, height: int) -> DataFrame:
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema if f.name not in ("render", "truth"))
     return pairs.mapInPandas(fn, f"{kept}, psnr double, ssim double")
+
+
+def invalid_scene(runs: DataFrame) -> DataFrame:
+    """Adds ``status`` and ``reason`` to runs over scenes that must fail.
+
+    runs: (exit_code, termination_reason, cancelled, failure_type, corrupt_ply, expected_failure). Without whole
+    evidence a run is blocked; one that succeeds, was cancelled, fails in another way or leaves a corrupt file
+    has failed; the others passed. Several reasons are joined by "; ".
+    """
+    failed = F.array_compact(F.array(
+        F.when(~F.col("failure_type").eqNullSafe(F.col("expected_failure")), "wrong failure type"), F.when(F.col("corrupt_ply"), "corrupt output"),
+    ))
+    known = F.col("termination_reason").isin("exit", "signal", "cancelled")
+    reason = (
+        F.when(F.col("exit_code").isNull(), "no exit code").when(F.col("exit_code") == 0, "unexpected success").when(F.col("cancelled"), "cancelled")
+        .when(F.coalesce(F.trim("failure_type"), F.lit("")) == "", "no failure type").when(F.col("corrupt_ply").isNull() | F.col("cancelled").isNull(), "no output evidence")
+        .when(~F.coalesce(known, F.lit(False)), "no termination reason").otherwise(F.array_join(failed, "; "))
+    )
+    blocked = F.col("reason").isin("no exit code", "no failure type", "no output evidence", "no termination reason")
+    return runs.withColumn("reason", reason).withColumn("status", F.when(F.col("reason") == "", "passed").when(blocked, "blocked").otherwise("failed"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from scenemill.functions import ranks
+
 
 def _clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
@@ -70,8 +72,16 @@ def score_luma(frames: DataFrame, width: int = 64, height: int = 64) -> DataFram
 
 
 def motion(frames: DataFrame) -> DataFrame:
-    """Adds ``motion``: mean difference of centred luma grids to the clip's previous frame, over 32, at most 1."""
-    before = F.lag("luma").over(W.partitionBy("clip_id").orderBy("frame_index"))
+    """Adds ``motion``: mean difference of centred luma grids to the clip's previous frame, over 32, at most 1.
+
+    Where there is a column ``analysed``, only such frames count as previous ones; other frames have no motion.
+    """
+    order = W.partitionBy("clip_id").orderBy("frame_index")
+    if "analysed" in frames.columns:
+        seen = F.last(F.when(F.col("analysed"), F.col("luma")), ignorenulls=True)
+        before = F.when(F.col("analysed"), seen.over(order.rowsBetween(W.unboundedPreceding, -1)))
+    else:
+        before = F.lag("luma").over(order)
 
     @F.pandas_udf("double")
     def differ(now: pd.Series, then: pd.Series) -> pd.Series:
@@ -87,50 +97,93 @@ def motion(frames: DataFrame) -> DataFrame:
     return frames.withColumn("motion", differ("luma", before))
 
 
-def _repair(fps: float):
-    step = 1.0 / fps
+def safe_rate(rate: float) -> float:
+    """Frames a second to analyse: at least one; one, where it is no positive number."""
+    return max(rate, 1.0) if np.isfinite(rate) and rate > 0 else 1.0
 
-    def fn(clip: pd.DataFrame) -> pd.DataFrame:
-        clip = clip.sort_values("frame_index", kind="stable")
-        last, times, fixed = None, [], []
-        for i, t in zip(clip["frame_index"], clip["t"], strict=True):
-            good = t is not None and np.isfinite(t) and t >= 0 and (last is None or t > last)
-            if not good:
-                guess = i * step
-                t = guess if last is None or guess > last else last + step
-            times.append(float(t))
-            fixed.append(not good)
-            last = float(t)
-        return clip.assign(t=times, repaired=fixed)
 
-    return fn
+def analysis_rate(duration: Column, target_fps: float, target_count: int) -> Column:
+    """The asked rate, or three frames for each one that is wanted, whichever is more."""
+    base = float(max(1, target_fps))
+    fine = duration.isNotNull() & ~F.isnan(duration) & (duration > 0) & (duration < float("inf"))
+    return F.when(fine, F.greatest(F.lit(base), F.lit(3.0 * max(1, target_count)) / duration)).otherwise(F.lit(base))
+
+
+class TimeRepair:
+    """Times of one clip, frame by frame: each is after the one before."""
+
+    def __init__(self, fps: float, last: float | None = None):
+        self.fps, self.last = fps if np.isfinite(fps) and fps > 0 else 30.0, last
+
+    def __call__(self, frame: int, t: float | None) -> tuple[float, bool]:
+        """(time, whether it was repaired)."""
+        usable = t is not None and np.isfinite(t) and t >= 0
+        good = usable and (self.last is None or t > self.last)
+        if not good:
+            t = t if usable else frame / self.fps
+            if self.last is not None and t <= self.last:
+                t = self.last + 1 / self.fps
+        self.last = float(t)
+        return self.last, not good
+
+
+class Due:
+    """Whether frames of one clip are analysed: the first, then the first at or after each due time."""
+
+    def __init__(self, rate: float, fps: float, due: float | None = None):
+        rate = safe_rate(rate)
+        self.step, self.due = 1.0 / rate, due
+        self.tolerance = 0.5 / max(fps if np.isfinite(fps) and fps > 0 else 1.0, rate)
+
+    def _after(self, t: float) -> float:
+        return t + self.step if t + self.step > t else float(np.nextafter(t, np.inf))
+
+    def __call__(self, t: float | None) -> bool:
+        if t is None or not np.isfinite(t) or t < 0:
+            return False
+        reach = t + self.tolerance
+        if self.due is None:
+            self.due = self._after(t)
+            return True
+        if reach < self.due:
+            return False
+        ahead = self.due + (np.floor((reach - self.due) / self.step) + 1) * self.step
+        self.due = float(ahead) if ahead > reach else self._after(reach)
+        return True
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
 def repair_timestamps(frames: DataFrame, fps: float = 30.0) -> DataFrame:
-    """Per clip, a time that is not finite, negative or not after the one before becomes frame / fps, or the
-    one before plus a frame; ``repaired`` tells. A recurrence, so each clip is one group."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema)
-    return frames.groupBy("clip_id").applyInPandas(_repair(fps), f"{fields}, repaired boolean")
+    """Per clip, a time that is no number or negative becomes frame / fps; one that is still not after the
+    time before becomes that time plus a frame. ``repaired`` tells. A recurrence, so each clip is one group."""
+
+    def fn(clip: pd.DataFrame) -> pd.DataFrame:
+        clip = clip.sort_values("frame_index", kind="stable")
+        repair = TimeRepair(fps)
+        done = [repair(i, t) for i, t in zip(clip["frame_index"], clip["t"], strict=True)]
+        return clip.assign(t=[t for t, _ in done], repaired=[r for _, r in done])
+
+    return frames.groupBy("clip_id").applyInPandas(fn, f"{_fields(frames)}, repaired boolean")
 
 
 def schedule(frames: DataFrame, rate: float, fps: float) -> DataFrame:
-    """Adds ``analysed``: the first frame, then the first at or after each due time, and always the last."""
-    tolerance, step = 0.5 / max(fps, rate), 1.0 / rate
+    """Adds ``analysed``: the first frame, then the first at or after each due time, and always the last.
+
+    The rate is one a second at least. Frames whose time is no number or negative are only taken as the last.
+    """
 
     def fn(clip: pd.DataFrame) -> pd.DataFrame:
         clip = clip.sort_values(["t", "frame_index"], kind="stable")
-        take, due = [], None
-        for t in clip["t"]:
-            hit = due is None or t + tolerance >= due
-            if hit:
-                due = t + step if due is None else due + step * max(1, int(np.floor((t + tolerance - due) / step)) + 1)
-            take.append(hit)
+        due = Due(rate, fps)
+        take = [due(t) for t in clip["t"]]
         if take:
             take[-1] = True
         return clip.assign(analysed=take)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema)
-    return frames.groupBy("clip_id").applyInPandas(fn, f"{fields}, analysed boolean")
+    return frames.groupBy("clip_id").applyInPandas(fn, f"{_fields(frames)}, analysed boolean")
 
 
 def select_timeline(candidates: DataFrame, count: int, spacing: float = 0.0) -> DataFrame:
@@ -196,45 +249,93 @@ def frame_target(clips: DataFrame, ceiling: int, rate: float, fast: bool) -> Dat
     return clips.groupBy("capture_id").agg(F.when(~bad, want if fast else F.lit(ceiling)).cast("long").alias("target"))
 
 
+def _proportional(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Adds ``extra``: the ``total`` of each key shared out by ``weight`` within ``room``, largest remainder.
+
+    Rows that are full at their share are filled first and the others share the rest; that ends at one level,
+    so rows in the order of room by weight are full up to some point. A key's rows meet in windows, which
+    Spark spills; ties go to the smaller ``order``.
+    """
+    usable = (F.col("room") > 0) & (F.col("weight") > 0) & (F.col("weight") < float("inf"))
+    own = rows.withColumn("_w", F.when(F.coalesce(usable, F.lit(False)), F.col("weight"))).withColumn("_r", F.when(F.col("_w").isNotNull(), F.col("room")))
+    by_level = W.partitionBy(key).orderBy(F.col("_r") / F.col("_w"), order).rowsBetween(W.unboundedPreceding, -1)
+    every = W.partitionBy(key)
+    left = F.col("total") - F.coalesce(F.sum("_r").over(by_level), F.lit(0))
+    weigh = F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(by_level), F.lit(0.0))
+    own = own.withColumn("_full", F.coalesce(F.col("_r") / F.col("_w") <= left / weigh, F.lit(False)))
+    spent = F.coalesce(F.sum(F.when(F.col("_full"), F.col("_r"))).over(every), F.lit(0))
+    open_ = F.sum(F.when(~F.col("_full"), F.col("_w"))).over(every)
+    own = own.withColumn("_rest", F.col("total") - spent).withColumn("_ideal", F.when(~F.col("_full"), F.col("_rest") * F.col("_w") / open_))
+    own = own.withColumn("_whole", F.floor("_ideal"))
+    own = own.withColumn("_more", F.col("_rest") - F.coalesce(F.sum("_whole").over(every), F.lit(0)))
+    place = F.row_number().over(W.partitionBy(key).orderBy(F.desc_nulls_last(F.col("_ideal") - F.col("_whole")), order))
+    one = F.when(place <= F.col("_more"), 1).otherwise(0)
+    extra = F.when(F.col("_full"), F.col("_r")).when(F.col("_ideal").isNotNull(), F.col("_whole") + one).otherwise(F.lit(0))
+    return own.withColumn("extra", extra.cast("long")).drop("_w", "_r", "_full", "_rest", "_ideal", "_whole", "_more")
+
+
 def allocate(clips: DataFrame, budget: int) -> DataFrame:
     """(capture_id, clip_id, frames): two for each clip (or what it has), the rest by length, largest remainder.
 
-    Clips that are full hand their share on; ties go to the smaller clip id. Where the budget can't cover
-    all clips, frames is null. A capture has few clips, so each is one group.
+    Clips that are full hand their share on; ties go to the smaller clip id. Where the budget can't cover all
+    clips, or one with frames has no positive length, frames is null in the whole capture.
     """
-
-    def fn(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("clip_id", kind="stable")
-        room, length = rows["available"].to_numpy(np.int64), rows["duration"].to_numpy(float)
-        given = np.minimum(2, room)
-        left = budget - int(given.sum())
-        out: list = [None] * len(rows)
-        if left >= 0:
-            while left > 0 and (room > given).any():
-                open_ = room > given
-                weight = np.where(open_, np.maximum(length, 0), 0)
-                weight = weight if weight.sum() > 0 else open_.astype(float)
-                share = left * weight / weight.sum()
-                whole = np.minimum(np.floor(share).astype(np.int64), room - given)
-                if whole.sum() == 0:
-                    order = np.lexsort((np.arange(len(share)), -(share - np.floor(share)), ~open_))
-                    for i in order[: min(left, int(open_.sum()))]:
-                        whole[i] = 1
-                given, left = given + whole, left - int(whole.sum())
-            out = given.tolist()
-        return pd.DataFrame({"capture_id": rows["capture_id"].to_numpy(), "clip_id": rows["clip_id"].to_numpy(), "frames": pd.array(out, "Int64")})
-
-    return clips.groupBy("capture_id").applyInPandas(fn, "capture_id long, clip_id long, frames long")
-
-
-def project_budget(rows: DataFrame, k: int, key: str, order: str) -> DataFrame:
-    """Rows of each group at k even positions, rounded half away from zero; the middle one for k = 1."""
-    w = W.partitionBy(key)
-    placed = rows.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
+    every = W.partitionBy("capture_id")
+    fine = (F.col("duration") > 0) & (F.col("duration") < float("inf"))
+    bad = (F.col("available") < 0) | ((F.col("available") > 0) & ~F.coalesce(fine, F.lit(False)))
+    least = F.least(F.lit(2), F.col("available"))
+    rows = clips.select("capture_id", "clip_id", F.col("available").cast("long").alias("available"), F.col("duration").cast("double").alias("weight"), bad.alias("_bad"), least.cast("long").alias("_least"))
+    most = F.least(F.lit(budget).cast("long"), F.sum("available").over(every))
+    rows = rows.withColumn("total", most - F.sum("_least").over(every)).withColumn("_bad", F.max("_bad").over(every)).withColumn("room", F.col("available") - F.col("_least"))
+    if budget <= 0:
+        return rows.select("capture_id", "clip_id", F.when(~F.col("_bad"), F.lit(0)).cast("long").alias("frames"))
+    done = _proportional(rows.withColumn("_left", F.col("total")).withColumn("total", F.greatest("total", F.lit(0))), "capture_id", "clip_id")
+    frames = F.when(~F.col("_bad") & (F.col("_left") >= 0), F.col("_least") + F.col("extra"))
+    return done.select("capture_id", "clip_id", frames.alias("frames"))
+
+
+def allocate_mixed(groups: DataFrame, budget: int, use_all_photos: bool = False) -> DataFrame:
+    """(capture_id, group_id, frames) of groups (capture_id, group_id, is_video, available).
+
+    Without ``use_all_photos`` a capture within the budget keeps all; else each video gets two frames (or what
+    it has) and the rest goes by what is left in all groups. With it all photos stay and videos share what they
+    leave; frames is null in the capture where photos leave less than what is reserved for videos: what there
+    is, at most the larger of two a video and a quarter of the budget. Null as well where two a video is too much.
+    """
+    every = W.partitionBy("capture_id")
+    budget = max(0, budget)
+    rows = groups.select("capture_id", "group_id", "is_video", F.col("available").cast("long").alias("available"))
+    photo = lambda x: F.sum(F.when(~F.col("is_video"), x).otherwise(0)).over(every)
+    video = lambda x: F.sum(F.when(F.col("is_video"), x).otherwise(0)).over(every)
+    if use_all_photos:
+        quarter = F.greatest(2 * video(F.lit(1)), F.lit(budget // 4))
+        reserve = F.least(video(F.col("available")), F.when(video(F.lit(1)) > 0, F.least(F.lit(budget), quarter)).otherwise(0))
+        rows = rows.withColumn("_ok", photo(F.col("available")) <= F.greatest(F.lit(0), F.lit(budget) - reserve)).withColumn("_goal", F.greatest(F.lit(0), F.lit(budget) - photo(F.col("available"))))
+        rows = rows.withColumn("_mine", F.col("is_video"))
+    else:
+        rows = rows.withColumn("_ok", F.lit(True)).withColumn("_goal", F.lit(budget)).withColumn("_mine", F.lit(True))
+    there = F.sum(F.when(F.col("_mine"), F.col("available")).otherwise(0)).over(every)
+    rows = rows.withColumn("_all", there <= F.col("_goal"))
+    rows = rows.withColumn("_least", F.when(F.col("_mine") & F.col("is_video") & ~F.col("_all") & (F.col("_goal") > 0), F.least(F.lit(2), F.col("available"))).otherwise(0))
+    rows = rows.withColumn("_left", F.col("_goal") - F.sum("_least").over(every)).withColumn("total", F.greatest("_left", F.lit(0)))
+    rows = rows.withColumn("room", F.when(F.col("_mine"), F.col("available") - F.col("_least")).otherwise(0)).withColumn("weight", F.col("room").cast("double"))
+    done = _proportional(rows, "capture_id", "group_id")
+    frames = F.when(~F.col("_mine") | F.col("_all"), F.col("available")).otherwise(F.col("_least") + F.col("extra"))
+    return done.select("capture_id", "group_id", F.when(F.col("_ok") & ((F.col("_left") >= 0) | F.col("_all")), frames).cast("long").alias("frames"))
+
+
+def project_budget(rows: DataFrame, k: int, key: str, order: str, mode: str = "even") -> DataFrame:
+    """Rows of each group, k at most. ``even``: at even positions, rounded half away from zero, the middle one
+    for k = 1; ``prefix``: the first ones; ``preserve``: all, or none of a group that has more."""
+    placed = ranks.number_rows(rows, key, [order])
+    if mode == "prefix":
+        return placed.where(F.col("_i") < k).drop("_i", "_n")
+    if mode == "preserve":
+        return placed.where(F.col("_n") <= k).drop("_i", "_n")
     if k == 1:
         return placed.where(F.col("_i") == F.floor(F.col("_n") / 2)).drop("_i", "_n")
     spots = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda s: F.round(s * (F.col("_n") - 1) / F.lit(float(k - 1))).cast("int"))
-    return placed.where((F.col("_n") <= k) | F.array_contains(spots, F.col("_i"))).drop("_i", "_n")
+    return placed.where((F.col("_n") <= k) | F.array_contains(spots, F.col("_i").cast("int"))).drop("_i", "_n")
 
 
 def dedupe_exact(photos: DataFrame) -> DataFrame:
@@ -243,9 +344,17 @@ def dedupe_exact(photos: DataFrame) -> DataFrame:
 
 
 def dedupe_companions(photos: DataFrame) -> DataFrame:
-    """Photos without the rendered one of a pair: one stem, exactly one raw and one rendered file, one width."""
-    pair = photos.groupBy("capture_id", "stem").agg(F.count("*").alias("n"), F.count_if("is_raw").alias("raw"), F.count_distinct("width").alias("widths"))
-    drop = pair.where("n = 2 and raw = 1 and widths = 1").select("capture_id", "stem", F.lit(False).alias("is_raw"))
+    """Photos without the rendered one of a pair: one stem, exactly one raw and one rendered file, and as many of
+    the columns width, height, exif as there are equal in both (two nulls are equal)."""
+    same = [c for c in ("width", "height", "exif") if c in photos.columns]
+    pair = photos.groupBy("capture_id", "stem").agg(
+        F.count("*").alias("n"), F.count_if("is_raw").alias("raw"),
+        *[((F.count_distinct(c) <= 1) & F.count(c).isin(0, 2)).alias(f"_{c}") for c in same],
+    )
+    alike = F.lit(True)
+    for c in same:
+        alike = alike & F.col(f"_{c}")
+    drop = pair.where("n = 2 and raw = 1").where(alike).select("capture_id", "stem", F.lit(False).alias("is_raw"))
     return photos.join(drop, ["capture_id", "stem", "is_raw"], "left_anti")
 
 

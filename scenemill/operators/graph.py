@@ -4,37 +4,27 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from scenemill.functions import stats
+from scenemill.functions import ranks
+from scenemill.functions.storage import cut
 
 #: Fixed value: image ids are below this number in an encoded pair.
 PAIR_BASE = 2147483647
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The rows computed once, in the folder of spark.checkpoint.dir (in local mode, where unset, one of our own)."""
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            folder = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
-def components(nodes: DataFrame, edges: DataFrame, key: str, most_rounds: int = 40) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, key: str, most_rounds: int = 100) -> DataFrame:
     """(key, node, root): each node's smallest reachable node; nodes (key, node), edges (key, a, b).
 
     Large-star and small-star steps in turn, all keys at once; a round is two joins of the edges with their
-    least neighbours, and is cut. Two numbers a round come to the driver.
+    least neighbours; these are cut as well, and read without their order, so that Spark can split what the root
+    of a large component brings to a join. Two numbers a round come to the driver. A graph that is still
+    changing after ``most_rounds`` is an error.
     """
     pairs = edges.where("a <> b").select(key, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs, state = _cut(pairs), None
+    pairs, state = cut(pairs), None
     for _ in range(most_rounds):
         either = F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
         both = pairs.select(key, either)
@@ -42,11 +32,13 @@ def components(nodes: DataFrame, edges: DataFrame, key: str, most_rounds: int =
         large = both.join(least, [key, "a"]).where("b > a").select(key, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy(key, "a").agg(F.min("b").alias("m"))
         moved = F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
-        pairs = _cut(large.join(least, [key, "a"]).select(key, moved).where("a <> b").distinct())
+        pairs = cut(large.join(least, [key, "a"]).select(key, moved).where("a <> b").distinct())
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64(key, "a", "b").cast("decimal(38,0)"))).first())
-        if now == state:
+        if now == state or not now[0]:
             break
         state = now
+    else:
+        raise RuntimeError(f"components: the graph was still changing after {most_rounds} rounds")
     found = pairs.select(key, F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.join(found, [key, "node"], "left").select(key, "node", F.coalesce("root", "node").alias("root"))
 
@@ -81,9 +73,8 @@ def degrees(images: DataFrame, edges: DataFrame) -> DataFrame:
     """Per capture: nearest-rank percentiles of the degree, and isolated images. edges: (capture_id, a, b)."""
     ends = edges.select("capture_id", F.explode(F.array("a", "b")).alias("image_id")).groupBy("capture_id", "image_id").agg(F.count("*").alias("n"))
     all_ = images.join(ends, ["capture_id", "image_id"], "left").withColumn("degree", F.coalesce("n", F.lit(0)))
-    return all_.groupBy("capture_id").agg(
-        *[stats.nearest_rank("degree", p / 100).alias(f"p{p}") for p in (10, 50, 90)], F.count_if(F.col("degree") == 0).alias("isolated")
-    )
+    lonely = all_.groupBy("capture_id").agg(F.count_if(F.col("degree") == 0).alias("isolated"))
+    return ranks.percentiles(all_, "capture_id", "degree", ranks.names([0.1, 0.5, 0.9])).join(lonely, "capture_id")
 
 
 def component_summary(members: DataFrame) -> DataFrame:
@@ -156,12 +147,27 @@ def biconnectivity(edges: DataFrame) -> DataFrame:
     return edges.groupBy("capture_id").applyInPandas(fn, "capture_id long, articulations long, blocks long, largest long, second long")
 
 
+def descriptorless(images: DataFrame, descriptors: DataFrame, schedule: DataFrame) -> DataFrame:
+    """(capture_id, image_id, name): scheduled images whose descriptors have no rows.
+
+    images: (capture_id, image_id, name); descriptors: (capture_id, image_id, rows); schedule: (capture_id, i, j).
+    """
+    used = schedule.select("capture_id", F.explode(F.array("i", "j")).alias("image_id"))
+    bare = descriptors.where("rows = 0").select("capture_id", "image_id")
+    return images.join(bare, ["capture_id", "image_id"], "left_semi").join(used, ["capture_id", "image_id"], "left_semi").select("capture_id", "image_id", "name")
+
+
 def table_digest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """(key, rows, digest): SHA-256 over the ordered rows' SHA-256, so equal tables have equal digests.
+    """(key, rows, digest) by which equal tables agree, whatever the order of their rows.
 
-    Rows are hashed where they are; only 64 characters of each meet the others of their key.
+    A row's SHA-256 is of its JSON without the key. Rows are put in order in buckets by the MD5 of ``order``
+    (its first three digits) and their hashes hashed; the digest is of the buckets' names and hashes in order. So
+    a bucket of the largest table holds a 4096th of it.
     """
     row = F.sha2(F.to_json(F.struct(*[c for c in df.columns if c != key]), {"ignoreNullFields": "false"}), 256)
-    own = df.select(key, F.struct(*order, row.alias("_h")).alias("_r"))
+    place = F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in order])), 1, 3)
+    own = df.select(key, place.alias("_b"), F.struct(*order, row.alias("_h")).alias("_r"))
     hashes = F.transform(F.array_sort(F.collect_list("_r")), lambda r: r["_h"])
-    return own.groupBy(key).agg(F.count("*").alias("rows"), F.sha2(F.array_join(hashes, ""), 256).alias("digest"))
+    bucket = own.groupBy(key, "_b").agg(F.count("*").alias("_n"), F.sha2(F.array_join(hashes, ""), 256).alias("_h"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda x: F.concat(x["_b"], x["_h"]))
+    return bucket.groupBy(key).agg(F.sum("_n").alias("rows"), F.sha2(F.array_join(whole, ""), 256).alias("digest"))

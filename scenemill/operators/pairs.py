@@ -21,6 +21,14 @@ def clip_violations(manifest: DataFrame) -> DataFrame:
     return mixed.unionByName(again).unionByName(back).unionByName(stamped).distinct()
 
 
+def clips_of(manifest: DataFrame) -> DataFrame:
+    """(capture_id, clip_id, place, is_video, images): a capture's clips in the order in which they first occur,
+    by the position of their first image in the manifest (capture_id, clip_id, is_video, position)."""
+    own = manifest.groupBy("capture_id", "clip_id").agg(F.min("position").alias("_first"), F.bool_or("is_video").alias("is_video"), F.count("*").alias("images"))
+    place = F.row_number().over(W.partitionBy("capture_id").orderBy("_first", "clip_id")) - 1
+    return own.select("capture_id", "clip_id", place.alias("place"), "is_video", "images")
+
+
 def temporal_pairs(images: DataFrame, offsets: list[int]) -> DataFrame:
     """(capture_id, i, j, role): each image with those ``offsets`` after it in its clip, by an equi-join."""
     ahead = images.select("capture_id", "clip_id", F.col("i").alias("i"), F.explode(F.array(*[F.col("pos") + o for o in offsets])).alias("pos"))
@@ -68,6 +76,9 @@ def admit_neighbours(ranked: DataFrame, base: DataFrame, cap: int, least_gap: in
 def pose_pairs(cameras: DataFrame, k: int = 8, exhaustive: int = 60) -> DataFrame:
     """(model_id, a, b): all pairs of small models; else each camera's k best by distance and view direction.
 
+    A camera is scored against all of its model, so a model's pairs are the square of its cameras (thousands); they
+    meet once, by camera, and only the best of each camera go on.
+
     Distance counts in median nearest-neighbour spacings, times 1.5 - 0.5 * cosine of the directions.
     cameras: (model_id, image_id, cx, cy, cz, fx, fy, fz).
     """
@@ -133,6 +144,18 @@ def camera_groups(images: DataFrame, mode: str) -> DataFrame:
     return images.withColumn("camera_group", group)
 
 
+def camera_group_check(grouped: DataFrame, cameras: DataFrame, key: str = "capture_id") -> DataFrame:
+    """(key, groups, cameras, ok): whether groups of images and camera ids correspond one to one.
+
+    grouped: (key, image, camera_group); cameras: (key, image, camera_id), as assigned. Images without a camera
+    are not ok.
+    """
+    both = grouped.join(cameras.select(key, "image", "camera_id"), [key, "image"], "left")
+    pairs = both.groupBy(key, "camera_group", "camera_id").agg(F.lit(1).alias("_one"))
+    out = pairs.groupBy(key).agg(F.count_distinct("camera_group").alias("groups"), F.count_distinct("camera_id").alias("cameras"), F.count("*").alias("_n"), F.count_if(F.col("camera_id").isNull()).alias("_bare"))
+    return out.select(key, "groups", "cameras", ((F.col("groups") == F.col("_n")) & (F.col("cameras") == F.col("_n")) & (F.col("_bare") == 0)).alias("ok"))
+
+
 def camera_axes(cameras: DataFrame) -> DataFrame:
     """Adds the centre (cx, cy, cz) and view direction (fx, fy, fz) of poses (qw, qx, qy, qz, tx, ty, tz)."""
     rows = geometry.rotation(*[F.col(c) for c in ("qw", "qx", "qy", "qz")])

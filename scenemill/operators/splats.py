@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from scenemill.functions import ranks
+from scenemill.functions.storage import cut
+
 #: Fixed value: the least weight of a pixel contribution, in single precision.
 LEAST_WEIGHT = float(np.float32(0.04))
 #: Fixed value: the constant term of spherical harmonics.
@@ -46,10 +49,102 @@ def sh_color(splats: DataFrame, cameras: DataFrame) -> DataFrame:
     return seen.select("scene", "view_id", "row_index", *[shade(k).alias(c) for k, c in enumerate(("red", "green", "blue"))])
 
 
+def _odd(c) -> Column:
+    x = F.col(c).cast("double") if isinstance(c, str) else c
+    return x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+
+
 def validate_splats(splats: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds ``reason``, the first ground on which a row is bad, or null."""
-    odd = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))
-    return splats.withColumn("reason", F.coalesce(*[F.when(odd(c), F.lit(f"non_finite_{c}")) for c in columns]))
+    """Adds ``reason``, the first ground on which a row is bad, or null.
+
+    Grounds: a column of ``columns`` that is no finite number; a rotation shorter than 1e-8 (where there are
+    rot_0 to rot_3); another number of higher terms than 45, or one that is no number, in sh_rest (null: none);
+    a colour outside 0 to 255 (where there are color_0 to color_2).
+    """
+    checks = [F.when(_odd(c), F.lit(f"non_finite_{c}")) for c in columns]
+    if "rot_0" in splats.columns:
+        size = F.sqrt(sum((F.col(f"rot_{i}").cast("double") ** 2 for i in range(4)), F.lit(0.0)))
+        checks.append(F.when(size < 1e-8, F.lit("degenerate_rotation")))
+    if "sh_rest" in splats.columns:
+        checks.append(F.when(F.size("sh_rest") != 45, F.lit("sh_count")))
+        checks.append(F.when(F.exists("sh_rest", lambda x: _odd(x.cast("double"))), F.lit("non_finite_sh")))
+    if "color_0" in splats.columns:
+        for i in range(3):
+            checks.append(F.when(~F.col(f"color_{i}").cast("double").between(0, 255), F.lit("color_range")))
+    return splats.withColumn("reason", F.coalesce(*checks))
+
+
+def _half(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return x.astype(np.float16)
+
+
+def _definite(c: list[np.ndarray]) -> np.ndarray:
+    """Whether symmetric matrices (xx, xy, xz, yy, yz, zz) in half precision have no negative minor."""
+    xx, xy, xz, yy, yz, zz = (x.astype(np.float64) for x in c)
+    whole = xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz)
+    minors = [xx, yy, zz, xx * yy - xy * xy, xx * zz - xz * xz, yy * zz - yz * yz, whole]
+    return np.logical_and.reduce([m >= 0 for m in minors])
+
+
+def encode_splats(splats: DataFrame) -> DataFrame:
+    """Adds red, green, blue, alpha, covariance (xx, xy, xz, yy, yz, zz in half precision) and reason.
+
+    The covariance is that of the turned and scaled splat; where rounding makes it indefinite, its diagonal
+    goes up by a unit of the last place, twice at most. Colours are those of the constant harmonic (f_dc_0 to 2)
+    or color_0 to 2 of 0 to 255; alpha is the sigmoid of the opacity. A row with a reason has no encoding.
+    """
+    numbers = ["x", "y", "z", "opacity", *[f"scale_{i}" for i in range(3)], *[f"rot_{i}" for i in range(4)]]
+    harmonic = "f_dc_0" in splats.columns
+    shade = [f"f_dc_{i}" if harmonic else f"color_{i}" for i in range(3)]
+
+    def fn(batches):
+        for b in batches:
+            f = {c: b[c].to_numpy(np.float32, na_value=np.nan) for c in [*numbers, *shade]}
+            with np.errstate(all="ignore"):
+                scale = np.exp(np.stack([f[f"scale_{i}"] for i in range(3)], 1))
+                q = np.stack([f[f"rot_{i}"] for i in range(4)], 1)
+                size = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
+                w, x, y, z = (q * (1 / size).astype(np.float32)[:, None]).T
+                rows = np.stack([
+                    1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y), 2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x),
+                    2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y),
+                ], 1).reshape(-1, 3, 3)
+                turned = rows * scale[:, None, :]
+                full = np.einsum("nij,nkj->nik", turned, turned)
+                part = [full[:, i, j] for i, j in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))]
+                half = [_half(v) for v in part]
+                for _ in range(2):
+                    off = ~_definite(half)
+                    for k in (0, 3, 5):
+                        half[k] = np.where(off, np.nextafter(half[k], np.float16(np.inf)), half[k])
+                c = np.stack([f[k] for k in shade], 1)
+                color = np.maximum(0, np.float32(0.5) + np.float32(SH0) * c) if harmonic else c / np.float32(255)
+                o = f["opacity"].astype(np.float64)
+                alpha = np.where(o >= 0, 1 / (1 + np.exp(-np.abs(o))), np.exp(-np.abs(o)) / (1 + np.exp(-np.abs(o)))).astype(np.float32)
+                all_ = lambda *v: np.logical_and.reduce([np.isfinite(x) for x in v])
+                grounds = [
+                    ("non_finite_position", ~all_(f["x"], f["y"], f["z"])), ("non_finite_opacity", ~np.isfinite(o)),
+                    ("non_finite_log_scale", ~all_(*[f[f"scale_{i}"] for i in range(3)])), ("non_finite_scale", ~all_(*scale.T)),
+                    ("non_finite_rotation", ~all_(*q.T)), ("degenerate_rotation", ~(size >= 1e-8)),
+                    ("non_finite_covariance", ~all_(*part)), ("unrepresentable_covariance", ~all_(*[_half(v) for v in part])),
+                    ("indefinite_covariance", ~(all_(*half) & _definite(half))),
+                    ("invalid_color", ~all_(*_half(c).T) if harmonic else ~((c >= 0) & (c <= 255)).all(axis=1)),
+                ]
+            reason = np.full(len(b), None, object)
+            for name, bad in reversed(grounds):
+                reason[bad] = name
+            fine = reason == None  # noqa: E711
+            out = b.copy()
+            for k, name in enumerate(("red", "green", "blue")):
+                out[name] = np.where(fine, color[:, k], np.nan)
+            out["alpha"] = np.where(fine, alpha, np.nan)
+            out["covariance"] = [m.tolist() if ok else None for m, ok in zip(np.stack(half, 1).astype(np.float32), fine, strict=True)]
+            yield out.assign(reason=reason)
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in splats.schema)
+    made = splats.mapInPandas(fn, f"{own}, red float, green float, blue float, alpha float, covariance array<float>, reason string")
+    return made.withColumns({c: F.when(F.col("reason").isNull(), F.col(c)) for c in ("red", "green", "blue", "alpha")})
 
 
 def scene_bounds(splats: DataFrame) -> DataFrame:
@@ -60,22 +155,18 @@ def scene_bounds(splats: DataFrame) -> DataFrame:
     count = rows.groupBy("scene").agg(F.count("*").alias("rows"), F.count_if("_seen").alias("visible"))
     enough = F.col("visible") >= F.greatest(F.lit(8), F.ceil(F.col("rows") / 1000))
     used = rows.join(count, "scene").where(F.col("_seen") | ~enough)
-    middle = used.groupBy("scene").agg(F.first("rows").alias("rows"), F.first("visible").alias("visible"), *[F.median(c).alias("c" + c) for c in "xyz"])
+    middle = count
+    for c in "xyz":
+        middle = middle.join(ranks.percentiles(used, "scene", c, {"c" + c: ("middle", 0.5)}), "scene")
     off = F.sqrt(sum(((F.col(c) - F.col("c" + c)) ** 2 for c in "xyz"), F.lit(0.0))) + 3 * F.exp("scale")
-    far = used.drop("rows", "visible").join(middle, "scene").withColumn("_d", off)
-    return far.groupBy("scene", "rows", "visible", "cx", "cy", "cz").agg(F.expr("percentile_disc(0.995) WITHIN GROUP (ORDER BY _d)").alias("radius"))
+    far = used.drop("rows", "visible").join(middle.select("scene", "cx", "cy", "cz"), "scene").withColumn("_d", off)
+    return middle.join(ranks.percentiles(far, "scene", "_d", {"radius": ("rank", 0.995)}), "scene")
 
 
 def systematic_sample(df: DataFrame, limit: int, key: str, order: str) -> DataFrame:
     """At most ``limit`` rows of each key at even positions, rounded half away from zero."""
-    w = W.partitionBy(key)
-    placed = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
-    step = (F.col("_n") - 1) / F.lit(float(max(1, limit - 1)))
-    slot = F.round(F.col("_i") / step)  # the only slot that can fall on this row
-    near = [F.round((slot + k) * step) == F.col("_i") for k in (-1, 0, 1)]
-    bound = [(slot + k >= 0) & (slot + k <= limit - 1) for k in (-1, 0, 1)]
-    hit = (near[0] & bound[0]) | (near[1] & bound[1]) | (near[2] & bound[2])
-    return placed.where((F.col("_n") <= limit) | hit).drop("_i", "_n")
+    placed = ranks.number_rows(df, key, [order])
+    return placed.where(ranks.even_positions(F.col("_n"), F.col("_i"), limit)).drop("_i", "_n")
 
 
 def depth_rank(splats: DataFrame, cameras: DataFrame, radial: bool = True) -> DataFrame:
@@ -85,9 +176,9 @@ def depth_rank(splats: DataFrame, cameras: DataFrame, radial: bool = True) -> Da
     """
     gap = [F.col(c) - F.col("c" + c) for c in "xyz"]
     depth = sum((g * g for g in gap), F.lit(0.0)) if radial else sum((g * F.col("f" + c) for g, c in zip(gap, "xyz", strict=True)), F.lit(0.0))
-    seen = splats.join(cameras, "scene").withColumn("_d", depth.cast("float"))
-    place = F.row_number().over(W.partitionBy("scene", "view_id").orderBy("_d", "row_index"))
-    return seen.select("scene", "view_id", "row_index", place.alias("place"))
+    seen = splats.join(cameras, "scene").select("scene", "view_id", "row_index", depth.cast("float").alias("_d"))
+    placed = ranks.number_rows(seen, ["scene", "view_id"], ["_d", "row_index"])
+    return placed.select("scene", "view_id", "row_index", (F.col("_i") + 1).cast("int").alias("place"))
 
 
 def lift(contributions: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -130,43 +221,109 @@ def soft_iou(pixels: DataFrame) -> DataFrame:
     return inside.join(whole, "view_id").select("view_id", "label", (F.col("_in") / (F.col("_px") + F.col("_all") - F.col("_in"))).alias("iou"))
 
 
-def knn(splats: DataFrame, k: int = 16, cell_rows: int = 2000) -> DataFrame:
+def held_out_verdict(ious: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(views, median, quartile, passed) of each view's best label: a median of 0.70 or more, and 0.50 or more at
+    the first quartile (sorted[floor((n - 1) / 4)]). ious: (view_id, label, iou); a few hundred views a scene."""
+    best = ious.groupBy(*keys, "view_id").agg(F.max("iou").alias("iou"))
+    values = F.array_sort(F.collect_list("iou"))
+    out = best.groupBy(*keys).agg(F.count("*").alias("views"), F.median("iou").alias("median"), F.get(values, F.floor((F.count("*") - 1) / 4).cast("int")).alias("quartile"))
+    return out.withColumn("passed", F.coalesce((F.col("median") >= 0.70) & (F.col("quartile") >= 0.50), F.lit(False)))
+
+
+def _spread_bits(x: Column) -> Column:
+    """16 bits with two free ones after each."""
+    for shift, mask in ((32, 0xFFFF00000000FFFF), (16, 0x00FF0000FF0000FF), (8, 0xF00F00F00F00F00F), (4, 0x30C30C30C30C30C3), (2, 0x9249249249249249)):
+        mask = mask if mask < 2**63 else mask - 2**64
+        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+    return x
+
+
+def tiles(splats: DataFrame, rows: int) -> DataFrame:
+    """(scene, tile, row_index, x, y, z): rows near each other in tiles of ``rows``, whatever their density.
+
+    Tiles are runs of the order along a curve through space (interleaved bits of the position in the scene)."""
+    ends = splats.groupBy("scene").agg(*[f(c).alias(f"_{n}{c}") for c in "xyz" for n, f in (("l", F.min), ("h", F.max))])
+    step = lambda c: F.least(F.lit(65535), F.floor((F.col(c) - F.col(f"_l{c}")) / F.greatest(F.col(f"_h{c}") - F.col(f"_l{c}"), F.lit(1e-300)) * 65536)).cast("long")
+    code = F.shiftleft(_spread_bits(step("x")), 2).bitwiseOR(F.shiftleft(_spread_bits(step("y")), 1)).bitwiseOR(_spread_bits(step("z")))
+    own = splats.select("scene", "row_index", "x", "y", "z").join(ends, "scene").select("scene", "row_index", "x", "y", "z", code.alias("_code"))
+    placed = ranks.number_rows(own, "scene", ["_code", "row_index"])
+    return placed.select("scene", F.expr(f"_i div {rows}").alias("tile"), "row_index", "x", "y", "z")
+
+
+def _nearest(q: pd.DataFrame, r: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, distances) of each query's k nearest of r, by distance and then id; -1 and infinity where there are
+    fewer. Queries are worked on in blocks."""
+    order = np.argsort(r["row_index"].to_numpy(), kind="stable")
+    ids, p = r["row_index"].to_numpy()[order], r[["x", "y", "z"]].to_numpy(float)[order]
+    own, at = q["row_index"].to_numpy(), q[["x", "y", "z"]].to_numpy(float)
+    near, far = np.full((len(q), k), -1, np.int64), np.full((len(q), k), np.inf)
+    for i in range(0, len(q), 128):
+        a = at[i : i + 128]
+        d = np.sqrt((p[:, 0] - a[:, :1]) ** 2 + (p[:, 1] - a[:, 1:2]) ** 2 + (p[:, 2] - a[:, 2:]) ** 2)
+        d[ids[None, :] == own[i : i + 128, None]] = np.inf
+        top = np.argsort(d, axis=1, kind="stable")[:, :k]
+        best = np.take_along_axis(d, top, 1)
+        near[i : i + 128, : top.shape[1]] = np.where(np.isfinite(best), ids[top], -1)
+        far[i : i + 128, : top.shape[1]] = best
+    return near, far
+
+
+def knn(splats: DataFrame, k: int = 16, tile_rows: int = 2000) -> DataFrame:
     """(scene, row_index, place, neighbour, distance): exact k nearest by distance, then row.
 
-    Rows of a scene meet in blocks: each block of queries with each block of rows, in numpy; only a block's
-    best k go on. A scene's blocks spread over all tasks.
+    Rows meet those of their own tile first; that bounds how far each one's neighbours can be. Then a row goes
+    to the other tiles whose box is within that bound, which are few, and the best k of all are kept. Rows with
+    a position that is no finite number take no part.
     """
-    sizes = splats.groupBy("scene").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("blocks"))
-    own = splats.select("scene", "row_index", "x", "y", "z").join(sizes, "scene").withColumn("at", F.expr("cast(pmod(xxhash64(row_index), blocks) as int)"))
-    span = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = own.withColumn("a", F.col("at")).withColumn("b", F.explode(span)).drop("at", "blocks")
-    right = own.select(*[F.col(c).alias(c) for c in ("scene", "row_index", "x", "y", "z")], F.explode(span).alias("a"), F.col("at").alias("b"))
-
-    def near(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(r):
-            r = r.sort_values("row_index", kind="stable")
-            ids, p = r["row_index"].to_numpy(), r[["x", "y", "z"]].to_numpy(float)
-            for i, x, y, z in zip(q["row_index"], q["x"], q["y"], q["z"], strict=True):
-                d = np.sqrt((p[:, 0] - x) ** 2 + (p[:, 1] - y) ** 2 + (p[:, 2] - z) ** 2)
-                d = np.where(ids == i, np.inf, d)
-                top = np.lexsort((ids, d))[:k]
-                top = top[np.isfinite(d[top])]
-                out.append(pd.DataFrame({"scene": q["scene"].iloc[0], "row_index": i, "neighbour": ids[top], "distance": d[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"scene": [], "row_index": [], "neighbour": [], "distance": []}).astype({"scene": "int64", "row_index": "int64", "neighbour": "int64", "distance": float})
-
-    found = left.groupBy("scene", "a", "b").cogroup(right.groupBy("scene", "a", "b")).applyInPandas(near, "scene long, row_index long, neighbour long, distance double")
+    fine = ~(_odd("x") | _odd("y") | _odd("z"))
+    own = cut(tiles(splats.where(fine).withColumn("scene", F.col("scene").cast("long")), tile_rows))
+
+    def inside(q: pd.DataFrame) -> pd.DataFrame:
+        near, far = _nearest(q, q, k)
+        return q.assign(near=list(near), far=list(far), reach=far[:, -1])
+
+    first = cut(own.groupBy("scene", "tile").applyInPandas(inside, "scene long, tile long, row_index long, x double, y double, z double, near array<long>, far array<double>, reach double"))
+    boxes = first.groupBy("scene", "tile").agg(F.max("reach").alias("reach"), *[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("l", F.min), ("h", F.max))])
+    other = boxes.drop("reach").withColumnsRenamed({c: "o" + c for c in ("tile", *[n + c for n in "lh" for c in "xyz"])})
+    gap = lambda low, high, c: F.greatest(F.lit(0.0), F.col(f"ol{c}") - high, low - F.col(f"oh{c}"))
+    apart = F.sqrt(sum((gap(F.col("l" + c), F.col("h" + c), c) ** 2 for c in "xyz"), F.lit(0.0)))
+    slack = lambda reach: reach * (1 + 1e-9)  # noqa: E731  # distances are rounded; ties count
+    # tiles by tiles: a square of a few thousand for a scene of millions of rows
+    pairs = boxes.join(other, "scene").where((F.col("tile") != F.col("otile")) & (apart <= slack(F.col("reach"))))
+    pairs = pairs.select("scene", "tile", "otile", *[f"o{n}{c}" for n in "lh" for c in "xyz"])
+    off = F.sqrt(sum((gap(F.col(c), F.col(c), c) ** 2 for c in "xyz"), F.lit(0.0)))
+    asked = first.select("scene", "tile", "row_index", "x", "y", "z", "reach").join(pairs, ["scene", "tile"]).where(off <= slack(F.col("reach")))
+    asked = asked.select("scene", F.col("otile").alias("tile"), "row_index", "x", "y", "z")
+
+    def outside(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"scene": [], "row_index": [], "near": [], "far": []}).astype({"scene": "int64", "row_index": "int64", "near": object, "far": object})
+        near, far = _nearest(q, r, k)
+        return pd.DataFrame({"scene": q["scene"].to_numpy(), "row_index": q["row_index"].to_numpy(), "near": list(near), "far": list(far)})
+
+    more = asked.groupBy("scene", "tile").cogroup(own.groupBy("scene", "tile")).applyInPandas(outside, "scene long, row_index long, near array<long>, far array<double>")
+    found = first.select("scene", "row_index", "near", "far").unionByName(more)
+    rows = found.select("scene", "row_index", F.explode(F.arrays_zip("near", "far")).alias("f")).where("f.near >= 0").select("scene", "row_index", F.col("f.near").alias("neighbour"), F.col("f.far").alias("distance"))
     place = F.row_number().over(W.partitionBy("scene", "row_index").orderBy("distance", "neighbour"))
-    return found.withColumn("place", place).where(F.col("place") <= k).select("scene", "row_index", "place", "neighbour", "distance")
+    return rows.withColumn("place", place).where(F.col("place") <= k).select("scene", "row_index", "place", "neighbour", "distance")
 
 
-def finalise_subject(classified: DataFrame, selected: DataFrame, neighbours: DataFrame, most_background: float = 0.8, least: int = 13, passes: int = 2) -> DataFrame:
-    """(gaussian): members without those mostly seen as background, plus uncertain ones with enough selected
-    neighbours, added in synchronous passes. neighbours: (gaussian, neighbour)."""
-    members = selected.join(classified, "gaussian").where(F.col("background_views") <= most_background).select("gaussian")
-    unsure = classified.where("kind = 'uncertain'").select("gaussian")
+def finalise_subject(classified: DataFrame, selected: DataFrame, neighbours: DataFrame, most_background: float = 0.8, least: int = 13, passes: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, gaussian): members without those mostly seen as background, plus uncertain ones with enough selected
+    neighbours, added in synchronous passes. neighbours: (keys, gaussian, neighbour)."""
+    on = [*keys, "gaussian"]
+    members = selected.join(classified, on).where(F.col("background_views") <= most_background).select(*on)
+    unsure = classified.where("kind = 'uncertain'").select(*on)
     for _ in range(passes):
-        hits = neighbours.join(members.withColumnRenamed("gaussian", "neighbour"), "neighbour", "left_semi").distinct()
-        more = hits.groupBy("gaussian").agg(F.count("*").alias("n")).where(F.col("n") >= least).join(unsure, "gaussian", "left_semi")
-        members = members.unionByName(more.select("gaussian")).distinct()
+        hits = neighbours.join(members.withColumnRenamed("gaussian", "neighbour"), [*keys, "neighbour"], "left_semi").distinct()
+        more = hits.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") >= least).join(unsure, on, "left_semi")
+        members = members.unionByName(more.select(*on)).distinct()
     return members
+
+
+def retained_check(classified: DataFrame, members: DataFrame, keys: tuple[str, ...] = ("scene",), least: float = 0.001, most: float = 0.9) -> DataFrame:
+    """(keys, retained, outcome): selected if the finished subject has between ``least`` and ``most`` of its scene."""
+    whole = classified.groupBy(*keys).agg(F.count("*").alias("_n"))
+    own = members.groupBy(*keys).agg(F.count("*").alias("_k"))
+    out = whole.join(own, list(keys), "left").withColumn("retained", F.coalesce("_k", F.lit(0)) / F.col("_n"))
+    return out.select(*keys, "retained", F.when(F.col("retained").between(least, most), "selected").otherwise("ambiguous").alias("outcome"))

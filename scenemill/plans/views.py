@@ -41,9 +41,11 @@ VIEWS = {
       SELECT o.o_custkey AS image_id, l_linenumber AS point2d_idx, l_partkey AS point_id, c.c_nationkey AS model_id,
         CAST(l_suppkey % 97 AS DOUBLE) AS x, CAST(l_quantity AS DOUBLE) AS y, l_orderkey AS row_id
       FROM {lineitem} JOIN {orders} o ON l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey""",
+    # Every 23rd part stands for a point that is missing from its model.
     "points": """
       SELECT p_partkey AS point_id, CAST(p_partkey % 17 AS DOUBLE) / 4 AS px, CAST(p_partkey % 19 AS DOUBLE) / 8 AS py,
         CAST(8 + p_size AS DOUBLE) AS pz, CAST(p_partkey % 5 AS DOUBLE) / 4 AS error FROM {part} WHERE p_partkey % 23 <> 0""",
+    # Three components of a vector stand for a position; the others serve F15 as harmonics.
     "splats": """
       SELECT label AS scene, vec_id AS row_index, CAST(embedding[{first}] AS DOUBLE) AS x, CAST(embedding[{second}] AS DOUBLE) AS y,
         CAST(embedding[{third}] AS DOUBLE) AS z, CAST(vec_id % 23 AS DOUBLE) / 2 - 5.5 AS opacity, CAST(vec_id % 6 AS DOUBLE) / 4 - 4 AS scale FROM {embeddings}""",
@@ -81,7 +83,7 @@ VIEWS = {
     "lane_records": """
       SELECT o_custkey AS scene_id, o_orderkey % 2 AS scale, CASE o_orderkey % 3 WHEN 0 THEN 'fast' WHEN 1 THEN 'balanced' ELSE 'large' END AS lane,
         CASE o_orderkey % 13 WHEN 0 THEN 'execution_failed' WHEN 1 THEN 'rejected' WHEN 2 THEN 'infrastructure' ELSE 'attestation' END AS kind,
-        CASE WHEN o_orderkey % 19 = 0 THEN o_custkey % 7 ELSE o_custkey END AS digest FROM {orders} WHERE o_orderkey % 5 < 3""",
+        CASE WHEN o_orderkey % 19 = 0 THEN o_custkey % 7 ELSE o_custkey END AS digest FROM {orders}""",
     "log_lines": """
       SELECT user_id AS log_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS line_no,
         CASE event_type WHEN 'click' THEN 'pose refinement' WHEN 'view' THEN 'local bundle adjustment' WHEN 'purchase' THEN 'global bundle adjustment'

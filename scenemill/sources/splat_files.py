@@ -110,3 +110,86 @@ def filter_ply(spark: SparkSession, paths: str, selection: DataFrame) -> DataFra
             yield pd.DataFrame(out, columns=["path", "content", "rows", "low", "high"])
 
     return files.join(chosen, "path").mapInPandas(fn, "path string, content binary, rows long, low array<double>, high array<double>")
+
+
+#: Elements and properties of compressed PLY files, and vertices of a chunk.
+CHUNK_ROWS = 256
+PACKED = ["packed_position", "packed_rotation", "packed_scale", "packed_color"]
+
+
+def parse_elements(raw: bytes) -> tuple[str, list[tuple[str, int, np.dtype]], int]:
+    """(format, [(element, rows, row type)], offset of the first row) of a PLY file without lists."""
+    end = raw.index(b"end_header")
+    kind, found = "", []
+    for line in raw[:end].decode("ascii").splitlines():
+        words = line.split()
+        if words[:1] == ["format"]:
+            kind = words[1]
+        elif words[:1] == ["element"]:
+            found.append((words[1], int(words[2]), []))
+        elif words[:1] == ["property"]:
+            if words[1] == "list":
+                raise ValueError("list properties are not supported")
+            found[-1][2].append((words[2], TYPES[words[1]]))
+    order = ">" if kind == "binary_big_endian" else "<"
+    return kind, [(name, n, np.dtype([(c, order + t) for c, t in fields])) for name, n, fields in found], raw.index(b"\n", end) + 1
+
+
+def _unpack(packed: np.ndarray) -> np.ndarray:
+    """Three numbers from 0 to 1 of 11, 10 and 11 bits."""
+    v = packed.astype(np.int64)
+    return np.stack([(v >> 21 & 2047) / 2047, (v >> 11 & 1023) / 1023, (v & 2047) / 2047], 1).astype(np.float32)
+
+
+def _unpack_rotation(packed: np.ndarray) -> np.ndarray:
+    """w x y z of the place of the largest part (2 bits) and the other three (10 bits each)."""
+    v = packed.astype(np.int64)
+    three = np.stack([(v >> s & 1023) / 1023 - 0.5 for s in (20, 10, 0)], 1) * np.sqrt(2.0)
+    largest, out = (v >> 30 & 3).astype(np.int64), np.empty((len(v), 4))
+    out[np.arange(len(v)), largest] = np.sqrt(np.maximum(0, 1 - (three**2).sum(axis=1)))
+    for k in range(4):
+        own = largest == k
+        out[np.ix_(own, [i for i in range(4) if i != k])] = three[own]
+    return out.astype(np.float32)
+
+
+def read_compressed_ply(spark: SparkSession, paths: str) -> DataFrame:
+    """(path, row_index, x, y, z, scale_0 to 2, rot_0 to 3, color_0 to 2, opacity) of compressed PLY files.
+
+    Vertices are packed in chunks of 256, each with the ranges of its positions, logarithmic scales and, maybe,
+    colours. Colours are 0 to 255; the opacity is the logit of the packed alpha, kept within 1e-6 of 0 and 1.
+    """
+    names = [*"xyz", *[f"scale_{i}" for i in range(3)], *[f"rot_{i}" for i in range(4)], *[f"color_{i}" for i in range(3)], "opacity"]
+
+    def fn(batches):
+        for b in batches:
+            for path, raw in zip(b["path"], b["content"], strict=True):
+                kind, elements, at = parse_elements(raw)
+                tables = {}
+                for name, n, row in elements:
+                    if kind == "ascii":
+                        raise ValueError(f"{path} is not binary")
+                    tables[name] = np.frombuffer(raw, row, n, at)
+                    at += n * row.itemsize
+                if "chunk" not in tables or "vertex" not in tables or any(p not in (tables["vertex"].dtype.names or ()) for p in PACKED):
+                    raise ValueError(f"{path} is not a compressed file")
+                chunks, rows = tables["chunk"], tables["vertex"]
+                if len(rows) > CHUNK_ROWS * len(chunks):
+                    raise ValueError(f"{path} has vertices without a chunk")
+                ends = lambda kind, axes, c: [np.stack([chunks[f"{e}{kind}_{x}"][c] for x in axes], 1) for e in ("min", "max")]  # noqa: B023, E731
+                lerp = lambda low, high, t: low + t * (high - low)
+                for i in range(0, len(rows), _BATCH):
+                    r = rows[i : i + _BATCH]
+                    c = np.arange(i, i + len(r)) // CHUNK_ROWS
+                    place = lerp(*ends("", "xyz", c), _unpack(r["packed_position"]))
+                    scale = lerp(*ends("_scale", "xyz", c), _unpack(r["packed_scale"]))
+                    rgba = np.stack([r["packed_color"].astype(np.int64) >> s & 255 for s in (24, 16, 8, 0)], 1) / 255
+                    color = rgba[:, :3].astype(np.float32)
+                    if all(f"{e}_{x}" in chunks.dtype.names for e in ("min", "max") for x in "rgb"):
+                        color = lerp(*ends("", "rgb", c), color)
+                    alpha = np.clip(rgba[:, 3], 1e-6, 1 - 1e-6)
+                    values = np.concatenate([place, scale, _unpack_rotation(r["packed_rotation"]), color * 255, np.log(alpha / (1 - alpha))[:, None]], 1)
+                    yield pd.DataFrame(values.astype(np.float32), columns=names).assign(path=path, row_index=np.arange(i, i + len(r)))[["path", "row_index", *names]]
+
+    schema = "path string, row_index long, " + ", ".join(f"{c} float" for c in names)
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(fn, schema)

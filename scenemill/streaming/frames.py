@@ -4,38 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from scenemill.operators.frames import Due, TimeRepair
+
 OUTPUT = "clip_id long, frame_index int, t double, repaired boolean, analysed boolean"
 STATE = "last double, due double, seen int"
 
 
-def stream_frames(frames: DataFrame, rate: float, fps: float) -> DataFrame:
+def stream_frames(frames: DataFrame, rate: float, fps: float, idle: int | None = None) -> DataFrame:
     """Frames (clip_id, frame_index, t) with repaired times and whether they are analysed.
 
-    The state of a clip is its last time, the next due time and how many frames it had. Frames of one batch
-    are taken in order of their index. That the last frame is always kept can't be known from a stream; a
-    batch job over the finished clip adds it.
+    The state of a clip is its last time, the next due time and how many frames it had. With ``idle`` it goes when
+    no frame came for so many milliseconds of processing time, and a later frame begins the clip anew; Spark then
+    runs batches all the time, so that is for streams that don't end. Frames of one batch are taken in order of their index. That the last frame is always kept can't be known from a stream;
+    a batch job over the finished clip adds it, and motion, which needs the picture of the analysed frame before.
     """
-    step, tolerance, frame = 1.0 / rate, 0.5 / max(fps, rate), 1.0 / fps
 
     def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = ["clip_id", "frame_index", "t", "repaired", "analysed"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
         last, due, seen = state.get if state.exists else (-1.0, -1.0, 0)
+        repair, hit = TimeRepair(fps, last if seen else None), Due(rate, fps, due if seen else None)
         rows = pd.concat(list(batches)).sort_values("frame_index", kind="stable")
         out = []
         for i, t in zip(rows["frame_index"], rows["t"], strict=True):
-            good = t is not None and np.isfinite(t) and t >= 0 and (seen == 0 or t > last)
-            if not good:
-                t = i * frame if seen == 0 or i * frame > last else last + frame
-            hit = seen == 0 or t + tolerance >= due
-            if hit:
-                due = t + step if seen == 0 else due + step * max(1, int(np.floor((t + tolerance - due) / step)) + 1)
-            out.append((key[0], int(i), float(t), not good, bool(hit)))
-            last, seen = float(t), seen + 1
-        state.update((last, due, seen))
-        yield pd.DataFrame(out, columns=["clip_id", "frame_index", "t", "repaired", "analysed"])
-
-    return frames.groupBy("clip_id").applyInPandasWithState(fn, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+            time, fixed = repair(i, t)
+            out.append((key[0], int(i), time, fixed, bool(hit(time))))
+        state.update((repair.last, hit.due, seen + len(out)))
+        if idle is not None:
+            state.setTimeoutDuration(idle)
+        yield pd.DataFrame(out, columns=columns)
+
+    return frames.groupBy("clip_id").applyInPandasWithState(fn, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout)
