@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, licenses, mixing, near_dedup, neighbours, packing, secrets, sharding, toxicity, url_filter
-from .common import tidy
+from . import fill_middle, fingerprint, licenses, mixing, near_dedup, neighbours, packing, runs, secrets, sharding, substrings, toxicity, url_filter
+from .common import WORD, tidy
 
 SHARD_BYTES = 1 << 20
 
@@ -112,10 +112,62 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.without_repeats(_read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def with_repetitions(docs: DataFrame) -> DataFrame:
+    """Documents of which some (by the CRC-32 of their id) go on, from some word on, with a stretch of words again and again."""
+    text = F.coalesce("text", F.lit(""))
+    h, words = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.regexp_extract_all(text, F.lit(WORD), 0)
+    rows = docs.select("doc_id", text.alias("text"), h.alias("h")).withColumn("g", F.expr("h div 10"))
+    chosen = F.col("h") % 10 == 0
+    rows = rows.withColumn("w", F.when(chosen, words)).withColumn("n", F.size("w").cast("long"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.element_at("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int") + 1)))
+    return rows.select("doc_id", F.when(chosen & (F.col("n") > 0), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_repetitions(_read(spark, sf_dir, "documents")))
+    rank = lambda a, b: (
+        F.when(a["length"] * b["period"] > b["length"] * a["period"], -1)
+        .when(a["length"] * b["period"] < b["length"] * a["period"], 1)
+        .when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1))
+        .otherwise(F.when(a["period"] < b["period"], -1).when(a["period"] > b["period"], 1).otherwise(0))
+    )
+    best = F.try_element_at(F.array_sort("runs", rank), F.lit(1))
+    show = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        digest(F.array_join(F.transform("runs", show), "")).alias("runs_sha256"),
+        digest(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.transform(_read(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return cut.select(
+        "doc_id", "n", "form",
+        F.col("prefix_units").alias("prefix_chars"),
+        F.col("middle_units").alias("middle_chars"),
+        digest(F.col("output")).alias("output_sha256"),
+        digest(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict:
     own = (
         op1_minhash_near_dedup, op2_permutation_index, op3_url_temporal_filter, op4_source_mixing, op5_secret_scan,
         op6_toxicity, op7_packing, op8_extendible_sharding, op9_fingerprints, op10_license_scan,
+        op11_substring_dedup, op12_periodic_runs, op13_fill_in_middle,
     )
     return {f.__name__: f for f in own}
 
@@ -188,5 +240,42 @@ SELECT DISTINCT k.page_id, k.day, coalesce(m.action, 'pass') AS verdict, m.rule,
 """
 
 
+SUBSTRING_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n FROM d
+), x AS (
+  SELECT doc_id, i, word, CASE WHEN i + 20 <= n THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) END AS passage FROM p
+), r AS (
+  SELECT *, passage IS NOT NULL AND row_number() OVER (PARTITION BY passage ORDER BY doc_id, i) > 1 AS again FROM x
+), c AS (
+  SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r
+), k AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+MIDDLE_SQL = """
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), d AS (
+  SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM h
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+    ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_temporal_filter": URL_SQL, "op4_source_mixing": MIXING_SQL, "op8_extendible_sharding": SHARDING_SQL}
+    return {
+        "op3_url_temporal_filter": URL_SQL, "op4_source_mixing": MIXING_SQL, "op8_extendible_sharding": SHARDING_SQL,
+        "op11_substring_dedup": SUBSTRING_SQL, "op13_fill_in_middle": MIDDLE_SQL,
+    }
