@@ -35,6 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows in a batch that Python workers get, where the session says nothing: texts of a few KB each, so a few MB.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's rows of an Arrow batch to BATCH_ROWS, where they are at Spark's default: batches of 10,000 texts
+    take hundreds of MB beside the executors' heaps, as their buffers are doubled while they fill."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)

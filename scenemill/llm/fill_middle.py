@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import small_batches, tidy
 
 ERROR, BLOCK = 100, 1 << 16
 MARKS = ("<P>", "<S>", "<M>")
@@ -141,6 +141,7 @@ def transform(
     and text have equal results, an empty table gives an empty result, and other columns are ignored, whatever
     their names. No shuffle: a task reads its rows as they come.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     kind = dict(rows.dtypes)["doc_id"]

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, tidy
+from .common import small_batches, table, tidy
 
 LANES, SKETCH = 16, 256
 _words: dict[str, int] = {}
@@ -160,6 +160,7 @@ def fingerprint_edits(docs: DataFrame, ranges: int | None = None, id_col: str =
     before, and are written from its text.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("_key", order_key(F.col("doc_id"), F.col("text")))
     keys = table(rows.groupBy("_key").agg(F.count("*").alias("_n")))

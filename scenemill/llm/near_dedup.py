@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, release, table, tidy
+from .common import components, cut, release, small_batches, table, tidy
 
 COORDS, MISS = 256, 3e-4
 SHINGLE = 5
@@ -207,6 +207,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     taken whole, however long. Other columns of ``docs`` are ignored, whatever their names. An empty table
     gives an empty result.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = cut(
         texts.mapInPandas(_describe(percent), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>")

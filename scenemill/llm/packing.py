@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import prefix_sums, table, tidy
+from .common import prefix_sums, small_batches, table, tidy
 
 WINDOW = 1024
 #: How byte-level vocabularies split a text, and characters that are left to the slow way.
@@ -215,6 +215,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int =
     An empty table gives an empty result. The vocabulary must have at most 65536 ids. Pieces are ranked by the
     place where they were cut, so equal rows are spread like any others.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = table(texts.mapInPandas(_cut_windows(tokenizer_path, end, window), _CUT))
     rest = pieces.where(F.col("length") < window)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, tidy
+from .common import WORD, small_batches, tidy
 from .words import in_parts, mix, words_of
 
 COPIES, LEAST, LAGS = 4, 6, 8
@@ -177,6 +177,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     equal rows have equal results; an empty table gives an empty result; other columns are ignored, whatever
     their names. No shuffle: a task reads its rows as they come, a long text is whole in one of them.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text.alias("text"))
     made = rows.mapInPandas(_run, "doc_id string, runs array<struct<start: long, length: long, period: long>>, collapsed string")

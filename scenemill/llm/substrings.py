@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, release, table, tidy
+from .common import WORD, release, small_batches, table, tidy
 from .words import in_parts, mix, words_of
 
 GRAM, HOT = 5, 16_384
@@ -357,6 +357,7 @@ def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     """
     if not 2 * GRAM <= window <= DEPTH // 2:
         raise ValueError(f"windows have {2 * GRAM} to {DEPTH // 2} words")
+    small_batches(docs.sparkSession)
     rows = _keyed(docs, id_col, text_col)
     spans = _intervals(rows, window).groupBy("doc", "tie").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     joined = rows.join(spans, ["doc", "tie"], "left").select(F.col("id").cast("string").alias("id"), "text", "starts", "ends")

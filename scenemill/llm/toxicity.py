@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, tidy
+from .common import small_batches, table, tidy
 
 TRAIN_ROWS, STEMS = 10_000, (4, 5, 6, 7)
 #: Letters that a character may stand for.
@@ -266,6 +266,7 @@ def remainder(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Scorer:
     """Character counts over all of ``docs``; weights and curve from labelled rows with a remainder over 0."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     counts = np.zeros(_SIZE**3, np.int64)
     grams = texts.select("text").mapInPandas(_count_trigrams, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
