@@ -460,14 +460,27 @@ def _(v):
 # --- pair graphs -----------------------------------------------------------------------------------------
 
 
-@query("C1_validate_pairs", """WITH x AS (SELECT capture_id, pair_id + 3 AS pair_id FROM {verified} WHERE pair_id % 4 = 0 UNION SELECT capture_id, pair_id FROM {matches}),
-  d AS (SELECT *, pair_id // 2147483647 AS i, pair_id % 2147483647 AS j FROM x), e AS (SELECT capture_id, pair_id, unnest([i, j]) AS image_id FROM d WHERE i >= 0 AND i < j), vv AS (SELECT capture_id, pair_id + 3 AS pair_id, verified FROM {verified} WHERE pair_id % 4 = 0)
+# Some recorded pairs are damaged: moved to another id, turned round, without an image, or with more rows than matched.
+_DAMAGED = """moved AS (SELECT capture_id, CASE WHEN pair_id % 23 = 0 THEN j * 2147483647 + i WHEN pair_id % 19 = 0 THEN i * 2147483647 + 1000000007 WHEN pair_id % 11 = 0 THEN pair_id + 1 ELSE pair_id END AS pair_id,
+    CASE WHEN pair_id % 7 = 0 THEN verified + 60 ELSE verified END AS verified FROM (SELECT *, pair_id // 2147483647 AS i, pair_id % 2147483647 AS j FROM {verified}))"""
+
+
+@query("C1_validate_pairs", "WITH " + _DAMAGED + """, v AS (SELECT DISTINCT * FROM moved), x AS (SELECT capture_id, pair_id FROM v UNION SELECT capture_id, pair_id FROM {matches}),
+  d AS (SELECT *, pair_id // 2147483647 AS i, pair_id % 2147483647 AS j FROM x), e AS (SELECT capture_id, pair_id, unnest([i, j]) AS image_id FROM d WHERE i >= 0 AND i < j),
+  r AS (SELECT capture_id, pair_id FROM {matches} WHERE matched > 0 UNION SELECT capture_id, pair_id FROM v WHERE verified > 0)
   SELECT capture_id, pair_id, 'bad_id' AS reason FROM d WHERE NOT (i >= 0 AND i < j) UNION SELECT capture_id, pair_id, 'unknown_image' FROM e WHERE NOT EXISTS (SELECT 1 FROM {graph_images} g WHERE g.capture_id = e.capture_id AND g.image_id = e.image_id)
   UNION SELECT capture_id, pair_id, 'not_scheduled' FROM d WHERE i >= 0 AND i < j AND NOT EXISTS (SELECT 1 FROM {schedule} s WHERE s.capture_id = d.capture_id AND s.pair_id = d.pair_id)
-  UNION SELECT v.capture_id, v.pair_id, 'verified_over_matched' FROM vv v LEFT JOIN {matches} m ON m.capture_id = v.capture_id AND m.pair_id = v.pair_id WHERE m.matched IS NULL OR v.verified > m.matched""")
+  UNION SELECT v.capture_id, v.pair_id, 'verified_over_matched' FROM v LEFT JOIN {matches} m ON m.capture_id = v.capture_id AND m.pair_id = v.pair_id WHERE v.verified > coalesce(m.matched, 0)
+  UNION SELECT e.capture_id, e.pair_id, 'descriptorless_rows' FROM e JOIN r ON e.capture_id = r.capture_id AND e.pair_id = r.pair_id JOIN {graph_images} g ON g.capture_id = e.capture_id AND g.image_id = e.image_id WHERE e.image_id % 7 = 0
+  UNION SELECT capture_id, pair_id, 'no_matches' FROM {schedule} s WHERE NOT EXISTS (SELECT 1 FROM {matches} m WHERE m.capture_id = s.capture_id AND m.pair_id = s.pair_id)
+  UNION SELECT capture_id, pair_id, 'no_verified' FROM {schedule} s WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.capture_id = s.capture_id AND v.pair_id = s.pair_id)""")
 def _(v):
-    moved = v("verified").where("pair_id % 4 = 0").withColumn("pair_id", F.col("pair_id") + 3)
-    return graph.validate_pairs(v("schedule"), v("matches"), moved, v("graph_images"))
+    own = graph.decode_pairs(v("verified"))
+    moved_id = F.when(F.col("pair_id") % 23 == 0, F.col("j") * graph.PAIR_BASE + F.col("i")).when(F.col("pair_id") % 19 == 0, F.col("i") * graph.PAIR_BASE + 1000000007)
+    moved_id = moved_id.when(F.col("pair_id") % 11 == 0, F.col("pair_id") + 1).otherwise(F.col("pair_id"))
+    rows = F.when(F.col("pair_id") % 7 == 0, F.col("verified") + 60).otherwise(F.col("verified"))
+    damaged = own.select("capture_id", moved_id.alias("pair_id"), rows.alias("verified")).distinct()
+    return graph.validate_pairs(v("schedule"), v("matches"), damaged, v("graph_images"), descriptors(v), complete=True)
 
 
 @query("C2_pair_counts", """SELECT s.capture_id, role, count(*) AS scheduled, count(coalesce(m.matched, v.verified)) AS attempted, count(*) FILTER (m.matched > 0) AS matched, count(*) FILTER (v.verified >= 15) AS verified
@@ -479,6 +492,11 @@ def _(v):
 _EDGES = "edges AS (SELECT capture_id, pair_id // 2147483647 AS a, pair_id % 2147483647 AS b FROM {verified} WHERE verified >= 15)"
 
 
+def descriptors(v) -> DataFrame:
+    """Every seventh image has no descriptors."""
+    return v("graph_images").select("capture_id", "image_id", F.when(F.col("image_id") % 7 == 0, 0).otherwise(100).alias("rows"))
+
+
 def edges(v) -> DataFrame:
     good = graph.decode_pairs(v("verified").where("verified >= 15"))
     return good.select("capture_id", F.col("i").alias("a"), F.col("j").alias("b"))
@@ -509,7 +527,33 @@ def _(v):
 
 @query("C5_biconnectivity")
 def _(v):
-    return graph.biconnectivity(edges(v).withColumn("capture_id", F.col("capture_id").cast("long")))
+    """Of each capture's dominant component, without views that have no descriptors."""
+    own = members(v)
+    most = graph.component_summary(own).select("capture_id", F.col("dominant").alias("root"))
+    used = own.join(most, ["capture_id", "root"], "left_semi").join(descriptors(v).where("rows = 0").withColumnRenamed("image_id", "node"), ["capture_id", "node"], "left_anti")
+    good = edges(v)
+    for end in ("a", "b"):
+        good = good.join(used.select("capture_id", F.col("node").alias(end)), ["capture_id", end], "left_semi")
+    return graph.biconnectivity(good)
+
+
+# By removal: without a node, which others reach each other? Two nodes that no third one parts are in one block, and the
+# block of an edge is what is in one with both its ends.
+_SQL["C5_biconnectivity"] = _recursive(f"""WITH {_COMPONENTS}, s AS (SELECT capture_id, root, count(*) AS n FROM comp GROUP BY ALL),
+  best AS (SELECT capture_id, root FROM s QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY n DESC, root) = 1),
+  used AS (SELECT capture_id, node FROM comp JOIN best USING (capture_id, root) WHERE node % 7 <> 0),
+  g AS (SELECT e.capture_id, e.a, e.b FROM edges e JOIN used p ON p.capture_id = e.capture_id AND p.node = e.a JOIN used q ON q.capture_id = e.capture_id AND q.node = e.b),
+  w AS (SELECT capture_id, a, b FROM g UNION SELECT capture_id, b, a FROM g), nodes AS (SELECT DISTINCT capture_id, a AS node FROM w),
+  less AS (SELECT x.capture_id, x.node AS gone, y.node AS node, y.node AS seen FROM (SELECT * FROM nodes UNION ALL SELECT DISTINCT capture_id, -1 FROM nodes) x JOIN nodes y ON x.capture_id = y.capture_id AND x.node <> y.node
+    UNION SELECT l.capture_id, gone, l.node, w.b FROM less l JOIN w ON w.capture_id = l.capture_id AND w.a = l.seen WHERE w.b <> gone),
+  near AS (SELECT capture_id, node, seen, count(*) AS n FROM less WHERE node <> seen GROUP BY ALL), total AS (SELECT capture_id, count(*) AS n FROM nodes GROUP BY 1),
+  one AS (SELECT n.capture_id, n.node, n.seen FROM near n JOIN total t USING (capture_id) LEFT JOIN w ON w.capture_id = n.capture_id AND w.a = n.node AND w.b = n.seen WHERE n.n = t.n - 1 OR w.a IS NOT NULL),
+  blocks AS (SELECT DISTINCT g.capture_id, list_sort(list_append(list_append(list(p.seen) FILTER (p.seen IS NOT NULL), g.a), g.b)) AS block FROM g
+    LEFT JOIN (SELECT x.capture_id, x.node AS a, y.node AS b, x.seen FROM one x JOIN one y ON x.capture_id = y.capture_id AND x.seen = y.seen) p ON p.capture_id = g.capture_id AND p.a = g.a AND p.b = g.b GROUP BY g.capture_id, g.a, g.b),
+  parts AS (SELECT capture_id, gone, count(*) AS n FROM (SELECT capture_id, gone, node, min(seen) AS root FROM less GROUP BY ALL) WHERE node = root GROUP BY ALL),
+  cuts AS (SELECT p.capture_id, count(*) AS n FROM parts p JOIN parts w0 ON w0.capture_id = p.capture_id AND w0.gone = -1 WHERE p.n > w0.n GROUP BY 1),
+  sizes AS (SELECT capture_id, count(*) AS blocks, list_reverse_sort(list(len(block))) AS n FROM blocks GROUP BY 1)
+  SELECT capture_id, coalesce(cuts.n, 0) AS articulations, blocks, CAST(sizes.n[1] AS BIGINT) AS largest, CAST(coalesce(sizes.n[2], 0) AS BIGINT) AS second FROM sizes LEFT JOIN cuts USING (capture_id)""")
 
 
 @query("C6_graph_verdict")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from scenemill.functions import geometry, ranks
 from scenemill.functions.storage import cut
 from scenemill.operators.models import LARGEST, MOST_ERROR, SMALLEST, estimate_sim3
+from scenemill.operators.orientation import turning
 
 POSE = ("qw", "qx", "qy", "qz", "tx", "ty", "tz")
-_SIM3 = "n long, scale double, rotation array<double>, translation array<double>, rmse double, status string"
 
 
 def _matrices(q: np.ndarray) -> np.ndarray:
@@ -23,61 +23,67 @@ def _matrices(q: np.ndarray) -> np.ndarray:
     ], 1).reshape(-1, 3, 3)
 
 
-def between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest rotation from the direction of a to that of b."""
-    a, b = a / np.linalg.norm(a), b / np.linalg.norm(b)
-    cosine = float(np.clip(a @ b, -1, 1))
-    if cosine > 1 - 1e-12:
-        return np.eye(3)
-    if cosine < -1 + 1e-12:
-        axis = np.cross(a, np.eye(3)[int(np.argmin(np.abs(a)))])
-        axis = axis / np.linalg.norm(axis)
-        return 2 * np.outer(axis, axis) - np.eye(3)
-    v = np.cross(a, b)
-    skew = np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
-    return np.eye(3) + skew + skew @ skew / (1 + cosine)
-
-
-def oriented(source: tuple[np.ndarray, np.ndarray], target: tuple[np.ndarray, np.ndarray]) -> tuple:
-    """(scale, rotation, translation, normalised rmse, status) of poses given as (rotations, translations)."""
-    (rs, ts), (rd, td) = source, target
-    none = (None,) * 4
-    if len(rs) < 2:
-        return (*none, "unavailable")
-    cs, cd = -np.einsum("nji,nj->ni", rs, ts), -np.einsum("nji,nj->ni", rd, td)
-    u, _, vt = np.linalg.svd(np.einsum("nji,njk->ik", rd, rs))
-    rotation = (u * [1, 1, 1 if np.linalg.det(u @ vt) >= 0 else -1]) @ vt
-    i, j = np.triu_indices(len(cs), 1)
-    ds, dd = np.linalg.norm(cs[i] - cs[j], axis=1), np.linalg.norm(cd[i] - cd[j], axis=1)
-    long = (ds > 1e-8) & (dd > 1e-8)
-    if not long.any():
-        return (*none, "no_baseline")
-    scale = float(np.median(dd[long] / ds[long]))
-    if not SMALLEST <= scale <= LARGEST:
-        return (*none, "implausible_scale")
-    k = int(np.argmax(np.where(long, ds, -1)))
-    rotation = between(rotation @ (cs[j[k]] - cs[i[k]]), cd[j[k]] - cd[i[k]]) @ rotation
-    shift = np.median(cd - scale * cs @ rotation.T, axis=0)
-    rmse = np.sqrt((((scale * cs @ rotation.T + shift) - cd) ** 2).sum(axis=1).mean())
-    spread = np.sqrt(((cd - cd.mean(axis=0)) ** 2).sum(axis=1).mean())
-    error = float(rmse / max(spread, np.finfo(float).eps))
-    return scale, rotation.reshape(-1).tolist(), shift.tolist(), error, "ok" if error <= MOST_ERROR else "poor_fit"
+def _turned_sums(key: str):
+    """Of each key's moments its rotation: the proper one nearest to the sum of all views', turned on so that the longest
+    baseline of the sources points as that of the targets does."""
+
+    def fn(batches):
+        for b in batches:
+            out = []
+            for r in b.to_dict("records"):
+                u, _, vt = np.linalg.svd(np.array([[r[f"m{i}{j}"] for j in range(3)] for i in range(3)]))
+                mean = u @ np.diag([1.0, 1.0, np.linalg.det(u @ vt)]) @ vt
+                here, there = (np.array([r[p + c] for c in "xyz"]) for p in ("bs", "bd"))
+                here = mean @ here
+                q = turning(here / np.linalg.norm(here), there / np.linalg.norm(there))
+                out.append((r[key], (_matrices(np.array([q]))[0] @ mean).reshape(-1).tolist()))
+            yield pd.DataFrame(out, columns=[key, "rotation"])
+
+    return fn
 
 
 def estimate_oriented_sim3(matched: DataFrame, key: str = "window_id") -> DataFrame:
     """(key, n, scale, rotation, translation, rmse, status) from two common views on, by their rotations too.
 
-    The rotation is the chordal mean, corrected on the longest baseline; the scale is the median over pairs of
-    views, the translation the median over views; rmse is relative to the targets' spread. matched: (key,
-    image_id, s and d each before the names of a pose). One group for each window, of at most a window's views.
-    """
+    The rotation is the chordal mean, turned on along the longest baseline; the scale is the median of the ratios of
+    baselines (over 1e-8) between all pairs of a key's views, the translation the median over views, axis by axis;
+    rmse is relative to the targets' spread. matched: (key, image_id, s and d each before the names of a pose), image
+    ids unique in a key. status: ok, unavailable (fewer than two views), no_baseline, implausible_scale, poor_fit.
 
-    def fn(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("image_id", kind="stable")
-        pose = lambda p: (_matrices(rows[[p + c for c in POSE[:4]]].to_numpy(float)), rows[[p + c for c in POSE[4:]]].to_numpy(float))
-        return pd.DataFrame([(rows[key].iloc[0], len(rows), *oriented(pose("s"), pose("d")))], columns=[key, *[f.split()[0] for f in _SIM3.split(", ")]])
-
-    return matched.groupBy(key).applyInPandas(fn, f"{key} long, {_SIM3}")
+    Sums, ratios and residuals are rows and aggregates, so a window's views need not be in one task; its pairs are as
+    many rows as half the square of its views. Only moments and one baseline a key meet Python.
+    """
+    parts = []
+    for p in "sd":
+        size = F.sqrt(sum((F.col(p + c) * F.col(p + c) for c in POSE[:4]), F.lit(0.0)))
+        rows = geometry.rotation(*[F.col(p + c) / size for c in POSE[:4]])
+        centre = geometry.centre(rows, tuple(F.col(p + c) for c in POSE[4:]))
+        parts.append((rows, {f"{p}{c}": centre[i] for i, c in enumerate("xyz")}))
+    (rs, cs), (rd, cd) = parts
+    product = {f"m{i}{j}": sum((rd[n][i] * rs[n][j] for n in range(3)), F.lit(0.0)) for i in range(3) for j in range(3)}
+    own = cut(matched.select(key, "image_id", *[v.alias(k) for k, v in (product | cs | cd).items()]))
+    sums = own.groupBy(key).agg(F.count("*").alias("n"), *[F.sum(m).alias(m) for m in product])
+    side = lambda n: own.select(key, F.col("image_id").alias(n), *[F.col(p + c).alias(n + p + c) for p in "sd" for c in "xyz"])
+    long = lambda p: F.sqrt(sum(((F.col(f"b{p}{c}") - F.col(f"a{p}{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
+    pairs = side("a").join(side("b"), key).where("a < b").withColumns({"_s": long("s"), "_d": long("d")}).where("_s > 1e-8 and _d > 1e-8")
+    pairs = cut(pairs.select(key, "a", "b", "_s", (F.col("_d") / F.col("_s")).alias("_ratio"), *[(F.col(f"b{p}{c}") - F.col(f"a{p}{c}")).alias(f"b{p}{c}") for p in "sd" for c in "xyz"]))
+    scale = ranks.percentiles(pairs, key, "_ratio", {"scale": ("middle", 0.5)})
+    base = pairs.groupBy(key).agg(F.max_by(F.struct(*[f"b{p}{c}" for p in "sd" for c in "xyz"]), F.struct("_s", -F.col("a"), -F.col("b"))).alias("_b")).select(key, "_b.*")
+    fit = cut(sums.join(base, key).mapInPandas(_turned_sums(key), f"{key} long, rotation array<double>").join(scale, key))
+    r = lambda i: tuple(F.get("rotation", F.lit(3 * i + j)) for j in range(3))
+    turned = [F.col("scale") * geometry.dot(r(i), tuple(F.col("s" + c) for c in "xyz")) for i in range(3)]
+    moved = cut(own.join(fit, key).select(key, *[turned[i].alias(f"_t{c}") for i, c in enumerate("xyz")], "dx", "dy", "dz"))
+    gaps = moved.select(key, F.inline(F.array(*[F.struct(F.lit(i).alias("_axis"), (F.col("d" + c) - F.col("_t" + c)).alias("_gap")) for i, c in enumerate("xyz")])))
+    shift = ranks.percentiles(gaps, [key, "_axis"], "_gap", {"_at": ("middle", 0.5)}).groupBy(key)
+    shift = shift.agg(F.transform(F.array_sort(F.collect_list(F.struct("_axis", "_at"))), lambda x: x["_at"]).alias("translation"))  # three numbers
+    off = sum(((F.col("_t" + c) + F.get("translation", F.lit(i)) - F.col("d" + c)) ** 2 for i, c in enumerate("xyz")), F.lit(0.0))
+    spread = sum((F.var_pop("d" + c) for c in "xyz"), F.lit(0.0))
+    error = moved.join(shift, key).groupBy(key).agg((F.sqrt(F.avg(off)) / F.greatest(F.sqrt(spread), F.lit(np.finfo(float).eps))).alias("rmse"))
+    out = sums.select(key, "n").join(fit, key, "left").join(shift, key, "left").join(error, key, "left")
+    wrong = F.when(F.col("n") < 2, "unavailable").when(F.col("scale").isNull(), "no_baseline").when(~F.col("scale").between(SMALLEST, LARGEST), "implausible_scale")
+    out = out.withColumn("status", wrong.when(F.col("rmse") > MOST_ERROR, "poor_fit").otherwise("ok"))
+    known = F.col("status").isin("ok", "poor_fit")
+    return out.select(key, "n", *[F.when(known, F.col(c)).alias(c) for c in ("scale", "rotation", "translation", "rmse")], "status")
 
 
 def align_poses(poses: DataFrame, sim3: DataFrame, key: str = "model_id") -> DataFrame:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from scenemill.functions import ranks
-from scenemill.functions.storage import cut
+from scenemill.functions.storage import cut, kept
 
 #: Fixed value: image ids are below this number in an encoded pair.
 PAIR_BASE = 2147483647
+#: Rounds after which a graph that is still changing is an error.
+MOST_ROUNDS = 60
 
 
 def components(nodes: DataFrame, edges: DataFrame, key: str, most_rounds: int = 100) -> DataFrame:
@@ -49,15 +49,36 @@ def decode_pairs(pairs: DataFrame) -> DataFrame:
     return out.withColumn("valid", F.coalesce((F.col("i") >= 0) & (F.col("i") < F.col("j")), F.lit(False)))
 
 
-def validate_pairs(schedule: DataFrame, matches: DataFrame, verified: DataFrame, images: DataFrame) -> DataFrame:
-    """(capture_id, pair_id, reason): bad ids, unknown images, pairs off schedule, more verified than matched."""
+def validate_pairs(
+    schedule: DataFrame, matches: DataFrame, verified: DataFrame, images: DataFrame, descriptors: DataFrame | None = None, complete: bool = False
+) -> DataFrame:
+    """(capture_id, pair_id, reason): what is wrong with the pairs of a capture.
+
+    bad_id, unknown_image, not_scheduled, verified_over_matched; with ``descriptors`` (capture_id, image_id, rows)
+    descriptorless_rows: rows matched or verified of an image without descriptors; if the attempt was ``complete``,
+    no_matches and no_verified: scheduled pairs that a table doesn't have. A row of 0 is one.
+    """
     ids = decode_pairs(matches.select("capture_id", "pair_id").unionByName(verified.select("capture_id", "pair_id")).distinct())
-    bad = ids.where("not valid").select("capture_id", "pair_id", F.lit("bad_id").alias("reason"))
-    ends = ids.where("valid").select("capture_id", "pair_id", F.explode(F.array("i", "j")).alias("image_id"))
-    unknown = ends.join(images, ["capture_id", "image_id"], "left_anti").select("capture_id", "pair_id", F.lit("unknown_image").alias("reason"))
-    off = ids.where("valid").join(schedule, ["capture_id", "pair_id"], "left_anti").select("capture_id", "pair_id", F.lit("not_scheduled").alias("reason"))
-    more = verified.join(matches, ["capture_id", "pair_id"], "left").where("matched is null or verified > matched")
-    return bad.unionByName(unknown).unionByName(off).unionByName(more.select("capture_id", "pair_id", F.lit("verified_over_matched").alias("reason"))).distinct()
+    wrong = lambda df, why: df.select("capture_id", "pair_id", F.lit(why).alias("reason"))
+    pair = ["capture_id", "pair_id"]
+    ends = ids.where("valid").select(*pair, F.explode(F.array("i", "j")).alias("image_id"))
+    more = verified.join(matches, pair, "left").where("verified > coalesce(matched, 0)")
+    found = [
+        wrong(ids.where("not valid"), "bad_id"),
+        wrong(ends.join(images, ["capture_id", "image_id"], "left_anti"), "unknown_image"),
+        wrong(ids.where("valid").join(schedule, pair, "left_anti"), "not_scheduled"),
+        wrong(more, "verified_over_matched"),
+    ]
+    if descriptors is not None:
+        rows = matches.where("matched > 0").select(*pair).unionByName(verified.where("verified > 0").select(*pair)).distinct()
+        bare = descriptors.where("rows = 0").select("capture_id", "image_id")
+        found.append(wrong(ends.join(rows, pair, "left_semi").join(bare, ["capture_id", "image_id"], "left_semi"), "descriptorless_rows"))
+    if complete:
+        found += [wrong(schedule.join(t, pair, "left_anti"), why) for t, why in ((matches, "no_matches"), (verified, "no_verified"))]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
 
 
 def pair_counts(schedule: DataFrame, matches: DataFrame, verified: DataFrame, least: int = 15) -> DataFrame:
@@ -99,52 +120,146 @@ def graph_verdict(summary: DataFrame) -> DataFrame:
     return summary.withColumn("verdict", F.when(strict, "accepted").when(relaxed, "relaxed").otherwise("rejected"))
 
 
-def biconnectivity(edges: DataFrame) -> DataFrame:
-    """(capture_id, articulations, blocks, largest, second): blocks of each capture's graph (a, b).
+# Blocks (biconnected components) of graphs that no task holds, all keys at once, in rounds of joins whose number grows
+# with the logarithm of the nodes: a spanning tree by hooking, its preorder by numbering a round trip, what subtrees reach
+# by intervals of that order, and components over the tree's edges.
+
+
+def _both_ways(edges: DataFrame, key: str, a: str, b: str, *rest: str) -> DataFrame:
+    return edges.select(key, F.inline(F.array(F.struct(a, b), F.struct(F.col(b).alias(a), F.col(a).alias(b)))), *rest)
+
+
+def spanning_forest(edges: DataFrame, key: str) -> DataFrame:
+    """(key, a, b): edges (a < b) of a spanning tree of each component. Loops and repeated edges count for nothing."""
+    plain = edges.where("a <> b").select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = kept(plain.select(key, F.col("a").alias("p"), F.col("b").alias("q"), F.struct("a", "b").alias("e")))
+    forest = None
+    for _ in range(MOST_ROUNDS):
+        if left.isEmpty():
+            break
+        hooks = _both_ways(left, key, "p", "q", "e").where("q < p").groupBy(key, "p").agg(F.min(F.struct("q", "e")).alias("m"))
+        hooks = kept(hooks.select(key, "p", F.col("m.q").alias("to"), F.col("m.e.a").alias("a"), F.col("m.e.b").alias("b")))
+        chosen = hooks.select(key, "a", "b")
+        forest = chosen if forest is None else forest.unionByName(chosen)
+        jumps = hooks.select(key, "p", "to")
+        for _ in range(MOST_ROUNDS):  # parts hook to smaller ones, so the way ends; two jumps a round
+            jumped = jumps.withColumn("moved", F.lit(False))
+            for _ in range(2):
+                on = jumped.select(key, F.col("p").alias("to"), F.col("to").alias("on"))
+                jumped = jumped.join(on, [key, "to"], "left").select(key, "p", F.coalesce("on", "to").alias("to"), F.col("on").isNotNull().alias("moved"))
+            jumped = kept(jumped)
+            jumps = jumped.select(key, "p", "to")
+            if jumped.where("moved").isEmpty():
+                break
+        for end in ("p", "q"):
+            left = left.join(jumps.select(key, F.col("p").alias(end), "to"), [key, end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        left = left.where("p <> q").groupBy(key, F.least("p", "q").alias("_p"), F.greatest("p", "q").alias("_q")).agg(F.min("e").alias("e"))
+        left = kept(left.select(key, F.col("_p").alias("p"), F.col("_q").alias("q"), "e"))
+    else:
+        raise RuntimeError(f"spanning_forest: parts were still apart after {MOST_ROUNDS} rounds")
+    return plain.limit(0) if forest is None else kept(forest)
+
+
+def rooted(forest: DataFrame, key: str) -> DataFrame:
+    """(key, node, parent, pre, size) of every node of the trees: the root is a tree's least node, ``pre`` numbers a key's
+    nodes from 0 on so that every subtree is the interval from its node's number on, ``size`` nodes long."""
+    arcs = _both_ways(forest, key, "a", "b")
+    around = kept(ranks.number_rows(arcs, [key, "a"], ["b"]))  # the arcs that leave a node, in turn
+    turn = around.select(key, "a", F.col("b"), "_i", "_n")
+    leave = turn.select(key, F.col("a").alias("v"), F.col("_i").alias("at"), F.col("b").alias("w"))
+    trees = components(forest.select(key, F.col("a").alias("node")).unionByName(forest.select(key, F.col("b").alias("node"))).distinct(), forest, key)
+    trees = kept(trees)
+    come = turn.select(key, F.col("b").alias("u"), F.col("a").alias("v"), ((F.col("_i") + 1) % F.col("_n")).alias("at"))  # u -> v: the next leaves v after v -> u
+    roots = trees.where("node = root").select(key, F.col("node").alias("v"), F.lit(0).cast("long").alias("at"), F.lit(True).alias("last"))
+    arc = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
+    steps = come.join(leave, [key, "v", "at"]).join(roots, [key, "v", "at"], "left")  # the trip ends where it would begin again
+    steps = kept(steps.select(key, arc("u", "v").alias("arc"), F.when(F.col("last").isNull(), arc("v", "w")).alias("next"), F.col("last").isNull().cast("long").alias("after")))
+    for _ in range(MOST_ROUNDS):
+        for _ in range(2):
+            on = steps.select(key, F.col("arc").alias("next"), F.col("next").alias("_next"), F.col("after").alias("_after"))
+            steps = steps.join(on, [key, "next"], "left").select(key, "arc", F.col("_next").alias("next"), (F.col("after") + F.coalesce("_after", F.lit(0))).alias("after"))
+        steps = kept(steps)
+        if steps.where("next is not null").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"rooted: a trip was not at its end after {MOST_ROUNDS} rounds")
+    ends = steps.select(key, F.col("arc.u").alias("u"), F.col("arc.v").alias("v"), "after")
+    back = ends.select(key, F.col("u").alias("v"), F.col("v").alias("u"), F.col("after").alias("back"))
+    down = ends.join(back, [key, "u", "v"]).where("after > back")
+    nodes = down.select(key, F.col("v").alias("node"), F.col("u").alias("parent"), "after", ((F.col("after") - F.col("back") + 1) / 2).cast("long").alias("size"))
+    nodes = nodes.join(trees, [key, "node"])
+    tops = trees.groupBy(key, "root").agg(F.count("*").alias("size")).select(key, F.col("root").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(2**62).alias("after"), "size", "root")
+    placed = ranks.number_rows(kept(nodes.unionByName(tops).withColumn("late", -F.col("after"))), key, ["root", "late"])
+    return kept(placed.select(key, "node", "parent", F.col("_i").alias("pre"), "size"))
+
+
+def reaches(edges: DataFrame, tree: DataFrame, key: str) -> DataFrame:
+    """The tree's rows with ``low`` and ``high``: the least and the greatest preorder number in a node's subtree or next
+    to it by an edge that is not the tree's."""
+    number = tree.select(key, F.col("node").alias("a"), F.col("pre").alias("pa"), F.col("parent").alias("up"))
+    other = tree.select(key, F.col("node").alias("b"), F.col("pre").alias("pb"), F.col("parent").alias("up_b"))
+    plain = edges.where("a <> b").select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    apart = plain.join(number, [key, "a"]).join(other, [key, "b"]).where("not (up <=> b) and not (up_b <=> a)")
+    near = _both_ways(apart.select(key, "pa", "pb"), key, "pa", "pb").groupBy(key, "pa").agg(F.min("pb").alias("low"), F.max("pb").alias("high"))
+    own = tree.join(near.withColumnRenamed("pa", "pre"), [key, "pre"], "left")
+    level = kept(own.select(key, "pre", F.least("pre", "low").alias("low"), F.greatest("pre", "high").alias("high")))
+    asked = kept(tree.select(key, "node", "pre", "size", F.floor(F.log2(F.col("size") + 0.5)).cast("int").alias("_k")))
+    most = asked.agg(F.max("_k")).first()[0]
+    found = None
+    for k in range((-1 if most is None else most) + 1):
+        reach = 2**k
+        first = level.select(key, "pre", "low", "high")
+        second = level.select(key, F.col("pre").alias("_last"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+        here = asked.where(F.col("_k") == k).withColumn("_last", F.col("pre") + F.col("size") - reach)
+        here = here.join(first, [key, "pre"]).join(second, [key, "_last"])
+        here = here.select(key, "node", F.least("low", "_low").alias("low"), F.greatest("high", "_high").alias("high"))
+        found = here if found is None else found.unionByName(here)
+        if k < most:
+            on = second.select(key, (F.col("_last") - reach).alias("pre"), "_low", "_high")
+            level = kept(level.join(on, [key, "pre"]).select(key, "pre", F.least("low", "_low").alias("low"), F.greatest("high", "_high").alias("high")))
+    if found is None:
+        return tree.withColumns({"low": F.col("pre"), "high": F.col("pre")})
+    return kept(tree.join(found, [key, "node"]))
 
-    Low points by depth-first search are sequential, so a capture (a few thousand images) is one group.
+
+def blocks(edges: DataFrame, key: str) -> DataFrame:
+    """(key, node, parent, block): the edges of a spanning tree; ``block`` is the least child among a block's tree edges.
+
+    edges: (key, a, b). A block of n nodes has n - 1 tree edges; a bridge is a block of one. Nodes without edges
+    have no row; loops and repeated edges count for nothing.
     """
+    edges = kept(edges.select(key, "a", "b"))
+    tree = rooted(spanning_forest(edges, key), key)
+    tree = reaches(edges, tree, key)
+    upper = tree.select(key, F.col("node").alias("parent"), F.col("pre").alias("p_pre"), F.col("size").alias("p_size"), F.col("parent").alias("p_parent"))
+    hangs = tree.join(upper, [key, "parent"]).where("p_parent is not null")
+    beyond = (F.col("low") < F.col("p_pre")) | (F.col("high") >= F.col("p_pre") + F.col("p_size"))
+    up = hangs.where(beyond).select(key, F.col("node").alias("a"), F.col("parent").alias("b"))
+    place = lambda n: tree.select(key, F.col("node").alias(n), F.col("pre").alias(f"{n}_pre"), F.col("size").alias(f"{n}_size"))
+    ends = edges.where("a <> b").join(place("a"), [key, "a"]).join(place("b"), [key, "b"])
+    apart = (F.col("a_pre") + F.col("a_size") <= F.col("b_pre")) | (F.col("b_pre") + F.col("b_size") <= F.col("a_pre"))
+    across = ends.where(apart).select(key, "a", "b")
+    children = tree.where("parent is not null")
+    found = components(children.select(key, "node"), kept(up.unionByName(across)), key)
+    return children.select(key, "node", "parent").join(found, [key, "node"]).withColumnRenamed("root", "block")
 
-    def fn(rows: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for a, b in set(map(tuple, np.sort(rows[["a", "b"]].to_numpy(), axis=1).tolist())):
-            if a != b:
-                near.setdefault(a, []).append(b)
-                near.setdefault(b, []).append(a)
-        seen, low, cuts, sizes, clock = {}, {}, set(), [], 0
-        for start in sorted(near):
-            if start in seen:
-                continue
-            seen[start] = low[start] = clock = clock + 1
-            path, walk, branches = [start], [(start, None, iter(sorted(near[start])))], 0
-            while walk:
-                node, parent, rest = walk[-1]
-                for other in rest:
-                    if other not in seen:
-                        seen[other] = low[other] = clock = clock + 1
-                        path.append(other)
-                        walk.append((other, node, iter(sorted(near[other]))))
-                        break
-                    if other != parent:
-                        low[node] = min(low[node], seen[other])
-                else:
-                    walk.pop()
-                    if parent is None:
-                        continue
-                    low[parent] = min(low[parent], low[node])
-                    if low[node] >= seen[parent]:
-                        at = path.index(node)
-                        sizes.append(len(path) - at + 1)
-                        del path[at:]
-                        branches += parent == start
-                        if parent != start:
-                            cuts.add(parent)
-            if branches > 1:
-                cuts.add(start)
-        sizes.sort(reverse=True)
-        return pd.DataFrame([(rows["capture_id"].iloc[0], len(cuts), len(sizes), *(sizes + [0, 0])[:2])], columns=["capture_id", "articulations", "blocks", "largest", "second"])
-
-    return edges.groupBy("capture_id").applyInPandas(fn, "capture_id long, articulations long, blocks long, largest long, second long")
+
+def biconnectivity(edges: DataFrame, key: str = "capture_id") -> DataFrame:
+    """(key, articulations, blocks, largest, second): nodes in more than one block, blocks, and the sizes of the two
+    largest ones (0 where there are fewer)."""
+    found = kept(blocks(edges, key))
+    sizes = found.groupBy(key, "block").agg((F.count("*") + 1).alias("_size"))
+    counts = sizes.groupBy(key, "_size").agg(F.count("*").alias("_times"))  # few sizes, however many blocks
+    placed = counts.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc("_size"))))
+    of = lambda condition: F.max(F.when(condition, F.col("_size")))
+    top = placed.groupBy(key).agg(
+        F.sum("_times").alias("blocks"), F.max("_size").alias("largest"),
+        of((F.col("_r") == 1) & (F.col("_times") > 1)).alias("again"), of(F.col("_r") == 2).alias("next"),
+    )
+    in_block = found.select(key, F.explode(F.array("node", "parent")).alias("node"), "block").distinct()
+    cuts = in_block.groupBy(key, "node").agg(F.count("*").alias("_n")).where("_n > 1").groupBy(key).agg(F.count("*").alias("articulations"))
+    out = top.join(cuts, key, "left")
+    return out.select(key, F.coalesce("articulations", F.lit(0)).alias("articulations"), "blocks", "largest", F.coalesce("again", "next", F.lit(0)).alias("second"))
 
 
 def descriptorless(images: DataFrame, descriptors: DataFrame, schedule: DataFrame) -> DataFrame:

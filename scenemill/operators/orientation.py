@@ -68,18 +68,25 @@ def _angle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.degrees(np.arccos(np.clip(a @ b, -1, 1)))
 
 
-def upright(v: np.ndarray) -> list[float]:
-    """Quaternion (w x y z, its first part that is not 0 positive) that turns the unit vector v to +y."""
-    cosine = float(np.clip(v[1], -1, 1))
+def turning(v: np.ndarray, to: np.ndarray) -> list[float]:
+    """Quaternion (w x y z, its first part that is not 0 positive) of the smallest turn from one unit vector to another:
+    half the angle about what is perpendicular to both; for opposite ones about what is perpendicular to v and to
+    the axis that v leans to least."""
+    cosine = float(np.clip(v @ to, -1, 1))
     if cosine <= -1 + 1e-14:
         q = np.array([0.0, *np.cross(v, np.eye(3)[int(np.argmin(np.abs(v)))])])
     else:
-        q = np.array([1 + cosine, *np.cross(v, [0.0, 1.0, 0.0])]) if cosine < 1 - 1e-14 else np.array([1.0, 0, 0, 0])
+        q = np.array([1 + cosine, *np.cross(v, to)]) if cosine < 1 - 1e-14 else np.array([1.0, 0, 0, 0])
     q = q / np.linalg.norm(q)
     first = q[np.flatnonzero(q)[0]]
     return (q * np.sign(first) + 0.0).tolist()
 
 
+def upright(v: np.ndarray) -> list[float]:
+    """The smallest turn of the unit vector v to +y."""
+    return turning(v, np.array([0.0, 1.0, 0.0]))
+
+
 def _trajectory(centres: np.ndarray) -> tuple[np.ndarray | None, float | None]:
     """(normal of the plane that the centres lie in, share of their spread along one line), where they tell."""
     off = centres - centres.mean(axis=0)

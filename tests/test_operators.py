@@ -69,27 +69,40 @@ def test_blocks(spark):
     assert (got.articulations, got.blocks, got.largest, got.second) == (2, 3, 3, 3)
 
 
-def test_blocks_of_every_accepted_pair(spark, sf_dir):
-    from scenemill import catalog
-    from scenemill.plans.views import view
-
-    graphs, cuts = {}, {}
-    for r in view(spark, sf_dir, "verified").where("verified >= 15").collect():
-        graphs.setdefault(r.capture_id, set()).add((r.pair_id // 2147483647, r.pair_id % 2147483647))
-
-    def parts(nodes, pairs):
-        root = {n: n for n in nodes}
-        for _ in nodes:
-            for a, b in pairs:
-                root[a] = root[b] = min(root[a], root[b])
-        return len(set(root.values()))
-
-    for capture, pairs in graphs.items():
-        nodes = {n for p in pairs for n in p}
-        less = lambda x: parts(nodes - {x}, [p for p in pairs if x not in p])
-        cuts[capture] = sum(less(x) > parts(nodes, pairs) for x in nodes)
-    got = {r.capture_id: r.articulations for r in catalog.queries()["C5_biconnectivity"](spark, sf_dir).collect()}
-    assert got == cuts and len(cuts) > 1
+def test_blocks_of_a_large_graph(spark):
+    """Chains of rings, hubs and bridges whose blocks are known, over nodes that no order favours."""
+    rng = np.random.default_rng(8)
+    for key, n_rings, most in [(1, 60, 12)]:
+        name, edges, sizes, last = list(range(20_000)), [], [], None
+        rng.shuffle(name)
+        used = iter(name)
+        for _ in range(n_rings):
+            ring = [next(used) if last is None or rng.random() < 0.5 else last, *[next(used) for _ in range(int(rng.integers(2, most)))]]
+            edges += list(zip(ring, [*ring[1:], ring[0]], strict=True))
+            sizes.append(len(ring))
+            if last is not None and ring[0] != last:
+                edges.append((last, ring[0]))
+                sizes.append(2)
+            last = ring[int(rng.integers(0, len(ring)))]
+        hub = last
+        for _ in range(50):
+            edges.append((hub, next(used)))
+            sizes.append(2)
+        rows = [(key, int(a), int(b)) if rng.random() < 0.5 else (key, int(b), int(a)) for a, b in edges for _ in range(1 + int(rng.random() < 0.1))]
+        rows += [(key, int(hub), int(hub))]
+        found = graph.blocks(spark.createDataFrame(rows, "k long, a long, b long"), "k").collect()
+        members = {}
+        for r in found:
+            members.setdefault(r.block, set()).update((r.node, r.parent))
+        assert sorted(len(m) for m in members.values()) == sorted(sizes)
+        count = {}
+        for m in members.values():
+            for x in m:
+                count[x] = count.get(x, 0) + 1
+        got = graph.biconnectivity(spark.createDataFrame(rows, "k long, a long, b long"), "k").first()
+        top = sorted(sizes, reverse=True)
+        assert tuple(got) == (key, sum(c > 1 for c in count.values()), len(sizes), top[0], top[1])
+    assert graph.biconnectivity(spark.createDataFrame([(1, 2, 2)], "k long, a long, b long"), "k").count() == 0
 
 
 def test_components_of_a_long_path(spark):

@@ -575,6 +575,56 @@ def test_oriented_alignment_and_deviation(spark):
     assert dev[1].status == "unavailable" and dev[1].centre_p95 is None
 
 
+def test_oriented_alignment_of_noisy_mirrored_opposite_and_flat_windows(spark):
+    """Against the same definition in numpy, where views disagree: each status, and a turn by half a circle."""
+    rng = np.random.default_rng(11)
+    windows = {1: 5, 2: 7, 3: 2, 4: 2, 5: 3, 6: 2, 7: 4}
+    rows = []
+    for w, n in windows.items():
+        for i in range(n):
+            qs = times(quaternion(rng.normal(size=3), 25), quaternion([0, 1, 0], 40 * i))
+            cs = rng.normal(size=3)
+            qd, cd = qs, 1.7 * cs + [1, 2, 3]
+            if w in (1, 2):
+                qd, cd = times(quaternion(rng.normal(size=3), 6), qs), cd + 0.03 * rng.normal(size=3)
+            if w == 2:
+                cd = cd * [1, 1, -1]
+            if w == 3:  # seen from behind: the baseline points the other way
+                cs = np.array([0.0, 0, 1.0 * i])
+                qs, qd, cd = np.array([1.0, 0, 0, 0]), np.array([1.0, 0, 0, 0]), -cs
+            if w == 4:
+                cd = np.ones(3)
+            if w == 5:
+                cd = 40 * cs
+            if w == 7:
+                cd = cd + rng.normal(size=3)
+            rows.append((w, i, *map(float, qs), *map(float, -matrix(qs) @ cs), *map(float, qd), *map(float, -matrix(qd) @ cd)))
+    schema = "window_id long, image_id long, " + ", ".join(f"{p}{c} double" for p in "sd" for c in alignment.POSE)
+    got = {r.window_id: r for r in alignment.estimate_oriented_sim3(spark.createDataFrame(rows, schema)).collect()}
+    assert {w: r.status for w, r in got.items()} == {1: "ok", 2: "poor_fit", 3: "ok", 4: "no_baseline", 5: "implausible_scale", 6: "ok", 7: "poor_fit"}
+    assert got[4].scale is None and got[5].rotation is None and got[1].n == 5
+    for w in (1, 2, 3, 6, 7):
+        own = np.array([r[2:] for r in rows if r[0] == w])
+        rs, rd = ([matrix(q) for q in own[:, a : a + 4]] for a in (0, 7))
+        cs, cd = (np.array([-r.T @ t for r, t in zip(m, own[:, a : a + 3], strict=True)]) for m, a in ((rs, 4), (rd, 11)))
+        u, _, vt = np.linalg.svd(sum(b.T @ a for a, b in zip(rs, rd, strict=True)))
+        rot = u @ np.diag([1, 1, np.sign(np.linalg.det(u @ vt))]) @ vt
+        both = list(itertools.combinations(range(len(cs)), 2))
+        scale = np.median([np.linalg.norm(cd[j] - cd[i]) / np.linalg.norm(cs[j] - cs[i]) for i, j in both])
+        i, j = max(both, key=lambda p: np.linalg.norm(cs[p[1]] - cs[p[0]]))
+        a, b = rot @ (cs[j] - cs[i]), cd[j] - cd[i]
+        found = np.array(got[w].rotation).reshape(3, 3)
+        assert np.allclose(found @ found.T, np.eye(3)) and np.linalg.det(found) > 0 and abs(got[w].scale - scale) < 1e-9
+        assert np.allclose(found @ (cs[j] - cs[i]) / np.linalg.norm(a), b / np.linalg.norm(b), atol=1e-9)
+        turn = found @ rot.T
+        angle = np.arccos(np.clip((np.trace(turn) - 1) / 2, -1, 1))
+        assert abs(angle - np.arccos(np.clip(a @ b / np.linalg.norm(a) / np.linalg.norm(b), -1, 1))) < 1e-6  # the smallest such turn
+        shift = np.median(cd - scale * cs @ found.T, axis=0)
+        assert np.allclose(got[w].translation, shift)
+        off = np.sqrt((((scale * cs @ found.T + shift) - cd) ** 2).sum(axis=1).mean()) / np.sqrt(((cd - cd.mean(axis=0)) ** 2).sum(axis=1).mean())
+        assert abs(got[w].rmse - off) < 1e-9
+
+
 def test_anchors_span_the_largest_triangle(spark):
     rng = np.random.default_rng(3)
     rows = [(1, i, *map(float, rng.normal(size=3))) for i in range(9)] + [(2, i, float(i), 0.0, 0.0) for i in range(5)] + [(3, 0, 0.0, 0.0, 0.0)]
