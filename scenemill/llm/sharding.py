@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 STEP, MOST_BITS = 8, 48
+#: Equal rows that a task numbers at most.
+COPIES = 10_000
 
 
 def bits_of(key: Column) -> Column:
@@ -21,19 +23,32 @@ def bits_of(key: Column) -> Column:
     return F.lpad(number, MOST_BITS, "0")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``number``, from 0 on among equal rows. These are counted first, and written anew in parts of COPIES."""
+    counts = cut(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")))
+    few = counts.where(F.col("n") <= COPIES).withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    parts = counts.where(F.col("n") > COPIES).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))))
+    parts = parts.repartition(*rows.columns, "part")
+    last = F.least(F.col("n"), (F.col("part") + 1) * COPIES) - 1
+    many = parts.withColumn("number", F.explode(F.sequence(F.col("part") * COPIES, last)))
+    return few.drop("n").unionByName(many.drop("n", "part"))
+
+
 def shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, bytes, shard, shard_bytes, fits) of each row.
 
     shard: the bits of its bucket ("" if all fits in one). Null texts have 0 bytes, a null id the key of an
     empty one. Rows of one id, which its 48 bits can't tell apart, go on with 48 bits of their own (of the text
-    and a number of the row) where each of them fits. Where one row is over the limit by itself, its bucket ends
+    and, for rows equal in id and text, a number from 0 on) where each of them fits, so reruns agree. Where one row is over the limit by itself, its bucket ends
     after the id's 48 bits with fits = false. Other columns are ignored, whatever their names. An empty table
     gives an empty result.
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    own = F.concat_ws(" ", F.md5(F.col(text_col).cast("binary")), F.monotonically_increasing_id())
+    text = F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit(""))
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), size.alias("bytes"), F.concat(bits_of(key), bits_of(own)).alias("bits")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("bytes"), bits_of(key).alias("id_bits"), text.alias("text"))
+    rows = numbered(rows)
+    rows = cut(rows.select("doc_id", "bytes", F.concat("id_bits", bits_of(F.concat_ws(" ", "text", "number"))).alias("bits")))
     end = 2 * MOST_BITS
     first = F.substring("bits", 1, MOST_BITS).alias("bits")
     open_, found = rows.groupBy(first).agg(F.sum("bytes").alias("b"), F.max("bytes").alias("top")), None

@@ -50,3 +50,14 @@ def test_long_texts_of_one_line_and_repeats(spark):
     rows = [(1, "word " * 40_000), (2, "word " * 40_000), (2, "word " * 40_000), (4, None)]
     got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), 250_000).collect()
     assert all(r.fits for r in got) and len({r.shard for r in got if r.doc_id in (1, 2)}) == 3
+
+
+def test_reruns_agree_for_rows_of_one_id(spark, monkeypatch):
+    """However rows are dealt to tasks, and however equal ones are numbered in parts."""
+    rows = [(3, f"text {i % 200}") for i in range(600)] + [(None, "the same")] * 300 + [(i, "x" * i) for i in range(100)] + [(9, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for parts, copies in ((2, 10_000), (7, 10_000), (3, 13)):
+        monkeypatch.setattr(sharding, "COPIES", copies)
+        found.append(sorted(map(tuple, sharding.shards(df.repartition(parts), 300).collect()), key=repr))
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
