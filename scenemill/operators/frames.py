@@ -71,6 +71,14 @@ def score_luma(frames: DataFrame, width: int = 64, height: int = 64) -> DataFram
     return frames.mapInPandas(fn, f"{kept}, blur double, laplacian double, brightness double, clipped double, max_component double, dhash long")
 
 
+def luma_motion(now: bytes | None, then: bytes | None) -> float:
+    """Mean difference of two centred grids, over 32, at most 1; 0 where one is missing or of another size."""
+    if now is None or then is None or len(now) != len(then) or not len(now):
+        return 0.0
+    x, y = np.frombuffer(now, np.uint8).astype(float), np.frombuffer(then, np.uint8).astype(float)
+    return min(1.0, float(np.abs((x - x.mean()) - (y - y.mean())).mean()) / 32)
+
+
 def motion(frames: DataFrame) -> DataFrame:
     """Adds ``motion``: mean difference of centred luma grids to the clip's previous frame, over 32, at most 1.
 
@@ -85,14 +93,7 @@ def motion(frames: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def differ(now: pd.Series, then: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(now, then, strict=True):
-            if a is None or b is None or len(a) != len(b) or not len(a):
-                out.append(0.0)
-                continue
-            x, y = np.frombuffer(a, np.uint8).astype(float), np.frombuffer(b, np.uint8).astype(float)
-            out.append(min(1.0, float(np.abs((x - x.mean()) - (y - y.mean())).mean()) / 32))
-        return pd.Series(out)
+        return pd.Series([luma_motion(a, b) for a, b in zip(now, then, strict=True)])
 
     return frames.withColumn("motion", differ("luma", before))
 
