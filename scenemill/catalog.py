@@ -6,15 +6,16 @@ are added in another order elsewhere.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenemill.functions.storage import cut
+from scenemill.functions.storage import cut, shared_folder
 from scenemill.operators import alignment, conditioning, evaluation, frames, graph, logs, models, orientation, pairs, photos, retrieval, splats, subject
 from scenemill.plans.views import view, with_views
-from scenemill.sources import model_files
+from scenemill.sources import model_files, splat_source
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -457,6 +458,42 @@ def _(v):
     return model_files.match_list(v("schedule")).drop("text")
 
 
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` written in a format of our own below the shared folder, and read again."""
+    spark = df.sparkSession
+    splat_source.register(spark)
+    path = f"{shared_folder(spark).rstrip('/')}/files/{uuid.uuid4().hex}"
+    df.write.format(kind).mode("append").save(path)
+    return spark.read.format(kind).load(path)
+
+
+@query("IO4_splat_ply", """SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, CAST(vec_id % 23 AS DOUBLE) / 2 - 5.5 AS opacity,
+  CAST(vec_id % 6 AS DOUBLE) / 4 - 4 AS scale, CAST(vec_id % 7 AS DOUBLE) AS green, 44 + vec_id % 5 AS last_harmonic FROM {embeddings} WHERE len(embedding) >= 3 AND embedding[1] IS NOT NULL AND embedding[2] IS NOT NULL AND embedding[3] IS NOT NULL""")
+def _(v):
+    """Splats through PLY files; the id goes with them as a harmonic."""
+    own = v("embeddings").where("size(embedding) >= 3 and embedding[0] is not null and embedding[1] is not null and embedding[2] is not null")
+    number = lambda text: F.expr(text).cast("float")
+    made = {c: number(f"embedding[{k}]") for k, c in enumerate("xyz")} | {"f_dc_0": number("vec_id"), "f_dc_1": number("vec_id % 7"), "f_dc_2": number("0")}
+    made |= {"opacity": number("vec_id % 23 / 2.0D - 5.5D")} | {f"scale_{k}": number("vec_id % 6 / 4.0D - 4") for k in range(3)} | {f"rot_{k}": number(str(int(k == 0))) for k in range(4)}
+    rest = F.transform(F.sequence(F.lit(0), F.lit(44)), lambda i: (i + F.col("vec_id") % 5).cast("float"))
+    back = written(own.select(*[c.alias(n) for n, c in made.items()], rest.alias("sh_rest")), "splat_ply")
+    names = {"x": "x", "y": "y", "z": "z", "opacity": "opacity", "scale_2": "scale", "f_dc_1": "green"}
+    return back.select(F.col("f_dc_0").cast("long").alias("vec_id"), *[F.col(c).cast("double").alias(n) for c, n in names.items()], F.element_at("sh_rest", 45).cast("long").alias("last_harmonic"))
+
+
+@query("IO6_splat_records", """SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS y, vec_id % 256 AS red, vec_id * 7 % 256 AS blue, CAST(vec_id * 5 % 256 - 128 AS DOUBLE) / 128 AS rot_1, CAST(vec_id % 6 AS DOUBLE) / 4 - 4 AS scale
+  FROM {embeddings} WHERE len(embedding) >= 1 AND embedding[1] IS NOT NULL""")
+def _(v):
+    """Splats through files of records; the id goes with them as a position."""
+    own = v("embeddings").where("size(embedding) >= 1 and embedding[0] is not null")
+    number = lambda text: F.expr(text).cast("float")
+    made = {"x": "vec_id", "y": "embedding[0]", "z": "0", "opacity": "0", "color_0": "vec_id % 256", "color_1": "0", "color_2": "vec_id * 7 % 256"}
+    made |= {f"scale_{k}": "vec_id % 6 / 4.0D - 4" for k in range(3)} | {"rot_0": "0", "rot_1": "(vec_id * 5 % 256 - 128) / 128.0D", "rot_2": "0", "rot_3": "0"}
+    back = written(own.select(*[number(text).alias(n) for n, text in made.items()]), "splat_records")
+    whole = [F.col(c).cast("long").alias(n) for c, n in (("x", "vec_id"), ("color_0", "red"), ("color_2", "blue"))]
+    return back.select(*whole, F.col("y").cast("double").alias("y"), F.col("rot_1").cast("double").alias("rot_1"), F.round(F.col("scale_0").cast("double"), 4).alias("scale"))
+
+
 # --- pair graphs -----------------------------------------------------------------------------------------
 
 
