@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenemill.functions.storage import cut, shared_folder
-from scenemill.operators import alignment, conditioning, evaluation, frames, graph, logs, models, orientation, pairs, photos, retrieval, splats, subject
+from scenemill.operators import alignment, conditioning, evaluation, frames, graph, logs, models, orientation, pairs, photos, receipts, retrieval, splats, subject
 from scenemill.plans.views import view, with_views
-from scenemill.sources import model_files, splat_source
+from scenemill.sources import model_files, splat_files, splat_source
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -117,6 +117,50 @@ def _(v):
     return evaluation.ab_refusals(v("run_views"))
 
 
+def receipts_of(v) -> DataFrame:
+    own = v("receipts")
+    text = lambda *pairs: F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in pairs]), lambda e: e["v"].isNotNull()))
+    return own.withColumns({
+        "provenance": text(("sort_ordering", "ordering"), ("renderer_source_sha256", "source")), "trainer_environment": text(("FAST", "fast"), ("LEVEL", "level")),
+        "trainer_sha256": F.col("trainer"), "memory_budget_bytes": F.col("memory"),
+    })
+
+
+@query("G8_receipt_refusals", """WITH r AS (SELECT *, nullif(ordering, '') AS o FROM {receipts}), g AS (SELECT experiment_id, count(*) FILTER (o IS NULL OR source IS NULL) AS no_renderer, greatest(count(DISTINCT o), count(DISTINCT source)) AS renderers,
+    count(*) FILTER (trainer IS NULL) AS no_trainer, count(DISTINCT trainer) AS trainers, count(DISTINCT arm) AS arms FROM r GROUP BY 1),
+  s AS (SELECT experiment_id, scene, count(DISTINCT arm) AS k FROM r GROUP BY ALL), runs AS (SELECT DISTINCT experiment_id, scene, path FROM r), n AS (SELECT experiment_id, scene, count(*) AS runs FROM runs GROUP BY ALL),
+  w AS (SELECT DISTINCT r.experiment_id, r.path, k.v FROM r JOIN (VALUES (0), (1), (2)) AS k(v) ON k.v < r.n_views),
+  seen AS (SELECT runs.experiment_id, runs.scene, w.v, count(*) AS k FROM runs JOIN w ON w.experiment_id = runs.experiment_id AND w.path = runs.path GROUP BY ALL)
+  SELECT experiment_id, CAST(1 AS INT) AS place, 'duplicate_receipt' AS reason, count(*) AS n FROM (SELECT experiment_id, path FROM r GROUP BY ALL HAVING count(*) > 1) GROUP BY 1
+  UNION ALL SELECT experiment_id, 2, 'duplicate_replicate', count(*) FROM (SELECT experiment_id, arm, scene, replicate FROM r GROUP BY ALL HAVING count(*) > 1) GROUP BY 1
+  UNION ALL SELECT experiment_id, 3, 'missing_provenance', no_renderer FROM g WHERE no_renderer > 0 UNION ALL SELECT experiment_id, 4, 'renderer_mismatch', renderers FROM g WHERE renderers > 1
+  UNION ALL SELECT experiment_id, 5, 'missing_trainer', no_trainer FROM g WHERE no_trainer > 0 UNION ALL SELECT experiment_id, 6, 'trainer_mismatch', trainers FROM g WHERE trainers > 1
+  UNION ALL SELECT s.experiment_id, 7, 'scene_set_mismatch', count(*) FROM s JOIN g USING (experiment_id) WHERE k < arms GROUP BY 1
+  UNION ALL SELECT seen.experiment_id, 8, 'view_set_mismatch', count(*) FROM seen JOIN n USING (experiment_id, scene) WHERE seen.k < n.runs GROUP BY 1""")
+def _(v):
+    own = receipts_of(v)
+    views = own.select("experiment_id", "path", F.explode(F.sequence(F.lit(1), F.col("n_views"))).alias("view_id"))
+    return receipts.refusals(own, views)
+
+
+@query("G8_arms_differ", """WITH r AS (SELECT experiment_id, arm, coalesce('=' || trainer, '-') AS t, memory AS m, coalesce('=' || fast, '-') AS f, '=' || level AS l, coalesce(fast, '') || '/' || level AS e FROM {receipts}),
+  s AS (SELECT experiment_id, list_sort(list(DISTINCT t) FILTER (arm = 'baseline')) AS ta, list_sort(list(DISTINCT t) FILTER (arm = 'candidate')) AS tb, list_sort(list(DISTINCT m) FILTER (arm = 'baseline')) AS ma, list_sort(list(DISTINCT m) FILTER (arm = 'candidate')) AS mb,
+    list_sort(list(DISTINCT f) FILTER (arm = 'baseline')) AS fa, list_sort(list(DISTINCT f) FILTER (arm = 'candidate')) AS fb, list_sort(list(DISTINCT l) FILTER (arm = 'baseline')) AS la, list_sort(list(DISTINCT l) FILTER (arm = 'candidate')) AS lb,
+    list_sort(list(DISTINCT e) FILTER (arm = 'baseline')) AS ea, list_sort(list(DISTINCT e) FILTER (arm = 'candidate')) AS eb, bool_or(f <> '-') AS has_fast FROM r GROUP BY 1),
+  d AS (SELECT experiment_id, 'trainer binary' AS difference, CAST(NULL AS VARCHAR) AS names FROM s WHERE ta IS DISTINCT FROM tb UNION ALL SELECT experiment_id, 'memory budget', NULL FROM s WHERE ma IS DISTINCT FROM mb
+    UNION ALL SELECT experiment_id, 'environment', array_to_string(list_concat(CASE WHEN has_fast AND fa IS DISTINCT FROM fb THEN ['FAST'] ELSE [] END, CASE WHEN la IS DISTINCT FROM lb THEN ['LEVEL'] ELSE [] END), ', ') FROM s WHERE ea IS DISTINCT FROM eb)
+  SELECT * FROM d UNION ALL SELECT experiment_id, 'nothing', NULL FROM s WHERE experiment_id NOT IN (SELECT experiment_id FROM d)""")
+def _(v):
+    return receipts.arms_differ(receipts_of(v))
+
+
+@query("G8_out_of_scope", """WITH p AS (SELECT experiment_id, path, unnest([CASE WHEN profile IS NULL THEN 'no profile' WHEN profile <> 'balanced' THEN 'other profile' END, CASE WHEN iterations <> 30000 THEN 'other iterations' END,
+    CASE WHEN seed IS NULL THEN 'no seed' WHEN seed <> 42 THEN 'other seed' END, CASE WHEN holdout_every IS NULL THEN 'no holdout_every' END]) AS problem FROM {receipts})
+  SELECT * FROM p WHERE problem IS NOT NULL UNION ALL SELECT experiment_id, NULL, 'scenes' FROM {receipts} GROUP BY 1 HAVING count(DISTINCT scene) < 2""")
+def _(v):
+    return receipts.out_of_scope(v("receipts"), {"profile": "balanced", "iterations": 30000, "seed": 42, "holdout_every": 8}, 2)
+
+
 @query("G9_ab_tail", f"""WITH {_LONG}, {_VIEWS}, l AS (SELECT metric, list_sort(list(round(mean_delta, 9))) AS d, min(struct_pack(m := round(mean_delta, 9), s := scene, v := view_id)) AS w,
     count(*) AS views, count(*) FILTER (round(mean_delta, 9) < -0.5) AS below_half, count(*) FILTER (round(mean_delta, 9) < -1) AS below_one FROM views GROUP BY metric)
   SELECT metric, views, below_half, below_one, d[1 + least(views - 1, CAST(floor(views * 0.01::DOUBLE) AS BIGINT))] AS p01, d[1 + least(views - 1, CAST(floor(views * 0.05::DOUBLE) AS BIGINT))] AS p05,
@@ -494,6 +538,22 @@ def _(v):
     return back.select(*whole, F.col("y").cast("double").alias("y"), F.col("rot_1").cast("double").alias("rot_1"), F.round(F.col("scale_0").cast("double"), 4).alias("scale"))
 
 
+@query("IO7_filter_ply", """SELECT vec_id % 3 AS remainder, count(*) AS rows, min(CAST(embedding[1] AS DOUBLE)) AS low, max(CAST(embedding[1] AS DOUBLE)) AS high FROM {embeddings}
+  WHERE vec_id % 3 < 2 AND len(embedding) >= 3 AND embedding[1] IS NOT NULL AND embedding[2] IS NOT NULL AND embedding[3] IS NOT NULL GROUP BY 1""")
+def _(v):
+    """Two selections of the rows of PLY files, each file filtered in place of its own; the results' bounds together."""
+    own = v("embeddings").where("size(embedding) >= 3 and embedding[0] is not null and embedding[1] is not null and embedding[2] is not null")
+    made = {c: F.col("embedding")[k].cast("float") for k, c in enumerate("xyz")} | {"f_dc_0": F.col("vec_id").cast("float")}
+    back = written(own.select(*[made.get(c, F.lit(0.5).cast("float")).alias(c) for c in splat_files.COLUMNS]), "splat_ply")
+    out = None
+    for remainder in (0, 1):
+        chosen = back.where(F.col("f_dc_0").cast("long") % 3 == remainder).select(F.concat(F.lit("file:"), "path").alias("path"), "row_index")
+        folder = back.select("path").first()["path"].rpartition("/")[0]
+        kept = splat_files.filter_ply(back.sparkSession, folder, chosen).select(F.lit(remainder).cast("long").alias("remainder"), "rows", "low", "high")
+        out = kept if out is None else out.unionByName(kept)
+    return out.groupBy("remainder").agg(F.sum("rows").alias("rows"), F.min(F.col("low")[0]).alias("low"), F.max(F.col("high")[0]).alias("high"))
+
+
 # --- pair graphs -----------------------------------------------------------------------------------------
 
 
@@ -1051,8 +1111,11 @@ def _(v):
 @query("E2_oriented_sim3")
 def _(v):
     own = tilted(v).withColumn("window_id", F.col("model_id") * 1_000_000 + F.expr("image_id div 250")).drop("model_id", "name")
-    sim = own.select("window_id").distinct().select("window_id", F.lit("ok").alias("status"), F.lit(2.5).alias("scale"), F.array(*[F.lit(float(x)) for x in (0, -1, 0, 1, 0, 0, 0, 0, 1)]).alias("rotation"), F.array(F.lit(4.0), F.lit(-2.0), F.lit(3.0)).alias("translation"))
+    scale = F.when(F.col("window_id") % 7 == 3, 30.0).when(F.col("window_id") % 7 == 5, 0.0).otherwise(2.5)
+    sim = own.select("window_id").distinct().select("window_id", F.lit("ok").alias("status"), scale.alias("scale"), F.array(*[F.lit(float(x)) for x in (0, -1, 0, 1, 0, 0, 0, 0, 1)]).alias("rotation"), F.array(F.lit(4.0), F.lit(-2.0), F.lit(3.0)).alias("translation"))
     moved = alignment.align_poses(own, sim, "window_id")
+    off = F.when(F.col("window_id") % 7 == 1, F.col("image_id") % 5 / 500).when(F.col("window_id") % 7 == 2, F.col("image_id") % 11 * 1.0).otherwise(F.lit(0.0))
+    moved = moved.withColumn("tx", F.col("tx") + off)
     both = own.select("window_id", "image_id", *[F.col(c).alias("s" + c) for c in alignment.POSE]).join(moved.select("window_id", "image_id", *[F.col(c).alias("d" + c) for c in alignment.POSE]), ["window_id", "image_id"])
     near = lambda c: F.transform(c, lambda x: F.round(x, 5) + 0.0)
     return alignment.estimate_oriented_sim3(both).withColumns({"scale": F.round("scale", 5), "rmse": F.round("rmse", 5), "rotation": near("rotation"), "translation": near("translation")})
@@ -1081,7 +1144,9 @@ def _(v):
 def _(v):
     own = tilted(v)
     sim = own.select("model_id").distinct().select("model_id", F.lit("ok").alias("status"), F.lit(2.5).alias("scale"), F.array(*[F.lit(float(x)) for x in (0, -1, 0, 1, 0, 0, 0, 0, 1)]).alias("rotation"), F.array(F.lit(4.0), F.lit(-2.0), F.lit(3.0)).alias("translation"))
-    out = alignment.pose_deviation(alignment.align_poses(own, sim), own)
+    off = F.when(F.col("model_id") % 3 == 1, F.col("image_id") % 5 / 50).when(F.col("model_id") % 3 == 2, F.col("image_id") % 11 * 1.0).otherwise(F.lit(0.0))
+    moved = alignment.align_poses(own, sim).withColumn("tx", F.col("tx") + off)
+    out = alignment.pose_deviation(moved.where("model_id <> 4 or image_id % 50 = 0"), own)
     return out.withColumns({"centre_p95": F.round("centre_p95", 5) + 0.0, "rotation_p95": F.round("rotation_p95", 4) + 0.0})
 
 

@@ -58,6 +58,18 @@ VIEWS = {
         o_orderkey % 3 AS replicate, o_orderkey % 3 * 2 + o_custkey % 2 AS started_at, 'v' || CAST(c_nationkey AS VARCHAR(9)) AS view_id,
         count(*) AS rows_seen, sum(CAST(round(o_totalprice) AS BIGINT)) AS total
       FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey GROUP BY 1, 2, 3, 4, 5""",
+    # A customer's orders stand for an experiment's receipts; in some there is what they are refused for.
+    "receipts": """
+      SELECT o_custkey AS experiment_id, concat('run', CAST(CASE WHEN o_orderkey % 41 = 0 THEN 0 ELSE o_orderkey END AS VARCHAR(12))) AS path,
+        CASE WHEN o_orderkey % 2 = 0 THEN 'baseline' ELSE 'candidate' END AS arm, CASE WHEN o_orderkey % 8 < 5 THEN 'garden' ELSE 'room' END AS scene,
+        CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE o_orderkey END AS replicate, CASE WHEN o_orderkey % 29 = 0 THEN '' WHEN o_custkey % 5 = 0 AND o_orderkey % 3 = 0 THEN 'tile' ELSE 'depth' END AS ordering,
+        CASE WHEN o_orderkey % 37 <> 0 THEN CASE WHEN o_custkey % 7 = 0 AND o_orderkey % 2 = 0 THEN 'tree1' ELSE 'tree0' END END AS source,
+        CASE WHEN o_custkey % 11 <> 0 OR o_orderkey % 7 <> 0 THEN CASE WHEN o_custkey % 4 = 0 AND o_orderkey % 2 = 0 THEN 't1' ELSE 't0' END END AS trainer,
+        CASE WHEN o_custkey % 6 = 0 AND o_orderkey % 2 = 1 THEN 8 ELSE 4 END AS memory, CASE WHEN o_custkey % 3 = 0 AND o_orderkey % 2 = 1 THEN '1' END AS fast,
+        CASE WHEN o_custkey % 9 = 0 AND o_orderkey % 2 = 0 THEN 'high' ELSE 'low' END AS level, CASE WHEN o_custkey % 8 = 0 AND o_orderkey % 5 = 0 THEN 3 ELSE 2 END AS n_views,
+        CASE WHEN o_orderkey % 31 <> 0 THEN CASE WHEN o_orderkey % 17 = 0 THEN 'fast' ELSE 'balanced' END END AS profile, CASE WHEN o_orderkey % 43 <> 0 THEN 42 + CAST(o_orderkey % 19 = 0 AS INT) END AS seed,
+        CASE WHEN o_custkey % 10 = 0 THEN 7000 ELSE 30000 END AS iterations, CASE WHEN o_orderkey % 47 <> 0 THEN 8 END AS holdout_every
+      FROM {orders}""",
     "run_views": """
       SELECT scene, arm, replicate, started_at, view_id, CAST(total % 4096 AS DOUBLE) / 128 AS psnr, CAST(total % 1024 AS DOUBLE) / 1024 AS ssim,
         CAST(total % 512 AS DOUBLE) / 1024 AS lpips FROM {runs}""",

@@ -90,11 +90,12 @@ def read_splat_binary(spark: SparkSession, paths: str) -> DataFrame:
 def filter_ply(spark: SparkSession, paths: str, selection: DataFrame) -> DataFrame:
     """(path, content, rows, low, high): PLY files with the selected rows only, in order and byte for byte.
 
-    selection: (path, row_index). Files must be binary and little-endian; only the vertex count changes in
-    the header. The bounds are those of the kept positions.
+    selection: (path, row_index), each row once. Files must be binary and little-endian and have the 14 float
+    properties of COLUMNS; only the vertex count changes in the header. The bounds are those of the kept positions. A
+    file is one task's; splat_source writes files of bounded size.
     """
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    chosen = selection.groupBy("path").agg(F.array_sort(F.collect_set("row_index")).alias("keep"))
+    chosen = selection.groupBy("path").agg(F.array_sort(F.collect_list("row_index")).alias("keep"))
 
     def fn(batches):
         for b in batches:
@@ -103,6 +104,11 @@ def filter_ply(spark: SparkSession, paths: str, selection: DataFrame) -> DataFra
                 kind, count, row, body = parse_header(raw)
                 if kind != "binary_little_endian" or len(raw) != body + count * row.itemsize or not len(keep) or max(keep) >= count:
                     raise ValueError(f"{path} can't be filtered")
+                missing = [c for c in COLUMNS if c not in row.names or row[c].str != "<f4"]
+                if missing:
+                    raise ValueError(f"{path} has no float {', '.join(missing)}")
+                if min(keep) < 0 or len(set(keep)) < len(keep):
+                    raise ValueError(f"{path}: a row is selected twice, or has no place")
                 rows = np.frombuffer(raw, row, count, body)[np.asarray(keep)]
                 head = raw[:body].replace(f"element vertex {count}".encode(), f"element vertex {len(rows)}".encode(), 1)
                 p = np.stack([rows[c].astype(float) for c in "xyz"], 1)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scenemill.sources import splat_files
 from scenemill.sources import splat_source as source
 from scenemill.sources.splat_files import COLUMNS
 
@@ -112,3 +113,13 @@ def test_records(registered, tmp_path):
     got = registered.read.format("splat_records").option("rows", 64).load(path).orderBy("row_index").toPandas()
     for c, v in values.items():
         assert np.allclose(got[c], v, atol=0.03 if c == "opacity" else 1e-5, rtol=0.03 if c == "opacity" else 1e-5), c
+
+
+def test_filter_refuses_doubled_rows_and_other_files(registered, tmp_path):
+    rows = [[float(i)] * len(COLUMNS) for i in range(4)]
+    (tmp_path / "a.ply").write_bytes(ply("binary_little_endian", REAL(COLUMNS), rows))
+    (tmp_path / "b.ply").write_bytes(ply("binary_little_endian", REAL(COLUMNS[:-1]), [r[1:] for r in rows]))
+    for name, chosen, message in (("a", [1, 1], "twice"), ("a", [4], "filtered"), ("b", [1], "has no float rot_3")):
+        selection = registered.createDataFrame([(f"file:{tmp_path}/{name}.ply", i) for i in chosen], "path string, row_index long")
+        with pytest.raises(Exception, match=message):
+            splat_files.filter_ply(registered, f"{tmp_path}/{name}.ply", selection).collect()
