@@ -41,8 +41,8 @@ def number_rows(df: DataFrame, key: str | list[str], order: list) -> DataFrame:
 def percentiles(df: DataFrame, key: str | list[str], value: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """(key, one column for each name of ``wanted``): exact percentiles of the values that are not null.
 
-    wanted: name -> (definition, p) with the definitions ``rank`` (sorted[ceil(p n) - 1]), ``linear``
-    (interpolated at (n - 1) p) and ``middle`` (as linear at 0.5). Equal values are counted before the shuffle
+    wanted: name -> (definition, p) with the definitions ``rank`` (sorted[ceil(p n) - 1]), ``floor``
+    (sorted[min(n - 1, floor(p n))]), ``linear`` (interpolated at (n - 1) p) and ``middle`` (as linear at 0.5). Equal values are counted before the shuffle
     and the distinct ones spread over ranges, so a dominant group needs no buffer of its own.
     """
     keys = [key] if isinstance(key, str) else list(key)
@@ -55,8 +55,9 @@ def percentiles(df: DataFrame, key: str | list[str], value: str, wanted: dict[st
 
     found, out = [], []
     for name, (how, p) in wanted.items():
-        if how == "rank":
-            found.append(at(F.greatest(F.ceil(F.col("_n") * F.lit(p)), F.lit(1)) - 1).alias(name))
+        if how in ("rank", "floor"):
+            place = F.greatest(F.ceil(F.col("_n") * F.lit(p)), F.lit(1)) - 1 if how == "rank" else F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(p)))
+            found.append(at(place).alias(name))
             out.append(F.col(name))
             continue
         spot = (F.col("_n") - 1) * F.lit(0.5 if how == "middle" else p)
@@ -67,6 +68,16 @@ def percentiles(df: DataFrame, key: str | list[str], value: str, wanted: dict[st
     return rows.groupBy(*keys).agg(*found).select(*keys, *out)
 
 
+def percentiles_of(df: DataFrame, key: str, wanted: dict[str, dict[str, tuple[str, float]]]) -> DataFrame:
+    """As ``percentiles`` of several columns at once: column -> name -> (definition, p); each column's values are rows of
+    one table, which is sorted and counted once. Every column has the names of the first one."""
+    columns = list(wanted)
+    kinds = wanted[columns[0]]
+    rows = df.select(key, F.inline(F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in columns])))
+    found = percentiles(rows, [key, "_column"], "_value", kinds)
+    return found.groupBy(key).agg(*[F.max(F.when(F.col("_column") == c, F.col(k))).alias(name) for c in columns for k, name in zip(kinds, wanted[c], strict=True)])
+
+
 def even_positions(n: Column, i: Column, limit: int) -> Column:
     """Whether place i of n is one of ``limit`` even positions, rounded half away from zero."""
     step = (n - 1) / F.lit(float(max(1, limit - 1)))

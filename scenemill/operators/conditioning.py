@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenemill.functions import ranks
+from scenemill.functions.storage import cut
 from scenemill.operators import graph, splats
 
 #: Degrees at which a pair of rays counts, and the least adaptive threshold.
@@ -15,39 +16,95 @@ DEGREES = (1.5, 2.0, 3.0)
 FLOOR = 0.05
 
 
-def parallax(observations: DataFrame, centres: DataFrame, points: DataFrame, block: int = 512) -> DataFrame:
+#: Rays of a point that one task meets in one row, and rays of a block of a point with more.
+LONG, BLOCK = 4096, 2048
+
+
+def _angles(a: np.ndarray, b: np.ndarray, own_a: np.ndarray, own_b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Degrees between rays of two blocks, and what is needed for the adaptive count; a ray has no angle with itself."""
+    apart = np.degrees(np.arccos(np.clip(np.abs(a @ b.T), 0, 1)))
+    if same:
+        np.fill_diagonal(apart, -1.0)
+    return apart, np.maximum(FLOOR, 3 * np.degrees(np.maximum(own_a[:, None], own_b[None, :])))
+
+
+def _unit(rays: list) -> np.ndarray:
+    r = np.stack([np.asarray(x, float) for x in rays])
+    return r / np.maximum(np.sqrt((r * r).sum(axis=1)), 1e-300)[:, None]
+
+
+def _met(group: pd.DataFrame) -> pd.DataFrame:
+    """Of a pair of blocks of a point each ray's hits and its widest angle with the other block's rays."""
+    low, out = int(group["low"].iloc[0]), []
+    left = group[group["own"] == low]
+    right = left if low == int(group["high"].iloc[0]) else group[group["own"] != low]
+    if not len(left) or not len(right):
+        return pd.DataFrame([], columns=["ray_id", "widest", *(f"hit{k}" for k in range(4))])
+    a, b = _unit(left["ray"].tolist()), _unit(right["ray"].tolist())
+    apart, need = _angles(a, b, left["angle"].to_numpy(float), right["angle"].to_numpy(float), right is left)
+    for rows, axis in ((left, 1), (right, 0)) if right is not left else ((left, 1),):
+        hits = {f"hit{k}": (apart >= most).any(axis=axis) for k, most in enumerate((*DEGREES, need))}
+        out.append(pd.DataFrame({"ray_id": rows["ray_id"].to_numpy(), "widest": apart.max(axis=axis), **hits}))
+    return pd.concat(out)
+
+
+def _long_tracks(rays: DataFrame, block: int) -> DataFrame:
+    """As ``parallax``, for points with many rays: each ray goes to the pairs of its block with every block of its point."""
+    keys = ["model_id", "point_id"]
+    own = cut(rays.withColumn("ray_id", F.monotonically_increasing_id()))
+    blocks = F.ceil(F.col("n") / block)
+    dealt = own.withColumn("own", F.pmod(F.xxhash64("ray_id"), blocks)).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select(*keys, "ray_id", "ray", "angle", "own", F.least("own", "_with").alias("low"), F.greatest("own", "_with").alias("high"))
+    hits = [f"hit{k}" for k in range(4)]
+    met = dealt.groupBy(*keys, "low", "high").applyInPandas(_met, "ray_id long, widest double, " + ", ".join(f"{h} boolean" for h in hits))
+    by_ray = met.groupBy("ray_id").agg(F.max("widest").alias("widest"), *[F.bool_or(h).alias(h) for h in hits])
+    sums = own.select(*keys, "ray_id").join(by_ray, "ray_id", "left").groupBy(*keys).agg(
+        F.count("*").alias("rays"), *[F.count_if(h).alias(c) for h, c in zip(hits, ("at_1_5", "at_2", "at_3", "adaptive"), strict=True)], F.max("widest").alias("_widest")
+    )
+    last = ranks.percentiles(own, keys, "angle", {"_angle": ("rank", 0.9)})
+    limit = F.greatest(F.lit(FLOOR), 3 * F.degrees("_angle"))
+    out = sums.join(last, keys).withColumn("threshold", limit)
+    return out.select(*keys, "rays", "at_1_5", "at_2", "at_3", "adaptive", (F.col("_widest") >= F.col("threshold")).alias("conditioned"), "threshold")
+
+
+def parallax(observations: DataFrame, centres: DataFrame, points: DataFrame, block: int = 512, long: int = LONG, long_block: int = BLOCK) -> DataFrame:
     """(model_id, point_id, rays, at_1_5, at_2, at_3, adaptive, conditioned, threshold) for each point.
 
     at_*: rays that make that angle with another one; adaptive: the same for three times the pair's larger
     angular residual, 0.05 degrees at least; conditioned: the widest angle passes three times the 90% residual.
-    observations: (model_id, image_id, point_id, angle), centres: (model_id, image_id, cx, cy, cz). A track is
-    one row, a ray for each image that sees the point; its pairs are met in blocks of numpy rows.
+    observations: (model_id, image_id, point_id, angle), centres: (model_id, image_id, cx, cy, cz). A track of up to
+    ``long`` rays is one row, whose pairs are met in blocks of numpy rows. A longer one is dealt into blocks of about
+    ``long_block`` rays, and each pair of its blocks is a group of its own: all pairs of rays are met, over many tasks.
     """
     ray = F.array(*[F.col(f"p{c}") - F.col(f"c{c}") for c in "xyz"])
-    rows = observations.join(points, ["model_id", "point_id"]).join(centres, ["model_id", "image_id"])
-    tracks = rows.groupBy("model_id", "point_id").agg(F.collect_list(F.struct(ray.alias("ray"), "angle")).alias("track"))
-    tracks = tracks.select("model_id", "point_id", F.col("track.ray").alias("ray"), F.col("track.angle").alias("angle"))
+    keys = ["model_id", "point_id"]
+    rows = observations.join(points, keys).join(centres, ["model_id", "image_id"]).select(*keys, ray.alias("ray"), "angle")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    many = cut(sizes.where(F.col("n") > long))
+    few = rows.join(many.select(*keys), keys, "left_anti")
+    tracks = few.groupBy(*keys).agg(F.collect_list(F.struct("ray", "angle")).alias("track"))
+    tracks = tracks.select(*keys, F.col("track.ray").alias("ray"), F.col("track.angle").alias("angle"))
 
     def fn(batches):
         for b in batches:
             out = []
-            for model, point, ray, angle in zip(b["model_id"], b["point_id"], b["ray"], b["angle"], strict=True):
-                r, own = np.stack([np.asarray(x, float) for x in ray]), np.asarray(angle, float)
-                r = r / np.maximum(np.sqrt((r * r).sum(axis=1)), 1e-300)[:, None]
+            for model, point, rays, angle in zip(b["model_id"], b["point_id"], b["ray"], b["angle"], strict=True):
+                r, own = _unit(rays), np.asarray(angle, float)
                 hit, widest = np.zeros((4, len(r)), bool), 0.0
                 for i in range(0, len(r), block):
-                    apart = np.degrees(np.arccos(np.clip(np.abs(r[i : i + block] @ r.T), 0, 1)))
-                    apart[np.arange(len(apart)), i + np.arange(len(apart))] = -1.0  # a ray has no angle with itself
-                    need = np.maximum(FLOOR, 3 * np.degrees(np.maximum(own[i : i + block, None], own[None, :])))
+                    part = slice(i, i + block)
+                    apart, need = _angles(r[part], r, own[part], own, False)
+                    apart[np.arange(len(apart)), i + np.arange(len(apart))] = -1.0
                     for k, most in enumerate((*DEGREES, need)):
-                        hit[k, i : i + block] = (apart >= most).any(axis=1)
+                        hit[k, part] = (apart >= most).any(axis=1)
                     widest = max(widest, float(apart.max()))
                 limit = max(FLOOR, 3 * float(np.degrees(np.sort(own)[max(0, int(np.ceil(0.9 * len(own))) - 1)])))
                 out.append((model, point, len(r), *(int(h.sum()) for h in hit), widest >= limit, limit))
             yield pd.DataFrame(out, columns=["model_id", "point_id", "rays", "at_1_5", "at_2", "at_3", "adaptive", "conditioned", "threshold"])
 
     kind = observations.schema["model_id"].dataType.simpleString()
-    return tracks.mapInPandas(fn, f"model_id {kind}, point_id long, rays long, at_1_5 long, at_2 long, at_3 long, adaptive long, conditioned boolean, threshold double")
+    found = tracks.mapInPandas(fn, f"model_id {kind}, point_id long, rays long, at_1_5 long, at_2 long, at_3 long, adaptive long, conditioned boolean, threshold double")
+    return found if many.isEmpty() else found.unionByName(_long_tracks(rows.join(many, keys), long_block))
 
 
 def parallax_summary(found: DataFrame) -> DataFrame:

@@ -11,15 +11,14 @@ from scenemill.functions import ranks, stats
 
 def holdout(images: DataFrame, every: int, key: str = "scene", name: str = "name") -> DataFrame:
     """Adds ``held_out``: every n-th image by name within its scene, from the first on."""
-    place = F.row_number().over(W.partitionBy(key).orderBy(name)) - 1
-    return images.withColumn("held_out", place % every == 0)
+    placed = ranks.number_rows(images, key, [name])
+    return placed.withColumn("held_out", F.col("_i") % every == 0).drop("_i", "_n")
 
 
 def sparse_views(images: DataFrame, k: int, every: int, key: str = "scene", name: str = "name") -> DataFrame:
     """(key, slot, name): k training images at even spacing, positions rounded half to even."""
     train = holdout(images, every, key, name).where("not held_out")
-    w = W.partitionBy(key)
-    placed = train.select(key, name, (F.row_number().over(w.orderBy(name)) - 1).alias("place"), F.count("*").over(w).alias("n"))
+    placed = ranks.number_rows(train.select(key, name), key, [name]).withColumnsRenamed({"_i": "place", "_n": "n"})
     at = lambda s: F.bround(s * (F.col("n") - 1) / max(1, k - 1)).cast("int")
     slots = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda s: at(s) == F.col("place"))
     return placed.where(F.col("n") >= k).select(key, F.explode(slots).alias("slot"), name)
@@ -121,11 +120,12 @@ def ab_verdict(scenes: DataFrame, views: DataFrame, contract: dict[str, float])
 
 def ab_tail(views: DataFrame) -> DataFrame:
     """Per metric: number of views, how many lose over 0.5 and 1, floor-index percentiles, the worst view."""
-    return views.groupBy("metric").agg(
+    places = ranks.percentiles(views, "metric", "mean_delta", {"p01": ("floor", 0.01), "p05": ("floor", 0.05), "p10": ("floor", 0.1)})
+    counts = views.groupBy("metric").agg(
         F.count("*").alias("views"), F.count_if(F.col("mean_delta") < -0.5).alias("below_half"), F.count_if(F.col("mean_delta") < -1).alias("below_one"),
-        stats.floor_index(F.col("mean_delta"), 0.01).alias("p01"), stats.floor_index(F.col("mean_delta"), 0.05).alias("p05"), stats.floor_index(F.col("mean_delta"), 0.1).alias("p10"),
         F.min_by(F.concat_ws("/", "scene", "view_id"), F.struct("mean_delta", "scene", "view_id")).alias("worst"),
     )
+    return counts.join(places, "metric", "left").select("metric", "views", "below_half", "below_one", "p01", "p05", "p10", "worst")
 
 
 def worst_views(views: DataFrame, k: int = 10) -> DataFrame:

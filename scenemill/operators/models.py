@@ -160,10 +160,7 @@ def align_points(points: DataFrame, sim3: DataFrame, key: str = "model_id", name
 
 def voxel_sizes(points: DataFrame, most: int, key: str = "capture_id") -> DataFrame:
     """(key, size): the edge at which a capture's bulk, from 1% to 99% on each axis, has about ``most`` voxels."""
-    ends = None
-    for c in "xyz":
-        own = ranks.percentiles(points, key, c, {f"_l{c}": ("linear", 0.01), f"_h{c}": ("linear", 0.99)})
-        ends = own if ends is None else ends.join(own, key)
+    ends = ranks.percentiles_of(points, key, {c: {f"_l{c}": ("linear", 0.01), f"_h{c}": ("linear", 0.99)} for c in "xyz"})
     extent = [F.greatest(F.col(f"_h{c}") - F.col(f"_l{c}"), F.lit(0.0)) for c in "xyz"]
     widest = F.greatest(*extent, F.lit(float(np.finfo(float).eps)))
     volume = F.lit(1.0)

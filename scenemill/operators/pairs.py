@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from scenemill.functions import geometry
+from scenemill.functions import geometry, ranks
 
 
 def clip_violations(manifest: DataFrame) -> DataFrame:
@@ -53,11 +53,12 @@ def merge_pairs(base: DataFrame, retrieved: DataFrame, images: DataFrame) -> Dat
 
     Retrieved pairs of one clip nearer than max(12, n / 10) go; pairs of unknown images or of one image too.
     """
-    known = images.select("capture_id", "i", "clip_id", F.count("*").over(W.partitionBy("capture_id")).alias("n"))
+    known = images.select("capture_id", "i", "clip_id")
+    sizes = images.groupBy("capture_id").agg(F.count("*").alias("n"))
     edge = [F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")]
     both = base.select("capture_id", *edge, "role", F.lit(0).alias("_p")).unionByName(retrieved.select("capture_id", *edge, "role", F.lit(1).alias("_p")))
     first = both.where("i <> j").groupBy("capture_id", "i", "j").agg(F.min(F.struct("_p", "role")).alias("r"))
-    ends = first.join(known, ["capture_id", "i"]).join(known.select("capture_id", F.col("i").alias("j"), F.col("clip_id").alias("_other")), ["capture_id", "j"])
+    ends = first.join(known, ["capture_id", "i"]).join(known.select("capture_id", F.col("i").alias("j"), F.col("clip_id").alias("_other")), ["capture_id", "j"]).join(sizes, "capture_id")
     near = (F.col("r._p") == 1) & (F.col("j") - F.col("i") < F.greatest(F.lit(12), F.floor(F.col("n") / 10))) & (F.col("clip_id") == F.col("_other"))
     return ends.where(~near).select("capture_id", "i", "j", F.col("r.role").alias("role"))
 
@@ -82,15 +83,14 @@ def pose_pairs(cameras: DataFrame, k: int = 8, exhaustive: int = 60) -> DataFram
     Distance counts in median nearest-neighbour spacings, times 1.5 - 0.5 * cosine of the directions.
     cameras: (model_id, image_id, cx, cy, cz, fx, fy, fz).
     """
-    n = F.count("*").over(W.partitionBy("model_id"))
-    own = cameras.withColumn("_n", n)
+    own = cameras.join(cameras.groupBy("model_id").agg(F.count("*").alias("_n")), "model_id")
     names = ("cx", "cy", "cz", "fx", "fy", "fz")
     other = own.select("model_id", F.col("image_id").alias("b"), *[F.col(c).alias("o" + c) for c in names])
     pairs = own.join(other, "model_id").where("image_id <> b")
     d = F.sqrt(sum(((F.col(c) - F.col("o" + c)) ** 2 for c in names[:3]), F.lit(0.0)))
     pairs = pairs.withColumn("_d", d).withColumn("_c", sum((F.col(c) * F.col("o" + c) for c in names[3:]), F.lit(0.0)))
     nearest = pairs.groupBy("model_id", "image_id").agg(F.min("_d").alias("_near"))
-    spacing = nearest.groupBy("model_id").agg(F.get(F.array_sort(F.collect_list("_near")), F.floor(F.count("*") / 2).cast("int")).alias("_s"))
+    spacing = ranks.percentiles(nearest, "model_id", "_near", {"_s": ("floor", 0.5)})
     scored = pairs.join(spacing, "model_id").withColumn("_score", F.col("_d") / F.greatest("_s", F.lit(1e-12)) * (1.5 - 0.5 * F.col("_c")))
     place = F.row_number().over(W.partitionBy("model_id", "image_id").orderBy("_score", "b"))
     kept = scored.withColumn("_r", place).where((F.col("_n") <= exhaustive) | (F.col("_r") <= k))

@@ -17,7 +17,7 @@ def describe(rgb: np.ndarray) -> np.ndarray:
     p = rgb.astype(np.float64) / 255
     light = p @ np.array(LUMINANCE)
     flat = light.reshape(len(p), -1)
-    own = (flat - flat.mean(axis=1, keepdims=True)) / 1.0
+    own = flat - flat.mean(axis=1, keepdims=True)
     own = own / np.maximum(own.std(axis=1, keepdims=True), 0.05)
     across = np.concatenate([np.diff(light, axis=2), np.zeros((len(p), SIDE, 1))], axis=2).reshape(len(p), -1)
     down = np.concatenate([np.diff(light, axis=1), np.zeros((len(p), 1, SIDE))], axis=1).reshape(len(p), -1)

@@ -155,9 +155,8 @@ def scene_bounds(splats: DataFrame) -> DataFrame:
     count = rows.groupBy("scene").agg(F.count("*").alias("rows"), F.count_if("_seen").alias("visible"))
     enough = F.col("visible") >= F.greatest(F.lit(8), F.ceil(F.col("rows") / 1000))
     used = rows.join(count, "scene").where(F.col("_seen") | ~enough)
-    middle = count
-    for c in "xyz":
-        middle = middle.join(ranks.percentiles(used, "scene", c, {"c" + c: ("middle", 0.5)}), "scene")
+    used = cut(used)
+    middle = count.join(ranks.percentiles_of(used, "scene", {c: {"c" + c: ("middle", 0.5)} for c in "xyz"}), "scene")
     off = F.sqrt(sum(((F.col(c) - F.col("c" + c)) ** 2 for c in "xyz"), F.lit(0.0))) + 3 * F.exp("scale")
     far = used.drop("rows", "visible").join(middle.select("scene", "cx", "cy", "cz"), "scene").withColumn("_d", off)
     return middle.join(ranks.percentiles(far, "scene", "_d", {"radius": ("rank", 0.995)}), "scene")

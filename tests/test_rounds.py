@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenemill.functions import ranks
-from scenemill.operators import alignment, evaluation, frames, graph, models, orientation, pairs, photos, retrieval, splats
+from scenemill.operators import alignment, conditioning, evaluation, frames, graph, models, orientation, pairs, photos, retrieval, splats
 from scenemill.sources import model_files, splat_files
 from scenemill.streaming.frames import stream_frames
 
@@ -767,3 +767,19 @@ def test_invalid_scenes(spark):
     rows = [(None, "exit", False, "bad", False), (0, "exit", False, "bad", False), (1, "exit", True, "bad", False), (1, "exit", False, " ", False), (1, "exit", False, "bad", None), (1, "odd", False, "bad", False), (1, "exit", False, "worse", True), (1, "signal", False, "bad", False)]
     df = spark.createDataFrame([(i, *r, "bad") for i, r in enumerate(rows)], "i long, exit_code int, termination_reason string, cancelled boolean, failure_type string, corrupt_ply boolean, expected_failure string")
     assert [r.status for r in evaluation.invalid_scene(df).orderBy("i").collect()] == ["blocked", "failed", "failed", "blocked", "blocked", "blocked", "failed", "passed"]
+
+
+def test_long_tracks_over_many_tasks(spark):
+    """Points with many rays, dealt into pairs of blocks, against one row each."""
+    rng = np.random.default_rng(21)
+    seen = [(1, i, p, float(abs(rng.normal()) / 300)) for p, n in ((1, 90), (2, 31), (3, 1), (4, 2)) for i in range(n)]
+    centres = [(1, i, *map(float, rng.normal(size=3) * 0.2)) for i in range(90)]
+    points = [(1, p, 0.0, 0.0, float(3 * p)) for p in range(1, 5)]
+    tables = (
+        spark.createDataFrame(seen, "model_id long, image_id long, point_id long, angle double"), spark.createDataFrame(centres, "model_id long, image_id long, cx double, cy double, cz double"),
+        spark.createDataFrame(points, "model_id long, point_id long, px double, py double, pz double"),
+    )
+    show = lambda df: sorted((*r[:8], round(r[8], 9)) for r in df.collect())
+    whole = show(conditioning.parallax(*tables))
+    assert whole == show(conditioning.parallax(*tables, long=1, long_block=16)) == show(conditioning.parallax(*tables, long=40, long_block=50))
+    assert [r[2] for r in whole] == [90, 31, 1, 2] and 0 < whole[0][3] <= 90
