@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from scenemill.functions import ranks
+from scenemill.functions.storage import kept
 
 
 def _clamp(x: Column, low: float, high: float) -> Column:
@@ -359,24 +360,89 @@ def dedupe_companions(photos: DataFrame) -> DataFrame:
     return photos.join(drop, ["capture_id", "stem", "is_raw"], "left_anti")
 
 
-def rank_diverse(photos: DataFrame, k: int) -> DataFrame:
-    """(capture_id, rank, sha256): greedy farthest points by L1 distance of ``descriptor``, best quality first.
+#: Photos that one task scores, and candidates that a round picks from.
+CHUNK, CANDIDATES = 50_000, 512
 
-    Distances count in steps of 64, then quality, exact distance and the smaller hash. Every prefix of the
-    ranking is the ranking of a smaller k.
-    """
 
+def _order(near: np.ndarray, quality: np.ndarray, sha: np.ndarray) -> np.ndarray:
+    """Places from the best on: distance in steps of 64, quality, exact distance, the smaller hash."""
+    return np.lexsort((sha, -near, -quality, -(near // 64)))
+
+
+def _scored(candidates: int):
+    def fn(group: pd.DataFrame) -> pd.DataFrame:
+        """A chunk's photos that aren't picked, with their distance to the nearest pick; the best ones are marked."""
+        picks, rows = group[group["picked"]], group[~group["picked"]]
+        rows = rows[~rows["sha256"].isin(picks["sha256"])]
+        if len(rows) and len(picks):
+            d = np.stack(rows["descriptor"].to_list()).astype(np.int32)
+            near = rows["near"].to_numpy(np.int64)
+            for p in picks["descriptor"]:
+                far = np.abs(d - np.asarray(p, np.int32)).sum(axis=1)
+                near = np.where(near < 0, far, np.minimum(near, far))
+            rows = rows.assign(near=near)
+        best = np.zeros(len(rows), bool)
+        best[_order(rows["near"].to_numpy(np.int64), rows["quality"].to_numpy(np.int64), rows["sha256"].to_numpy())[: candidates + 1]] = True
+        return rows.assign(top=best).drop(columns="picked")
+
+    return fn
+
+
+def _picked(k: int, candidates: int):
     def fn(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sha256", kind="stable").drop_duplicates("sha256")
-        d, q = np.stack(rows["descriptor"].to_list()).astype(np.int64), rows["quality"].to_numpy(np.int64)
-        near, free, picks = np.full(len(q), np.iinfo(np.int64).max), np.ones(len(q), bool), []
-        for _ in range(min(k, len(q))):
-            step = np.where(free, 0, -1) if not picks else np.where(free, near // 64, -1)
-            exact = np.zeros(len(q), np.int64) if not picks else near
-            i = int(np.lexsort((np.arange(len(q)), -exact, -q, -step))[0])
-            picks.append(i)
+        """The next picks among a capture's best photos: distances only shrink, so as long as the best of them is still
+        ahead of the first one that isn't looked at, no other photo can overtake it."""
+        rows = rows.sort_values("place").reset_index(drop=True)
+        done, near, quality, sha = int(rows["done"].iloc[0]), rows["near"].to_numpy(np.int64).copy(), rows["quality"].to_numpy(np.int64), rows["sha256"].to_numpy()
+        d, out = np.stack(rows["descriptor"].to_list()).astype(np.int32), []
+        value = lambda i: (int(near[i]) // 64, int(quality[i]), int(near[i]))
+        last = len(rows) - 1 if len(rows) > candidates else None
+        bound, free = None if last is None else (value(last), sha[last]), np.ones(len(rows), bool)
+        if last is not None:
+            free[last] = False
+        while free.any() and done + len(out) < k:
+            left = np.flatnonzero(free)
+            i = left[_order(near[left], quality[left], sha[left])[0]]
+            if bound is not None and (value(i) < bound[0] or (value(i) == bound[0] and sha[i] > bound[1])):
+                break
+            out.append((rows["capture_id"].iloc[0], done + len(out), sha[i], d[i].tolist()))
             free[i] = False
+            if near[i] < 0:  # the first pick of all gives every photo a distance: the others wait for it
+                break
             near = np.minimum(near, np.abs(d - d[i]).sum(axis=1))
-        return pd.DataFrame({"capture_id": rows["capture_id"].iloc[0], "rank": np.arange(len(picks)), "sha256": rows["sha256"].to_numpy()[picks]})
+        return pd.DataFrame(out, columns=["capture_id", "rank", "sha256", "descriptor"])
+
+    return fn
 
-    return photos.groupBy("capture_id").applyInPandas(fn, "capture_id string, rank int, sha256 string")
+
+def rank_diverse(photos: DataFrame, k: int, chunk: int = CHUNK, candidates: int = CANDIDATES) -> DataFrame:
+    """(capture_id, rank, sha256): greedy farthest points by L1 distance of ``descriptor``, best quality first.
+
+    Distances count in steps of 64, then quality, exact distance and the smaller hash. Every prefix of the
+    ranking is the ranking of a smaller k. In rounds: photos are scored in chunks of about ``chunk`` against the round's new picks, the
+    best ``candidates`` of a capture are told by ranges, and of these as many are picked as no other photo can
+    overtake; so a capture of any size is no group, and k picks take far fewer than k rounds.
+    """
+    kinds = "capture_id string, sha256 string, descriptor array<int>, quality int, near long, chunk long"
+    own = photos.select(F.col("capture_id").cast("string").alias("capture_id"), "sha256", F.col("descriptor").cast("array<int>").alias("descriptor"), F.col("quality").cast("int").alias("quality"))
+    own = own.dropDuplicates(["capture_id", "sha256"])
+    sizes = own.groupBy("capture_id").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
+    rows = own.join(sizes, "capture_id").withColumn("near", F.lit(-1).cast("long")).withColumn("chunk", F.pmod(F.xxhash64("sha256"), F.col("chunks"))).drop("chunks")
+    rows, sizes = kept(rows), kept(sizes)
+    columns = [c.split()[0] for c in kinds.split(", ")]
+    new = rows.limit(0).select("capture_id", F.lit(0).alias("rank"), "sha256", "descriptor")
+    found = None
+    for _ in range(k):
+        to = new.join(sizes, "capture_id").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        to = to.select("capture_id", "sha256", "descriptor", F.lit(0).alias("quality"), F.lit(-1).cast("long").alias("near"), "chunk", F.lit(True).alias("picked"))
+        both = rows.select(*columns, F.lit(False).alias("picked")).unionByName(to)
+        scored = kept(both.groupBy("capture_id", "chunk").applyInPandas(_scored(candidates), kinds + ", top boolean"))
+        order = [F.desc(F.floor(F.col("near") / 64)), F.desc("quality"), F.desc("near"), "sha256"]
+        best = ranks.number_rows(scored.where("top"), "capture_id", order).where(F.col("_i") <= candidates).withColumnRenamed("_i", "place")
+        done = found.groupBy("capture_id").agg(F.count("*").alias("done")) if found is not None else sizes.select("capture_id", F.lit(0).cast("long").alias("done"))
+        best = best.join(done, "capture_id").where(F.col("done") < k)
+        new = kept(best.groupBy("capture_id").applyInPandas(_picked(k, candidates), "capture_id string, rank int, sha256 string, descriptor array<int>"))
+        if new.isEmpty():
+            break
+        found, rows = new if found is None else found.unionByName(new), scored.select(*columns)
+    return (new if found is None else found).select("capture_id", "rank", "sha256")

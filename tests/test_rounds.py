@@ -783,3 +783,26 @@ def test_long_tracks_over_many_tasks(spark):
     whole = show(conditioning.parallax(*tables))
     assert whole == show(conditioning.parallax(*tables, long=1, long_block=16)) == show(conditioning.parallax(*tables, long=40, long_block=50))
     assert [r[2] for r in whole] == [90, 31, 1, 2] and 0 < whole[0][3] <= 90
+
+
+def test_diverse_ranking_in_rounds_is_the_greedy_one(spark):
+    """Whatever the chunks and the candidates of a round; ties, copies and captures of a few photos included."""
+    rng = np.random.default_rng(31)
+    rows = [(c, f"{int(rng.integers(0, 10**6)):064x}", rng.integers(0, 40, 8).tolist() if rng.random() < 0.7 else [5] * 8, int(rng.integers(0, 3))) for c, n in (("a", 90), ("b", 17), ("c", 1)) for _ in range(n)]
+
+    def greedy(own, k):
+        own = sorted(own, key=lambda r: r[1])
+        near, picks, free = [0] * len(own), [], set(range(len(own)))
+        while free and len(picks) < k:
+            i = min(free, key=lambda j: (-(near[j] // 64), -own[j][3], -near[j], own[j][1]))
+            free.remove(i)
+            far = [sum(abs(x - y) for x, y in zip(own[i][2], o[2], strict=True)) for o in own]
+            near = far if not picks else [min(a, b) for a, b in zip(near, far, strict=True)]
+            picks.append(own[i][1])
+        return picks
+
+    df = spark.createDataFrame(rows + rows[:3], "capture_id string, sha256 string, descriptor array<int>, quality int")
+    want = sorted((c, i, s) for c in "abc" for i, s in enumerate(greedy([r for r in rows if r[0] == c], 25)))
+    for chunk, candidates in ((50_000, 512), (20, 7)):
+        assert sorted(map(tuple, frames.rank_diverse(df, 25, chunk, candidates).collect())) == want
+    assert frames.rank_diverse(df.limit(0), 5).count() == 0
