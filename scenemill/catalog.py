@@ -727,6 +727,15 @@ def _(v):
     return models.integrity(own, own.where("point_id % 29 <> 0"), known)
 
 
+@query("B9_pose_pairs", f"""WITH {_POSED}, c AS (SELECT model_id, image_id, -sx * tx AS cx, -sy * ty AS cy, -sz * tz AS cz, turn, sz, count(*) OVER (PARTITION BY model_id) AS n FROM posed),
+  p AS (SELECT a.model_id, a.image_id AS i, b.image_id AS j, a.n, sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 + (a.cz - b.cz) ** 2) AS d, CASE WHEN a.sz = b.sz THEN 1 ELSE -1 END AS cosine FROM c a JOIN c b ON a.model_id = b.model_id AND a.image_id <> b.image_id),
+  nd AS (SELECT model_id, i, min(d) AS d FROM p GROUP BY ALL), s AS (SELECT model_id, list_sort(list(d))[1 + count(*) // 2] AS spacing FROM nd GROUP BY 1),
+  r AS (SELECT *, row_number() OVER (PARTITION BY model_id, i ORDER BY d / greatest(spacing, 1e-12) * (1.5 - 0.5 * cosine), j) AS place FROM p JOIN s USING (model_id))
+  SELECT DISTINCT CAST(model_id AS BIGINT) AS model_id, least(i, j) AS a, greatest(i, j) AS b FROM r WHERE n <= 60 OR place <= 8""")
+def _(v):
+    return pairs.pose_pairs(pairs.camera_axes(posed(v)))
+
+
 @query("D6_support_stats", """WITH t AS (SELECT model_id, point_id, count(DISTINCT image_id) AS l FROM {observations} GROUP BY ALL), m AS (SELECT model_id, round(avg(l), 9) AS mean_track FROM t GROUP BY 1), s AS (SELECT c.model_id, c.image_id, count(o.image_id) AS n FROM {cameras} c LEFT JOIN {observations} o ON o.model_id = c.model_id AND o.image_id = c.image_id GROUP BY ALL),
   a AS (SELECT model_id, min(n) AS least, quantile_disc(n, 0.1) AS p10, quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.9) AS p90, count(*) FILTER (n >= 20) AS strong FROM s GROUP BY 1) SELECT a.*, mean_track FROM a LEFT JOIN m USING (model_id)""")
 def _(v):

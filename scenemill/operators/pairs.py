@@ -74,27 +74,26 @@ def admit_neighbours(ranked: DataFrame, base: DataFrame, cap: int, least_gap: in
     return fresh.withColumn("_k", place).where(F.col("_k") <= cap).select("capture_id", "i", "j").distinct()
 
 
-def pose_pairs(cameras: DataFrame, k: int = 8, exhaustive: int = 60) -> DataFrame:
-    """(model_id, a, b): all pairs of small models; else each camera's k best by distance and view direction.
-
-    A camera is scored against all of its model, so a model's pairs are the square of its cameras (thousands); they
-    meet once, by camera, and only the best of each camera go on.
-
-    Distance counts in median nearest-neighbour spacings, times 1.5 - 0.5 * cosine of the directions.
-    cameras: (model_id, image_id, cx, cy, cz, fx, fy, fz).
+def pose_pairs(cameras: DataFrame, k: int = 8, exhaustive: int = 60, tile_rows: int = 2000) -> DataFrame:
+    """(model_id, a, b): all pairs of models of up to ``exhaustive`` cameras; else each camera's k best by distance and
+    view direction (ties: smaller id).
+
+    Distance counts in median nearest-neighbour spacings, times 1.5 - 0.5 * cosine of the directions. Both searches
+    go through tiles (``splats.knn``), so cameras of a large model meet those around them, not their whole model.
+    Cameras of large models with a centre or direction that is no finite number take no part.
+    cameras: (model_id, image_id, cx, cy, cz, fx, fy, fz), directions of unit length.
     """
-    own = cameras.join(cameras.groupBy("model_id").agg(F.count("*").alias("_n")), "model_id")
-    names = ("cx", "cy", "cz", "fx", "fy", "fz")
-    other = own.select("model_id", F.col("image_id").alias("b"), *[F.col(c).alias("o" + c) for c in names])
-    pairs = own.join(other, "model_id").where("image_id <> b")
-    d = F.sqrt(sum(((F.col(c) - F.col("o" + c)) ** 2 for c in names[:3]), F.lit(0.0)))
-    pairs = pairs.withColumn("_d", d).withColumn("_c", sum((F.col(c) * F.col("o" + c) for c in names[3:]), F.lit(0.0)))
-    nearest = pairs.groupBy("model_id", "image_id").agg(F.min("_d").alias("_near"))
-    spacing = ranks.percentiles(nearest, "model_id", "_near", {"_s": ("floor", 0.5)})
-    scored = pairs.join(spacing, "model_id").withColumn("_score", F.col("_d") / F.greatest("_s", F.lit(1e-12)) * (1.5 - 0.5 * F.col("_c")))
-    place = F.row_number().over(W.partitionBy("model_id", "image_id").orderBy("_score", "b"))
-    kept = scored.withColumn("_r", place).where((F.col("_n") <= exhaustive) | (F.col("_r") <= k))
-    return kept.select("model_id", F.least("image_id", "b").alias("a"), F.greatest("image_id", "b").alias("b")).distinct()
+    from scenemill.operators import splats
+
+    own = cameras.join(cameras.groupBy("model_id").agg(F.count("*").alias("_n")), "model_id").withColumn("model_id", F.col("model_id").cast("long"))
+    few = own.where(F.col("_n") <= exhaustive).select("model_id", "image_id")
+    whole = few.withColumnRenamed("image_id", "a").join(few.withColumnRenamed("image_id", "b"), "model_id").where("a < b")
+    large = own.where(F.col("_n") > exhaustive).select(F.col("model_id").alias("scene"), F.col("image_id").alias("row_index"), *[F.col(f"c{c}").alias(c) for c in "xyz"], "fx", "fy", "fz")
+    spacing = ranks.percentiles(splats.knn(large, 1, tile_rows), "scene", "distance", {"_s": ("floor", 0.5)})
+    spaced = large.join(spacing, "scene").withColumn("spacing", F.greatest("_s", F.lit(1e-12)))
+    best = splats.knn(spaced, k, tile_rows, turned=True)
+    kept = best.select(F.col("scene").alias("model_id"), F.least("row_index", "neighbour").alias("a"), F.greatest("row_index", "neighbour").alias("b")).distinct()
+    return whole.select("model_id", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).unionByName(kept)
 
 
 def windows(captures: DataFrame, size: int, overlap: int, least: int = 1) -> DataFrame:

@@ -237,28 +237,70 @@ def _spread_bits(x: Column) -> Column:
     return x
 
 
-def tiles(splats: DataFrame, rows: int) -> DataFrame:
-    """(scene, tile, row_index, x, y, z): rows near each other in tiles of ``rows``, whatever their density.
+def tiles(points: DataFrame, rows: int) -> DataFrame:
+    """``points`` (scene, row_index, x, y, z and more) with ``tile``: rows near each other in tiles of ``rows``,
+    whatever their density.
 
     Tiles are runs of the order along a curve through space (interleaved bits of the position in the scene)."""
-    ends = splats.groupBy("scene").agg(*[f(c).alias(f"_{n}{c}") for c in "xyz" for n, f in (("l", F.min), ("h", F.max))])
+    ends = points.groupBy("scene").agg(*[f(c).alias(f"_{n}{c}") for c in "xyz" for n, f in (("l", F.min), ("h", F.max))])
     step = lambda c: F.least(F.lit(65535), F.floor((F.col(c) - F.col(f"_l{c}")) / F.greatest(F.col(f"_h{c}") - F.col(f"_l{c}"), F.lit(1e-300)) * 65536)).cast("long")
     code = F.shiftleft(_spread_bits(step("x")), 2).bitwiseOR(F.shiftleft(_spread_bits(step("y")), 1)).bitwiseOR(_spread_bits(step("z")))
-    own = splats.select("scene", "row_index", "x", "y", "z").join(ends, "scene").select("scene", "row_index", "x", "y", "z", code.alias("_code"))
-    placed = ranks.number_rows(own, "scene", ["_code", "row_index"])
-    return placed.select("scene", F.expr(f"_i div {rows}").alias("tile"), "row_index", "x", "y", "z")
+    placed = ranks.number_rows(points.join(ends, "scene").select(*points.columns, code.alias("_code")), "scene", ["_code", "row_index"])
+    return placed.select(*points.columns, F.expr(f"_i div {rows}").alias("tile"))
 
 
-def _nearest(q: pd.DataFrame, r: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+def crowds(points: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(keys, first): where more than k rows are equal in ``keys``, the smallest k + 1 of their row_index.
+
+    Rows are counted before the shuffle and numbered over ranges, so one crowd may hold most of a table."""
+    many = points.groupBy(*keys).agg(F.count("*").alias("_c")).where(F.col("_c") > k).select(*keys)
+    placed = ranks.number_rows(points.join(many, keys).select(*keys, "row_index"), keys, ["row_index"])
+    return placed.where(F.col("_i") <= k).groupBy(*keys).agg(F.sort_array(F.collect_list("row_index")).alias("first"))
+
+
+def near_tiles(boxes: DataFrame, slack: float, fan: int = 16) -> DataFrame:
+    """(scene, tile, otile, box of otile): other tiles whose box is no farther than a tile's reach.
+
+    boxes: (scene, tile, reach, lx to hz of the rows that ask, olx to ohz of those that can be found; null where
+    there are none). Runs of ``fan`` tiles make a node, runs of nodes the next level, up to at most ``fan`` nodes of
+    a scene. Pairs of near nodes go down level by level, so tiles meet through their nodes only.
+    """
+    spans = [f"{o}{n}{c}" for o in ("", "o") for n in "lh" for c in "xyz"]
+    found = [s for s in spans if s.startswith("o")]
+    levels, top = [boxes.withColumnRenamed("tile", "node")], boxes.agg(F.max("tile")).first()[0] or 0
+    while top >= fan:
+        up = levels[-1].groupBy("scene", F.expr(f"node div {fan}").alias("node"))
+        levels.append(cut(up.agg(F.max("reach").alias("reach"), *[(F.min if s[-2] == "l" else F.max)(s).alias(s) for s in spans])))
+        top //= fan
+    gap = lambda c: F.greatest(F.lit(0.0), F.col("ol" + c) - F.col("h" + c), F.col("l" + c) - F.col("oh" + c))
+    near = F.sqrt(sum((gap(c) ** 2 for c in "xyz"), F.lit(0.0))) <= F.col("reach") * slack
+    pairs = None
+    for level in reversed(levels):
+        asks = level.where("reach is not null").select("scene", "node", "reach", *[s for s in spans if s not in found])
+        finds = level.where("olx is not null").select("scene", F.col("node").alias("onode"), *found)
+        if pairs is None:
+            met = asks.join(finds, "scene")
+        else:
+            below = pairs.withColumnsRenamed({"node": "_up", "onode": "_oup"})
+            met = below.join(asks.withColumn("_up", F.expr(f"node div {fan}")), ["scene", "_up"]).join(finds.withColumn("_oup", F.expr(f"onode div {fan}")), ["scene", "_oup"])
+        pairs = met.where(near).select("scene", "node", "onode", *(found if level is levels[0] else []))
+        if level is not levels[0]:
+            pairs = cut(pairs)
+    return pairs.where("node <> onode").withColumnsRenamed({"node": "tile", "onode": "otile"})
+
+
+def _nearest(q: pd.DataFrame, r: pd.DataFrame, k: int, turned: bool) -> tuple[np.ndarray, np.ndarray]:
     """(ids, distances) of each query's k nearest of r, by distance and then id; -1 and infinity where there are
     fewer. Queries are worked on in blocks."""
-    order = np.argsort(r["row_index"].to_numpy(), kind="stable")
-    ids, p = r["row_index"].to_numpy()[order], r[["x", "y", "z"]].to_numpy(float)[order]
-    own, at = q["row_index"].to_numpy(), q[["x", "y", "z"]].to_numpy(float)
+    r = r.sort_values("row_index", kind="stable")
+    ids, p, own, at = r["row_index"].to_numpy(), r[["x", "y", "z"]].to_numpy(float), q["row_index"].to_numpy(), q[["x", "y", "z"]].to_numpy(float)
     near, far = np.full((len(q), k), -1, np.int64), np.full((len(q), k), np.inf)
     for i in range(0, len(q), 128):
-        a = at[i : i + 128]
+        a, block = at[i : i + 128], q.iloc[i : i + 128]
         d = np.sqrt((p[:, 0] - a[:, :1]) ** 2 + (p[:, 1] - a[:, 1:2]) ** 2 + (p[:, 2] - a[:, 2:]) ** 2)
+        if turned:
+            cosine = sum(block[c].to_numpy()[:, None] * r[c].to_numpy()[None, :] for c in ("fx", "fy", "fz"))
+            d = d / block["spacing"].to_numpy()[:, None] * (1.5 - 0.5 * cosine)
         d[ids[None, :] == own[i : i + 128, None]] = np.inf
         top = np.argsort(d, axis=1, kind="stable")[:, :k]
         best = np.take_along_axis(d, top, 1)
@@ -267,44 +309,63 @@ def _nearest(q: pd.DataFrame, r: pd.DataFrame, k: int) -> tuple[np.ndarray, np.n
     return near, far
 
 
-def knn(splats: DataFrame, k: int = 16, tile_rows: int = 2000) -> DataFrame:
+def knn(splats: DataFrame, k: int = 16, tile_rows: int = 2000, turned: bool = False, block: int = 16384) -> DataFrame:
     """(scene, row_index, place, neighbour, distance): exact k nearest by distance, then row.
 
     Rows meet those of their own tile first; that bounds how far each one's neighbours can be. Then a row goes
-    to the other tiles whose box is within that bound, which are few, and the best k of all are kept. Rows with
-    a position that is no finite number take no part.
+    to the other tiles whose box is within that bound (``near_tiles``), ``block`` rows at a time, and the best k of
+    all are kept. Of a position that more than k rows share, those rows need only its smallest row numbers, and so do
+    all others: a crowd of any size costs no search. Rows with a position that is no finite number take no part;
+    row_index must tell the rows of a scene apart.
+
+    ``turned``: rows also have a unit direction (fx, fy, fz) and a ``spacing`` of their scene above 0, and what counts
+    is the distance in spacings times 1.5 - 0.5 * cosine of the directions. That is no metric, but never less than the
+    distance in spacings, so the same boxes bound it.
     """
-    fine = ~(_odd("x") | _odd("y") | _odd("z"))
-    own = cut(tiles(splats.where(fine).withColumn("scene", F.col("scene").cast("long")), tile_rows))
-
-    def inside(q: pd.DataFrame) -> pd.DataFrame:
-        near, far = _nearest(q, q, k)
-        return q.assign(near=list(near), far=list(far), reach=far[:, -1])
-
-    first = cut(own.groupBy("scene", "tile").applyInPandas(inside, "scene long, tile long, row_index long, x double, y double, z double, near array<long>, far array<double>, reach double"))
-    boxes = first.groupBy("scene", "tile").agg(F.max("reach").alias("reach"), *[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("l", F.min), ("h", F.max))])
-    other = boxes.drop("reach").withColumnsRenamed({c: "o" + c for c in ("tile", *[n + c for n in "lh" for c in "xyz"])})
-    gap = lambda low, high, c: F.greatest(F.lit(0.0), F.col(f"ol{c}") - high, low - F.col(f"oh{c}"))
-    apart = F.sqrt(sum((gap(F.col("l" + c), F.col("h" + c), c) ** 2 for c in "xyz"), F.lit(0.0)))
-    slack = lambda reach: reach * (1 + 1e-9)  # noqa: E731  # distances are rounded; ties count
-    # tiles by tiles: a square of a few thousand for a scene of millions of rows
-    pairs = boxes.join(other, "scene").where((F.col("tile") != F.col("otile")) & (apart <= slack(F.col("reach"))))
-    pairs = pairs.select("scene", "tile", "otile", *[f"o{n}{c}" for n in "lh" for c in "xyz"])
-    off = F.sqrt(sum((gap(F.col(c), F.col(c), c) ** 2 for c in "xyz"), F.lit(0.0)))
-    asked = first.select("scene", "tile", "row_index", "x", "y", "z", "reach").join(pairs, ["scene", "tile"]).where(off <= slack(F.col("reach")))
-    asked = asked.select("scene", F.col("otile").alias("tile"), "row_index", "x", "y", "z")
+    more = ["fx", "fy", "fz"] if turned else []
+    columns = ["scene", "row_index", "x", "y", "z", *more, *(["spacing"] if turned else [])]
+    odd = _odd("x") | _odd("y") | _odd("z")
+    for c in more:
+        odd = odd | _odd(c)
+    fine = splats.where(~odd).withColumn("scene", F.col("scene").cast("long")).withColumn("row_index", F.col("row_index").cast("long")).select(*columns)
+    spot = ["scene", "x", "y", "z"]
+    many = cut(crowds(fine, spot, k))
+    alike = cut(crowds(fine, [*spot, *more], k)) if turned else many
+    told = fine.join(many.withColumnRenamed("first", "_crowd"), spot, "left").join(alike.withColumnRenamed("first", "_alike"), [*spot, *more], "left")
+    told = told.withColumn("asks", F.col("_crowd").isNull()).withColumn("found", F.col("_alike").isNull() | F.array_contains("_alike", F.col("row_index")))
+    own = cut(tiles(told.where("asks or found").select(*columns, "asks", "found"), tile_rows))
+    shape = ", ".join(f"{c} {t}" for c, t in own.dtypes)
+
+    def inside(rows: pd.DataFrame) -> pd.DataFrame:
+        q = rows[rows["asks"]]
+        near, far = _nearest(q, rows, k, turned)
+        bound = far[:, -1] * (q["spacing"].to_numpy() if turned else 1.0)
+        return q.assign(near=pd.Series(list(near), q.index, object), far=pd.Series(list(far), q.index, object), reach=bound)
+
+    first = cut(own.groupBy("scene", "tile").applyInPandas(inside, f"{shape}, near array<long>, far array<double>, reach double"))
+    ends = lambda o: [f(c).alias(f"{o}{n}{c}") for c in "xyz" for n, f in (("l", F.min), ("h", F.max))]
+    asking = first.groupBy("scene", "tile").agg(F.max("reach").alias("reach"), *ends(""))
+    boxes = cut(asking.join(own.where("found").groupBy("scene", "tile").agg(*ends("o")), ["scene", "tile"], "full"))
+    slack = 1 + (1e-5 if turned else 1e-9)  # distances and directions are rounded; ties count
+    off = F.sqrt(sum((F.greatest(F.lit(0.0), F.col("ol" + c) - F.col(c), F.col(c) - F.col("oh" + c)) ** 2 for c in "xyz"), F.lit(0.0)))
+    asked = first.select(*columns, "tile", "reach").join(near_tiles(boxes, slack), ["scene", "tile"]).where(off <= F.col("reach") * slack)
+    asked = cut(asked.drop("tile").withColumnRenamed("otile", "tile").select(*columns, "tile"))
+    load = asked.groupBy("scene", "tile").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    asked = asked.join(load, ["scene", "tile"]).select(*columns, "tile", F.expr("cast(pmod(xxhash64(row_index), _blocks) as int) as block"))
+    against = own.where("found").join(load.withColumnRenamed("_blocks", "_of"), ["scene", "tile"]).select(*columns, "tile", F.expr("explode(sequence(0, _of - 1)) as block"))
 
     def outside(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"scene": [], "row_index": [], "near": [], "far": []}).astype({"scene": "int64", "row_index": "int64", "near": object, "far": object})
-        near, far = _nearest(q, r, k)
-        return pd.DataFrame({"scene": q["scene"].to_numpy(), "row_index": q["row_index"].to_numpy(), "near": list(near), "far": list(far)})
-
-    more = asked.groupBy("scene", "tile").cogroup(own.groupBy("scene", "tile")).applyInPandas(outside, "scene long, row_index long, near array<long>, far array<double>")
-    found = first.select("scene", "row_index", "near", "far").unionByName(more)
-    rows = found.select("scene", "row_index", F.explode(F.arrays_zip("near", "far")).alias("f")).where("f.near >= 0").select("scene", "row_index", F.col("f.near").alias("neighbour"), F.col("f.far").alias("distance"))
+        near, far = _nearest(q, r, k, turned)
+        return pd.DataFrame({"scene": q["scene"].to_numpy(), "row_index": q["row_index"].to_numpy(), "near": pd.Series(list(near), dtype=object), "far": pd.Series(list(far), dtype=object)})
+
+    met = asked.groupBy("scene", "tile", "block").cogroup(against.groupBy("scene", "tile", "block")).applyInPandas(outside, "scene long, row_index long, near array<long>, far array<double>")
+    both = first.select("scene", "row_index", "near", "far").unionByName(met)
+    rows = both.select("scene", "row_index", F.explode(F.arrays_zip("near", "far")).alias("f")).where("f.near >= 0").select("scene", "row_index", F.col("f.near").alias("neighbour"), F.col("f.far").alias("distance"))
     place = F.row_number().over(W.partitionBy("scene", "row_index").orderBy("distance", "neighbour"))
-    return rows.withColumn("place", place).where(F.col("place") <= k).select("scene", "row_index", "place", "neighbour", "distance")
+    searched = rows.withColumn("place", place).where(F.col("place") <= k).select("scene", "row_index", "place", "neighbour", "distance")
+    others = F.slice(F.filter("first", lambda i: i != F.col("row_index")), 1, k)
+    crowded = fine.join(many, spot).select("scene", "row_index", F.posexplode(others).alias("_p", "neighbour"))
+    return searched.unionByName(crowded.select("scene", "row_index", (F.col("_p") + 1).alias("place"), "neighbour", F.lit(0.0).alias("distance")))
 
 
 def finalise_subject(classified: DataFrame, selected: DataFrame, neighbours: DataFrame, most_background: float = 0.8, least: int = 13, passes: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:

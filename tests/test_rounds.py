@@ -806,3 +806,57 @@ def test_diverse_ranking_in_rounds_is_the_greedy_one(spark):
     for chunk, candidates in ((50_000, 512), (20, 7)):
         assert sorted(map(tuple, frames.rank_diverse(df, 25, chunk, candidates).collect())) == want
     assert frames.rank_diverse(df.limit(0), 5).count() == 0
+
+
+def _brute(p, k, f=None, spacing=None):
+    d = np.sqrt((p[:, None, 0] - p[None, :, 0]) ** 2 + (p[:, None, 1] - p[None, :, 1]) ** 2 + (p[:, None, 2] - p[None, :, 2]) ** 2)
+    if f is not None:
+        d = d / spacing * (1.5 - 0.5 * sum(f[:, None, c] * f[None, :, c] for c in range(3)))
+    np.fill_diagonal(d, np.inf)
+    return np.argsort(d, axis=1, kind="stable")[:, :k]
+
+
+def test_nearest_neighbours_with_crowds_and_levels(spark):
+    rng = np.random.default_rng(12)
+    line = np.stack([np.arange(900.0), np.zeros(900), np.zeros(900)], 1)  # ties on both sides
+    p = np.concatenate([line, np.tile([[450.5, 0.0, 0.0]], (500, 1)), rng.normal(size=(400, 3))])[rng.permutation(1800)]
+    df = spark.createDataFrame(pd.DataFrame({"scene": 1, "row_index": range(1800), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]}))
+    got = splats.knn(df, 5, tile_rows=8, block=50).toPandas().sort_values(["row_index", "place"])
+    assert (got["neighbour"].to_numpy().reshape(1800, 5) == _brute(p, 5)).all()
+    assert splats.knn(df.limit(0), 5).count() == 0
+    twice = splats.knn(df.where("row_index < 3"), 5).toPandas()
+    assert len(twice) == 6  # fewer than k
+
+
+def test_tiles_meet_through_their_nodes(spark):
+    """Pairs of tiles are those of all tiles with all, and grow with the tiles, not with their square."""
+    side = {}
+    for n in (20, 40):
+        i = np.arange(n * n)
+        x, y = i % n, i // n
+        code = sum(((x >> b & 1) << 2 * b) | ((y >> b & 1) << 2 * b + 1) for b in range(6))
+        low = pd.DataFrame({"scene": 1, "tile": np.argsort(np.argsort(code)), "reach": 0.5, "lx": x * 1.0, "hx": x + 0.9, "ly": y * 1.0, "hy": y + 0.9, "lz": 0.0, "hz": 0.0})
+        low.loc[7, "reach"] = 3.2  # one with a far reach
+        boxes = spark.createDataFrame(low.assign(**{"o" + c: low[c] for c in ("lx", "hx", "ly", "hy", "lz", "hz")}))
+        got = {(r.tile, r.otile) for r in splats.near_tiles(boxes, 1 + 1e-9, fan=4).collect()}
+        t = dict(zip(low["tile"], zip(x, y, low["reach"], strict=True), strict=True))
+        gap = lambda a, b: max(0.0, abs(a - b) - 0.9)
+        assert got == {(a, b) for a in t for b in t if a != b and np.hypot(gap(t[a][0], t[b][0]), gap(t[a][1], t[b][1])) <= t[a][2] + 1e-9}
+        side[n] = len(got)
+    assert side[40] < 4.5 * side[20]
+
+
+def test_pose_pairs_over_tiles(spark):
+    rng = np.random.default_rng(13)
+    p = np.concatenate([rng.normal(size=(300, 3)), np.tile([[0.25, 0.5, 0.0]], (60, 1)), rng.integers(0, 4, size=(100, 3)).astype(float), [[90.0, 0, 0]]])
+    f = rng.normal(size=(len(p), 3))
+    f[rng.random(len(p)) < 0.5] = [0.0, 0.0, 1.0]
+    f /= np.linalg.norm(f, axis=1, keepdims=True)
+    cams = pd.DataFrame({"model_id": 1, "image_id": range(len(p)), "cx": p[:, 0], "cy": p[:, 1], "cz": p[:, 2], "fx": f[:, 0], "fy": f[:, 1], "fz": f[:, 2]})
+    small = cams.head(4).assign(model_id=2)
+    got = pairs.pose_pairs(spark.createDataFrame(pd.concat([cams, small])), tile_rows=16).toPandas()
+    near = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    np.fill_diagonal(near, np.inf)
+    best = _brute(p, 8, f, max(np.sort(near.min(axis=1))[len(p) // 2], 1e-12))
+    assert {(r.a, r.b) for r in got[got.model_id == 1].itertuples()} == {tuple(sorted((i, int(j)))) for i in range(len(p)) for j in best[i]}
+    assert len(got[got.model_id == 2]) == 6 and not got.duplicated().any()
