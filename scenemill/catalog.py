@@ -237,6 +237,38 @@ def _(v):
     return logs.mapping_profile(v("log_lines"), PHASES, REPORT).withColumns(r9("share", "speedup_2", "limit"))
 
 
+_BEFORE = "OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query("G16_mapper_profile", rf"""WITH m AS (SELECT *, line LIKE 'I20%' AS dated, CASE WHEN line LIKE 'I20%' THEN regexp_extract(line, '\] (.*)$', 1) END AS said FROM {{mapper_log}}),
+  n AS (SELECT *, CASE WHEN dated THEN TRY_CAST(substr(line, 2, 4) || '-' || substr(line, 6, 2) || '-' || substr(line, 8, 2) || ' ' || split_part(line, ' ', 2) AS TIMESTAMP) END AS due,
+    CASE WHEN NOT dated AND line LIKE '% : %' THEN trim(split_part(line, ' : ', 1)) END AS name, split_part(split_part(line, ' : ', 2), ' ', 1) AS v FROM m),
+  f AS (SELECT *, max(CASE WHEN said LIKE 'Elapsed time:%' THEN line_no END) OVER (PARTITION BY log_id) AS fin, last_value(due IGNORE NULLS) {_BEFORE} AS prev FROM n),
+  k AS (SELECT *, CASE WHEN said LIKE '%lobal bundle adjustment' THEN 'G' WHEN said LIKE 'Registering%' THEN 'R' WHEN said LIKE 'Keeping%' OR dated AND line_no = fin THEN 'E' WHEN said LIKE 'Pose ref%' THEN 'pose' WHEN said LIKE 'Bundle adj%' THEN 'bundle' END AS kind,
+    CASE WHEN dated AND due IS NULL THEN 'invalid_timestamp' WHEN due < prev THEN 'backwards_timestamp' WHEN said = 'Elapsed time: soon' THEN 'invalid_elapsed' END AS early FROM f),
+  c AS (SELECT *, last_value(CASE WHEN kind IN ('G', 'R', 'E') THEN kind END IGNORE NULLS) {_BEFORE} AS mode, count(*) FILTER (kind IN ('pose', 'bundle')) OVER (PARTITION BY log_id ORDER BY line_no) AS rep,
+    coalesce(last_value(CASE WHEN kind IN ('pose', 'bundle') THEN 1 WHEN name = 'Termination' THEN 0 END IGNORE NULLS) {_BEFORE}, 0) = 1 AS ins FROM k),
+  d AS (SELECT *, CASE WHEN kind = 'pose' THEN 'pose' WHEN kind = 'bundle' THEN CASE mode WHEN 'G' THEN 'global' WHEN 'R' THEN 'local' ELSE 'unknown' END END AS starts FROM c),
+  g AS (SELECT *, last_value(starts IGNORE NULLS) {_BEFORE} AS ph, row_number() OVER (PARTITION BY log_id, rep, name ORDER BY line_no) AS nth, count(name) OVER (PARTITION BY log_id, rep ORDER BY line_no) AS seen FROM d),
+  p AS (SELECT *, coalesce(last_value(CASE WHEN kind = 'G' THEN 1 WHEN kind IN ('R', 'E') OR ins AND name = 'Termination' AND ph = 'global' THEN 0 END IGNORE NULLS) {_BEFORE}, 0) AS pend FROM g),
+  b AS (SELECT *, CASE WHEN dated AND ins THEN CASE WHEN starts IS NULL THEN 'incomplete_report' ELSE 'nested_report' END WHEN dated THEN CASE WHEN kind IN ('G', 'R', 'E') AND pend = 1 THEN 'no_solver_report' WHEN starts = 'unknown' THEN 'unknown_report' END
+    WHEN NOT ins AND name IS NOT NULL THEN 'outside_report' WHEN ins AND name = 'Weights' THEN 'invalid_field' WHEN ins AND v = 'x' THEN 'invalid_integer' WHEN ins AND v = '-3' THEN 'negative' WHEN ins AND v = 'nan' THEN 'nonfinite'
+    WHEN ins AND name IS NOT NULL AND nth > 1 THEN 'duplicate_field' WHEN ins AND name = 'Termination' AND seen <> 7 THEN 'missing_field' END AS late FROM p),
+  a AS (SELECT log_id, arg_min(early, line_no) FILTER (early IS NOT NULL) AS early, min(line_no) FILTER (early IS NOT NULL) AS el, arg_min(late, line_no) FILTER (late IS NOT NULL) AS late, min(line_no) FILTER (late IS NOT NULL) AS ll,
+    max(fin) AS fin, max(line_no) FILTER (due IS NOT NULL) AS stamp, epoch(max(due)) - epoch(min(due)) AS wall, bool_or(coalesce(said LIKE 'Keeping%', false)) AS ended, arg_max(coalesce(kind IN ('pose', 'bundle'), false), line_no) FILTER (kind IN ('pose', 'bundle') OR name = 'Termination') AS open_,
+    count(*) FILTER (kind = 'R') AS registrations, count(*) FILTER (said LIKE 'Global%') AS initial_globals, count(*) FILTER (said LIKE 'Retri%') AS later_globals, count(*) FILTER (starts = 'pose') AS pose_reports, count(*) FILTER (starts = 'local') AS local_reports, count(*) FILTER (starts = 'global') AS global_reports,
+    coalesce(sum(TRY_CAST(v AS DOUBLE)) FILTER (ins AND name = 'Time' AND ph = 'pose'), 0) AS ps, coalesce(sum(TRY_CAST(v AS DOUBLE)) FILTER (ins AND name = 'Time' AND ph = 'local'), 0) AS ls, coalesce(sum(TRY_CAST(v AS DOUBLE)) FILTER (ins AND name = 'Time' AND ph = 'global'), 0) AS gs,
+    coalesce(sum(epoch(due)) FILTER (kind IN ('R', 'E') AND mode = 'G'), 0) - coalesce(sum(epoch(due)) FILTER (kind = 'G' AND coalesce(mode, '') <> 'G'), 0) AS rs FROM b GROUP BY 1),
+  r AS (SELECT *, least(1, (ls + gs) / wall) AS sh, CASE WHEN early IS NOT NULL THEN early WHEN stamp IS NULL THEN 'no_timestamps' WHEN fin IS NULL THEN 'no_elapsed' WHEN fin <> stamp THEN 'elapsed_not_last' WHEN wall <= 0 THEN 'no_span' WHEN late IS NOT NULL THEN late
+    WHEN open_ THEN 'ends_in_report' WHEN NOT ended THEN 'no_completion' WHEN ps + ls + gs > wall + 0.001 THEN 'solver_exceeds_wall' WHEN gs > rs + 0.001 THEN 'solver_exceeds_regions' END AS reason FROM a),
+  o AS (SELECT * FROM r WHERE reason IS NULL)
+  SELECT r.log_id, r.reason, CASE WHEN r.early IS NOT NULL THEN r.el WHEN r.reason = r.late THEN r.ll END AS reason_line, o.registrations, o.initial_globals, o.later_globals, o.pose_reports, o.local_reports, o.global_reports, round(o.ps, 9) AS pose_seconds, round(o.ls, 9) AS local_seconds, round(o.gs, 9) AS global_seconds,
+    round(o.rs, 9) AS region_seconds, o.wall AS wall_seconds, round(o.sh, 9) AS bundle_share, round(CASE WHEN o.rs > o.wall THEN 1 ELSE o.rs / o.wall END, 9) AS region_share, round(1 / (1 - o.sh / 2), 9) AS speedup_2, round(1 / (1 - o.sh + o.sh / 5), 9) AS speedup_5, round(1 / (1 - o.sh + o.sh / 10), 9) AS speedup_10, CASE WHEN o.sh < 1 THEN round(1 / (1 - o.sh), 9) END AS "limit"
+  FROM r LEFT JOIN o ON r.log_id = o.log_id""")
+def _(v):
+    return logs.mapper_profile(v("mapper_log")).withColumns(r9("pose_seconds", "local_seconds", "global_seconds", "region_seconds", "bundle_share", "region_share", "speedup_2", "speedup_5", "speedup_10", "limit"))
+
+
 @query("ST2_log_progress", """WITH p AS (SELECT log_id, line_no, least(0.99, CAST(regexp_extract(line, 'solver time ([0-9]+) ms', 1) AS DOUBLE) / 50) AS progress FROM {log_lines} WHERE line LIKE 'solver%'),
   b AS (SELECT *, max(progress) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM p) SELECT log_id, line_no, progress FROM b WHERE b IS NULL OR progress > b""")
 def _(v):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -26,3 +26,141 @@ def log_progress(lines: DataFrame, pattern: str, total: float) -> DataFrame:
     said = said.withColumn("progress", F.least(F.lit(0.99), F.col("_p").cast("double") / total))
     before = F.max("progress").over(w.rowsBetween(W.unboundedPreceding, -1))
     return said.withColumn("_b", before).where("_b is null or progress > _b").select("log_id", "line_no", "progress")
+
+
+#: What a mapper's log says.
+STAMP = r"^[IWEF](\d{8}) (\d{2}):(\d{2}):(\d{2})\.(\d{1,6}) \S+ [^\]]+\] ?(.*)$"
+GLOBAL_MARKERS = ("Global bundle adjustment", "Retriangulation and Global bundle adjustment")
+REPORT_MARKERS = ("Pose refinement report", "Bundle adjustment report")
+FIELDS = {
+    "residuals": r"^\s*Residuals\s*:\s*(\S+)\s*$",
+    "parameters": r"^\s*Parameters\s*:\s*(\S+)\s*$",
+    "iterations": r"^\s*Iterations\s*:\s*(\S+)\s*$",
+    "seconds": r"^\s*Time\s*:\s*(\S+)\s*\[s\]\s*$",
+    "initial_cost": r"^\s*Initial cost\s*:\s*(\S+)\s*\[px\]\s*$",
+    "final_cost": r"^\s*Final cost\s*:\s*(\S+)\s*\[px\]\s*$",
+    "termination": r"^\s*Termination\s*:\s*(.*?)\s*$",
+}
+TOLERANCE = 0.001
+
+
+def _stamped(lines: DataFrame) -> DataFrame:
+    """Lines with ``at`` (microseconds, null without a valid time), ``said`` (the message) and ``field``, ``value``."""
+    part = lambda k: F.regexp_extract("line", STAMP, k)
+    number = lambda c: c.try_cast("bigint")
+    day = F.unix_date(F.concat_ws("-", part(1).substr(1, 4), part(1).substr(5, 2), part(1).substr(7, 2)).try_cast("date"))
+    hours, minutes, seconds = (number(part(k)) for k in (2, 3, 4))
+    real = F.col("line").rlike(STAMP) & (hours < 24) & (minutes < 60) & (seconds < 60)
+    at = (((day.cast("bigint") * 24 + hours) * 60 + minutes) * 60 + seconds) * 1_000_000 + number(F.rpad(part(5), 6, "0"))
+    out = lines.withColumn("at", F.when(real, at)).withColumn("said", F.when(F.col("at").isNotNull(), F.trim(part(6))))
+    plain = F.col("at").isNull()
+    out = out.withColumn("field", F.coalesce(*[F.when(plain & F.col("line").rlike(p), F.lit(n)) for n, p in FIELDS.items()]))
+    return out.withColumn("value", F.coalesce(*[F.when(F.col("field") == n, F.regexp_extract("line", p, 1)) for n, p in FIELDS.items()]))
+
+
+def _faulty_value() -> Column:
+    """Why the value of a report's field cannot be used."""
+    whole, kind = F.col("field").isin("residuals", "parameters", "iterations"), F.col("field")
+    number = F.when(F.lower("value").rlike(r"^[+-]?(nan|inf|infinity)$"), F.lit(float("inf"))).otherwise(F.col("value").try_cast("double"))
+    return (
+        F.when(kind.isNull(), "invalid_field")
+        .when(kind == "termination", F.when(~F.col("value").rlike("^[A-Za-z][A-Za-z_ -]*$"), "invalid_termination"))
+        .when(whole & ~F.col("value").rlike(r"^[+-]?\d+$"), "invalid_integer")
+        .when(number.isNull() | ~F.col("value").rlike(r"^[^dDfF]*$|^[+-]?(?i:inf|infinity)$"), "invalid_number")
+        .when(number == float("inf"), "nonfinite")
+        .when(number < 0, "negative")
+    )
+
+
+def mapper_profile(lines: DataFrame, walls: DataFrame | None = None) -> DataFrame:
+    """One row for each log: reports, solver seconds, global regions, shares and Amdahl's speed-ups, or a reason.
+
+    A global region is the time from a global marker to the first registration or end of a reconstruction after it;
+    a bundle report is global or local by the last of these above it. A log that is damaged has ``reason``, of its
+    first fault (times are checked before reports), ``reason_line`` where a line shows it, and no figures.
+    lines: (log_id, line_no, line), line_no tells a log's lines apart; a null line is a blank one. walls: (log_id,
+    wall_seconds), one row a log; without it, or without its row, the wall time is the span of the times. Lines of a
+    log are sorted in one partition, which spills; nothing of a log is held as a whole.
+    """
+    by = W.partitionBy("log_id")
+    so_far = by.orderBy("line_no")
+    above = so_far.rowsBetween(W.unboundedPreceding, -1)
+    last = lambda c: F.last(c, ignorenulls=True).over(above)
+    said, event = F.col("said"), F.col("at").isNotNull()
+    own = _stamped(lines.select("log_id", F.col("line_no").cast("long").alias("line_no"), F.coalesce("line", F.lit("")).alias("line")))
+    elapsed = said.startswith("Elapsed time:")
+    early = (
+        F.when(F.col("line").rlike(r"^[IWEF]\d{8}\s") & ~event, "invalid_timestamp")
+        .when(F.col("at") < last("at"), "backwards_timestamp")
+        .when(elapsed & ~said.rlike(r"^Elapsed time: (?:0|[1-9]\d*)(?:\.\d+)? \[minutes\]$"), "invalid_elapsed")
+    )
+    own = own.withColumn("early", early).withColumn("_final", F.max(F.when(elapsed, F.col("line_no"))).over(by))
+    ended = F.coalesce(said.startswith("Keeping successful reconstruction") | said.startswith("Discarding reconstruction"), F.lit(False))
+    kind = (
+        F.when(said.isin(*GLOBAL_MARKERS), "G")
+        .when(said.rlike(r"^Registering image #\d+ \(num_reg_frames=\d+\)$"), "R")
+        .when(event & (ended | F.coalesce(F.col("line_no") == F.col("_final"), F.lit(False))), "E")
+        .when(said == REPORT_MARKERS[0], "pose")
+        .when(said == REPORT_MARKERS[1], "bundle")
+    )
+    own = own.withColumn("ended", ended).withColumn("kind", kind).withColumn("marked", F.when(F.col("kind").isin("G", "R", "E"), F.col("kind")))
+    own = own.withColumn("mode", last("marked")).withColumn("_opens", F.col("kind").isin("pose", "bundle"))
+    phase = F.when(F.col("kind") == "pose", "pose").when(F.col("kind") == "bundle", F.when(F.col("mode") == "G", "global").when(F.col("mode") == "R", "local").otherwise("unknown"))
+    turn = F.when(F.col("_opens"), 1).when(F.col("field") == "termination", 0)
+    own = own.withColumn("_phase", phase).withColumn("inside", F.coalesce(last(turn) == 1, F.lit(False))).withColumn("phase", last("_phase"))
+    own = own.withColumn("report", F.count_if(F.col("_opens")).over(so_far))
+    settled = F.when(F.col("kind") == "G", "G").when(F.col("marked").isNotNull() | (F.col("inside") & (F.col("field") == "termination") & (F.col("phase") == "global")), "done")
+    own = own.withColumn("pending", F.coalesce(last(settled) == "G", F.lit(False)))
+    alike = W.partitionBy("log_id", "report", "field").orderBy("line_no")
+    own = own.withColumn("_again", F.row_number().over(alike) > 1)
+    within = W.partitionBy("log_id", "report").orderBy("line_no")
+    own = own.withColumn("_fields", F.count("field").over(within))
+    bare = F.regexp_replace("line", r"^\s+|\s+$", "")
+    late = (
+        F.when(event & F.col("inside"), F.when(F.col("_opens"), "nested_report").otherwise("incomplete_report"))
+        .when(event, F.when(F.col("marked").isNotNull() & F.col("pending"), "no_solver_report").when(F.col("_phase") == "unknown", "unknown_report"))
+        .when(~F.col("inside"), F.when(bare.isin(*REPORT_MARKERS) | F.col("field").isNotNull(), "outside_report"))
+        .when(bare != "", F.coalesce(_faulty_value(), F.when(F.col("_again"), "duplicate_field"), F.when((F.col("field") == "termination") & (F.col("_fields") != len(FIELDS)), "missing_field")))
+    )
+    own = own.withColumn("late", late)
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("line_no", c))).alias("_" + c)
+    spent = lambda p: F.coalesce(F.sum(F.when(F.col("inside") & (F.col("phase") == p) & (F.col("field") == "seconds"), F.col("value").try_cast("double"))), F.lit(0.0)).alias(p + "_seconds")
+    opened = (F.col("kind") == "G") & (F.coalesce(F.col("mode"), F.lit("")) != "G")
+    closed = F.col("kind").isin("R", "E") & (F.col("mode") == "G")
+    logs = own.groupBy("log_id").agg(
+        first("early"), first("late"), F.max(bare != "").alias("_any"), F.min("at").alias("_from"), F.max("at").alias("_to"), F.max("_final").alias("_final"),
+        F.max(F.when(event, F.col("line_no"))).alias("_stamp"), F.max("ended").alias("_ended"), F.max_by(turn, F.when(turn.isNotNull(), F.col("line_no"))).alias("_open"),
+        F.count_if(F.col("kind") == "R").alias("registrations"), F.count_if(said == GLOBAL_MARKERS[0]).alias("initial_globals"), F.count_if(said == GLOBAL_MARKERS[1]).alias("later_globals"),
+        *[F.count_if(F.col("_phase") == p).alias(p + "_reports") for p in ("pose", "local", "global")], *[spent(p) for p in ("pose", "local", "global")],
+        (F.coalesce(F.sum(F.when(closed, F.col("at")).when(opened, -F.col("at"))), F.lit(0)) / 1e6).alias("region_seconds"),
+    )
+    logs = logs.withColumn("span_seconds", (F.col("_to") - F.col("_from")) / 1e6)
+    logs = logs.join(walls.select("log_id", F.col("wall_seconds").cast("double").alias("_wall")), "log_id", "left") if walls is not None else logs.withColumn("_wall", F.lit(None).cast("double"))
+    logs = logs.withColumn("wall_seconds", F.coalesce("_wall", "span_seconds"))
+    bundle = F.col("local_seconds") + F.col("global_seconds")
+    odd = F.isnan("_wall") | (F.abs("_wall") == float("inf")) | (F.col("_wall") <= 0)
+    reason = (
+        F.when(~F.col("_any"), "empty_log")
+        .when(F.col("_early").isNotNull(), F.col("_early.early"))
+        .when(F.col("_stamp").isNull(), "no_timestamps")
+        .when(F.col("_final").isNull(), "no_elapsed")
+        .when(F.col("_final") != F.col("_stamp"), "elapsed_not_last")
+        .when(F.col("_to") <= F.col("_from"), "no_span")
+        .when(F.col("_late").isNotNull(), F.col("_late.late"))
+        .when(F.col("_open") == 1, "ends_in_report")
+        .when(~F.col("_ended"), "no_completion")
+        .when(odd, "invalid_wall")
+        .when(F.col("_wall") + TOLERANCE < F.col("span_seconds"), "wall_too_short")
+        .when(F.col("pose_seconds") + bundle > F.col("wall_seconds") + TOLERANCE, "solver_exceeds_wall")
+        .when(F.col("global_seconds") > F.col("region_seconds") + TOLERANCE, "solver_exceeds_regions")
+    )
+    where = F.when(F.col("reason") == F.col("_early.early"), F.col("_early.line_no")).when(F.col("reason") == F.col("_late.late"), F.col("_late.line_no"))
+    share = F.least(F.lit(1.0), bundle / F.col("wall_seconds"))
+    figures = {
+        **{c: F.col(c) for c in ("registrations", "initial_globals", "later_globals", "pose_reports", "local_reports", "global_reports", "pose_seconds", "local_seconds", "global_seconds", "region_seconds", "wall_seconds")},
+        "bundle_share": share,
+        "region_share": F.least(F.lit(1.0), F.col("region_seconds") / F.col("wall_seconds")),
+        **{f"speedup_{n}": 1 / (1 - share + share / n) for n in (2, 5, 10)},
+        "limit": F.when(share < 1, 1 / F.nullif(1 - share, F.lit(0.0))),
+    }
+    return logs.withColumn("reason", reason).select("log_id", "reason", where.alias("reason_line"), *[F.when(F.col("reason").isNull(), c).alias(n) for n, c in figures.items()])

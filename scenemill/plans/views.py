@@ -96,6 +96,33 @@ VIEWS = {
       SELECT o_custkey AS scene_id, o_orderkey % 2 AS scale, CASE o_orderkey % 3 WHEN 0 THEN 'fast' WHEN 1 THEN 'balanced' ELSE 'large' END AS lane,
         CASE o_orderkey % 13 WHEN 0 THEN 'execution_failed' WHEN 1 THEN 'rejected' WHEN 2 THEN 'infrastructure' ELSE 'attestation' END AS kind,
         CASE WHEN o_orderkey % 19 = 0 THEN o_custkey % 7 ELSE o_custkey END AS digest FROM {orders}""",
+    # A user's events of one thousand stand for a mapper's log; a line of the nation table numbers the lines of an event.
+    # Some events and ends are damaged, each in its own way.
+    "mapper_events": """
+      SELECT user_id * 1000000 + CAST(floor(event_id / 1000) AS BIGINT) AS log_id, event_id AS e, event_type AS kind, event_id % 1000 * 7 AS s,
+        max(event_id) OVER (PARTITION BY user_id, floor(event_id / 1000)) AS last_e FROM {events}""",
+    "mapper_steps": """
+      SELECT log_id, e, kind, n_nationkey AS k, e * 32 + n_nationkey AS line_no, last_e,
+        concat(CASE WHEN e % 211 = 0 AND n_nationkey = 0 THEN 'I20231231' ELSE 'I20240101' END, ' ', CASE WHEN e % 223 = 0 AND n_nationkey = 0 THEN '2' ELSE '0' END, CAST(CAST(floor(s / 3600) AS BIGINT) + CASE WHEN e % 223 = 0 THEN 5 ELSE 0 END AS VARCHAR(9)), ':',
+          lpad(CAST(CAST(floor(s % 3600 / 60) AS BIGINT) AS VARCHAR(9)), 2, '0'), ':', lpad(CAST(s % 60 AS VARCHAR(9)), 2, '0'), '.', CASE WHEN n_nationkey < 10 THEN '5' ELSE '75' END, ' 71 mapper.cc:', CAST(e % 900 AS VARCHAR(9)), '] ') AS head
+      FROM {mapper_events} JOIN {nation} ON n_nationkey < CASE WHEN e = last_e THEN 14 ELSE 10 END""",
+    "mapper_log": """
+      SELECT log_id, line_no, CASE
+        WHEN k = 0 THEN concat(head, CASE WHEN kind = 'click' AND e % 131 > 0 THEN concat('Registering image #', CAST(e AS VARCHAR(9)), ' (num_reg_frames=', CAST(e % 50 AS VARCHAR(9)), ')')
+          WHEN kind = 'purchase' AND e % 2 = 0 THEN 'Global bundle adjustment' WHEN kind = 'purchase' THEN 'Retriangulation and Global bundle adjustment' ELSE 'Loading' END)
+        WHEN k = 1 THEN concat(head, CASE WHEN kind = 'view' THEN 'Pose refinement report' ELSE 'Bundle adjustment report' END)
+        WHEN k = 2 AND e % 167 = 0 THEN concat(head, 'Bundle adjustment report')
+        WHEN k = 2 THEN concat('    Residuals : ', CAST(e % 1000 AS VARCHAR(9)))
+        WHEN k = 3 THEN CASE WHEN e % 171 = 0 THEN ' Residuals : 5' WHEN e % 173 = 0 THEN ' Parameters : -3' WHEN e % 179 = 0 THEN ' Parameters : x' WHEN e % 181 = 0 THEN ' Weights : 3' ELSE concat('   Parameters : ', CAST(e % 77 AS VARCHAR(9))) END
+        WHEN k = 4 THEN CASE WHEN e % 189 = 0 THEN '' ELSE concat('   Iterations : ', CAST(e % 13 AS VARCHAR(9))) END
+        WHEN k = 5 THEN concat('         Time : ', CASE WHEN e % 183 = 0 THEN 'nan' WHEN e % 193 = 0 THEN '9000' WHEN e % 41 = 0 THEN '8.25' ELSE CAST(CAST(e % 97 AS DOUBLE) / 16 AS VARCHAR(9)) END, ' [s]')
+        WHEN k = 6 THEN ' Initial cost : 1.5 [px]' WHEN k = 7 THEN '   Final cost : 0.25 [px]'
+        WHEN k = 8 THEN CASE WHEN e % 161 = 0 THEN '' ELSE '  Termination : Convergence' END
+        WHEN k = 9 THEN CASE WHEN e % 197 = 0 THEN ' Residuals : 1' ELSE '' END
+        WHEN k = 10 THEN concat(head, CASE WHEN e % 17 = 0 THEN 'Saving' ELSE 'Keeping successful reconstruction' END)
+        WHEN k = 11 THEN CASE WHEN e % 19 = 0 THEN '' ELSE concat(head, 'Elapsed time: ', CASE WHEN e % 23 = 0 THEN 'soon' ELSE '1.5 [minutes]' END) END
+        WHEN k = 12 AND e % 29 = 0 THEN concat(head, 'Saving') ELSE '' END AS line
+      FROM {mapper_steps} WHERE k IN (0, 9, 10, 11, 12, 13) OR kind IN ('view', 'purchase') AND e % 203 > 0 OR kind = 'click'""",
     "log_lines": """
       SELECT user_id AS log_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS line_no,
         CASE event_type WHEN 'click' THEN 'pose refinement' WHEN 'view' THEN 'local bundle adjustment' WHEN 'purchase' THEN 'global bundle adjustment'
