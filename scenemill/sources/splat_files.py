@@ -159,43 +159,54 @@ def _unpack_rotation(packed: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
+def packed_layout(path: str, elements: list[tuple[str, int, np.dtype]], kind: str, body: int) -> dict[str, tuple[int, int, np.dtype]]:
+    """Element -> (offset, rows, row type) of a compressed file; any other file is an error."""
+    if kind == "ascii":
+        raise ValueError(f"{path} is not binary")
+    out = {}
+    for name, n, row in elements:
+        out[name] = (body, n, row)
+        body += n * row.itemsize
+    if "chunk" not in out or "vertex" not in out or any(p not in (out["vertex"][2].names or ()) for p in PACKED):
+        raise ValueError(f"{path} is not a compressed file")
+    if out["vertex"][1] > CHUNK_ROWS * out["chunk"][1]:
+        raise ValueError(f"{path} has vertices without a chunk")
+    return out
+
+
+def unpacked(chunks: np.ndarray, c: np.ndarray, r: np.ndarray) -> dict[str, np.ndarray]:
+    """The columns of packed vertices r, whose chunks are chunks[c]."""
+    ends = lambda kind, axes: [np.stack([chunks[f"{e}{kind}_{x}"][c] for x in axes], 1) for e in ("min", "max")]
+    lerp = lambda low, high, t: low + t * (high - low)
+    rgba = np.stack([r["packed_color"].astype(np.int64) >> s & 255 for s in (24, 16, 8, 0)], 1) / 255
+    color = rgba[:, :3].astype(np.float32)
+    if all(f"{e}_{x}" in chunks.dtype.names for e in ("min", "max") for x in "rgb"):
+        color = lerp(*ends("", "rgb"), color)
+    alpha = np.clip(rgba[:, 3], 1e-6, 1 - 1e-6)
+    groups = {"{}": lerp(*ends("", "xyz"), _unpack(r["packed_position"])), "scale_{}": lerp(*ends("_scale", "xyz"), _unpack(r["packed_scale"]))}
+    groups |= {"rot_{}": _unpack_rotation(r["packed_rotation"]), "color_{}": color * 255}
+    out = {name.format("xyz"[k] if name == "{}" else k): values[:, k] for name, values in groups.items() for k in range(values.shape[1])}
+    return out | {"opacity": np.log(alpha / (1 - alpha))}
+
+
 def read_compressed_ply(spark: SparkSession, paths: str) -> DataFrame:
     """(path, row_index, x, y, z, scale_0 to 2, rot_0 to 3, color_0 to 2, opacity) of compressed PLY files.
 
     Vertices are packed in chunks of 256, each with the ranges of its positions, logarithmic scales and, maybe,
     colours. Colours are 0 to 255; the opacity is the logit of the packed alpha, kept within 1e-6 of 0 and 1.
+    A file is one task here; the data source ``splat_packed`` reads ranges of its rows.
     """
     names = [*"xyz", *[f"scale_{i}" for i in range(3)], *[f"rot_{i}" for i in range(4)], *[f"color_{i}" for i in range(3)], "opacity"]
 
     def fn(batches):
         for b in batches:
             for path, raw in zip(b["path"], b["content"], strict=True):
-                kind, elements, at = parse_elements(raw)
-                tables = {}
-                for name, n, row in elements:
-                    if kind == "ascii":
-                        raise ValueError(f"{path} is not binary")
-                    tables[name] = np.frombuffer(raw, row, n, at)
-                    at += n * row.itemsize
-                if "chunk" not in tables or "vertex" not in tables or any(p not in (tables["vertex"].dtype.names or ()) for p in PACKED):
-                    raise ValueError(f"{path} is not a compressed file")
-                chunks, rows = tables["chunk"], tables["vertex"]
-                if len(rows) > CHUNK_ROWS * len(chunks):
-                    raise ValueError(f"{path} has vertices without a chunk")
-                ends = lambda kind, axes, c: [np.stack([chunks[f"{e}{kind}_{x}"][c] for x in axes], 1) for e in ("min", "max")]  # noqa: B023, E731
-                lerp = lambda low, high, t: low + t * (high - low)
+                kind, elements, body = parse_elements(raw)
+                chunks, rows = (np.frombuffer(raw, row, n, at) for at, n, row in (packed_layout(path, elements, kind, body)[e] for e in ("chunk", "vertex")))
                 for i in range(0, len(rows), _BATCH):
                     r = rows[i : i + _BATCH]
-                    c = np.arange(i, i + len(r)) // CHUNK_ROWS
-                    place = lerp(*ends("", "xyz", c), _unpack(r["packed_position"]))
-                    scale = lerp(*ends("_scale", "xyz", c), _unpack(r["packed_scale"]))
-                    rgba = np.stack([r["packed_color"].astype(np.int64) >> s & 255 for s in (24, 16, 8, 0)], 1) / 255
-                    color = rgba[:, :3].astype(np.float32)
-                    if all(f"{e}_{x}" in chunks.dtype.names for e in ("min", "max") for x in "rgb"):
-                        color = lerp(*ends("", "rgb", c), color)
-                    alpha = np.clip(rgba[:, 3], 1e-6, 1 - 1e-6)
-                    values = np.concatenate([place, scale, _unpack_rotation(r["packed_rotation"]), color * 255, np.log(alpha / (1 - alpha))[:, None]], 1)
-                    yield pd.DataFrame(values.astype(np.float32), columns=names).assign(path=path, row_index=np.arange(i, i + len(r)))[["path", "row_index", *names]]
+                    made = pd.DataFrame({n: v.astype(np.float32) for n, v in unpacked(chunks, np.arange(i, i + len(r)) // CHUNK_ROWS, r).items()})
+                    yield made.assign(path=path, row_index=np.arange(i, i + len(r)))[["path", "row_index", *names]]
 
     schema = "path string, row_index long, " + ", ".join(f"{c} float" for c in names)
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(fn, schema)

@@ -1,6 +1,7 @@
-"""Splat files as Spark data sources: ``spark.read.format("splat_ply")`` and ``"splat_records"``, and the same to write.
+"""Splat files as Spark data sources: ``spark.read.format("splat_ply")`` and ``"splat_records"``, and the same to write;
+``"splat_packed"``, compressed PLY files, to read only.
 
-Rows of both have a fixed size, so a file is read in ranges of rows, by as many tasks as it has ranges; only its header
+Rows of all have a fixed size, so a file is read in ranges of rows, by as many tasks as it has ranges; only its header
 is looked at beforehand. Written are folders of files of at most ``rows`` rows each: tasks write below a folder of their
 own, and a file moves to its place when all tasks are done, so lost or repeated tasks leave nothing.
 
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from scenemill.sources.splat_files import COLUMNS, parse_header
+from scenemill.sources.splat_files import CHUNK_ROWS, COLUMNS, packed_layout, parse_elements, parse_header, unpacked
 
 ROWS, BATCH, HEAD = 1 << 18, 1 << 16, 1 << 16
 RECORD = np.dtype([("p", "<f4", 3), ("s", "<f4", 3), ("c", "u1", 4), ("q", "u1", 4)])
@@ -86,6 +87,7 @@ class _Reader(DataSourceReader):
     """Plans ranges of rows; a range is read in batches."""
 
     suffix = ""
+    exact = True  # whether a file ends with its rows
 
     def __init__(self, schema, options: dict):
         self.names, self.options = [f.name for f in schema.fields], dict(options)
@@ -109,7 +111,7 @@ class _Reader(DataSourceReader):
             with store.open_input_file(path) as f:
                 head = f.read(min(size, HEAD))
             count, body, width = self.layout(path, head, size)
-            if width and size != body + count * width:
+            if width and (size < body + count * width or self.exact and size > body + count * width):
                 raise ValueError(f"{path} doesn't hold {count} whole rows")
             step = most if width else max(1, count)
             out += [Range(path, i, min(step, count - i), body, count) for i in range(0, count, step)]
@@ -183,6 +185,33 @@ class _RecordReader(_Reader):
             yield at, out | {"opacity": np.log(alpha / (1 - alpha))}
 
 
+class _PackedReader(_Reader):
+    """Vertices of a range with the chunks they lie in; elements after the vertices are not read."""
+
+    suffix = ".ply"
+    exact = False
+
+    def layout(self, path, head, size):
+        if b"end_header" not in head:
+            raise ValueError(f"{path} has no header within {HEAD} bytes")
+        kind, elements, body = parse_elements(head)
+        at, count, row = packed_layout(path, elements, kind, body)["vertex"]
+        return count, at, row.itemsize
+
+    def values(self, path, f, part):
+        kind, elements, body = parse_elements(f.read(HEAD))
+        known = packed_layout(path, elements, kind, body)
+        (start, _, chunk), (at, _, row) = known["chunk"], known["vertex"]
+        for first in range(part.first, part.first + part.rows, BATCH):
+            n = min(BATCH, part.first + part.rows - first)
+            low, high = first // CHUNK_ROWS, (first + n - 1) // CHUNK_ROWS
+            f.seek(start + low * chunk.itemsize)
+            chunks = np.frombuffer(f.read((high - low + 1) * chunk.itemsize), chunk)
+            f.seek(at + first * row.itemsize)
+            rows = np.frombuffer(f.read(n * row.itemsize), row)
+            yield first, unpacked(chunks, np.arange(first, first + n) // CHUNK_ROWS - low, rows)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     task: int
@@ -337,7 +366,22 @@ class SplatRecords(DataSource):
         return _RecordWriter(schema, self.options, overwrite)
 
 
+class SplatPacked(DataSource):
+    """Splats of compressed PLY files: as ``splat_records``, unpacked from chunks of 256 vertices."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "splat_packed"
+
+    def schema(self) -> str:
+        return RECORD_SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return _PackedReader(schema, self.options)
+
+
 def register(spark: SparkSession) -> None:
-    """Makes both formats known to a session."""
+    """Makes the formats known to a session."""
     spark.dataSource.register(SplatPly)
     spark.dataSource.register(SplatRecords)
+    spark.dataSource.register(SplatPacked)

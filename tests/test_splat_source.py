@@ -123,3 +123,29 @@ def test_filter_refuses_doubled_rows_and_other_files(registered, tmp_path):
         selection = registered.createDataFrame([(f"file:{tmp_path}/{name}.ply", i) for i in chosen], "path string, row_index long")
         with pytest.raises(Exception, match=message):
             splat_files.filter_ply(registered, f"{tmp_path}/{name}.ply", selection).collect()
+
+
+def test_packed_files_by_ranges(spark, tmp_path):
+    """Ranges across chunks, with and without colours of chunks and with an element after the vertices."""
+    rng = np.random.default_rng(21)
+    for name, colours, tail in (("a", False, 0), ("b", True, 9)):
+        ends = [f"{e}{k}_{x}" for e in ("min", "max") for k, axes in (("", "xyz"), ("_scale", "xyz"), *((("", "rgb"),) if colours else ())) for x in axes]
+        chunks, rows = rng.normal(size=(3, len(ends))).astype("<f4"), rng.integers(0, 2**32, size=(700, 4), dtype=np.uint32)
+        packed = ["packed_position", "packed_rotation", "packed_scale", "packed_color"]
+        head = "element chunk 3\n" + "".join(f"property float {c}\n" for c in ends) + "element vertex 700\n" + "".join(f"property uint {c}\n" for c in packed)
+        head += f"element sh {tail}\nproperty uchar f_rest_0\n" if tail else ""
+        (tmp_path / f"{name}.ply").write_bytes(f"ply\nformat binary_little_endian 1.0\n{head}end_header\n".encode() + chunks.tobytes() + rows.tobytes() + bytes(tail))
+    source.register(spark)
+    got = spark.read.format("splat_packed").option("path", str(tmp_path)).option("rows", 100).load()
+    assert got.rdd.getNumPartitions() == 14
+    whole = splat_files.read_compressed_ply(spark, str(tmp_path / "*.ply")).toPandas()
+    made = got.toPandas()
+    for own in (whole, made):
+        own["path"] = own["path"].str[-5:]
+        own.sort_values(["path", "row_index"], inplace=True, ignore_index=True)
+    assert len(made) == 1400 and np.allclose(made[whole.columns].drop(columns="path").to_numpy(), whole.drop(columns="path").to_numpy())
+    some = spark.read.format("splat_packed").option("path", str(tmp_path)).option("columns", "x").load().agg({"x": "count", "y": "count"}).first()
+    assert sorted(some) == [0, 1400]
+    (tmp_path / "a.ply").write_bytes((tmp_path / "a.ply").read_bytes()[:-1])
+    with pytest.raises(Exception, match="whole rows"):
+        spark.read.format("splat_packed").option("path", str(tmp_path / "a.ply")).load().collect()
