@@ -49,6 +49,11 @@ def decode_pairs(pairs: DataFrame) -> DataFrame:
     return out.withColumn("valid", F.coalesce((F.col("i") >= 0) & (F.col("i") < F.col("j")), F.lit(False)))
 
 
+def _pair_key(*tables: DataFrame) -> list[str]:
+    """What pairs meet by: with the first image ``i`` where all tables have it, so that tables dealt by it stay where they are."""
+    return ["capture_id", *(["i"] if all("i" in t.columns for t in tables) else []), "pair_id"]
+
+
 def validate_pairs(
     schedule: DataFrame, matches: DataFrame, verified: DataFrame, images: DataFrame, descriptors: DataFrame | None = None, complete: bool = False
 ) -> DataFrame:
@@ -56,38 +61,59 @@ def validate_pairs(
 
     bad_id, unknown_image, not_scheduled, verified_over_matched; with ``descriptors`` (capture_id, image_id, rows)
     descriptorless_rows: rows matched or verified of an image without descriptors; if the attempt was ``complete``,
-    no_matches and no_verified: scheduled pairs that a table doesn't have. A row of 0 is one.
+    no_matches and no_verified: scheduled pairs that a table doesn't have. A row of 0 is one. The three tables meet
+    once, by pair; an image's state joins its pairs by each end.
     """
-    ids = decode_pairs(matches.select("capture_id", "pair_id").unionByName(verified.select("capture_id", "pair_id")).distinct())
-    wrong = lambda df, why: df.select("capture_id", "pair_id", F.lit(why).alias("reason"))
-    pair = ["capture_id", "pair_id"]
-    ends = ids.where("valid").select(*pair, F.explode(F.array("i", "j")).alias("image_id"))
-    more = verified.join(matches, pair, "left").where("verified > coalesce(matched, 0)")
-    found = [
-        wrong(ids.where("not valid"), "bad_id"),
-        wrong(ends.join(images, ["capture_id", "image_id"], "left_anti"), "unknown_image"),
-        wrong(ids.where("valid").join(schedule, pair, "left_anti"), "not_scheduled"),
-        wrong(more, "verified_over_matched"),
-    ]
+    pair, flag = _pair_key(schedule, matches, verified), F.lit(True)
+    marked = lambda df, **own: df.select(*pair, *[own.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+    kinds = {"_planned": "boolean", "_tried": "boolean", "_passed": "boolean", "_least": "long", "_most": "long", "_rows": "long"}
+    found = marked(schedule, _planned=flag)
+    found = found.unionByName(marked(matches, _tried=flag, _least=F.coalesce("matched", F.lit(0)), _most=F.col("matched")))
+    found = found.unionByName(marked(verified, _passed=flag, _rows=F.col("verified")))
+    found = found.groupBy(*pair).agg(*[F.max(c).alias(c) for c in kinds if c != "_least"], F.min("_least").alias("_least"))
+    same = F.col("capture_id").isNotNull() & F.col("pair_id").isNotNull()  # a null is the same as no other
+    has = lambda c: same & F.coalesce(c, F.lit(False))
+    known = images.select("capture_id", "image_id", flag.alias("known"), F.lit(False).alias("bare"))
     if descriptors is not None:
-        rows = matches.where("matched > 0").select(*pair).unionByName(verified.where("verified > 0").select(*pair)).distinct()
-        bare = descriptors.where("rows = 0").select("capture_id", "image_id")
-        found.append(wrong(ends.join(rows, pair, "left_semi").join(bare, ["capture_id", "image_id"], "left_semi"), "descriptorless_rows"))
+        known = known.unionByName(descriptors.where("rows = 0").select("capture_id", "image_id", F.lit(False).alias("known"), flag.alias("bare")))
+    known = known.groupBy("capture_id", "image_id").agg(F.max("known").alias("known"), F.max("bare").alias("bare"))
+    found = decode_pairs(found)
+    for end in ("i", "j"):
+        found = found.join(known.select("capture_id", F.col("image_id").alias(end), F.col("known").alias(f"_known_{end}"), F.col("bare").alias(f"_bare_{end}")), ["capture_id", end], "left")
+    either = lambda c: F.coalesce(f"_{c}_i", F.lit(False)) | F.coalesce(f"_{c}_j", F.lit(False))
+    both = F.coalesce("_known_i", F.lit(False)) & F.coalesce("_known_j", F.lit(False))
+    recorded, planned, valid = F.coalesce("_tried", "_passed").isNotNull(), F.col("_planned").isNotNull(), F.col("valid")
+    reasons = {
+        "bad_id": recorded & ~valid,
+        "unknown_image": recorded & valid & ~both,
+        "not_scheduled": recorded & valid & ~has("_planned"),
+        "verified_over_matched": F.col("_rows") > F.coalesce(F.when(same, F.col("_least")), F.lit(0)),
+        "descriptorless_rows": same & valid & ((F.coalesce("_most", F.lit(0)) > 0) | (F.coalesce("_rows", F.lit(0)) > 0)) & either("bare"),
+    }
     if complete:
-        found += [wrong(schedule.join(t, pair, "left_anti"), why) for t, why in ((matches, "no_matches"), (verified, "no_verified"))]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+        reasons |= {"no_matches": planned & ~has("_tried"), "no_verified": planned & ~has("_passed")}
+    why = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in reasons.items()]), lambda r: r.isNotNull())
+    return found.select("capture_id", "pair_id", F.explode(why).alias("reason"))
 
 
 def pair_counts(schedule: DataFrame, matches: DataFrame, verified: DataFrame, least: int = 15) -> DataFrame:
-    """Per capture and role: pairs scheduled, attempted, matched and verified with at least ``least`` rows."""
-    all_ = schedule.join(matches, ["capture_id", "pair_id"], "left").join(verified, ["capture_id", "pair_id"], "left")
-    return all_.groupBy("capture_id", "role").agg(
-        F.count("*").alias("scheduled"), F.count(F.coalesce("matched", "verified")).alias("attempted"),
-        F.count_if(F.col("matched") > 0).alias("matched"), F.count_if(F.col("verified") >= least).alias("verified"),
+    """Per capture and role: pairs scheduled, attempted, matched and verified with at least ``least`` rows.
+
+    The tables meet by pair in one grouping, which counts what joins of their rows would hold.
+    """
+    pair = _pair_key(schedule, matches, verified)
+    kinds = {"_role": "struct<role:string>", "_m": "boolean", "_v": "boolean", "_rows": "long"}
+    marked = lambda df, **own: df.select(*pair, *[own.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+    both = marked(schedule, _role=F.struct("role")).unionByName(marked(matches, _m=F.lit(True), _rows=F.col("matched"))).unionByName(marked(verified, _v=F.lit(True), _rows=F.col("verified")))
+    rows, same = F.col("_rows"), F.col("capture_id").isNotNull() & F.col("pair_id").isNotNull()
+    count = lambda c: F.count_if(same & c)
+    met = both.groupBy(*pair).agg(
+        F.collect_list("_role").alias("_roles"), count(F.col("_m")).alias("_m"), count(F.col("_v")).alias("_v"), count(F.col("_m") & rows.isNotNull()).alias("_tried"),
+        count(F.col("_v") & rows.isNotNull()).alias("_checked"), count(F.col("_m") & (rows > 0)).alias("_matched"), count(F.col("_v") & (rows >= least)).alias("_good"),
     )
+    m, v = F.greatest("_m", F.lit(1)), F.greatest("_v", F.lit(1))  # a scheduled pair without a row stays one
+    own = met.select("capture_id", F.inline("_roles"), (m * v).alias("_all"), (m * v - (m - F.col("_tried")) * (v - F.col("_checked"))).alias("_any"), (F.col("_matched") * v).alias("_matched"), (F.col("_good") * m).alias("_good"))
+    return own.groupBy("capture_id", "role").agg(F.sum("_all").alias("scheduled"), F.sum("_any").alias("attempted"), F.sum("_matched").alias("matched"), F.sum("_good").alias("verified"))
 
 
 def degrees(images: DataFrame, edges: DataFrame) -> DataFrame:
