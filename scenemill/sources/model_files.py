@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -136,6 +138,45 @@ def match_list(edges: DataFrame, key: str = "capture_id") -> DataFrame:
     return edges.groupBy(key).agg(F.count("*").alias("pairs"), text.alias("text")).withColumn("digest", F.sha2("text", 256))
 
 
+#: Second images whose lines stand in one piece of a match list.
+PIECE = 1024
+
+
+def match_digest(edges: DataFrame, key: str = "capture_id") -> DataFrame:
+    """(key, pairs, digest) as of ``match_list``, without its text: a capture's lines are put together in pieces, which
+    pass in order through one task for each capture; no row or task holds a list."""
+    piece = F.floor(F.col("j") / PIECE).alias("_at")
+    line = lambda j: F.concat(F.col("i").cast("string"), F.lit(" "), j.cast("string"), F.lit("\n"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list("j")), line), "")
+    own = edges.groupBy(key, "i", piece).agg(F.count("*").alias("pairs"), lines.alias("text"))
+    own = own.select(key, "i", "_at", "pairs", "text").repartition(key).sortWithinPartitions(key, "i", "_at").select(key, "pairs", "text")
+
+    def fn(batches):
+        capture, pairs, text = None, 0, None
+        for b in batches:
+            kind = b.schema.field(0).type
+            keys, counts, texts = (b.column(k).to_pylist() for k in range(3))
+            first = 0
+            while first < len(keys):
+                last = first + 1
+                while last < len(keys) and keys[last] == keys[first]:
+                    last += 1
+                if text is None or keys[first] != capture:
+                    if text is not None:
+                        yield row(kind, capture, pairs, text)
+                    capture, pairs, text = keys[first], 0, hashlib.sha256()
+                pairs += sum(counts[first:last])
+                text.update("".join(texts[first:last]).encode())
+                first = last
+        if text is not None:
+            yield row(kind, capture, pairs, text)
+
+    def row(kind, capture, pairs, text):
+        return pa.RecordBatch.from_arrays([pa.array([capture], kind), pa.array([pairs], pa.int64()), pa.array([text.hexdigest()])], [key, "pairs", "digest"])
+
+    return own.mapInArrow(fn, f"{key} {edges.schema[key].dataType.simpleString()}, pairs long, digest string")
+
+
 def read_match_list(spark: SparkSession, paths: str) -> DataFrame:
     return _lines(spark, paths).select("path", F.get("w", F.lit(0)).alias("a"), F.get("w", F.lit(1)).alias("b"))
 
