@@ -20,10 +20,14 @@ def components(nodes: DataFrame, edges: DataFrame, key: str, most_rounds: int =
 
     Large-star and small-star steps in turn, all keys at once; a round is two joins of the edges with their
     least neighbours; these are cut as well, and read without their order, so that Spark can split what the root
-    of a large component brings to a join. Two numbers a round come to the driver. A graph that is still
-    changing after ``most_rounds`` is an error.
+    of a large component brings to a join. The edges themselves are read twice, for the first large-star step, and
+    neither shuffled whole nor kept: what that step leaves of a dense graph is few rows a node. Two numbers a round
+    come to the driver. A graph that is still changing after ``most_rounds`` is an error.
     """
-    pairs = edges.where("a <> b").select(key, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    plain, low, high = edges.where("a <> b"), F.least("a", "b"), F.greatest("a", "b")
+    ends = F.inline(F.array(F.struct(low.alias("a"), low.alias("m")), F.struct(high.alias("a"), low.alias("m"))))  # a node is no greater than what is above it
+    least = kept(plain.select(key, ends).groupBy(key, "a").agg(F.min("m").alias("m")))
+    pairs = plain.select(key, low.alias("a"), high.alias("b")).join(least, [key, "a"]).select(key, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     pairs, state = cut(pairs), None
     for _ in range(most_rounds):
         either = F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
