@@ -167,9 +167,12 @@ def refinement_plan(images: DataFrame, local: DataFrame, loops: DataFrame, most:
     images are reachable over them, and whether there are at most ``most``. images: (capture_id, image_id)."""
     from scenemill.operators import graph
 
-    clean = lambda df, p: df.where("i <> j").select("capture_id", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.lit(p).alias("p"))
-    edges = clean(local, 0).unionByName(clean(loops, 1)).groupBy("capture_id", "a", "b").agg(F.min("p").alias("p"))
-    roots = graph.components(images.select("capture_id", F.col("image_id").alias("node")), edges, "capture_id")
+    clean = lambda df, p: df.where("i <> j").select("capture_id", F.col("i").alias("a"), F.col("j").alias("b"), F.lit(p).alias("p"))
+    both = clean(local, 0).unionByName(clean(loops, 1))
+    if not both.where("a > b").isEmpty():  # where all are in order, tables dealt by i are not shuffled
+        both = both.select("capture_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "p")
+    edges = both.groupBy("capture_id", "a", "b").agg(F.min("p").alias("p"))
+    roots = graph.components(images.select("capture_id", F.col("image_id").alias("node")), both, "capture_id")
     whole = roots.groupBy("capture_id").agg((F.count_distinct("root") == 1).alias("connected"))
     sizes = edges.groupBy("capture_id").agg(F.count_if(F.col("p") == 0).alias("local"), F.count_if(F.col("p") == 1).alias("loops"))
     out = whole.join(sizes, "capture_id", "left").fillna(0, ["local", "loops"])

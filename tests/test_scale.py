@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from scenemill.operators import graph
+from scenemill.operators import graph, pairs
 from scenemill.plans.views import view
+from scenemill.sources import model_files
 
 
 def test_schedule_is_dealt_by_images(spark):
@@ -47,3 +48,45 @@ def test_nulls_are_no_pair(spark):
     got = {tuple(r) for r in graph.validate_pairs(schedule, matches, verified, images, complete=True).collect()}
     assert {(None, 6, "no_matches"), (None, 6, "verified_over_matched"), (1, None, "bad_id"), (1, None, "no_matches"), (1, 98, "verified_over_matched"), (1, 3, "verified_over_matched")} <= got
     assert (1, 3, "no_matches") not in got and (1, 5, "not_scheduled") not in got and (1, 99, "not_scheduled") in got
+
+
+def test_match_digest_as_of_the_whole_text(spark):
+    rows = [(c, i, j) for c in ("x", "y", None) for i in (10, 9, 2) for j in (5000, 3, 1023, 1024, 70)] + [("x", 2, 3), ("z", -1, 4)]
+    edges = spark.createDataFrame(rows, "capture_id string, i long, j int").repartition(7)
+    want = {tuple(r) for r in model_files.match_list(edges).drop("text").collect()}
+    got = model_files.match_digest(edges)
+    assert {tuple(r) for r in got.collect()} == want
+    whole = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(j" in whole and "struct" not in whole  # no list of a capture's pairs
+
+
+def _shuffled_pairs(df):
+    """Shuffles of a plan by both ends of an edge."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line and line.count("#") > 2]
+
+
+def test_components_read_edges_where_they_lie(spark, monkeypatch):
+    """Neither kept nor shuffled whole: only what the first step leaves."""
+    sizes = []
+    for name in ("cut", "kept"):
+        real = getattr(graph, name)
+        monkeypatch.setattr(graph, name, lambda df, real=real: (lambda out: (sizes.append(out.count()), out)[1])(real(df)))
+    n = 60
+    edges = spark.createDataFrame([(1, a, b) for a in range(n) for b in range(a + 1, n)] + [(1, 100, 101), (2, 7, 3), (2, 3, 7), (2, 5, 5)], "key int, a long, b long")
+    nodes = spark.createDataFrame([(1, a) for a in range(n)] + [(1, 100), (1, 101), (2, 3), (2, 5), (2, 7)], "key int, node long")
+    got = {(r.key, r.node): r.root for r in graph.components(nodes, edges, "key").collect()}
+    assert got == {(1, a): 0 for a in range(n)} | {(1, 100): 100, (1, 101): 100, (2, 3): 3, (2, 5): 5, (2, 7): 3}
+    assert max(sizes) < n * (n - 1) / 2 / 4
+
+
+def test_plan_counts_pairs_either_way(spark):
+    images = spark.createDataFrame([(1, k) for k in range(5)], "capture_id int, image_id long")
+    local = spark.createDataFrame([(1, 0, 1), (1, 2, 1), (1, 3, 3)], "capture_id int, i long, j long")
+    loops = spark.createDataFrame([(1, 1, 0), (1, 1, 2), (1, 3, 2), (1, 2, 3)], "capture_id int, i long, j long")
+    assert [tuple(r) for r in pairs.refinement_plan(images, local, loops, 3).collect()] == [(1, 2, 1, False, True)]
+
+
+def test_ordered_plan_is_not_shuffled_by_pair(spark, sf_dir):
+    s = view(spark, sf_dir, "schedule")
+    plan = pairs.refinement_plan(view(spark, sf_dir, "graph_images"), s.where("role = 'local'"), s.where("role = 'retrieval'"), 2000)
+    assert not _shuffled_pairs(plan)
