@@ -8,21 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenemill.functions import geometry, ranks
+from scenemill.functions.storage import kept
 
 #: The scales and the relative error that a similarity may have.
 SMALLEST, LARGEST, MOST_ERROR = 0.05, 20.0, 0.05
 
 
+def point_key(points: DataFrame) -> list[str]:
+    """What points are found by: their id, within a model unless they are all models' points."""
+    return ["model_id", "point_id"] if "model_id" in points.columns else ["point_id"]
+
+
 def residuals(observations: DataFrame, cameras: DataFrame, points: DataFrame) -> DataFrame:
     """Adds ``residual`` (pixels), ``angle`` and ``range`` to observations of points in front of their camera.
 
     cameras: one row for each image with its pose and camera (image_id, model, params, focal, q*, t*). The
-    large join is on (model_id, point_id), so a dominating model spreads over all tasks.
+    large join is on (model_id, point_id), so a dominating model spreads over all tasks. Points without a column
+    model_id are those of every model.
     """
     rows = geometry.rotation(*[F.col(c) for c in ("qw", "qx", "qy", "qz")])
     p = tuple(F.col(c) for c in ("px", "py", "pz"))
     at = tuple(geometry.dot(rows[i], p) + F.col(t) for i, t in enumerate(("tx", "ty", "tz")))
-    joined = observations.join(points, ["model_id", "point_id"]).join(cameras, ["model_id", "image_id"])
+    joined = observations.join(points, point_key(points)).join(cameras, ["model_id", "image_id"])
     placed = joined.withColumns(dict(zip(("_x", "_y", "_z"), at, strict=True))).where("_z > 1e-12")
     u, v = geometry.project(F.col("model"), F.col("params"), F.col("_x") / F.col("_z"), F.col("_y") / F.col("_z"))
     off = F.hypot(F.col("x") - u, F.col("y") - v)
@@ -32,6 +39,7 @@ def residuals(observations: DataFrame, cameras: DataFrame, points: DataFrame) ->
 
 def residual_summary(found: DataFrame) -> DataFrame:
     """Per model: count, mean, median and nearest-rank 90% of the residual, and images measured."""
+    found = kept(found.select("model_id", "image_id", "residual"))  # read twice
     sums = found.groupBy("model_id").agg(F.count("*").alias("observations"), F.avg("residual").alias("mean"), F.count_distinct("image_id").alias("images"))
     return sums.join(ranks.percentiles(found, "model_id", "residual", {"median": ("middle", 0.5), "p90": ("rank", 0.9)}), "model_id", "left").select(
         "model_id", "observations", "mean", "median", "p90", "images"
@@ -39,15 +47,24 @@ def residual_summary(found: DataFrame) -> DataFrame:
 
 
 def integrity(observations: DataFrame, tracks: DataFrame, points: DataFrame) -> DataFrame:
-    """(model_id, reason, n): duplicate or unmatched observations and tracks, and points that are missing."""
+    """(model_id, reason, n): duplicate or unmatched observations and tracks, and points that are missing.
+
+    Observations and tracks meet once, dealt by their place in an image; what is left to look up of points is counted.
+    """
     key = ["model_id", "image_id", "point2d_idx", "point_id"]
-    one = lambda df, reason: df.groupBy("model_id").agg(F.count("*").alias("n")).select("model_id", F.lit(reason).alias("reason"), "n")
-    return (
-        one(observations.groupBy(*key[:3]).count().where("count > 1"), "duplicate_observation")
-        .unionByName(one(observations.join(points, ["model_id", "point_id"], "left_anti"), "missing_point"))
-        .unionByName(one(observations.join(tracks, key, "left_anti"), "observation_without_track"))
-        .unionByName(one(tracks.join(observations, key, "left_anti"), "track_without_observation"))
-    )
+    sides = lambda df, seen: df.select(*key, F.lit(seen).alias("_seen"))
+    whole = F.lit(True)
+    for k in key:
+        whole = whole & F.col(k).isNotNull()  # a null is the same as no other
+    met = sides(observations, True).unionByName(sides(tracks, False)).repartition(*key[:3])
+    met = met.groupBy(*key).agg(F.count_if("_seen").alias("_o"), F.count_if(~F.col("_seen")).alias("_t"))
+    lone = lambda a, b: F.sum(F.when(~whole | (F.col(b) == 0), F.col(a)).otherwise(0))
+    places = met.groupBy(*key[:3]).agg(F.sum("_o").alias("_n"), lone("_o", "_t").alias("_bare"), lone("_t", "_o").alias("_loose"))
+    sums = places.groupBy("model_id").agg(F.count_if(F.col("_n") > 1).alias("duplicate_observation"), F.sum("_bare").alias("observation_without_track"), F.sum("_loose").alias("track_without_observation"))
+    reasons = F.array(*[F.struct(F.lit(c).alias("reason"), F.col(c).alias("n")) for c in sums.columns[1:]])
+    asked = observations.groupBy("model_id", "point_id").agg(F.count("*").alias("_n")).join(points, point_key(points), "left_anti")
+    missing = asked.groupBy("model_id").agg(F.sum("_n").alias("n")).select("model_id", F.lit("missing_point").alias("reason"), "n")
+    return sums.select("model_id", F.inline(reasons)).where("n > 0").unionByName(missing)
 
 
 def support_stats(observations: DataFrame, images: DataFrame, strong: int = 20) -> DataFrame:
