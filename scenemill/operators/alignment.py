@@ -130,7 +130,8 @@ def select_anchors(centres: DataFrame, key: str = "window_id") -> DataFrame:
     one = lambda p: centres.select(key, F.col("image_id").alias(p), *[F.col(c).alias(p + c) for c in "xyz"])
     u, v = ([F.col(p + c) - F.col("a" + c) for c in "xyz"] for p in "bc")
     cross = (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
-    triples = one("a").join(one("b"), key).where("a < b").join(one("c"), key).where("b < c")
+    # merged, so triples come in the order of their windows and are never sorted or held
+    triples = one("a").join(one("b").hint("merge"), key).where("a < b").join(one("c").hint("merge"), key).where("b < c")
     area = 0.5 * F.sqrt(geometry.dot(cross, cross))
     best = triples.withColumn("area", area).groupBy(key).agg(F.max(F.struct("area", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"), (-F.col("c")).alias("c"))).alias("m"))
     out = spread.join(best, key, "left")
