@@ -104,32 +104,46 @@ def windows(captures: DataFrame, size: int, overlap: int, least: int = 1) -> Dat
     return out.select("capture_id", "window", "first", (F.least(F.col("first") + size, F.col("n")) - 1).cast("int").alias("last"))
 
 
-def retrieval_graph(vectors: DataFrame, k: int = 8, least: float = 0.55, block: int = 1024) -> DataFrame:
+def _best(q: np.ndarray, a: np.ndarray, n: np.ndarray, b: np.ndarray, k: int, least: float, rows: int = 256) -> list[tuple[np.ndarray, ...]]:
+    """(q, n, s) of the best k of ids n (ascending), with unit vectors b, for each id of q, some rows at a time."""
+    out = []
+    for first in range(0, len(q), rows):
+        near = a[first : first + rows] @ b.T
+        i, j = np.nonzero(near >= least - 1e-9)
+        s = np.round(near[i, j], 12)
+        fine = (s >= least) & (q[first + i] != n[j])
+        i, j, s = i[fine], j[fine], s[fine]
+        order = np.lexsort((j, -s, i))
+        i, j, s = i[order], j[order], s[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j, s = i[place < k], j[place < k], s[place < k]
+        out.append((q[first + i], n[j], s))
+    return out
+
+
+def retrieval_graph(vectors: DataFrame, k: int = 8, least: float = 0.55, block: int = 2048) -> DataFrame:
     """(a, b): unordered union of each vector's k most similar by cosine, at least ``least`` (ties: smaller id).
 
-    Exact: blocks of vectors meet blocks in numpy, and only a block's best k of each row are written.
-    vectors: (group_id, id, v).
+    Exact: every pair of blocks of vectors meets once, for both, in numpy, and only a block's best k of each row are
+    written. vectors: (group_id, id, v).
     """
     sizes = vectors.groupBy("group_id").agg(F.ceil(F.count("*") / block).alias("blocks"))
     own = vectors.where("v is not null").join(sizes, "group_id").withColumn("at", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-    span = F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)
-    left = own.select("group_id", F.col("at").alias("row"), F.explode(span).alias("col"), "id", "v")
-    right = own.select(F.col("group_id").alias("group_id"), F.explode(span).alias("row"), F.col("at").alias("col"), F.col("id").alias("id"), F.col("v").alias("v"))
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = {"q": [], "n": [], "s": []}
-        if len(a) and len(b):
-            unit = lambda rows: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(np.array(rows.tolist(), np.float64))
-            b = b.sort_values("id", kind="stable")
-            ids, s = b["id"].to_numpy(), np.round(unit(a["v"]) @ unit(b["v"]).T, 12)
-            for q, row in zip(a["id"], s, strict=True):
-                row = np.where(ids == q, -2, row)
-                for i in np.argsort(-row, kind="stable")[:k]:
-                    if row[i] >= least:
-                        out["q"].append(q), out["n"].append(ids[i]), out["s"].append(row[i])
-        return pd.DataFrame(out).astype({"q": "int64", "n": "int64", "s": float}).assign(group_id=a["group_id"].iloc[0] if len(a) else 0)[["group_id", "q", "n", "s"]]
-
-    found = left.groupBy("group_id", "row", "col").cogroup(right.groupBy("group_id", "row", "col")).applyInPandas(best, "group_id long, q long, n long, s double")
+    met = own.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    met = met.select("group_id", F.least("at", "_with").alias("low"), F.greatest("at", "_with").alias("high"), "at", "id", "v")
+
+    def fn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        sides = []
+        for at in dict.fromkeys(key[1:]):
+            side = rows[rows["at"] == at].sort_values("id", kind="stable")
+            m = np.array(side["v"].tolist(), np.float64).reshape(len(side), -1)
+            sides.append((side["id"].to_numpy(), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)))
+        turns = [(sides[0], sides[0])] if len(sides) == 1 else [sides, sides[::-1]]
+        found = [f for a, b in turns if len(a[0]) and len(b[0]) for f in _best(*a, *b, k, least)]
+        q, n, s = (np.concatenate(c) for c in zip(*found, strict=True)) if found else ([], [], [])
+        return pd.DataFrame({"group_id": key[0], "q": np.asarray(q, "int64"), "n": np.asarray(n, "int64"), "s": np.asarray(s, float)})
+
+    found = met.groupBy("group_id", "low", "high").applyInPandas(fn, "group_id long, q long, n long, s double")
     place = F.row_number().over(W.partitionBy("group_id", "q").orderBy(F.desc("s"), "n"))
     top = found.withColumn("_r", place).where(F.col("_r") <= k)
     return top.select("group_id", F.least("q", "n").alias("a"), F.greatest("q", "n").alias("b")).distinct()
