@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIDE, BINS = 16, 8
+#: Pictures described at a time; what is between a picture and its descriptor is many times their size.
+AT_ONCE = 256
 #: Red, green and blue in luminance.
 LUMINANCE = (0.2126, 0.7152, 0.0722)
 
@@ -34,11 +36,13 @@ def retrieval_descriptors(images: DataFrame) -> DataFrame:
     def fn(raw: pd.Series) -> pd.Series:
         fine = [b is not None and len(b) >= 3 * SIDE * SIDE for b in raw]
         out: list = [None] * len(raw)
-        if any(fine):
-            pictures = np.stack([np.frombuffer(b, np.uint8, 3 * SIDE * SIDE).reshape(SIDE, SIDE, 3) for b, f in zip(raw, fine, strict=True) if f])
-            for i, v in zip(np.flatnonzero(fine), describe(pictures), strict=True):
-                out[i] = v.tolist()
-        return pd.Series(out)
+        rows = np.flatnonzero(fine)
+        for first in range(0, len(rows), AT_ONCE):
+            some = rows[first : first + AT_ONCE]
+            pictures = np.stack([np.frombuffer(raw.iloc[i], np.uint8, 3 * SIDE * SIDE).reshape(SIDE, SIDE, 3) for i in some])
+            for i, v in zip(some, describe(pictures), strict=True):
+                out[i] = v
+        return pd.Series(out, dtype=object)
 
     return images.withColumn("v", fn("rgb"))
 
