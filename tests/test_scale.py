@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from scenemill.operators import graph, pairs
+from scenemill.operators import graph, models, pairs
 from scenemill.plans.views import view
 from scenemill.sources import model_files
 
@@ -90,3 +90,14 @@ def test_ordered_plan_is_not_shuffled_by_pair(spark, sf_dir):
     s = view(spark, sf_dir, "schedule")
     plan = pairs.refinement_plan(view(spark, sf_dir, "graph_images"), s.where("role = 'local'"), s.where("role = 'retrieval'"), 2000)
     assert not _shuffled_pairs(plan)
+
+
+def test_integrity_of_points_of_all_models(spark):
+    kind = "model_id int, image_id int, point2d_idx int, point_id long"
+    seen = spark.createDataFrame([(1, 1, 0, 5), (1, 1, 0, 6), (1, 1, 1, 7), (2, 1, 0, 9), (2, 1, None, 5)], kind)
+    tracks = spark.createDataFrame([(1, 1, 0, 5), (1, 4, 0, 5), (2, 1, 0, 9), (2, 1, None, 5)], kind)
+    got = {tuple(r) for r in models.integrity(seen, tracks, spark.createDataFrame([(5,), (6,), (9,)], "point_id long")).collect()}
+    assert got == {
+        (1, "duplicate_observation", 1), (1, "missing_point", 1), (1, "observation_without_track", 2), (1, "track_without_observation", 1),
+        (2, "observation_without_track", 1), (2, "track_without_observation", 1),
+    }
