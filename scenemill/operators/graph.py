@@ -295,9 +295,11 @@ def biconnectivity(edges: DataFrame, key: str = "capture_id") -> DataFrame:
 def descriptorless(images: DataFrame, descriptors: DataFrame, schedule: DataFrame) -> DataFrame:
     """(capture_id, image_id, name): scheduled images whose descriptors have no rows.
 
-    images: (capture_id, image_id, name); descriptors: (capture_id, image_id, rows); schedule: (capture_id, i, j).
+    images: (capture_id, image_id, name); descriptors: (capture_id, image_id, rows); schedule: (capture_id, i, j), or
+    (capture_id, image_id) of the images in it. Ends of pairs become one row an image where the pairs lie.
     """
-    used = schedule.select("capture_id", F.explode(F.array("i", "j")).alias("image_id"))
+    ends = schedule if "image_id" in schedule.columns else schedule.select("capture_id", F.explode(F.array("i", "j")).alias("image_id"))
+    used = ends.select("capture_id", "image_id").distinct()
     bare = descriptors.where("rows = 0").select("capture_id", "image_id")
     return images.join(bare, ["capture_id", "image_id"], "left_semi").join(used, ["capture_id", "image_id"], "left_semi").select("capture_id", "image_id", "name")
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from scenemill.operators import graph, models, pairs
+from scenemill.plans import views
 from scenemill.plans.views import view
 from scenemill.sources import model_files
 
@@ -101,3 +102,22 @@ def test_integrity_of_points_of_all_models(spark):
         (1, "duplicate_observation", 1), (1, "missing_point", 1), (1, "observation_without_track", 2), (1, "track_without_observation", 1),
         (2, "observation_without_track", 1), (2, "track_without_observation", 1),
     }
+
+
+def test_scheduled_images_are_the_ends_of_pairs(spark):
+    """Found without all pairs: near ones, far ones, images of captures of their own, and a null."""
+    images = spark.createDataFrame([(1, k) for k in (*range(0, 60, 7), 300, 301, 5000)] + [(2, 3), (3, 11), (3, 11 + 2**20), (4, 0), (4, 256 * 11), (None, 1), (None, 2)], "capture_id int, image_id long")
+    s = views._schedule(images)
+    want = {tuple(r) for e in "ij" for r in s.select("capture_id", e).collect()}
+    got = views._scheduled_images(images)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and (2, 3) not in want
+    assert "CartesianProduct" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scheduled_pairs_are_one_row_an_image_before_they_meet(spark):
+    images = spark.createDataFrame([(1, k, f"image{k}") for k in range(9)], "capture_id int, image_id long, name string")
+    pairs_ = spark.createDataFrame([(1, i, j) for i in range(5) for j in range(i + 1, 7)], "capture_id int, i long, j long")
+    out = graph.descriptorless(images, images.withColumn("rows", F.col("image_id") % 2), pairs_)
+    assert {r.image_id for r in out.collect()} == {0, 2, 4, 6}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_" in plan or plan.count("HashAggregate") >= 2
