@@ -24,24 +24,26 @@ def residuals(observations: DataFrame, cameras: DataFrame, points: DataFrame) ->
 
     cameras: one row for each image with its pose and camera (image_id, model, params, focal, q*, t*). The
     large join is on (model_id, point_id), so a dominating model spreads over all tasks. Points without a column
-    model_id are those of every model.
+    model_id are those of every model. Cameras with their centre (cx, cy, cz) also give the ray from it to the point,
+    as rx, ry and rz.
     """
     rows = geometry.rotation(*[F.col(c) for c in ("qw", "qx", "qy", "qz")])
     p = tuple(F.col(c) for c in ("px", "py", "pz"))
     at = tuple(geometry.dot(rows[i], p) + F.col(t) for i, t in enumerate(("tx", "ty", "tz")))
-    joined = observations.join(points, point_key(points)).join(cameras, ["model_id", "image_id"])
+    joined = observations.join(cameras, ["model_id", "image_id"]).join(points, point_key(points))
     placed = joined.withColumns(dict(zip(("_x", "_y", "_z"), at, strict=True))).where("_z > 1e-12")
     u, v = geometry.project(F.col("model"), F.col("params"), F.col("_x") / F.col("_z"), F.col("_y") / F.col("_z"))
     off = F.hypot(F.col("x") - u, F.col("y") - v)
     out = placed.withColumn("residual", off).withColumn("range", F.sqrt(sum((F.col(c) * F.col(c) for c in ("_x", "_y", "_z")), F.lit(0.0))))
-    return out.withColumn("angle", F.atan(F.col("residual") / F.col("focal"))).select(*observations.columns, "residual", "angle", "range")
+    rays = [(F.col(f"p{c}") - F.col(f"c{c}")).alias(f"r{c}") for c in "xyz"] if "cx" in cameras.columns else []
+    return out.withColumn("angle", F.atan(F.col("residual") / F.col("focal"))).select(*observations.columns, "residual", "angle", "range", *rays)
 
 
 def residual_summary(found: DataFrame) -> DataFrame:
     """Per model: count, mean, median and nearest-rank 90% of the residual, and images measured."""
     found = kept(found.select("model_id", "image_id", "residual"))  # read twice
     sums = found.groupBy("model_id").agg(F.count("*").alias("observations"), F.avg("residual").alias("mean"), F.count_distinct("image_id").alias("images"))
-    return sums.join(ranks.percentiles(found, "model_id", "residual", {"median": ("middle", 0.5), "p90": ("rank", 0.9)}), "model_id", "left").select(
+    return sums.join(ranks.percentiles_twice(found, "model_id", "residual", {"median": ("middle", 0.5), "p90": ("rank", 0.9)}), "model_id", "left").select(
         "model_id", "observations", "mean", "median", "p90", "images"
     )
 

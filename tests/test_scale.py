@@ -1,8 +1,10 @@
 """Work of pairs and models over many tasks, and the same results by another way."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from scenemill.operators import graph, models, pairs
+from scenemill.functions import ranks
+from scenemill.operators import conditioning, graph, models, pairs
 from scenemill.plans import views
 from scenemill.plans.views import view
 from scenemill.sources import model_files
@@ -121,3 +123,40 @@ def test_scheduled_pairs_are_one_row_an_image_before_they_meet(spark):
     assert {r.image_id for r in out.collect()} == {0, 2, 4, 6}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "partial_" in plan or plan.count("HashAggregate") >= 2
+
+
+def test_percentiles_sort_only_the_spans_of_their_places(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    odd = [0.0, -0.0, float("inf"), float("-inf"), float("nan"), None, 5e-324, -1e308]
+    values = [*(float(v) for v in rng.normal(size=2000) * 50), *[2.5] * 200, *odd]
+    df = spark.createDataFrame([(i % 3, v) for i, v in enumerate(values)] + [(7, 1.0), (8, None)], "k int, v double")
+    wanted = {"a": ("rank", 0.9), "b": ("middle", 0.5), "c": ("linear", 0.13), "d": ("rank", 0.0), "e": ("floor", 0.25), "f": ("rank", 1.0)}
+    show = lambda rows: sorted((str(tuple(r)) for r in rows))
+    want = show(ranks.percentiles(df, "k", "v", wanted).collect())
+    sorted_, real = [], ranks._ranges
+    monkeypatch.setattr(ranks, "_ranges", lambda df, *a: (lambda out: (sorted_.append(out.count()), out)[1])(real(df, *a)))
+    assert show(ranks.percentiles_twice(df, "k", "v", wanted).collect()) == want
+    assert sorted_[0] < 500
+    whole = df.select("k", F.expr("try_cast(v as long) div 7 as n")).where("abs(n) < 100")
+    assert show(ranks.percentiles_twice(whole, "k", "n", wanted).collect()) == show(ranks.percentiles(whole, "k", "n", wanted).collect())
+
+
+def test_tracks_meet_over_batches(spark):
+    """Tracks cut by batches of rows, of one ray and of many, each against all pairs of its rays."""
+    rng = np.random.default_rng(8)
+    rows = [(m, p, float(abs(rng.normal()) / 300), *map(float, rng.normal(size=3) * 0.1 + [0, 0, 5])) for m in (1, 2) for p in range(12) for _ in range(int(rng.integers(1, 30)))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = {tuple(r)[:2]: tuple(r)[2:] for r in conditioning.parallax(spark.createDataFrame(rows, "model_id int, point_id long, angle double, rx double, ry double, rz double"), block=7).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 24
+    for key, found in got.items():
+        own = np.array([r[2:] for r in rows if r[:2] == key])
+        unit = own[:, 1:] / np.linalg.norm(own[:, 1:], axis=1)[:, None]
+        apart = np.degrees(np.arccos(np.clip(np.abs(unit @ unit.T), 0, 1)))
+        np.fill_diagonal(apart, -1)
+        need = np.maximum(0.05, 3 * np.degrees(np.maximum(own[:, None, 0], own[None, :, 0])))
+        limit = max(0.05, 3 * np.degrees(np.sort(own[:, 0])[int(np.ceil(0.9 * len(own))) - 1]))
+        assert found[0] == len(own) and found[1:5] == tuple(int((apart >= x).any(axis=1).sum()) for x in (1.5, 2.0, 3.0, need))
+        assert found[5] == (max(0.0, apart.max()) >= limit) and abs(found[6] - limit) < 1e-12
