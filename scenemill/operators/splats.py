@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from scenemill.functions import ranks
-from scenemill.functions.storage import cut
+from scenemill.functions.storage import cut, kept
 
 #: Fixed value: the least weight of a pixel contribution, in single precision.
 LEAST_WEIGHT = float(np.float32(0.04))
@@ -252,10 +252,10 @@ def tiles(points: DataFrame, rows: int) -> DataFrame:
 def crowds(points: DataFrame, keys: list[str], k: int) -> DataFrame:
     """(keys, first): where more than k rows are equal in ``keys``, the smallest k + 1 of their row_index.
 
-    Rows are counted before the shuffle and numbered over ranges, so one crowd may hold most of a table."""
-    many = points.groupBy(*keys).agg(F.count("*").alias("_c")).where(F.col("_c") > k).select(*keys)
-    placed = ranks.number_rows(points.join(many, keys).select(*keys, "row_index"), keys, ["row_index"])
-    return placed.where(F.col("_i") <= k).groupBy(*keys).agg(F.sort_array(F.collect_list("row_index")).alias("first"))
+    Rows are cut to the first k + 1 of a crowd in their tasks, before the shuffle, so one crowd may hold most of a table."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("row_index"))
+    first = points.select(*keys, "row_index").withColumn("_i", place).where(F.col("_i") <= k + 1)
+    return first.groupBy(*keys).agg(F.sort_array(F.collect_list("row_index")).alias("first")).where(F.size("first") > k)
 
 
 def near_tiles(boxes: DataFrame, slack: float, fan: int = 16) -> DataFrame:
@@ -329,8 +329,9 @@ def knn(splats: DataFrame, k: int = 16, tile_rows: int = 2000, turned: bool = Fa
         odd = odd | _odd(c)
     fine = splats.where(~odd).withColumn("scene", F.col("scene").cast("long")).withColumn("row_index", F.col("row_index").cast("long")).select(*columns)
     spot = ["scene", "x", "y", "z"]
-    many = cut(crowds(fine, spot, k))
-    alike = cut(crowds(fine, [*spot, *more], k)) if turned else many
+    fine = kept(fine)  # read by several steps
+    many = kept(crowds(fine, spot, k))
+    alike = kept(crowds(fine, [*spot, *more], k)) if turned else many
     told = fine.join(many.withColumnRenamed("first", "_crowd"), spot, "left").join(alike.withColumnRenamed("first", "_alike"), [*spot, *more], "left")
     told = told.withColumn("asks", F.col("_crowd").isNull()).withColumn("found", F.col("_alike").isNull() | F.array_contains("_alike", F.col("row_index")))
     own = cut(tiles(told.where("asks or found").select(*columns, "asks", "found"), tile_rows))

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from scenemill.functions import ranks
-from scenemill.operators import conditioning, graph, models, pairs
+from scenemill.operators import conditioning, graph, models, pairs, splats
 from scenemill.plans import views
 from scenemill.plans.views import view
 from scenemill.sources import model_files
@@ -160,3 +160,12 @@ def test_tracks_meet_over_batches(spark):
         limit = max(0.05, 3 * np.degrees(np.sort(own[:, 0])[int(np.ceil(0.9 * len(own))) - 1]))
         assert found[0] == len(own) and found[1:5] == tuple(int((apart >= x).any(axis=1).sum()) for x in (1.5, 2.0, 3.0, need))
         assert found[5] == (max(0.0, apart.max()) >= limit) and abs(found[6] - limit) < 1e-12
+
+
+def test_crowds_are_cut_before_their_shuffle(spark, monkeypatch):
+    """The smallest rows of each crowd; no crowd is sorted as a whole."""
+    monkeypatch.setattr(splats.ranks, "number_rows", lambda *a: 1 / 0)
+    points = spark.createDataFrame([(s, x, 100 - i) for s, x, n in ((1, 0.0, 90), (1, 2.0, 4), (1, 3.0, 3), (2, 0.0, 5)) for i in range(n)], "scene long, x double, row_index long").repartition(5)
+    found = splats.crowds(points, ["scene", "x"], 3)
+    assert {(r.scene, r.x, *r.first) for r in found.collect()} == {(1, 0.0, 11, 12, 13, 14), (1, 2.0, 97, 98, 99, 100), (2, 0.0, 96, 97, 98, 99)}
+    assert found._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2  # partial and final
