@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from scenemill.functions import ranks
 from scenemill.functions.storage import cut, kept
@@ -304,17 +310,55 @@ def descriptorless(images: DataFrame, descriptors: DataFrame, schedule: DataFram
     return images.join(bare, ["capture_id", "image_id"], "left_semi").join(used, ["capture_id", "image_id"], "left_semi").select("capture_id", "image_id", "name")
 
 
-def table_digest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+def _json(df: DataFrame, columns: list[str]) -> Column:
+    """A row as JSON, nulls included. Whole numbers under plain names need no writer of JSON: it costs more than the hash."""
+    if all(re.fullmatch(r"\w+", c, re.ASCII) and isinstance(df.schema[c].dataType, (ByteType, ShortType, IntegerType, LongType)) for c in columns):
+        fields = [F.concat(F.lit(f'"{c}":'), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in columns]
+        return F.concat(F.lit("{"), *[part for f in fields for part in (F.lit(","), f)][1:], F.lit("}"))
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def _hashed_in_order(key: str):
+    """Rows (key, _b, _h) in their order, each _h of 64 digits, as one hash of all _h of each (key, _b)."""
+
+    def fn(batches):
+        running, kind = {}, None
+        for b in batches:
+            kind = b.schema.field(0).type
+            keys, places = (b.column(k).dictionary_encode(null_encoding="encode") for k in range(2))
+            group = keys.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(places.dictionary) + places.indices.to_numpy(zero_copy_only=False)
+            at, text = b.column(2).buffers()[1:]
+            start = np.frombuffer(at, np.int32)[b.column(2).offset]
+            by_group = np.argsort(group, kind="stable")
+            digits = np.frombuffer(text, "V64", len(group), start)[by_group].view(np.uint8)
+            ends = [*(np.flatnonzero(np.diff(group[by_group])) + 1).tolist(), len(group)] if len(group) else []
+            names, codes, first = (keys.dictionary.to_pylist(), places.dictionary.to_pylist()), group[by_group], 0
+            for last in ends:
+                k, p = divmod(int(codes[first]), len(places.dictionary))
+                entry = running.setdefault((names[0][k], names[1][p]), [0, hashlib.sha256()])
+                entry[0] += last - first
+                entry[1].update(digits[64 * first : 64 * last])
+                first = last
+        if running:
+            columns = [pa.array([k for k, _ in running], kind), pa.array([p for _, p in running]), pa.array([n for n, _ in running.values()], pa.int64()), pa.array([h.hexdigest() for _, h in running.values()])]
+            yield pa.RecordBatch.from_arrays(columns, [key, "_b", "_n", "_h"])
+
+    return fn
+
+
+def table_digest(df: DataFrame, key: str, order: list[str], tasks: int | None = None) -> DataFrame:
     """(key, rows, digest) by which equal tables agree, whatever the order of their rows.
 
     A row's SHA-256 is of its JSON without the key. Rows are put in order in buckets by the MD5 of ``order``
-    (its first three digits) and their hashes hashed; the digest is of the buckets' names and hashes in order. So
-    a bucket of the largest table holds a 4096th of it.
+    (its first three digits) and their hashes hashed; the digest is of the buckets' names and hashes in order.
+    Buckets are dealt over ``tasks`` (or Spark's number); a task sorts its rows, which spills, and hashes them as they
+    come, so no bucket is held: only the rows themselves are shuffled, and their hashes are made after that.
     """
-    row = F.sha2(F.to_json(F.struct(*[c for c in df.columns if c != key]), {"ignoreNullFields": "false"}), 256)
     place = F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in order])), 1, 3)
-    own = df.select(key, place.alias("_b"), F.struct(*order, row.alias("_h")).alias("_r"))
-    hashes = F.transform(F.array_sort(F.collect_list("_r")), lambda r: r["_h"])
-    bucket = own.groupBy(key, "_b").agg(F.count("*").alias("_n"), F.sha2(F.array_join(hashes, ""), 256).alias("_h"))
+    own = df.withColumn("_b", place)
+    own = own.repartition(tasks, key, "_b") if tasks else own.repartition(key, "_b")
+    row = F.sha2(_json(df, [c for c in df.columns if c != key]), 256)
+    own = own.select(key, "_b", *order, row.alias("_h")).sortWithinPartitions(*order, "_h").select(key, "_b", "_h")
+    bucket = own.mapInArrow(_hashed_in_order(key), f"{key} {df.schema[key].dataType.simpleString()}, _b string, _n long, _h string")
     whole = F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda x: F.concat(x["_b"], x["_h"]))
     return bucket.groupBy(key).agg(F.sum("_n").alias("rows"), F.sha2(F.array_join(whole, ""), 256).alias("digest"))

@@ -1,5 +1,7 @@
 """Work of pairs and models over many tasks, and the same results by another way."""
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -169,3 +171,27 @@ def test_crowds_are_cut_before_their_shuffle(spark, monkeypatch):
     found = splats.crowds(points, ["scene", "x"], 3)
     assert {(r.scene, r.x, *r.first) for r in found.collect()} == {(1, 0.0, 11, 12, 13, 14), (1, 2.0, 97, 98, 99, 100), (2, 0.0, 96, 97, 98, 99)}
     assert found._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2  # partial and final
+
+
+def test_table_digest_holds_no_bucket(spark):
+    """Hashes are made after the shuffle and hashed as they come; ties, nulls and other types as by definition."""
+    rows = [(c, i * 31 % 400, w) for c in ("x", "y", None) for i in range(400) for w in (i % 7, None)] + [("z", None, 3), ("z", 5, 1)]
+    df = spark.createDataFrame(rows, "k string, id long, v int")
+    md5, sha = (lambda t, f=f: f(t.encode()).hexdigest() for f in (hashlib.md5, hashlib.sha256))
+    for typed, form in ((df, lambda v: "null" if v is None else str(v)), (df.withColumn("v", F.col("v").cast("string")), lambda v: "null" if v is None else f'"{v}"')):
+        want = set()
+        for c in {r[0] for r in rows}:
+            buckets = {}
+            for _, i, v in (r for r in rows if r[0] == c):
+                own = sha(f'{{"id":{"null" if i is None else i},"v":{form(v)}}}')
+                buckets.setdefault(md5("" if i is None else str(i))[:3], []).append((i is not None, i or 0, own))
+            want.add((c, sum(map(len, buckets.values())), sha("".join(b + sha("".join(h for *_, h in sorted(buckets[b]))) for b in sorted(buckets)))))
+        size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+        try:
+            for tasks in (None, 3):
+                got = graph.table_digest(typed, "k", ["id"], tasks)
+                assert {tuple(r) for r in got.collect()} == want
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("collect_list(") == 1  # of buckets, not of rows
