@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -29,47 +29,62 @@ def log_progress(lines: DataFrame, pattern: str, total: float) -> DataFrame:
 
 
 #: What a mapper's log says.
-STAMP = r"^[IWEF](\d{8}) (\d{2}):(\d{2}):(\d{2})\.(\d{1,6}) \S+ [^\]]+\] ?(.*)$"
+STAMP = r"^[IWEF]\d{8} (?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d\.\d{1,6} \S+ [^\]]+(\] ?.*)$"  # all before the message has a fixed place
 GLOBAL_MARKERS = ("Global bundle adjustment", "Retriangulation and Global bundle adjustment")
 REPORT_MARKERS = ("Pose refinement report", "Bundle adjustment report")
+NAME = r"^\s*(Residuals|Parameters|Iterations|Time|Initial cost|Final cost|Termination)\s*:"
 FIELDS = {
-    "residuals": r"^\s*Residuals\s*:\s*(\S+)\s*$",
-    "parameters": r"^\s*Parameters\s*:\s*(\S+)\s*$",
-    "iterations": r"^\s*Iterations\s*:\s*(\S+)\s*$",
-    "seconds": r"^\s*Time\s*:\s*(\S+)\s*\[s\]\s*$",
-    "initial_cost": r"^\s*Initial cost\s*:\s*(\S+)\s*\[px\]\s*$",
-    "final_cost": r"^\s*Final cost\s*:\s*(\S+)\s*\[px\]\s*$",
-    "termination": r"^\s*Termination\s*:\s*(.*?)\s*$",
+    "residuals": r"^[^:]*:\s*(\S+)\s*$",
+    "parameters": r"^[^:]*:\s*(\S+)\s*$",
+    "iterations": r"^[^:]*:\s*(\S+)\s*$",
+    "time": r"^[^:]*:\s*(\S+)\s*\[s\]\s*$",
+    "initial_cost": r"^[^:]*:\s*(\S+)\s*\[px\]\s*$",
+    "final_cost": r"^[^:]*:\s*(\S+)\s*\[px\]\s*$",
+    "termination": r"^[^:]*:\s*(.*?)\s*$",
 }
 TOLERANCE = 0.001
 
 
 def _stamped(lines: DataFrame) -> DataFrame:
-    """Lines with ``at`` (microseconds, null without a valid time), ``said`` (the message) and ``field``, ``value``."""
-    part = lambda k: F.regexp_extract("line", STAMP, k)
-    number = lambda c: c.try_cast("bigint")
-    day = F.unix_date(F.concat_ws("-", part(1).substr(1, 4), part(1).substr(5, 2), part(1).substr(7, 2)).try_cast("date"))
-    hours, minutes, seconds = (number(part(k)) for k in (2, 3, 4))
-    real = F.col("line").rlike(STAMP) & (hours < 24) & (minutes < 60) & (seconds < 60)
-    at = (((day.cast("bigint") * 24 + hours) * 60 + minutes) * 60 + seconds) * 1_000_000 + number(F.rpad(part(5), 6, "0"))
-    out = lines.withColumn("at", F.when(real, at)).withColumn("said", F.when(F.col("at").isNotNull(), F.trim(part(6))))
-    plain = F.col("at").isNull()
-    out = out.withColumn("field", F.coalesce(*[F.when(plain & F.col("line").rlike(p), F.lit(n)) for n, p in FIELDS.items()]))
-    return out.withColumn("value", F.coalesce(*[F.when(F.col("field") == n, F.regexp_extract("line", p, 1)) for n, p in FIELDS.items()]))
-
-
-def _faulty_value() -> Column:
-    """Why the value of a report's field cannot be used."""
-    whole, kind = F.col("field").isin("residuals", "parameters", "iterations"), F.col("field")
-    number = F.when(F.lower("value").rlike(r"^[+-]?(nan|inf|infinity)$"), F.lit(float("inf"))).otherwise(F.col("value").try_cast("double"))
-    return (
-        F.when(kind.isNull(), "invalid_field")
-        .when(kind == "termination", F.when(~F.col("value").rlike("^[A-Za-z][A-Za-z_ -]*$"), "invalid_termination"))
-        .when(whole & ~F.col("value").rlike(r"^[+-]?\d+$"), "invalid_integer")
-        .when(number.isNull() | ~F.col("value").rlike(r"^[^dDfF]*$|^[+-]?(?i:inf|infinity)$"), "invalid_number")
-        .when(number == float("inf"), "nonfinite")
-        .when(number < 0, "negative")
+    """Lines with ``at`` (microseconds, null without a valid time), ``said`` (the message) and ``field``, ``value``.
+
+    A line is matched against the stamp or the fields' names once, and then only against the pattern of its field.
+    """
+    line = F.col("line")
+    part = lambda first, n: line.substr(first, n)
+    out = lines.withColumn("_after", F.when(part(1, 1).isin(*"IWEF"), F.regexp_extract(line, STAMP, 1)).otherwise(""))
+    day = F.unix_date(F.concat_ws("-", part(2, 4), part(6, 2), part(8, 2)).try_cast("date"))
+    hours, minutes, seconds = (part(k, 2).cast("bigint") for k in (11, 14, 17))
+    fraction = F.rpad(F.substring_index(part(20, 7), " ", 1), 6, "0").cast("bigint")
+    at = (((day.cast("bigint") * 24 + hours) * 60 + minutes) * 60 + seconds) * 1_000_000 + fraction
+    out = out.withColumn("at", F.when(F.col("_after") != "", at)).withColumn("said", F.when(F.col("at").isNotNull(), F.trim(F.substr("_after", F.lit(2)))))
+    name = F.replace(F.lower(F.regexp_extract(line, NAME, 1)), F.lit(" "), F.lit("_"))
+    out = out.withColumn("_name", F.when(F.col("at").isNull() & line.contains(":"), name))
+    alike = {p: [n for n in FIELDS if FIELDS[n] == p] for p in FIELDS.values()}
+    value = F.coalesce(*[F.when(F.col("_name").isin(*names) & (line.rlike(p) if "termination" in names else F.lit(True)), F.regexp_extract(line, p, 1)) for p, names in alike.items()])
+    out = out.withColumn("value", value).withColumn("field", F.when((F.col("value") != "") | (F.col("_name") == "termination") & F.col("value").isNotNull(), F.col("_name")))
+    return out.withColumn("value", F.when(F.col("field").isNotNull(), F.col("value"))).drop("_after", "_name")
+
+
+def _with_faults(lines: DataFrame) -> DataFrame:
+    """Adds ``number`` and ``fault``: why the value of a report's field cannot be used."""
+    kind, value = F.col("field"), F.col("value")
+    parsed = F.when(kind != "termination", value.try_cast("double"))
+    plain = F.coalesce(~F.isnan("number") & (F.abs("number") != float("inf")), F.lit(False))
+    lettered = F.translate(value, "dDfF", "") != value
+    real = F.when(F.lower(value).rlike(r"^[+-]?(nan|inf|infinity)$"), F.lit(float("inf"))).otherwise(F.col("number"))
+    unusual = (
+        F.when(real.isNull() | (lettered & ~value.rlike(r"^[+-]?(?i:inf|infinity)$")), "invalid_number")
+        .when(real == float("inf"), "nonfinite")
+        .when(real < 0, "negative")
+    )
+    fault = (
+        F.when(kind == "termination", F.when(~value.rlike("^[A-Za-z][A-Za-z_ -]*$"), "invalid_termination"))
+        .when(kind.isin("residuals", "parameters", "iterations") & ~value.rlike(r"^[+-]?\d+$"), "invalid_integer")
+        .when(plain & ~lettered, F.when(F.col("number") < 0, "negative"))
+        .otherwise(unusual)
     )
+    return lines.withColumn("number", parsed).withColumn("fault", fault)
 
 
 def mapper_profile(lines: DataFrame, walls: DataFrame | None = None) -> DataFrame:
@@ -79,58 +94,65 @@ def mapper_profile(lines: DataFrame, walls: DataFrame | None = None) -> DataFram
     a bundle report is global or local by the last of these above it. A log that is damaged has ``reason``, of its
     first fault (times are checked before reports), ``reason_line`` where a line shows it, and no figures.
     lines: (log_id, line_no, line), line_no tells a log's lines apart; a null line is a blank one. walls: (log_id,
-    wall_seconds), one row a log; without it, or without its row, the wall time is the span of the times. Lines of a
-    log are sorted in one partition, which spills; nothing of a log is held as a whole.
+    wall_seconds), one row a log; without it, or without its row, the wall time is the span of the times. Lines are
+    read after their shuffle, so that making and reading them are two methods, each small enough for the JVM to compile
+    (8,000 bytes); a larger one runs interpreted. What the lines of a log say is sorted once, in one partition, which
+    spills; nothing of a log is held as a whole.
     """
     by = W.partitionBy("log_id")
-    so_far = by.orderBy("line_no")
-    above = so_far.rowsBetween(W.unboundedPreceding, -1)
+    above = by.orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
     last = lambda c: F.last(c, ignorenulls=True).over(above)
-    said, event = F.col("said"), F.col("at").isNotNull()
-    own = _stamped(lines.select("log_id", F.col("line_no").cast("long").alias("line_no"), F.coalesce("line", F.lit("")).alias("line")))
-    elapsed = said.startswith("Elapsed time:")
-    early = (
-        F.when(F.col("line").rlike(r"^[IWEF]\d{8}\s") & ~event, "invalid_timestamp")
-        .when(F.col("at") < last("at"), "backwards_timestamp")
-        .when(elapsed & ~said.rlike(r"^Elapsed time: (?:0|[1-9]\d*)(?:\.\d+)? \[minutes\]$"), "invalid_elapsed")
-    )
-    own = own.withColumn("early", early).withColumn("_final", F.max(F.when(elapsed, F.col("line_no"))).over(by))
-    ended = F.coalesce(said.startswith("Keeping successful reconstruction") | said.startswith("Discarding reconstruction"), F.lit(False))
-    kind = (
-        F.when(said.isin(*GLOBAL_MARKERS), "G")
-        .when(said.rlike(r"^Registering image #\d+ \(num_reg_frames=\d+\)$"), "R")
-        .when(event & (ended | F.coalesce(F.col("line_no") == F.col("_final"), F.lit(False))), "E")
+    own = lines.select("log_id", F.col("line_no").cast("long").alias("line_no"), F.coalesce("line", F.lit("")).alias("line"))
+    own = _with_faults(_stamped(own.repartition("log_id")))
+    said, event, line = F.col("said"), F.col("at").isNotNull(), F.col("line")
+    says = (
+        F.when(said == GLOBAL_MARKERS[0], "initial")
+        .when(said == GLOBAL_MARKERS[1], "later")
         .when(said == REPORT_MARKERS[0], "pose")
         .when(said == REPORT_MARKERS[1], "bundle")
+        .when(said.startswith("Elapsed time:"), "elapsed")
+        .when(said.startswith("Keeping successful reconstruction") | said.startswith("Discarding reconstruction"), "ended")
+        .when(said.startswith("Registering"), F.when(said.rlike(r"^Registering image #\d+ \(num_reg_frames=\d+\)$"), "R"))
     )
-    own = own.withColumn("ended", ended).withColumn("kind", kind).withColumn("marked", F.when(F.col("kind").isin("G", "R", "E"), F.col("kind")))
-    own = own.withColumn("mode", last("marked")).withColumn("_opens", F.col("kind").isin("pose", "bundle"))
-    phase = F.when(F.col("kind") == "pose", "pose").when(F.col("kind") == "bundle", F.when(F.col("mode") == "G", "global").when(F.col("mode") == "R", "local").otherwise("unknown"))
-    turn = F.when(F.col("_opens"), 1).when(F.col("field") == "termination", 0)
-    own = own.withColumn("_phase", phase).withColumn("inside", F.coalesce(last(turn) == 1, F.lit(False))).withColumn("phase", last("_phase"))
-    own = own.withColumn("report", F.count_if(F.col("_opens")).over(so_far))
-    settled = F.when(F.col("kind") == "G", "G").when(F.col("marked").isNotNull() | (F.col("inside") & (F.col("field") == "termination") & (F.col("phase") == "global")), "done")
+    unsound = F.when(
+        event, F.when((F.col("says") == "elapsed") & ~said.rlike(r"^Elapsed time: (?:0|[1-9]\d*)(?:\.\d+)? \[minutes\]$"), "invalid_elapsed")
+    ).otherwise(F.when(line.rlike(r"^[IWEF]\d{8}\s"), "invalid_timestamp"))
+    text = event | F.col("field").isNotNull() | line.rlike(r"\S")
+    stray = F.col("field").isNotNull() | F.when(~event & line.contains("report"), F.regexp_replace("line", r"^\s+|\s+$", "").isin(*REPORT_MARKERS)).otherwise(False)
+    seconds = F.when(F.col("field") == "time", F.col("number"))
+    own = own.withColumn("says", says)
+    own = own.select("log_id", "line_no", "at", "field", "fault", "says", unsound.alias("unsound"), text.alias("text"), stray.alias("stray"), seconds.alias("seconds"))
+    says, opens = F.col("says"), F.coalesce(F.col("says").isin("pose", "bundle"), F.lit(False))
+    turn = F.when(opens, 1).when(F.col("field") == "termination", 0)
+    early = F.when(F.col("at") < last("at"), "backwards_timestamp").otherwise(F.col("unsound"))
+    seen = {n: F.coalesce(last(F.when(F.col("field") == n, F.col("line_no"))) > last(F.when(opens, F.col("line_no"))), F.lit(False)) for n in FIELDS}  # in this report
+    again = F.coalesce(*[F.when(F.col("field") == n, c) for n, c in seen.items()])
+    missing = (F.col("field") == "termination") & (sum(c.cast("int") for n, c in seen.items() if n != "termination") != len(FIELDS) - 1)
+    inside = F.coalesce(last(turn) == 1, F.lit(False))
+    own = own.select("*", early.alias("early"), again.alias("again"), missing.alias("missing"), inside.alias("inside"))
+    own = own.withColumn("_final", F.max(F.when(says == "elapsed", F.col("line_no"))).over(by))
+    event, ended = F.col("at").isNotNull(), F.coalesce(says == "ended", F.lit(False))
+    marked = F.when(says.isin("initial", "later"), "G").when(says == "R", "R").when(ended | (says == "elapsed") & (F.col("line_no") == F.col("_final")), "E")
+    own = own.withColumn("marked", marked).withColumn("mode", last("marked"))
+    phase = F.when(says == "pose", "pose").when(says == "bundle", F.when(F.col("mode") == "G", "global").when(F.col("mode") == "R", "local").otherwise("unknown"))
+    own = own.withColumn("_phase", phase).withColumn("phase", last("_phase"))
+    settled = F.when(F.col("marked") == "G", "G").when(F.col("marked").isNotNull() | (F.col("inside") & (F.col("field") == "termination") & (F.col("phase") == "global")), "done")
     own = own.withColumn("pending", F.coalesce(last(settled) == "G", F.lit(False)))
-    alike = W.partitionBy("log_id", "report", "field").orderBy("line_no")
-    own = own.withColumn("_again", F.row_number().over(alike) > 1)
-    within = W.partitionBy("log_id", "report").orderBy("line_no")
-    own = own.withColumn("_fields", F.count("field").over(within))
-    bare = F.regexp_replace("line", r"^\s+|\s+$", "")
     late = (
-        F.when(event & F.col("inside"), F.when(F.col("_opens"), "nested_report").otherwise("incomplete_report"))
+        F.when(event & F.col("inside"), F.when(opens, "nested_report").otherwise("incomplete_report"))
         .when(event, F.when(F.col("marked").isNotNull() & F.col("pending"), "no_solver_report").when(F.col("_phase") == "unknown", "unknown_report"))
-        .when(~F.col("inside"), F.when(bare.isin(*REPORT_MARKERS) | F.col("field").isNotNull(), "outside_report"))
-        .when(bare != "", F.coalesce(_faulty_value(), F.when(F.col("_again"), "duplicate_field"), F.when((F.col("field") == "termination") & (F.col("_fields") != len(FIELDS)), "missing_field")))
+        .when(~F.col("inside"), F.when(F.col("stray"), "outside_report"))
+        .when(F.col("text"), F.coalesce(F.when(F.col("field").isNull(), "invalid_field"), "fault", F.when(F.col("again"), "duplicate_field"), F.when(F.col("missing"), "missing_field")))
     )
     own = own.withColumn("late", late)
     first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("line_no", c))).alias("_" + c)
-    spent = lambda p: F.coalesce(F.sum(F.when(F.col("inside") & (F.col("phase") == p) & (F.col("field") == "seconds"), F.col("value").try_cast("double"))), F.lit(0.0)).alias(p + "_seconds")
-    opened = (F.col("kind") == "G") & (F.coalesce(F.col("mode"), F.lit("")) != "G")
-    closed = F.col("kind").isin("R", "E") & (F.col("mode") == "G")
+    spent = lambda p: F.coalesce(F.sum(F.when(F.col("inside") & (F.col("phase") == p), F.col("seconds"))), F.lit(0.0)).alias(p + "_seconds")
+    opened = (F.col("marked") == "G") & (F.coalesce(F.col("mode"), F.lit("")) != "G")
+    closed = F.col("marked").isin("R", "E") & (F.col("mode") == "G")
     logs = own.groupBy("log_id").agg(
-        first("early"), first("late"), F.max(bare != "").alias("_any"), F.min("at").alias("_from"), F.max("at").alias("_to"), F.max("_final").alias("_final"),
-        F.max(F.when(event, F.col("line_no"))).alias("_stamp"), F.max("ended").alias("_ended"), F.max_by(turn, F.when(turn.isNotNull(), F.col("line_no"))).alias("_open"),
-        F.count_if(F.col("kind") == "R").alias("registrations"), F.count_if(said == GLOBAL_MARKERS[0]).alias("initial_globals"), F.count_if(said == GLOBAL_MARKERS[1]).alias("later_globals"),
+        first("early"), first("late"), F.max("text").alias("_any"), F.min("at").alias("_from"), F.max("at").alias("_to"), F.max("_final").alias("_final"),
+        F.max(F.when(event, F.col("line_no"))).alias("_stamp"), F.max(ended).alias("_ended"), F.max_by(turn, F.when(turn.isNotNull(), F.col("line_no"))).alias("_open"),
+        F.count_if(says == "R").alias("registrations"), F.count_if(says == "initial").alias("initial_globals"), F.count_if(says == "later").alias("later_globals"),
         *[F.count_if(F.col("_phase") == p).alias(p + "_reports") for p in ("pose", "local", "global")], *[spent(p) for p in ("pose", "local", "global")],
         (F.coalesce(F.sum(F.when(closed, F.col("at")).when(opened, -F.col("at"))), F.lit(0)) / 1e6).alias("region_seconds"),
     )

@@ -1,8 +1,11 @@
 """The mapper's log profile on hand-made logs: figures of a good one, and one log for each fault."""
 
+import re
+
 import pytest
 
 from scenemill.operators import logs
+from scenemill.plans.views import view
 
 AT = "I20240101 00:00:{:02d}.5 71 mapper.cc:9] {}"
 FIELDS = ["   Residuals : 10", "  Parameters : 4", "  Iterations : 3", "        Time : 1.5 [s]", "Initial cost : 2 [px]", "  Final cost : 1 [px]", " Termination : Convergence"]
@@ -75,3 +78,17 @@ def test_wall_times_of_others(spark):
     assert [got[k].reason for k in range(5)] == [None, "wall_too_short", "invalid_wall", "invalid_wall", None]
     assert got[0].bundle_share == pytest.approx(1 / 6) and got[4].wall_seconds == 9.0
     assert logs.mapper_profile(df.limit(0)).count() == 0
+
+
+def test_lines_are_sorted_once_by_code_that_is_compiled(spark, sf_dir):
+    """The JVM interprets methods of over 8,000 bytes; a log's lines are sorted once, for all that looks above a line."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        run = logs.mapper_profile(view(spark, sf_dir, "mapper_log"))._jdf.queryExecution()
+        code = run.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+        assert run.executedPlan().toString().count("Sort [log_id") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) <= 8000
