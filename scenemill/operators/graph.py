@@ -72,38 +72,40 @@ def validate_pairs(
     bad_id, unknown_image, not_scheduled, verified_over_matched; with ``descriptors`` (capture_id, image_id, rows)
     descriptorless_rows: rows matched or verified of an image without descriptors; if the attempt was ``complete``,
     no_matches and no_verified: scheduled pairs that a table doesn't have. A row of 0 is one. The three tables meet
-    once, by pair; an image's state joins its pairs by each end.
+    once, by pair; an image's state is broadcast to its pairs, for images are few beside them.
     """
     pair, flag = _pair_key(schedule, matches, verified), F.lit(True)
-    marked = lambda df, **own: df.select(*pair, *[own.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
-    kinds = {"_planned": "boolean", "_tried": "boolean", "_passed": "boolean", "_least": "long", "_most": "long", "_rows": "long"}
-    found = marked(schedule, _planned=flag)
-    found = found.unionByName(marked(matches, _tried=flag, _least=F.coalesce("matched", F.lit(0)), _most=F.col("matched")))
-    found = found.unionByName(marked(verified, _passed=flag, _rows=F.col("verified")))
-    found = found.groupBy(*pair).agg(*[F.max(c).alias(c) for c in kinds if c != "_least"], F.min("_least").alias("_least"))
+    tables = {"planned": 1, "tried": 2, "passed": 4, "filled": 8}  # bits: few columns are hashed faster than many
+    marked = lambda df, seen, least=F.lit(None), rows=F.lit(None): df.select(*pair, seen.alias("_seen"), least.cast("long").alias("_least"), rows.cast("long").alias("_rows"))
+    found = marked(schedule, F.lit(tables["planned"]))
+    filled = F.when(F.col("matched") > 0, F.lit(tables["tried"] | tables["filled"])).otherwise(F.lit(tables["tried"]))
+    found = found.unionByName(marked(matches, filled, least=F.coalesce("matched", F.lit(0))))
+    found = found.unionByName(marked(verified, F.lit(tables["passed"]), rows=F.col("verified")))
+    found = found.groupBy(*pair).agg(F.bit_or("_seen").alias("_seen"), F.min("_least").alias("_least"), F.max("_rows").alias("_rows"))
     same = F.col("capture_id").isNotNull() & F.col("pair_id").isNotNull()  # a null is the same as no other
-    has = lambda c: same & F.coalesce(c, F.lit(False))
+    seen = lambda *c: F.col("_seen").bitwiseAND(F.lit(sum(tables[x] for x in c))) != 0
+    has = lambda c: same & seen(c)
     known = images.select("capture_id", "image_id", flag.alias("known"), F.lit(False).alias("bare"))
     if descriptors is not None:
         known = known.unionByName(descriptors.where("rows = 0").select("capture_id", "image_id", F.lit(False).alias("known"), flag.alias("bare")))
-    known = known.groupBy("capture_id", "image_id").agg(F.max("known").alias("known"), F.max("bare").alias("bare"))
+    known = F.broadcast(known.groupBy("capture_id", "image_id").agg(F.max("known").alias("known"), F.max("bare").alias("bare")))
     found = decode_pairs(found)
     for end in ("i", "j"):
         found = found.join(known.select("capture_id", F.col("image_id").alias(end), F.col("known").alias(f"_known_{end}"), F.col("bare").alias(f"_bare_{end}")), ["capture_id", end], "left")
     either = lambda c: F.coalesce(f"_{c}_i", F.lit(False)) | F.coalesce(f"_{c}_j", F.lit(False))
     both = F.coalesce("_known_i", F.lit(False)) & F.coalesce("_known_j", F.lit(False))
-    recorded, planned, valid = F.coalesce("_tried", "_passed").isNotNull(), F.col("_planned").isNotNull(), F.col("valid")
+    recorded, planned, valid = seen("tried", "passed"), seen("planned"), F.col("valid")
     reasons = {
         "bad_id": recorded & ~valid,
         "unknown_image": recorded & valid & ~both,
-        "not_scheduled": recorded & valid & ~has("_planned"),
+        "not_scheduled": recorded & valid & ~has("planned"),
         "verified_over_matched": F.col("_rows") > F.coalesce(F.when(same, F.col("_least")), F.lit(0)),
-        "descriptorless_rows": same & valid & ((F.coalesce("_most", F.lit(0)) > 0) | (F.coalesce("_rows", F.lit(0)) > 0)) & either("bare"),
+        "descriptorless_rows": same & valid & (seen("filled") | (F.coalesce("_rows", F.lit(0)) > 0)) & either("bare"),
     }
     if complete:
-        reasons |= {"no_matches": planned & ~has("_tried"), "no_verified": planned & ~has("_passed")}
-    why = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in reasons.items()]), lambda r: r.isNotNull())
-    return found.select("capture_id", "pair_id", F.explode(why).alias("reason"))
+        reasons |= {"no_matches": planned & ~has("tried"), "no_verified": planned & ~has("passed")}
+    why = F.array(*[F.when(c, F.lit(n)) for n, c in reasons.items()])  # nulls go after it: a filter within is not compiled
+    return found.select("capture_id", "pair_id", F.explode(why).alias("reason")).where("reason is not null")
 
 
 def pair_counts(schedule: DataFrame, matches: DataFrame, verified: DataFrame, least: int = 15) -> DataFrame:

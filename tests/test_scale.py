@@ -1,10 +1,12 @@
 """Work of pairs and models over many tasks, and the same results by another way."""
 
 import hashlib
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from scenemill import catalog
 from scenemill.functions import ranks
 from scenemill.operators import conditioning, graph, models, pairs, splats
 from scenemill.plans import views
@@ -46,6 +48,32 @@ def test_pairs_stay_with_their_first_image(spark, sf_dir):
     assert _exchanges(graph.validate_pairs(*tables, view(spark, sf_dir, "graph_images"), complete=True)) == 0
 
 
+def test_no_pairs_are_shuffled_however_many_images(spark):
+    """Images too many for Spark's own limit of a broadcast: only rows moved to another first image leave their place."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = catalog.queries()["C1_validate_pairs"](spark, "/root/testdata/sf0.1")
+        lines = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not [x for x in lines if re.search(r"\b(i|j|pair_id)#", x) and "REPARTITION_BY_NUM" not in x]
+    moved = [x for x in lines if re.search(r"\bi#", x)]
+    assert len(moved) == 1
+    tree = found._jdf.queryExecution().optimizedPlan().toString()
+    below = tree[tree.index("RepartitionByExpression [i#") :].splitlines()
+    assert re.search(r"AND NOT \(\(CASE .* div 2147483647\) = ", next(x for x in below if "Filter" in x))
+
+
+def test_schedule_as_joined(spark):
+    """Rows of images side by side give the pairs of a plain join: over several rows, repeated, negative and null."""
+    ids = [*range(1000, 1060), 2047, 2048, 2049, *range(5000, 5030), 5029, -3, -1, 0, None]
+    images = spark.createDataFrame([(c, k) for c in (1, 2, None) for k in ids[:: c or 1]], "capture_id int, image_id long")
+    plain = views.VIEWS["schedule"].replace("{graph_images}", "{images}")
+    want = spark.sql(plain, images=images).collect()
+    assert len(want) > 2000 and sorted(map(tuple, views._schedule(images).collect())) == sorted(map(tuple, want))
+
+
 def test_nulls_are_no_pair(spark):
     """A null capture or pair meets no other."""
     schedule, matches, verified = _tables(spark)
