@@ -19,6 +19,8 @@ from scenemill.functions.storage import cut, kept
 PAIR_BASE = 2147483647
 #: Rounds after which a graph that is still changing is an error.
 MOST_ROUNDS = 60
+#: Edges that a task thins out at once, and steps from a root after which it leaves a graph as it is.
+AT_ONCE, MOST_STEPS = 1 << 21, 64
 
 
 def components(nodes: DataFrame, edges: DataFrame, key: str, most_rounds: int = 100) -> DataFrame:
@@ -158,8 +160,8 @@ def graph_verdict(summary: DataFrame) -> DataFrame:
     return summary.withColumn("verdict", F.when(strict, "accepted").when(relaxed, "relaxed").otherwise("rejected"))
 
 
-# Blocks (biconnected components) of graphs that no task holds, all keys at once, in rounds of joins whose number grows
-# with the logarithm of the nodes: a spanning tree by hooking, its preorder by numbering a round trip, what subtrees reach
+# Blocks (biconnected components) of graphs that no task holds, all keys at once: edges are thinned out where they lie, and
+# what is left goes through rounds of joins whose number grows with the logarithm of the nodes: a spanning tree by hooking, its preorder by numbering a round trip, what subtrees reach
 # by intervals of that order, and components over the tree's edges.
 
 
@@ -167,6 +169,94 @@ def _both_ways(edges: DataFrame, key: str, a: str, b: str, *rest: str) -> DataFr
     return edges.select(key, F.inline(F.array(F.struct(a, b), F.struct(F.col(b).alias(a), F.col(a).alias(b)))), *rest)
 
 
+def _thinning():
+    """Rows (keys, a, b), a < b, of a task's edges: what ``sparse`` keeps of them."""
+
+    def hooked(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the edges a - b of a spanning forest of n nodes, and each node's root."""
+        root, left, used = np.arange(n), np.arange(len(a)), [np.empty(0, np.int64)]
+        while True:
+            p, q = root[a[left]], root[b[left]]
+            apart = p != q
+            if not apart.any():
+                return np.concatenate(used), root
+            left, p, q = left[apart], p[apart], q[apart]
+            by = np.full(n, -1)
+            by[np.maximum(p, q)] = np.arange(len(left))
+            parts = np.flatnonzero(by >= 0)
+            by = by[parts]
+            root[parts] = np.minimum(p, q)[by]
+            used.append(left[by])
+            while (root[root] != root).any():
+                root = root[root]
+
+    def thinned(rows: pa.Table) -> pa.Table:
+        """Of edges those of a breadth-first forest and of a spanning forest of the others."""
+        *keys, a, b = (c.combine_chunks() for c in rows.columns)
+
+        def numbers(values):
+            coded = values.dictionary_encode(null_encoding="encode")
+            return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+
+        place, n = numbers(pa.concat_arrays([a, b]))
+        for of_key, n_keys in map(numbers, keys):
+            place, n = (place, n) if n_keys == 1 else numbers(pa.array(place * n_keys + np.tile(of_key, 2)))
+        a, b = np.split(place, 2)
+        _, first = np.unique(a * n + b, return_index=True)
+        a, b = a[first], b[first]
+        _, root = hooked(n, a, b)
+        step = np.where(root == np.arange(n), 0, -1)
+        left, other = np.arange(len(first)), np.ones(len(first), bool)
+        for k in range(MOST_STEPS):
+            sa, sb = step[a[left]], step[b[left]]
+            by = np.full(n, -1)
+            for near, far, ends in ((sa, sb, b), (sb, sa, a)):
+                on = left[(near == k) & (far < 0)]
+                by[ends[on]] = on
+            found = np.flatnonzero(by >= 0)
+            if not len(found):
+                break
+            step[found], other[by[found]] = k + 1, False
+            left = left[(step[a[left]] < 0) | (step[b[left]] < 0)]
+        if len(left):
+            return rows.take(pa.array(first))
+        rest = np.flatnonzero(other)
+        other[rest], other[rest[hooked(n, a[rest], b[rest])[0]]] = True, False
+        return rows.take(pa.array(np.sort(first[~other])))
+
+    def fn(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= AT_ONCE:
+                left = thinned(pa.Table.from_batches(held))
+                held, n = left.to_batches(), left.num_rows
+                if n > AT_ONCE // 2:
+                    yield from held
+                    held, n = [], 0
+        if n:
+            yield from thinned(pa.Table.from_batches(held)).to_batches()
+
+    return fn
+
+
+def sparse(edges: DataFrame, *keys: str) -> DataFrame:
+    """(keys, a, b), a < b: edges of graphs with the same components and blocks, some two for each node and task.
+
+    What a task leaves out of its edges joins nodes of one block of those that it keeps: of a breadth-first forest and a
+    spanning forest of all other edges. So, whatever edges come from elsewhere, no node parts others that it didn't part
+    before. Loops are left out. Tasks hold ``AT_ONCE`` edges, not a graph; what is no fewer for it, or long, goes on as it
+    is. Few tasks, as each keeps its own forests, and fewer ones once more where much is left.
+    """
+    plain = edges.where("a <> b").select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tasks = 4 * edges.sparkSession.sparkContext.defaultParallelism
+    left = kept(plain.coalesce(tasks).mapInArrow(_thinning(), plain.schema))
+    if tasks > 8 and left.count() > AT_ONCE:
+        left = kept(left.coalesce(tasks // 8).mapInArrow(_thinning(), plain.schema))
+    return left
+
+
 def spanning_forest(edges: DataFrame, key: str) -> DataFrame:
     """(key, a, b): edges (a < b) of a spanning tree of each component. Loops and repeated edges count for nothing."""
     plain = edges.where("a <> b").select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -266,7 +356,7 @@ def blocks(edges: DataFrame, key: str) -> DataFrame:
     edges: (key, a, b). A block of n nodes has n - 1 tree edges; a bridge is a block of one. Nodes without edges
     have no row; loops and repeated edges count for nothing.
     """
-    edges = kept(edges.select(key, "a", "b"))
+    edges = sparse(edges, key)
     tree = rooted(spanning_forest(edges, key), key)
     tree = reaches(edges, tree, key)
     upper = tree.select(key, F.col("node").alias("parent"), F.col("pre").alias("p_pre"), F.col("size").alias("p_size"), F.col("parent").alias("p_parent"))

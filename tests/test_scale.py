@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from scenemill import catalog
@@ -112,6 +113,61 @@ def test_components_read_edges_where_they_lie(spark, monkeypatch):
     assert max(sizes) < n * (n - 1) / 2 / 4
 
 
+def test_blocks_keep_few_edges_of_a_dense_graph(spark, monkeypatch):
+    """Two cliques that share a node, a bridge, a triangle behind it: no table of all edges, or of half of them."""
+    sizes = []
+    for name in ("cut", "kept"):
+        real = getattr(graph, name)
+        monkeypatch.setattr(graph, name, lambda df, real=real: (lambda out: (sizes.append(out.count()), out)[1])(real(df)))
+    n = 150
+    cliques = [(1, a, b) for base in (0, n - 1) for a in range(base, base + n) for b in range(a + 1, base + n)]
+    edges = spark.createDataFrame([*cliques, *cliques[:99], (1, 5, 1000), (1, 1000, 1001), (1, 1001, 1002), (1, 1002, 1000), (1, 7, 7), (2, 4, 3)], "key int, a long, b long").coalesce(2)
+    got = {tuple(r) for r in graph.biconnectivity(edges, "key").collect()}
+    assert got == {(1, 3, 4, n, n), (2, 0, 1, 2, 0)}
+    assert max(sizes) < len(cliques) / 8
+
+
+def _parts(edges, gone):
+    """Sets of nodes that edges join without the node ``gone``."""
+    root = {x: x for e in edges for x in e if x != gone}
+
+    def of(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if gone not in (a, b):
+            root[of(a)] = of(b)
+    return {frozenset(y for y in root if of(y) == x) for x in root if root[x] == x}
+
+
+def test_thinned_edges_part_nodes_as_all_do(monkeypatch):
+    """Whatever node is taken away and whatever edges come from another task; batch by batch; long graphs stay whole."""
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(graph, "AT_ONCE", 40)
+
+    def thinned(rows):
+        batches = pa.table({"key": pa.array([r[0] for r in rows]), "a": pa.array([r[1] for r in rows]), "b": pa.array([r[2] for r in rows])}).to_batches(5)
+        return [r for b in graph._thinning()(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+
+    fewer = 0
+    for _ in range(300):
+        n = int(rng.integers(3, 10))
+        rows = [(str(k), int(a), int(b)) for k, a, b in zip(rng.integers(0, 2, 200), rng.integers(0, n, 200), rng.integers(0, n, 200), strict=True) if a < b]
+        got = thinned(rows)
+        assert set(got) <= set(rows)
+        fewer += len(got) < len(set(rows))
+        for key in "01":
+            more = {(int(a), int(b)) for a, b in rng.integers(0, n, (int(rng.integers(0, 5)), 2))}
+            whole, left = ({r[1:] for r in of if r[0] == key} | more for of in (rows, got))
+            assert all(_parts(whole, x) == _parts(left, x) for x in range(-1, n))
+    assert fewer > 100
+    monkeypatch.setattr(graph, "AT_ONCE", 10_000)
+    ladder = [("x", k, k + d) for k in range(400) for d in (1, 2)]
+    assert sorted(thinned(ladder)) == ladder
+
+
 def test_plan_counts_pairs_either_way(spark):
     images = spark.createDataFrame([(1, k) for k in range(5)], "capture_id int, image_id long")
     local = spark.createDataFrame([(1, 0, 1), (1, 2, 1), (1, 3, 3)], "capture_id int, i long, j long")
