@@ -251,9 +251,15 @@ def sparse(edges: DataFrame, *keys: str) -> DataFrame:
     """
     plain = edges.where("a <> b").select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tasks = 4 * edges.sparkSession.sparkContext.defaultParallelism
-    left = kept(plain.coalesce(tasks).mapInArrow(_thinning(), plain.schema))
-    if tasks > 8 and left.count() > AT_ONCE:
-        left = kept(left.coalesce(tasks // 8).mapInArrow(_thinning(), plain.schema))
+    conf, limit = edges.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(limit, None)
+    conf.set(limit, str(2**31 - 1))  # a batch is measured after each row, which takes longer than all else; its rows are short and counted
+    try:
+        left = kept(plain.coalesce(tasks).mapInArrow(_thinning(), plain.schema))
+        if tasks > 8 and left.count() > AT_ONCE:
+            left = kept(left.coalesce(tasks // 8).mapInArrow(_thinning(), plain.schema))
+    finally:
+        conf.unset(limit) if before is None else conf.set(limit, before)
     return left
 
 
